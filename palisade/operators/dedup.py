@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.timestamps import micros
 from palisade.operators.alerts import SEVERITY_ORDER, severity_rank
-from palisade.operators.running import Measure, running
+from palisade.operators.running import Measure, measure_groups, running
 
 DEDUP_WINDOW_SECONDS = 300
 SIMILARITY = 0.8
@@ -44,6 +44,7 @@ def alert_groups(
     """
     base = alerts.withColumn("__us", micros(F.col(time)))
     words = [tokens(F.col(text)).alias("words")] if text else []
+    cut = measure_groups(base, keys)
     before = running(
         base,
         keys,
@@ -56,6 +57,7 @@ def alert_groups(
                 inclusive=False,
             )
         ],
+        cut,
     )
     starts = F.col("__prev").isNull() | (
         F.col("__us") - F.col("__prev.__us") > window_seconds * US
@@ -64,7 +66,11 @@ def alert_groups(
         starts = starts | (jaccard(tokens(F.col(text)), F.col("__prev.words")) < similarity)
     flagged = before.withColumn("__start", starts.cast("int")).drop("__prev")
     grouped = running(
-        flagged, keys, ["__us", row_id], [Measure("group_no", "sum", F.col("__start").cast("long"))]
+        flagged,
+        keys,
+        ["__us", row_id],
+        [Measure("group_no", "sum", F.col("__start").cast("long"))],
+        cut,
     )
     return grouped.select(
         *alerts.columns, "group_no", (F.col("__start") == 0).alias("is_duplicate")

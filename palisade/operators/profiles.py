@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import flag
 from palisade.functions.timestamps import micros
-from palisade.operators.running import Trailing, trailing_distinct, trailing_sums
+from palisade.operators.running import (
+    Trailing,
+    measure_groups,
+    trailing_distinct,
+    trailing_sums,
+)
 
 US = 1_000_000
 
@@ -37,11 +42,12 @@ def connection_profile(events: DataFrame, window_seconds: int) -> DataFrame:
     """
     window = window_seconds * US
     base = events.withColumn("__us", micros(F.col("timestamp")))
+    cut = measure_groups(base, ["src_ip"])
     out = trailing_distinct(
-        base, ["src_ip"], "__us", ["event_id"], "dst_port", window, "unique_dst_ports"
+        base, ["src_ip"], "__us", ["event_id"], "dst_port", window, "unique_dst_ports", cut
     )
     out = trailing_distinct(
-        out, ["src_ip"], "__us", ["event_id"], "dst_ip", window, "unique_dst_ips"
+        out, ["src_ip"], "__us", ["event_id"], "dst_ip", window, "unique_dst_ips", cut
     )
     return trailing_sums(
         out,
@@ -49,6 +55,7 @@ def connection_profile(events: DataFrame, window_seconds: int) -> DataFrame:
         "__us",
         ["event_id"],
         [Trailing("connection_frequency", F.lit(1).cast("long"), window)],
+        cut,
     ).drop("__us")
 
 

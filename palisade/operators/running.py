@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,14 +60,22 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return row["total"] or 0, row["largest"] or 0
 
 
-def is_hot(df: DataFrame, keys: Sequence[str]) -> tuple[bool, int]:
+class Cut(NamedTuple):
     """Whether some group exceeds the limit, and the number of pieces to cut."""
+
+    hot: bool
+    pieces: int
+
+
+def measure_groups(df: DataFrame, keys: Sequence[str]) -> Cut:
+    """Look at the group sizes, one job. An operator over a subset of the rows, or
+    over a finer key, may reuse the answer."""
     limit = group_limit(df)
-    total, largest = group_sizes(df, keys)
     pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if limit > 0:
-        pieces = max(pieces, math.ceil(total / limit))
-    return largest > limit, max(2, pieces)
+    if limit == 0:
+        return Cut(True, max(2, pieces))
+    total, largest = group_sizes(df, keys)
+    return Cut(largest > limit, max(2, pieces, math.ceil(total / limit)))
 
 
 def _over(measure: Measure, window) -> Column:
@@ -81,17 +90,18 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     measures: Sequence[Measure],
+    cut: Cut | None = None,
 ) -> DataFrame:
     """Add running aggregates per key, in ascending ``order``.
 
     ``order`` must be unique within a key. An exclusive measure is NULL on the
     first row of its key.
     """
-    hot, pieces = is_hot(df, keys)
-    if not hot:
+    cut = cut or measure_groups(df, keys)
+    if not cut.hot:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[_over(m, window).alias(m.name) for m in measures])
-    return _running_cut(df, keys, order, measures, pieces)
+    return _running_cut(df, keys, order, measures, cut.pieces)
 
 
 def _running_cut(df, keys, order, measures, pieces) -> DataFrame:
@@ -172,6 +182,7 @@ def trailing_sums(
     time_us: str,
     ties: Sequence[str],
     sums: Sequence[Trailing],
+    cut: Cut | None = None,
 ) -> DataFrame:
     """Sum over (t - W, t] per key; rows of one microsecond count in tie order.
 
@@ -179,9 +190,9 @@ def trailing_sums(
     t - W". Both are growing frames, so the cost per row is constant; a sliding
     frame would fold the whole frame again for every row.
     """
-    hot, pieces = is_hot(df, keys)
-    if hot:
-        return _trailing_cut(df, keys, time_us, ties, sums)
+    cut = cut or measure_groups(df, keys)
+    if cut.hot:
+        return _trailing_cut(df, keys, time_us, ties, sums, cut)
     rows = (
         Window.partitionBy(*keys)
         .orderBy(time_us, *ties)
@@ -198,7 +209,7 @@ def trailing_sums(
     )
 
 
-def _trailing_cut(df, keys, time_us, ties, sums) -> DataFrame:
+def _trailing_cut(df, keys, time_us, ties, sums, cut) -> DataFrame:
     lengths = sorted({s.window_us for s in sums})
     # One probe per window length asks how much had passed at t - W; it sorts
     # behind every row of that microsecond.
@@ -231,6 +242,7 @@ def _trailing_cut(df, keys, time_us, ties, sums) -> DataFrame:
         keys,
         ["__at", "__kind", "__us", *tie_cols],
         [Measure(f"__r{i}", "sum", F.col(f"__s{i}")) for i in range(len(sums))],
+        cut,
     )
     pick = {w: i + 1 for i, w in enumerate(lengths)}
     kind = F.col("__kind")
@@ -255,6 +267,7 @@ def trailing_distinct(
     value: str,
     window_us: int | None,
     name: str,
+    cut: Cut | None = None,
 ) -> DataFrame:
     """Distinct non-NULL values of the last ``window_us`` (None: ever seen) per key.
 
@@ -263,9 +276,11 @@ def trailing_distinct(
     t: a running sum of +1 / -1 marks, with no set held anywhere. Rows of one
     microsecond see each other.
     """
+    # Every group below is finer than ``keys`` or at most three times its size.
+    cut = cut or measure_groups(df, keys)
     seen = df.where(F.col(value).isNotNull()).select(*keys, value, time_us).distinct()
     with_prev = running(
-        seen, [*keys, value], [time_us], [Measure("__prev", "max", F.col(time_us), False)]
+        seen, [*keys, value], [time_us], [Measure("__prev", "max", F.col(time_us), False)], cut
     )
     opened = F.col("__prev").isNull()
     if window_us is not None:
@@ -295,6 +310,6 @@ def trailing_distinct(
     both = rows.unionByName(marks, allowMissingColumns=True)
     tie_cols = [f"__tie{i}" for i in range(len(ties))]
     counted = running(
-        both, keys, ["__at", "__kind", *tie_cols], [Measure(name, "sum", F.col("__d"))]
+        both, keys, ["__at", "__kind", *tie_cols], [Measure(name, "sum", F.col("__d"))], cut
     )
     return counted.where("__kind = 1").select("__row.*", name)

@@ -17,6 +17,7 @@ from palisade.functions.timestamps import micros
 from palisade.operators.running import (
     Measure,
     Trailing,
+    measure_groups,
     running,
     trailing_distinct,
     trailing_sums,
@@ -154,12 +155,14 @@ def threshold_matches(
         by_key[r.grouping_key].append(r)
     parts = []
     for key, members in by_key.items():
+        counted = _prepared(events, key, members, ties, legacy).select("__group")
+        cut = measure_groups(counted, ["__group"])
         rows = [r for r in members if not r.counts_ports]
         if rows:
-            parts.append(_count_rows(events, key, rows, ties, legacy))
+            parts.append(_count_rows(events, key, rows, ties, legacy, cut))
         for r in members:
             if r.counts_ports:
-                parts.append(_count_ports(events, key, r, ties, legacy))
+                parts.append(_count_ports(events, key, r, ties, legacy, cut))
     return reduce(DataFrame.unionByName, parts) if parts else _empty(events)
 
 
@@ -183,7 +186,7 @@ def _prepared(events, key, rules, ties, legacy) -> DataFrame:
     )
 
 
-def _count_rows(events, key, rules, ties, legacy) -> DataFrame:
+def _count_rows(events, key, rules, ties, legacy, cut) -> DataFrame:
     base = _prepared(events, key, rules, ties, legacy)
     ones = [F.col(f"__f{i}").cast("long") for i in range(len(rules))]
     if legacy:
@@ -196,6 +199,7 @@ def _count_rows(events, key, rules, ties, legacy) -> DataFrame:
             ["__group"],
             ["__ago", *back],
             [Measure(f"__n{i}", "sum", one) for i, one in enumerate(ones)],
+            cut,
         )
     else:
         counted = trailing_sums(
@@ -207,18 +211,19 @@ def _count_rows(events, key, rules, ties, legacy) -> DataFrame:
                 Trailing(f"__n{i}", one, r.time_window_seconds * US)
                 for i, (one, r) in enumerate(zip(ones, rules))
             ],
+            cut,
         )
     return _fired(counted, key, rules)
 
 
-def _count_ports(events, key, rule, ties, legacy) -> DataFrame:
+def _count_ports(events, key, rule, ties, legacy, cut) -> DataFrame:
     base = _prepared(events, key, [rule], ties, legacy)
     time = "__us"
     if legacy:
         base = base.withColumn("__ago", -F.col("__us"))
         time = "__ago"
     window = None if legacy else rule.time_window_seconds * US
-    counted = trailing_distinct(base, ["__group"], time, list(ties), "__port", window, "__n0")
+    counted = trailing_distinct(base, ["__group"], time, list(ties), "__port", window, "__n0", cut)
     return _fired(counted, key, [rule])
 
 

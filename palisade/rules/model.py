@@ -67,12 +67,19 @@ def _text(value: object) -> str | None:
     return None if value is None else str(value)
 
 
+def _float(value: float | None) -> float | None:
+    return None if value is None else float(value)
+
+
 def rules_frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     """The rule table."""
     rows = []
     for r in rules:
         conditions = [
-            (c.field, c.op, _text(c.value), [str(v) for v in c.values], c.min, c.max, c.pattern)
+            (
+                c.field, c.op, _text(c.value), [str(v) for v in c.values],
+                _float(c.min), _float(c.max), c.pattern,
+            )
             for c in r.conditions
         ]
         rows.append(
