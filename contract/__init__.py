@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "detection"]
+MODULES = ["features", "detection", "reports"]
 
 
 def all_queries():
