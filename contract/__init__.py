@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "detection", "reports"]
+MODULES = ["features", "detection", "reports", "sources"]
 
 
 def all_queries():

@@ -13,7 +13,7 @@ from contract.adapters import (
 )
 from contract.registry import query, table
 from palisade.functions.network import is_private_ip, protocol_name
-from palisade.functions.timestamps import parse_timestamp
+from palisade.functions.timestamps import parse_timestamp, squeeze
 from palisade.operators.features import (
     behaviour_columns,
     extract_features,
@@ -279,7 +279,7 @@ def timestamps_parsed(spark, sf):
         .when(F.col("k") % 7 == 5, text("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'"))
         .otherwise("not a time")
     )
-    rows = raw_events(spark, sf).select("event_id", written.alias("t"))
+    rows = raw_events(spark, sf).select("event_id", squeeze(written).alias("t"))
     return rows.select(
         "event_id", F.unix_micros(parse_timestamp(F.col("t"), F.lit(2024))).alias("us")
     )

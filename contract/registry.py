@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.session import configure
+from palisade.session import configure, scratch_path, ship_packages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,7 +21,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            configure(spark)
+            ship_packages(spark, os.path.join(ROOT, "palisade"), os.path.join(ROOT, "contract"))
+            return fn(spark, sf_dir)
 
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -32,3 +36,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read back, as data that arrives does."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

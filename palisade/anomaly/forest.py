@@ -45,7 +45,7 @@ class Forest:
 def _grow(features: Sequence[str], seed: int):
     names = list(features)
 
-    def grow(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         values = rows.sort_values("__rank")[names].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, tree])

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 SYSLOG_LAYOUT = "yyyy MMM d HH:mm:ss"
 
 
-def parse_timestamp(text: Column, year: Column) -> Column:
+def squeeze(text: Column) -> Column:
+    """Trimmed, with runs of blanks as one (syslog pads single-digit days)."""
+    return F.trim(F.regexp_replace(text, "[ ]+", " "))
+
+
+def parse_timestamp(squeezed: Column, year: Column) -> Column:
     """ISO 8601, date and time with or without fraction, syslog date (which
-    carries no year, so one is given) or epoch seconds; NULL when none fits."""
-    squeezed = F.trim(F.regexp_replace(text, "[ ]+", " "))
+    carries no year, so one is given) or epoch seconds; NULL when none fits.
+
+    Takes squeezed text, best made in an earlier projection, as it is used often."""
     iso = squeezed.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")
     syslog = squeezed.rlike("^[A-Z][a-z]{2} [0-9]")
     epoch = squeezed.rlike("^[0-9]+([.][0-9]+)?$")

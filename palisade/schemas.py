@@ -2,68 +2,139 @@
 
 from pyspark.sql import types as T
 
-EVENT_SCHEMA = T.StructType.fromDDL(
-    """
-    event_id LONG NOT NULL, timestamp TIMESTAMP, event_type STRING, source STRING,
-    src_ip STRING, dst_ip STRING, src_port INT, dst_port INT, protocol STRING,
-    bytes_sent LONG, bytes_received LONG, packets_sent LONG, packets_received LONG,
-    hostname STRING, username STRING, process_name STRING, process_id INT,
-    command_line STRING, parent_process STRING, raw_data STRING, created_at TIMESTAMP
-    """
-)
+_TEXT, _INT, _LONG = T.StringType(), T.IntegerType(), T.LongType()
+_DOUBLE, _TIME, _BOOL = T.DoubleType(), T.TimestampType(), T.BooleanType()
+_TEXTS = T.ArrayType(T.StringType())
+
+
+def _layout(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-ALERT_SCHEMA = T.StructType.fromDDL(
-    """
-    alert_id STRING, event_id LONG, title STRING, description STRING, severity STRING,
-    status STRING, detection_type STRING, confidence_score DOUBLE, signature_id LONG,
-    matched_rules STRING, anomaly_score DOUBLE, model_name STRING, fusion_score DOUBLE,
-    contributing_factors MAP<STRING,DOUBLE>, geoip_data STRING, threat_intel STRING,
-    asset_criticality STRING, attack_tactics ARRAY<STRING>, attack_techniques ARRAY<STRING>,
-    assigned_to STRING, investigated_at TIMESTAMP, resolved_at TIMESTAMP,
-    resolution_notes STRING, false_positive BOOLEAN, created_at TIMESTAMP, updated_at TIMESTAMP
-    """
+
+EVENT_SCHEMA = _layout(
+    event_id=_LONG,
+    timestamp=_TIME,
+    event_type=_TEXT,
+    source=_TEXT,
+    src_ip=_TEXT,
+    dst_ip=_TEXT,
+    src_port=_INT,
+    dst_port=_INT,
+    protocol=_TEXT,
+    bytes_sent=_LONG,
+    bytes_received=_LONG,
+    packets_sent=_LONG,
+    packets_received=_LONG,
+    hostname=_TEXT,
+    username=_TEXT,
+    process_name=_TEXT,
+    process_id=_INT,
+    command_line=_TEXT,
+    parent_process=_TEXT,
+    raw_data=_TEXT,
+    created_at=_TIME,
 )
 
-CONDITION_DDL = (
-    "ARRAY<STRUCT<field:STRING,op:STRING,value:STRING,values:ARRAY<STRING>,"
-    "min:DOUBLE,max:DOUBLE,pattern:STRING>>"
+ALERT_SCHEMA = _layout(
+    alert_id=_TEXT,
+    event_id=_LONG,
+    title=_TEXT,
+    description=_TEXT,
+    severity=_TEXT,
+    status=_TEXT,
+    detection_type=_TEXT,
+    confidence_score=_DOUBLE,
+    signature_id=_LONG,
+    matched_rules=_TEXT,
+    anomaly_score=_DOUBLE,
+    model_name=_TEXT,
+    fusion_score=_DOUBLE,
+    contributing_factors=T.MapType(T.StringType(), T.DoubleType()),
+    geoip_data=_TEXT,
+    threat_intel=_TEXT,
+    asset_criticality=_TEXT,
+    attack_tactics=_TEXTS,
+    attack_techniques=_TEXTS,
+    assigned_to=_TEXT,
+    investigated_at=_TIME,
+    resolved_at=_TIME,
+    resolution_notes=_TEXT,
+    false_positive=_BOOL,
+    created_at=_TIME,
+    updated_at=_TIME,
 )
 
-SIGNATURE_SCHEMA = T.StructType.fromDDL(
-    f"""
-    signature_id LONG, name STRING, description STRING, rule_type STRING,
-    rule_content STRING, event_type STRING, conditions {CONDITION_DDL}, threshold INT,
-    time_window_seconds INT, grouping_key STRING, ioc_values ARRAY<STRING>,
-    severity STRING, enabled BOOLEAN, confidence DOUBLE, category STRING,
-    tags ARRAY<STRING>, references ARRAY<STRING>, attack_tactics ARRAY<STRING>,
-    attack_techniques ARRAY<STRING>
-    """
+CONDITION_SCHEMA = _layout(
+    field=_TEXT,
+    op=_TEXT,
+    value=_TEXT,
+    values=_TEXTS,
+    min=_DOUBLE,
+    max=_DOUBLE,
+    pattern=_TEXT,
 )
 
-IOC_SCHEMA = T.StructType.fromDDL(
-    """
-    ioc_type STRING, value STRING, threat_type STRING, confidence DOUBLE, severity STRING,
-    source STRING, description STRING, tags ARRAY<STRING>, is_active BOOLEAN,
-    first_seen TIMESTAMP, last_seen TIMESTAMP
-    """
+SIGNATURE_SCHEMA = _layout(
+    signature_id=_LONG,
+    name=_TEXT,
+    description=_TEXT,
+    rule_type=_TEXT,
+    rule_content=_TEXT,
+    event_type=_TEXT,
+    conditions=T.ArrayType(CONDITION_SCHEMA),
+    threshold=_INT,
+    time_window_seconds=_INT,
+    grouping_key=_TEXT,
+    ioc_values=_TEXTS,
+    severity=_TEXT,
+    enabled=_BOOL,
+    confidence=_DOUBLE,
+    category=_TEXT,
+    tags=_TEXTS,
+    references=_TEXTS,
+    attack_tactics=_TEXTS,
+    attack_techniques=_TEXTS,
 )
 
-MODEL_SCHEMA = T.StructType.fromDDL(
-    """
-    name STRING, version STRING, model_type STRING, file_path STRING,
-    parameters MAP<STRING,STRING>, training_dataset STRING, training_date TIMESTAMP,
-    training_samples LONG, validation_accuracy DOUBLE, precision DOUBLE, recall DOUBLE,
-    f1_score DOUBLE, false_positive_rate DOUBLE, deployed_at TIMESTAMP
-    """
+IOC_SCHEMA = _layout(
+    ioc_type=_TEXT,
+    value=_TEXT,
+    threat_type=_TEXT,
+    confidence=_DOUBLE,
+    severity=_TEXT,
+    source=_TEXT,
+    description=_TEXT,
+    tags=_TEXTS,
+    is_active=_BOOL,
+    first_seen=_TIME,
+    last_seen=_TIME,
 )
 
-COMMENT_SCHEMA = T.StructType.fromDDL(
-    "alert_id STRING, author STRING, comment STRING, created_at TIMESTAMP"
+MODEL_SCHEMA = _layout(
+    seq=_LONG,
+    name=_TEXT,
+    version=_TEXT,
+    model_type=_TEXT,
+    file_path=_TEXT,
+    parameters=T.MapType(T.StringType(), T.StringType()),
+    training_dataset=_TEXT,
+    training_date=_TIME,
+    training_samples=_LONG,
+    validation_accuracy=_DOUBLE,
+    precision=_DOUBLE,
+    recall=_DOUBLE,
+    f1_score=_DOUBLE,
+    false_positive_rate=_DOUBLE,
+    deployed_at=_TIME,
 )
 
-INCIDENT_SCHEMA = T.StructType.fromDDL(
-    """
-    incident_id STRING, title STRING, severity STRING, status STRING,
-    n_alerts LONG, first_alert_at TIMESTAMP, last_alert_at TIMESTAMP
-    """
+COMMENT_SCHEMA = _layout(alert_id=_TEXT, author=_TEXT, comment=_TEXT, created_at=_TIME)
+
+INCIDENT_SCHEMA = _layout(
+    incident_id=_TEXT,
+    n_alerts=_LONG,
+    severity=_TEXT,
+    status=_TEXT,
+    first_alert_at=_TIME,
+    last_alert_at=_TIME,
 )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -62,3 +64,25 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_packages(spark: SparkSession, *folders: str) -> None:
+    """Send Python packages to the executors, once per session.
+
+    Functions that run in Python workers are pickled by module name, so workers
+    need the module. A cluster that already installs the package can skip this.
+    """
+    marker = "spark.palisade.shipped"
+    if spark.conf.get(marker, None):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="palisade-code-"), "palisade_code.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder in folders:
+            base = os.path.dirname(os.path.abspath(folder))
+            for where, _, files in os.walk(folder):
+                for name in files:
+                    if name.endswith(".py"):
+                        full = os.path.join(where, name)
+                        archive.write(full, os.path.relpath(full, base))
+    spark.sparkContext.addPyFile(target)
+    spark.conf.set(marker, "true")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions.text import blank_to_null, first_filled
-from palisade.functions.timestamps import parse_timestamp
+from palisade.functions.timestamps import parse_timestamp, squeeze
 from palisade.sources.common import read_lines, to_event_schema, to_process_id
 from palisade.sources.xml_events import read_xml_events
 
@@ -21,6 +21,8 @@ SYSLOG_MARK = "^<[0-9]+>"
 SYSLOG_SHAPE = (
     r"^<(\d+)>(\S+\s+\d+\s+\d+:\d+:\d+)\s+(\S+)\s+(\S+?)(?:\[(\d+)\])?:\s+(.+)$"
 )
+SYSLOG_PARTS = 6
+PART_MARK = "\u0001"
 AUDIT_PAIR = r'(\w+)=(?:"([^"]*)"|(\S+))'
 AUDIT_TIME = "audit[(]([0-9.]+)"
 
@@ -73,6 +75,14 @@ def log_format(line: Column) -> Column:
     return F.when(audit, "audit").when(line.rlike(SYSLOG_MARK), "syslog").otherwise("generic")
 
 
+def _syslog_parts(line: Column) -> Column:
+    """Priority, time, host, process, pid, message; one element if the line differs."""
+    marked = F.regexp_replace(
+        line, SYSLOG_SHAPE, PART_MARK.join(f"${i}" for i in range(1, SYSLOG_PARTS + 1))
+    )
+    return F.split(marked, PART_MARK, SYSLOG_PARTS)
+
+
 def _last(pairs: Column, key: str) -> Column:
     """Value of the last pair with this key."""
     return F.try_element_at(F.filter(pairs, lambda p: p["k"] == key), F.lit(-1))["v"]
@@ -103,23 +113,24 @@ def _audit_fields(pairs: Column) -> Column:
 
 def parse_text_lines(lines: DataFrame, year: Column, now: Column) -> DataFrame:
     """Audit, syslog and other lines in one pass; blank lines, comments and
-    malformed syslog lines are skipped."""
+    malformed syslog lines are skipped.
+
+    Each line meets its pattern once: audit lines become an array of pairs, syslog
+    lines an array of their parts.
+    """
     routed = (
         lines.withColumn("line", F.trim("line"))
         .where((F.col("line") != "") & ~F.col("line").startswith("#"))
         .withColumn("fmt", log_format(F.col("line")))
-        .where((F.col("fmt") != "syslog") | F.col("line").rlike(SYSLOG_SHAPE))
         .withColumn("pairs", F.when(F.col("fmt") == "audit", _audit_pairs(F.col("line"))))
+        .withColumn("parts", F.when(F.col("fmt") == "syslog", _syslog_parts(F.col("line"))))
+        .where((F.col("fmt") != "syslog") | (F.size("parts") == SYSLOG_PARTS))
     )
     audit, syslog = F.col("fmt") == "audit", F.col("fmt") == "syslog"
     pairs, line = F.col("pairs"), F.col("line")
 
     def part(i: int) -> Column:
-        return blank_to_null(F.regexp_extract(line, SYSLOG_SHAPE, i))
-
-    def either(audit_key: str, syslog_part: int | None) -> Column:
-        value = F.when(audit, blank_to_null(_last(pairs, audit_key)))
-        return value if syslog_part is None else value.when(syslog, part(syslog_part))
+        return blank_to_null(F.get("parts", F.lit(i - 1)))
 
     audit_raw = F.to_json(
         F.struct(
@@ -144,24 +155,22 @@ def parse_text_lines(lines: DataFrame, year: Column, now: Column) -> DataFrame:
         )
     )
     generic_raw = F.to_json(F.struct(line.alias("message"), line.alias("raw_line")))
-    # "audit(" is kept when the number is missing, so it counts as unreadable.
-    stamp = F.regexp_extract(_last(pairs, "msg"), AUDIT_TIME, 1)
-    when_text = (
-        F.when(audit, F.coalesce(blank_to_null(stamp), blank_to_null(_last(pairs, "msg"))))
-        .when(syslog, part(2))
-    )
+    message = _last(pairs, "msg")
+    # A message without a number is kept whole, so that it counts as unreadable.
+    stamp = F.coalesce(blank_to_null(F.regexp_extract(message, AUDIT_TIME, 1)), message)
+    # Pairs are NULL unless the line is an audit line, parts unless it is syslog.
     return _events(
         routed.select(
             "event_id",
             "source",
-            when_text.alias("when_text"),
-            either("hostname", 3).alias("hostname"),
-            either("uid", None).alias("username"),
-            either("comm", 4).alias("process_name"),
-            to_process_id(either("pid", 5)).alias("process_id"),
-            either("a0", None).alias("command_line"),
+            F.when(audit, stamp).when(syslog, part(2)).alias("when_text"),
+            F.coalesce(_last(pairs, "hostname"), part(3)).alias("hostname"),
+            _last(pairs, "uid").alias("username"),
+            F.coalesce(_last(pairs, "comm"), part(4)).alias("process_name"),
+            F.coalesce(_last(pairs, "pid"), part(5)).alias("pid_text"),
+            _last(pairs, "a0").alias("command_line"),
             F.when(audit, audit_raw).when(syslog, syslog_raw).otherwise(generic_raw).alias("raw_data"),
-        ),
+        ).withColumn("process_id", to_process_id(F.col("pid_text"))),
         year,
         now,
     )
@@ -171,7 +180,8 @@ def _events(rows: DataFrame, year: Column, now: Column) -> DataFrame:
     """Common tail: read the timestamp, mark unreadable ones, fix the layout."""
     seen = parse_timestamp(F.col("when_text"), year)
     return to_event_schema(
-        rows.withColumn("timestamp", F.when(F.col("when_text").isNull(), now).otherwise(seen))
+        rows.withColumn("when_text", squeeze(F.col("when_text")))
+        .withColumn("timestamp", F.when(F.col("when_text").isNull(), now).otherwise(seen))
         .withColumn("event_type", F.lit("host"))
         .withColumn("parse_error", F.col("timestamp").isNull()),
         "parse_error",

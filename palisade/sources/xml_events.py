@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions.text import blank_to_null
-from palisade.functions.timestamps import parse_timestamp
+from palisade.functions.timestamps import parse_timestamp, squeeze
 from palisade.sources.common import to_event_schema, to_process_id
 
 XML_DDL = (
@@ -59,11 +59,12 @@ def xml_events(rows: DataFrame, year: Column, now: Column) -> DataFrame:
     raw = F.to_json(
         F.struct(F.col("System.EventID").alias("event_id"), fields.alias("event_data"))
     )
-    stamp = blank_to_null(F.col("System.TimeCreated._SystemTime"))
+    stamp = F.col("stamp")
     seen = F.when(stamp.isNull(), now).otherwise(parse_timestamp(stamp, year))
     return to_event_schema(
         rows.where("System IS NOT NULL")
         .withColumn("named", named)
+        .withColumn("stamp", blank_to_null(squeeze(F.col("System.TimeCreated._SystemTime"))))
         .select(
             "event_id",
             "source",
