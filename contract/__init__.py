@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "detection", "reports", "sources"]
+MODULES = ["features", "detection", "reports", "sources", "anomaly", "streams"]
 
 
 def all_queries():
