@@ -46,7 +46,7 @@ NET = {
     " WHEN k % 11 = 2 THEN concat('fe80::', CAST(k AS STRING))"
     " WHEN k % 13 = 3 THEN NULL WHEN k % 17 = 4 THEN '127.0.0.1'"
     " ELSE concat('203.0.113.', CAST(k AS STRING)) END",
-    "src_port": "CAST(40000 + user_id * 100 AS INT)",
+    "src_port": "CAST(40000 + user_id * 100 % 25000 AS INT)",
     "dst_port": f"CAST({PORT} AS INT)",
     "protocol": "CASE k % 12 WHEN 8 THEN 'ICMP' WHEN 2 THEN 'udp' WHEN 10 THEN 'GRE' ELSE 'TCP' END",
     "bytes_sent": "CAST(floor(value * 100000) AS BIGINT)",

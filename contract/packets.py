@@ -35,7 +35,7 @@ def packet(row) -> bytes:
     number, head = _transport(row)
     body = head + b"x" * row.k
     if ":" in row.dst_ip:
-        source = ipaddress.ip_address(f"fd00::{row.user_id + 1}").packed
+        source = ipaddress.ip_address(f"fd00::{row.user_id % 9999 + 1}").packed
         target = ipaddress.ip_address(row.dst_ip).packed
         ip = struct.pack(">IHBB", 6 << 28, len(body), number, 64) + source + target
         return mac + b"\x86\xdd" + ip + body

@@ -355,7 +355,7 @@ FLAGS_SQL = """CASE WHEN protocol = 'TCP' THEN
     "capture_decode",
     f"""WITH n AS (SELECT {", ".join(f"{e} AS {a}" for a, e in NET.items())}, k, user_id
       FROM (SELECT event_id, ts, user_id, event_type AS raw_type, value, {K} AS k FROM events))
-    SELECT epoch_us(ts) AS ts_us, CASE WHEN contains(dst_ip, ':') THEN 'fd00::' || (user_id + 1) ELSE src_ip END AS src_ip,
+    SELECT epoch_us(ts) AS ts_us, CASE WHEN contains(dst_ip, ':') THEN 'fd00::' || (user_id % 9999 + 1) ELSE src_ip END AS src_ip,
       dst_ip, CASE WHEN protocol IN ('TCP', 'udp') THEN src_port END AS src_port,
       CASE WHEN protocol IN ('TCP', 'udp') THEN dst_port END AS dst_port,
       CASE WHEN contains(dst_ip, ':') AND protocol = 'ICMP' THEN 'ICMP' ELSE upper(protocol) END AS protocol,

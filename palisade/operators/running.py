@@ -278,38 +278,63 @@ def trailing_distinct(
     """
     # Every group below is finer than ``keys`` or at most three times its size.
     cut = cut or measure_groups(df, keys)
-    seen = df.where(F.col(value).isNotNull()).select(*keys, value, time_us).distinct()
-    with_prev = running(
-        seen, [*keys, value], [time_us], [Measure("__prev", "max", F.col(time_us), False)], cut
-    )
-    opened = F.col("__prev").isNull()
-    if window_us is not None:
-        opened = opened | (F.col(time_us) - F.col("__prev") >= window_us)
-    marks = with_prev.where(opened)
-    deltas = marks.select(*keys, F.col(time_us).alias("__at"), F.lit(1).alias("__d"))
-    if window_us is not None:
-        closed = marks.where(F.col("__prev").isNotNull()).select(
-            *keys, (F.col("__prev") + window_us).alias("__at"), F.lit(-1).alias("__d")
-        )
-        last = (
-            seen.groupBy(*keys, value)
-            .agg((F.max(time_us) + window_us).alias("__at"))
-            .select(*keys, "__at", F.lit(-1).alias("__d"))
-        )
-        deltas = deltas.unionByName(closed).unionByName(last)
-    deltas = deltas.groupBy(*keys, "__at").agg(F.sum("__d").alias("__d")).where("__d <> 0")
+    tie_cols = [f"__tie{i}" for i in range(len(ties))]
     rows = df.select(
         *keys,
         F.col(time_us).alias("__at"),
         F.lit(1).alias("__kind"),
-        *[F.col(t).alias(f"__tie{i}") for i, t in enumerate(ties)],
+        *[F.col(t).alias(c) for t, c in zip(ties, tie_cols)],
         F.lit(0).cast("long").alias("__d"),
         F.struct(*[F.col(c) for c in df.columns]).alias("__row"),
     )
-    marks = deltas.withColumn("__kind", F.lit(0))
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    tie_cols = [f"__tie{i}" for i in range(len(ties))]
+    # Marks sort before the rows of their moment, so rows see all of them.
+    marks = _presence_marks(df, keys, value, time_us, window_us, cut).withColumn(
+        "__kind", F.lit(0)
+    )
     counted = running(
-        both, keys, ["__at", "__kind", *tie_cols], [Measure(name, "sum", F.col("__d"))], cut
+        rows.unionByName(marks, allowMissingColumns=True),
+        keys,
+        ["__at", "__kind", *tie_cols],
+        [Measure(name, "sum", F.col("__d"))],
+        cut,
     )
     return counted.where("__kind = 1").select("__row.*", name)
+
+
+def _presence_marks(df, keys, value, time_us, window_us, cut) -> DataFrame:
+    """(keys, __at, __d): +1 where a value appears, -1 where it has been gone for W."""
+    seen = df.where(F.col(value).isNotNull()).select(*keys, value, time_us)
+    appears = F.lit(1).cast("long").alias("__d")
+    vanishes = F.lit(-1).cast("long").alias("__d")
+    time = F.col(time_us)
+    if window_us is None:
+        first = seen.groupBy(*keys, value).agg(F.min(time).alias("__at"))
+        return first.select(*keys, "__at", appears)
+    if cut.hot:
+        # Equal sightings are combined before any shuffle.
+        distinct = seen.distinct()
+        opened = running(
+            distinct, [*keys, value], [time_us], [Measure("__prev", "max", time, False)], cut
+        ).where(F.col("__prev").isNull() | (time - F.col("__prev") >= window_us))
+        ended = F.when(F.col("__prev").isNotNull(), _mark(F.col("__prev") + window_us, -1))
+        inner = opened.select(
+            *keys, F.explode(F.array_compact(F.array(_mark(time, 1), ended))).alias("__m")
+        )
+        last = distinct.groupBy(*keys, value).agg((F.max(time) + window_us).alias("__at"))
+        return inner.select(*keys, "__m.*").unionByName(last.select(*keys, "__at", vanishes))
+    order = Window.partitionBy(*keys, value).orderBy(time_us)
+    gaps = seen.select(
+        *keys, time_us, F.lag(time).over(order).alias("__prev"), F.lead(time).over(order).alias("__next")
+    )
+    starts = F.col("__prev").isNull() | (time - F.col("__prev") >= window_us)
+    ends = F.col("__next").isNull() | (F.col("__next") - time >= window_us)
+    both = F.array(F.when(starts, _mark(time, 1)), F.when(ends, _mark(time + window_us, -1)))
+    return (
+        gaps.where(starts | ends)
+        .select(*keys, F.explode(F.array_compact(both)).alias("__m"))
+        .select(*keys, "__m.*")
+    )
+
+
+def _mark(at: Column, step: int) -> Column:
+    return F.struct(at.alias("__at"), F.lit(step).cast("long").alias("__d"))

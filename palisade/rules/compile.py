@@ -71,20 +71,17 @@ def condition_column(df: DataFrame, c: Condition) -> Column:
     raise ValueError(f"unknown condition type {c.op!r}")
 
 
-def applies(rule: Rule) -> Column:
-    """The rule's event type, or any."""
-    if rule.event_type is None:
-        return F.lit(True)
-    return F.col("event_type") == rule.event_type
-
-
 def rule_column(df: DataFrame, rule: Rule, with_conditions: bool = True) -> Column:
-    """Conjunction of event type and all conditions, cheap tests first, never NULL."""
-    tests = [applies(rule)]
+    """Conjunction of event type and all conditions, cheap tests first.
+
+    It may be NULL, which a filter and ``when`` treat as false; a plain conjunction
+    is what the reader of a Parquet table can push down.
+    """
+    tests = [] if rule.event_type is None else [F.col("event_type") == rule.event_type]
     if with_conditions:
         ordered = sorted(rule.conditions, key=lambda c: _COST[c.op])
         tests += [condition_column(df, c) for c in ordered]
-    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+    return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
 
 
 def _shown(values) -> str:

@@ -5,6 +5,7 @@ Every matcher returns (event_id, timestamp, signature_id, confidence, details).
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections import defaultdict
 from collections.abc import Sequence
@@ -54,87 +55,90 @@ def enabled_of(rules: Sequence[Rule], rule_type: str) -> list[Rule]:
     return [r for r in rules if r.enabled and r.rule_type == rule_type]
 
 
-def pattern_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """All pattern rules in one pass; a rule without conditions matches nothing."""
-    rules = [r for r in enabled_of(rules, "pattern") if r.conditions]
-    if not rules:
-        return _empty(events)
-    flags = [
-        (
-            rule_column(events, r),
-            F.struct(
-                F.lit(r.signature_id).cast("long").alias("signature_id"),
-                F.lit(float(r.confidence)).alias("confidence"),
-                F.lit(details_json(r)).alias("details"),
-            ),
-        )
-        for r in rules
-    ]
-    return events.select("event_id", "timestamp", F.explode(_hits(flags)).alias("hit")).select(
+def _any(tests: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def _matched(df: DataFrame, flags: list[tuple[Column, Column]]) -> DataFrame:
+    """(event_id, timestamp, hit) for every flag that holds.
+
+    Rows without any hit leave in a compiled filter; only the few others are
+    expanded.
+    """
+    if not flags:
+        return _empty(df)
+    names = [f"__hit{i}" for i in range(len(flags))]
+    marked = df.select("*", *[test.alias(n) for n, (test, _) in zip(names, flags)]).where(
+        _any([F.col(n) for n in names])
+    )
+    hits = _hits([(F.col(n), value) for n, (_, value) in zip(names, flags)])
+    return marked.select("event_id", "timestamp", F.explode(hits).alias("hit")).select(
         "event_id", "timestamp", "hit.*"
     )
 
 
-def ioc_rule_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Rules that carry their own indicator values.
+def _match(rule: Rule, confidence: Column, details: Column) -> Column:
+    return F.struct(
+        F.lit(rule.signature_id).cast("long").alias("signature_id"),
+        confidence.alias("confidence"),
+        details.alias("details"),
+    )
 
-    Network events compare source and destination address, host events the
-    process name and, as substring, the command line (the last value found in
-    list order is reported).
-    """
-    rules = [r for r in enabled_of(rules, "ioc") if r.ioc_values]
-    if not rules:
-        return _empty(events)
+
+def _pattern_flags(events: DataFrame, rules: Sequence[Rule]) -> list[tuple[Column, Column]]:
+    return [
+        (rule_column(events, r), _match(r, F.lit(float(r.confidence)), F.lit(details_json(r))))
+        for r in enabled_of(rules, "pattern")
+        if r.conditions
+    ]
+
+
+def pattern_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """All pattern rules in one pass; a rule without conditions matches nothing."""
+    return _matched(events, _pattern_flags(events, rules))
+
+
+def _ioc_flags(rules: Sequence[Rule]) -> list[tuple[Column, Column]]:
     network, host = F.col("event_type") == "network", F.col("event_type") == "host"
+    command = F.col("command_line")
     flags = []
-    for r in rules:
+    for r in enabled_of(rules, "ioc"):
         values = list(r.ioc_values)
+        if not values:
+            continue
+        source = network & F.col("src_ip").isin(values)
+        target = network & F.col("dst_ip").isin(values)
+        process = host & (F.col("process_name") != "") & F.col("process_name").isin(values)
+        # One regex decides whether any value occurs; only then the last one is sought.
+        inside = host & (command != "") & command.rlike("|".join(re.escape(v) for v in values))
         known = F.array(*[F.lit(v) for v in values])
-        inside = F.element_at(
-            F.filter(known, lambda v: F.col("command_line").contains(v)), F.lit(-1)
-        )
-        inside = F.when(
-            F.col("command_line").rlike(_any_of(values)), inside
-        )
-        found = F.to_json(
-            F.struct(
-                F.when(network & F.col("src_ip").isin(values), F.col("src_ip")).alias("src_ip"),
-                F.when(network & F.col("dst_ip").isin(values), F.col("dst_ip")).alias("dst_ip"),
-                F.when(
-                    host & (F.col("process_name") != "") & F.col("process_name").isin(values),
-                    F.col("process_name"),
-                ).alias("process_name"),
-                F.when(host & (F.col("command_line") != ""), inside).alias("command_line"),
-            )
-        )
-        own_type = F.lit(True) if r.event_type is None else F.col("event_type") == r.event_type
-        flags.append(
-            (
-                own_type & (found != "{}"),
-                F.struct(
-                    F.lit(r.signature_id).cast("long").alias("signature_id"),
-                    F.lit(float(r.confidence)).alias("confidence"),
-                    found.alias("details"),
-                ),
-            )
+        last = F.try_element_at(F.filter(known, lambda v: command.contains(v)), F.lit(-1))
+        test = source | target | process | inside
+        if r.event_type is not None:
+            test = (F.col("event_type") == r.event_type) & test
+        found = F.struct(
+            F.when(source, F.col("src_ip")).alias("src_ip"),
+            F.when(target, F.col("dst_ip")).alias("dst_ip"),
+            F.when(process, F.col("process_name")).alias("process_name"),
+            F.when(inside, last).alias("command_line"),
         )
-    return events.select("event_id", "timestamp", F.explode(_hits(flags)).alias("hit")).select(
-        "event_id", "timestamp", "hit.*"
-    )
+        flags.append((test, _match(r, F.lit(float(r.confidence)), F.to_json(found))))
+    return flags
 
 
-def _any_of(values: list[str]) -> str:
-    """One regex that decides quickly whether any value occurs at all."""
-    import re
+def ioc_rule_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Rules that carry their own indicator values.
 
-    return "|".join(re.escape(v) for v in values)
+    Network events compare source and destination address, host events the
+    process name and, as substring, the command line (the last value found in
+    list order is reported).
+    """
+    return _matched(events, _ioc_flags(rules))
 
 
-def _group_column(events: DataFrame, key: str) -> Column:
-    """Grouping value as text; empty values group nothing."""
-    col, _ = field(events, key)
-    text = col.cast("string")
-    return F.when(~text.isin("", "0"), text)
+def stateless_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Pattern and indicator rules together, in one scan."""
+    return _matched(events, _pattern_flags(events, rules) + _ioc_flags(rules))
 
 
 def threshold_matches(
@@ -167,22 +171,28 @@ def threshold_matches(
 
 
 def _prepared(events, key, rules, ties, legacy) -> DataFrame:
-    """Only the rows some rule counts, and only the columns counting needs."""
-    flags = [rule_column(events, r, with_conditions=not legacy) for r in rules]
+    """Only the rows some rule counts, and only the columns counting needs.
+
+    Empty grouping values group nothing. The filter comes first and in plain terms,
+    so that it reaches the table reader.
+    """
+    group, _ = field(events, key)
+    group = group.cast("string")
+    tests = [rule_column(events, r, with_conditions=not legacy) for r in rules]
     extra = [F.col(t) for t in ties if t not in ("event_id", "timestamp")]
     if any(r.counts_ports for r in rules):
         extra.append(F.expr("nullif(dst_port, 0)").alias("__port"))
     return (
-        events.select(
+        events.where(group.isNotNull() & ~group.isin("", "0"))
+        .where(_any(tests))
+        .select(
             "event_id",
             "timestamp",
             *extra,
             micros(F.col("timestamp")).alias("__us"),
-            _group_column(events, key).alias("__group"),
-            *[f.alias(f"__f{i}") for i, f in enumerate(flags)],
+            group.alias("__group"),
+            *[F.coalesce(t, F.lit(False)).alias(f"__f{i}") for i, t in enumerate(tests)],
         )
-        .where(F.col("__group").isNotNull())
-        .where(reduce(lambda a, b: a | b, [F.col(f"__f{i}") for i in range(len(rules))]))
     )
 
 
@@ -243,19 +253,8 @@ def _fired(counted: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
                 F.concat(F.lit(f"{key}="), F.col("__group")).alias("grouping"),
             )
         )
-        flags.append(
-            (
-                F.col(f"__f{i}") & (n >= r.threshold),
-                F.struct(
-                    F.lit(r.signature_id).cast("long").alias("signature_id"),
-                    confidence.alias("confidence"),
-                    details.alias("details"),
-                ),
-            )
-        )
-    return counted.select("event_id", "timestamp", F.explode(_hits(flags)).alias("hit")).select(
-        "event_id", "timestamp", "hit.*"
-    )
+        flags.append((F.col(f"__f{i}") & (n >= r.threshold), _match(r, confidence, details)))
+    return _matched(counted, flags)
 
 
 def correlation_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -273,9 +272,7 @@ def match_events(
     for r in rules:
         if r.rule_type not in RULE_TYPES:
             warnings.warn(f"rule {r.name!r} has unknown type {r.rule_type!r}", stacklevel=2)
-    parts = [pattern_matches(events, rules)]
-    if enabled_of(rules, "ioc"):
-        parts.append(ioc_rule_matches(events, rules))
+    parts = [stateless_matches(events, rules)]
     if enabled_of(rules, "threshold"):
         parts.append(threshold_matches(events, rules, ties, legacy))
     return reduce(DataFrame.unionByName, parts)

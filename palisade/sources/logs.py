@@ -83,11 +83,6 @@ def _syslog_parts(line: Column) -> Column:
     return F.split(marked, PART_MARK, SYSLOG_PARTS)
 
 
-def _last(pairs: Column, key: str) -> Column:
-    """Value of the last pair with this key."""
-    return F.try_element_at(F.filter(pairs, lambda p: p["k"] == key), F.lit(-1))["v"]
-
-
 def _audit_pairs(line: Column) -> Column:
     shape = F.lit(AUDIT_PAIR)
     quoted = F.regexp_extract_all(line, shape, F.lit(2))
@@ -103,12 +98,15 @@ def _audit_pairs(line: Column) -> Column:
 
 
 def _audit_fields(pairs: Column) -> Column:
-    """The pairs as a map, last value per key."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    values = F.transform(
-        keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
+    """The pairs as a map, last value per key; keys rarely repeat."""
+    keys = F.transform(pairs, lambda p: p["k"])
+    distinct = F.array_distinct(keys)
+    last = F.transform(
+        distinct, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
+    )
+    return F.when(F.size(distinct) == F.size(keys), F.map_from_entries(pairs)).otherwise(
+        F.map_from_arrays(distinct, last)
     )
-    return F.map_from_arrays(keys, values)
 
 
 def parse_text_lines(lines: DataFrame, year: Column, now: Column) -> DataFrame:
@@ -123,11 +121,15 @@ def parse_text_lines(lines: DataFrame, year: Column, now: Column) -> DataFrame:
         .where((F.col("line") != "") & ~F.col("line").startswith("#"))
         .withColumn("fmt", log_format(F.col("line")))
         .withColumn("pairs", F.when(F.col("fmt") == "audit", _audit_pairs(F.col("line"))))
+        .withColumn("fields", _audit_fields(F.col("pairs")))
         .withColumn("parts", F.when(F.col("fmt") == "syslog", _syslog_parts(F.col("line"))))
         .where((F.col("fmt") != "syslog") | (F.size("parts") == SYSLOG_PARTS))
     )
     audit, syslog = F.col("fmt") == "audit", F.col("fmt") == "syslog"
-    pairs, line = F.col("pairs"), F.col("line")
+    fields, line = F.col("fields"), F.col("line")
+
+    def value(key: str) -> Column:
+        return F.try_element_at(fields, F.lit(key))
 
     def part(i: int) -> Column:
         return blank_to_null(F.get("parts", F.lit(i - 1)))
@@ -135,7 +137,7 @@ def parse_text_lines(lines: DataFrame, year: Column, now: Column) -> DataFrame:
     audit_raw = F.to_json(
         F.struct(
             *[
-                _last(pairs, key).alias(name)
+                value(key).alias(name)
                 for name, key in [
                     ("audit_type", "type"),
                     ("syscall", "syscall"),
@@ -143,7 +145,7 @@ def parse_text_lines(lines: DataFrame, year: Column, now: Column) -> DataFrame:
                     ("exit", "exit"),
                 ]
             ],
-            _audit_fields(pairs).alias("all_fields"),
+            fields.alias("all_fields"),
             line.alias("raw_line"),
         )
     )
@@ -155,20 +157,20 @@ def parse_text_lines(lines: DataFrame, year: Column, now: Column) -> DataFrame:
         )
     )
     generic_raw = F.to_json(F.struct(line.alias("message"), line.alias("raw_line")))
-    message = _last(pairs, "msg")
+    message = value("msg")
     # A message without a number is kept whole, so that it counts as unreadable.
     stamp = F.coalesce(blank_to_null(F.regexp_extract(message, AUDIT_TIME, 1)), message)
-    # Pairs are NULL unless the line is an audit line, parts unless it is syslog.
+    # Fields are NULL unless the line is an audit line, parts unless it is syslog.
     return _events(
         routed.select(
             "event_id",
             "source",
             F.when(audit, stamp).when(syslog, part(2)).alias("when_text"),
-            F.coalesce(_last(pairs, "hostname"), part(3)).alias("hostname"),
-            _last(pairs, "uid").alias("username"),
-            F.coalesce(_last(pairs, "comm"), part(4)).alias("process_name"),
-            F.coalesce(_last(pairs, "pid"), part(5)).alias("pid_text"),
-            _last(pairs, "a0").alias("command_line"),
+            F.coalesce(value("hostname"), part(3)).alias("hostname"),
+            value("uid").alias("username"),
+            F.coalesce(value("comm"), part(4)).alias("process_name"),
+            F.coalesce(value("pid"), part(5)).alias("pid_text"),
+            value("a0").alias("command_line"),
             F.when(audit, audit_raw).when(syslog, syslog_raw).otherwise(generic_raw).alias("raw_data"),
         ).withColumn("process_id", to_process_id(F.col("pid_text"))),
         year,
