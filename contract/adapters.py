@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from contract.registry import table
 from palisade.rules.catalog import DEFAULT_RULES
 from palisade.rules.model import Condition, Rule
+from palisade.schemas import EVENT_SCHEMA
+from palisade.session import scratch_path
 from palisade.sources.common import to_event_schema
 
 DAY = 86_400
@@ -107,28 +109,49 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def net_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Network events in the event layout."""
-    rows = raw_events(spark, sf_dir).selectExpr(*_columns(NET))
-    return to_event_schema(
-        rows.withColumn("timestamp", F.col("ts").cast("timestamp"))
-        .withColumn("source", F.lit("netflow"))
-        .withColumn("raw_data", F.to_json(F.struct("tcp_flags")))
-    )
+def _as_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the events table as a network and as a host event."""
+    rows = raw_events(spark, sf_dir)
+    net = rows.selectExpr(*_columns(NET)).withColumn("source", F.lit("netflow"))
+    host = rows.selectExpr(*_columns(HOST)).withColumn("source", F.lit("syslog"))
+    parts = [
+        to_event_schema(
+            part.withColumn("timestamp", F.col("ts").cast("timestamp")).withColumn(
+                "raw_data", F.to_json(F.struct(text))
+            )
+        )
+        for part, text in ((net, "tcp_flags"), (host, "message"))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
-def host_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host events in the event layout."""
-    rows = raw_events(spark, sf_dir).selectExpr(*_columns(HOST))
-    return to_event_schema(
-        rows.withColumn("timestamp", F.col("ts").cast("timestamp"))
-        .withColumn("source", F.lit("syslog"))
-        .withColumn("raw_data", F.to_json(F.struct("message")))
-    )
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return net_events(spark, sf_dir).unionByName(host_events(spark, sf_dir))
+    """The stored event table, by type. It is ingested once per session, as
+    detection and reports always run on stored events."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch_path(spark, "events")
+        (
+            _as_events(spark, sf_dir)
+            .repartition(spark.sparkContext.defaultParallelism, "event_id")
+            .write.partitionBy("event_type")
+            .parquet(path)
+        )
+        _STORED[key] = path
+    return spark.read.schema(EVENT_SCHEMA).parquet(_STORED[key]).select(*EVENT_SCHEMA.names)
+
+
+def net_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The network events."""
+    return all_events(spark, sf_dir).where("event_type = 'network'")
+
+
+def host_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host events."""
+    return all_events(spark, sf_dir).where("event_type = 'host'")
 
 
 # The shipped thresholds count seconds and never fire on events that lie hours

@@ -4,14 +4,12 @@ result is compared with the batch definition."""
 from pyspark.sql import functions as F
 
 from contract.adapters import (
-    HOST,
     HOST_SQL,
-    NET,
     NET_SQL,
     TEST_RULES,
+    all_events,
     created_at,
     net_events,
-    raw_events,
 )
 from contract.anomaly import FLOW_FEATURES
 from contract.detection import PATTERN_SQL, THRESHOLD_SQL
@@ -21,7 +19,6 @@ from palisade.anomaly.forest import score_forest, train_forest
 from palisade.operators.features import network_columns
 from palisade.schemas import EVENT_SCHEMA
 from palisade.session import scratch_path
-from palisade.sources.common import to_event_schema
 from palisade.streaming.detect_stream import (
     read_event_files,
     start_detection,
@@ -52,16 +49,6 @@ def process(spark, events, start):
         start(stream).awaitTermination()
 
 
-def both_kinds(spark, sf):
-    rows = raw_events(spark, sf)
-    time = F.col("ts").cast("timestamp")
-    net = rows.selectExpr(*[f"{e} AS {a}" for a, e in NET.items()])
-    host = rows.selectExpr(*[f"{e} AS {a}" for a, e in HOST.items()])
-    return to_event_schema(net.withColumn("timestamp", time)).unionByName(
-        to_event_schema(host.withColumn("timestamp", time))
-    )
-
-
 @query(
     "stream_alerts",
     f"""WITH {NET_SQL}, {HOST_SQL}, {PATTERN_SQL}, {THRESHOLD_SQL}
@@ -73,7 +60,7 @@ def stream_alerts(spark, sf):
     base = scratch_path(spark, "stream-alerts")
     process(
         spark,
-        both_kinds(spark, sf),
+        all_events(spark, sf),
         lambda stream: start_detection(
             stream, TEST_RULES, f"{base}/alerts", f"{base}/state", f"{base}/checkpoint",
             created_at(), once=True,
