@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.session import configure, scratch_path, ship_packages
+from palisade.session import configure, ship_packages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,10 +36,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def landed(df: DataFrame, name: str) -> DataFrame:
-    """Rows written to the shared folder and read back, as data that arrives does."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)

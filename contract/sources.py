@@ -16,18 +16,18 @@ from contract.adapters import (
 )
 from contract.detection import NAMES, PATTERN_SQL, _names_sql
 from contract.packets import capture_files
-from contract.registry import landed, query, table
+from contract.registry import query, table
 from palisade.anomaly.prep import sample_rows
 from palisade.functions.indicators import indicator_type
 from palisade.operators.changelog import current_iocs, feed_counts
 from palisade.plans.detect import detect
-from palisade.session import scratch_path
+from palisade.session import scratch_path, written
 from palisade.sources import datasets, feeds, logs, sinks
 from palisade.sources.captures import packet_events, packets
 from palisade.sources.flows import flow_events
 
 NOW_US = 1706745600000000  # 2024-02-01
-YEAR = F.lit(2024)
+YEAR = 2024
 
 
 def host_rows(spark, sf):
@@ -112,7 +112,7 @@ def syslog_lines(rows):
 )
 def syslog_parse(spark, sf):
     """Events written as syslog lines and read back; malformed lines drop out."""
-    out = logs.parse_text_lines(landed(syslog_lines(host_rows(spark, sf)), "syslog"), YEAR, created_at())
+    out = logs.parse_text_lines(written(syslog_lines(host_rows(spark, sf)), "syslog"), F.lit(YEAR), created_at())
     return out.select(
         "event_id", micros_or_null(), "hostname", "process_name", "process_id",
         F.get_json_object("raw_data", "$.message").alias("message"),
@@ -149,7 +149,7 @@ def audit_lines(rows):
 )
 def audit_parse(spark, sf):
     """Events written as audit records and read back; the last duplicate key wins."""
-    out = logs.parse_text_lines(landed(audit_lines(host_rows(spark, sf)), "audit"), YEAR, created_at())
+    out = logs.parse_text_lines(written(audit_lines(host_rows(spark, sf)), "audit"), F.lit(YEAR), created_at())
     return out.select(
         "event_id", micros_or_null(), "username", "process_name", "process_id", "command_line",
         F.get_json_object("raw_data", "$.audit_type").alias("audit_type"),
@@ -203,7 +203,7 @@ JSON_WHERE = "k % 17 <> 0 AND k % 19 <> 0"
 )
 def json_log_parse(spark, sf):
     """Events written as JSON lines with alternating field names and read back."""
-    out = logs.parse_json_lines(landed(json_lines(host_rows(spark, sf)), "json"), YEAR, created_at())
+    out = logs.parse_json_lines(written(json_lines(host_rows(spark, sf)), "json"), F.lit(YEAR), created_at())
     return out.select(
         "event_id", micros_or_null(), "hostname", "username", "process_name", "process_id",
         "command_line", F.get_json_object("raw_data", "$.message").alias("message"),
@@ -254,7 +254,7 @@ def generic_log_lines(spark, sf):
         F.col("doc_id").alias("event_id"), F.col("source"), F.explode(F.split("text", "\n")).alias("line")
     )
     plain = lines.where(logs.log_format(F.trim("line")) == "generic")
-    out = logs.parse_text_lines(plain, YEAR, created_at())
+    out = logs.parse_text_lines(plain, F.lit(YEAR), created_at())
     message = F.get_json_object("raw_data", "$.message")
     return out.groupBy("event_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
@@ -313,7 +313,7 @@ def windows_xml_parse(spark, sf):
     """Events written as XML files and read back; half the process ids are hex."""
     path = scratch_path(spark, "xml")
     write_xml(host_rows(spark, sf), path)
-    out = logs.read_xml_events(spark, path, YEAR, created_at(), "*.xml")
+    out = logs.read_xml_events(spark, path, F.lit(YEAR), created_at(), "*.xml")
     return out.select(
         F.get_json_object("raw_data", "$.event_id").cast("long").alias("event_id"),
         micros_or_null(), "hostname", "username", "process_name", "process_id", "command_line",
@@ -338,7 +338,7 @@ def log_directory_scan(spark, sf):
         "extension", "json"
     ).option("quote", "").option("escapeQuotes", "false").option("sep", "\u0001").csv(path)
     write_xml(rows, path)
-    out = logs.read_log_directory(spark, path, YEAR, created_at(), text_glob="*.txt")
+    out = logs.read_log_directory(spark, path, F.lit(YEAR), created_at(), text_glob="*.txt")
     kind = (
         F.when(F.col("source").endswith(".txt"), "text")
         .when(F.col("source").endswith(".xml"), "xml")
@@ -369,7 +369,7 @@ def capture_decode(spark, sf):
         *[f"{e} AS {a}" for a, e in NET.items()], "k", "user_id"
     )
     rows = rows.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
-    out = packet_events(packets(landed(capture_files(rows), "captures")))
+    out = packet_events(packets(written(capture_files(rows), "captures")))
     return out.select(
         micros_or_null(), "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes_sent",
         F.get_json_object("raw_data", "$.tcp_flags").alias("tcp_flags"),

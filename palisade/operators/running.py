@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.session import shared_folder
+from palisade.session import written
 
 GROUP_LIMIT_CONF = "spark.palisade.maxGroupRows"
 DEFAULT_GROUP_LIMIT = 2_000_000
@@ -105,14 +105,13 @@ def running(
 
 
 def _running_cut(df, keys, order, measures, pieces) -> DataFrame:
-    shared_folder(df.sparkSession)
     # The range bounds come from a sample, so the cut is written down once and
     # both readers below see the same pieces.
-    cut = (
+    cut = written(
         df.select("*", *[m.value.alias(f"__v{i}") for i, m in enumerate(measures)])
         .repartitionByRange(pieces, *keys, *order)
-        .withColumn(_CHUNK, F.spark_partition_id())
-        .checkpoint(eager=True)
+        .withColumn(_CHUNK, F.spark_partition_id()),
+        "cut",
     )
     totals = cut.groupBy(*keys, _CHUNK).agg(
         *[_FOLD[m.fold](f"__v{i}").alias(f"__t{i}") for i, m in enumerate(measures)]

@@ -24,7 +24,7 @@ from palisade.anomaly.prep import (
 )
 from palisade.anomaly.reconstruction import score_reconstruction, train_reconstruction
 from palisade.functions.scores import forest_anomaly, unit
-from palisade.session import shared_folder
+from palisade.session import written
 
 MODEL_TYPES = ("isolation_forest", "one_class_svm", "autoencoder")
 
@@ -50,13 +50,13 @@ def prepare(
     The input is written down once: fitting reads it several times, and features
     often come out of windows that should not run again for each step.
     """
-    shared_folder(df.sparkSession)
-    base = df.select(
+    columns = df.select(
         row_id,
         binary_label(F.col(label)).alias("__y"),
         *[F.col(c).try_cast("double").alias(c) for c in numbers],
         *[F.col(c).cast("string").alias(c) for c in texts],
-    ).checkpoint(eager=True)
+    )
+    base = written(columns, "features")
     marked = benign_split(base, "__y", row_id)
     train_rows = marked.where("split = 'train'")
     filled = apply_fill(marked, fit_fill(train_rows, numbers, texts))
