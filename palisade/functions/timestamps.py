@@ -19,7 +19,8 @@ def parse_timestamp(squeezed: Column, year: Column) -> Column:
     Takes squeezed text, best made in an earlier projection, as it is used often."""
     iso = squeezed.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")
     syslog = squeezed.rlike("^[A-Z][a-z]{2} [0-9]")
-    epoch = squeezed.rlike("^[0-9]+([.][0-9]+)?$")
+    # A JSON number may arrive in exponent form.
+    epoch = squeezed.rlike("^[0-9]+([.][0-9]+)?([eE][+]?[0-9]+)?$")
     return (
         F.when(iso, squeezed.try_cast("timestamp"))
         .when(
