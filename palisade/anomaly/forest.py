@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.hashing import hash_order
+from palisade.anomaly.prep import sample_rows
 
 NODE_DDL = (
     "tree INT, node INT, feature INT, cut DOUBLE, left_node INT, right_node INT, path DOUBLE"
@@ -90,12 +90,8 @@ def train_forest(
         raise ValueError("no training rows")
     # A row with a low id hash is in the sample; its place in that order picks the
     # tree. With fewer rows than places, rows serve several trees.
-    pool = (
-        df.select(row_id, *[F.col(c).cast("double").alias(c) for c in features])
-        .withColumn("__hash", hash_order(F.col(row_id)))
-        .orderBy("__hash", row_id)
-        .limit(pool_size)
-        .drop("__hash")
+    pool = sample_rows(
+        df.select(row_id, *[F.col(c).cast("double").alias(c) for c in features]), row_id, pool_size
     )
     if total >= pool_size:
         trees = F.array(F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(n_estimators)).cast("int"))

@@ -6,6 +6,7 @@ made by aggregations that combine before the shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,10 @@ from palisade.operators.running import Measure, rank_by, running
 BENIGN_LABELS = ["BENIGN", "benign", "normal", "Normal", "0", "0.0"]
 
 
+# Rank error of approximate quantiles is one part in this many.
+QUANTILE_ACCURACY = 1000
+
+
 def binary_label(label: Column) -> Column:
     """0 for a benign label, else 1 (a missing label is an attack)."""
     benign = F.trim(label.cast("string")).isin(BENIGN_LABELS)
@@ -32,46 +37,80 @@ def numeric(col: Column) -> Column:
     return F.when(number.isNull() | F.isnan(number) | infinite, 0.0).otherwise(number)
 
 
-def _melted(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
-    """(column, value) rows of the non-NULL cells, with the number of each value."""
-    cells = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value"))
-                for c in columns
-            ]
-        )
-    )
-    usable = F.col("value").isNotNull()
-    if kind == "double":
-        usable = usable & ~F.isnan("value")
-    return (
-        df.select(cells.alias("cell"))
-        .select("cell.*")
-        .where(usable)
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def _cell(column: str) -> Column:
+    """The value as a number; NaN counts as missing."""
+    number = F.col(column).cast("double")
+    return F.when(~F.isnan(number), number)
+
+
+def _bands(df: DataFrame, columns: Sequence[str], p: float) -> list[tuple]:
+    """(column, rows, rows below the band, band start, band end) per column.
+
+    An approximate quantile, whose rank error is bounded, brackets the wanted
+    positions; counting the rows below and inside makes sure of it. Should the
+    positions lie outside, the band is the whole column.
+    """
+    margin = 2.0 / QUANTILE_ACCURACY
+    around = [max(0.0, p - margin), min(1.0, p + margin)]
+    rough = df.agg(
+        *[
+            F.percentile_approx(_cell(c), around, QUANTILE_ACCURACY).alias(f"q{i}")
+            for i, c in enumerate(columns)
+        ]
+    ).first()
+    known = [(i, c, *rough[f"q{i}"]) for i, c in enumerate(columns) if rough[f"q{i}"]]
+    if not known:
+        return []
+    row = df.agg(
+        *[F.count(_cell(c)).alias(f"n{i}") for i, c, _, _ in known],
+        *[F.count_if(_cell(c) < F.lit(low)).alias(f"b{i}") for i, c, low, _ in known],
+        *[F.count_if(_cell(c) <= F.lit(high)).alias(f"u{i}") for i, c, _, high in known],
+    ).first()
+    out = []
+    for i, c, low, high in known:
+        total, below, upto = row[f"n{i}"], row[f"b{i}"], row[f"u{i}"]
+        position = (total - 1) * p
+        if below <= math.floor(position) and math.ceil(position) < upto:
+            out.append((c, total, below, low, high))
+        else:
+            out.append((c, total, 0, float("-inf"), float("inf")))
+    return out
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], p: float) -> DataFrame:
     """Exact interpolated quantile of each column: (column, value).
 
-    Equal values are counted first; the distinct values then get running counts,
-    and the two values around the wanted position are picked. Nothing is gathered
-    into one group.
+    Two aggregations narrow every column to a band of a few thousandths of its rows;
+    only these are counted by value and put in order.
     """
-    counts = _melted(df, columns, "double")
+    bands = _bands(df, columns, p)
+    ddl = "column string, total long, below long, low double, high double"
+    sizes = df.sparkSession.createDataFrame(bands, ddl)
+    inside = [
+        F.when(
+            _cell(c).between(F.lit(low), F.lit(high)),
+            F.struct(F.lit(c).alias("column"), _cell(c).alias("value")),
+        )
+        for c, _, _, low, high in bands
+    ]
+    if not bands:
+        return sizes.select("column", F.col("low").alias("value"))
+    counts = (
+        df.select(F.explode(F.array_compact(F.array(*inside))).alias("cell"))
+        .groupBy("cell.column", "cell.value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     upto = running(counts, ["column"], ["value"], [Measure("upto", "sum", F.col("n"))])
-    sizes = counts.groupBy("column").agg(F.sum("n").alias("total"))
     # One row per column of the table, so the lookup side is as small as the schema.
-    placed = upto.join(F.broadcast(sizes), "column")
+    placed = upto.join(F.broadcast(sizes), "column").withColumn(
+        "upto", F.col("upto") + F.col("below")
+    )
     position = (F.col("total") - 1) * F.lit(float(p))
     low, high = F.floor(position), F.ceil(position)
 
     def at(rank: Column) -> Column:
-        inside = (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto"))
-        return F.max(F.when(inside, F.col("value")))
+        hit = (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto"))
+        return F.max(F.when(hit, F.col("value")))
 
     picked = placed.groupBy("column").agg(
         at(low).alias("lo"), at(high).alias("hi"), F.max(position - low).alias("part")
@@ -83,7 +122,20 @@ def quantiles(df: DataFrame, columns: Sequence[str], p: float) -> DataFrame:
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Most frequent text of each column, the smallest on a tie: (column, value)."""
-    counts = _melted(df, columns, "string")
+    cells = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                for c in columns
+            ]
+        )
+    )
+    counts = (
+        df.select(cells.alias("cell"))
+        .where("cell.value IS NOT NULL")
+        .groupBy("cell.column", "cell.value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     return counts.groupBy("column").agg(
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value")
     )
@@ -153,9 +205,20 @@ def apply_scale(df: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFra
 
 
 def sample_rows(df: DataFrame, row_id: str, n: int) -> DataFrame:
-    """Exactly ``n`` rows (or all), the same ones on every run: lowest id hashes first."""
+    """Exactly ``n`` rows (or all), the same ones on every run: lowest id hashes first.
+
+    Hashes are even, so a bound on the hash leaves slightly more rows than wanted and
+    only these are put in order. Were it to leave too few, all rows would be.
+    """
+    total = df.count()
+    if n >= total:
+        return df
     hashed = df.withColumn("__hash", hash_order(F.col(row_id)))
-    ranked = rank_by(hashed, [], ["__hash", row_id], "__rank")
+    share = min(1.0, (n + 10.0 * math.sqrt(n) + 100.0) / total)
+    bound = format(min(int(share * 16**12), 16**12 - 1), "012x")
+    few = hashed.where(F.substring("__hash", 1, 12) <= bound)
+    candidates = few if few.count() >= n else hashed
+    ranked = rank_by(candidates, [], ["__hash", row_id], "__rank")
     return ranked.where(F.col("__rank") <= n).drop("__hash", "__rank")
 
 

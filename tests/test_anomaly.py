@@ -36,6 +36,25 @@ def test_quantiles_match_numpy(spark, way):
         assert got["y"] == pytest.approx(np.quantile(y, p))
 
 
+def test_quantile_band_of_many_rows(spark, way):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=15_000), np.full(5_000, 0.25), [np.nan] * 10])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    (band,) = prep._bands(df, ["x"], 0.95)
+    assert band[2] > 18_000 and band[1] == 20_000
+    for p in (0.05, 0.5, 0.6, 0.95):
+        got = prep.quantiles(df, ["x"], p).first()["value"]
+        assert got == pytest.approx(np.nanquantile(x, p))
+    empty = df.where("false")
+    assert prep.quantiles(empty, ["x"], 0.5).count() == 0
+
+
+def test_sample_bound_is_exact(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "n")
+    want = df.orderBy(F.md5(F.col("n").cast("string")), "n").limit(300)
+    assert rows(prep.sample_rows(df, "n", 300), "n") == rows(want, "n")
+
+
 def test_fill_values(spark):
     df = spark.createDataFrame(
         [(1.0, "b", None), (2.0, "a", None), (None, "a", None), (9.0, "b", None), (None, None, None)],
