@@ -21,7 +21,12 @@ from palisade.operators.features import (
     network_features,
 )
 from palisade.operators.features import flow_columns
-
+from palisade.operators.profiles import (
+    connection_profile,
+    host_profile,
+    protocol_distribution,
+    value_entropy,
+)
 
 PRIVATE_SQL = """CASE WHEN len(string_split({0}, '.')) = 4 AND
   TRY_CAST(string_split({0}, '.')[2] AS INT) IS NOT NULL AND (
@@ -294,8 +299,6 @@ def timestamps_parsed(spark, sf):
     FROM c GROUP BY src_ip, d""",
 )
 def port_entropy_query(spark, sf):
-    from palisade.operators.profiles import value_entropy
-
     rows = net_events(spark, sf).select("src_ip", "timestamp", "dst_port")
     out = value_entropy(rows, ["src_ip"], "timestamp", "day", "dst_port")
     return out.select(
@@ -316,8 +319,6 @@ def port_entropy_query(spark, sf):
       RANGE BETWEEN {2 * 86400 * US - 1} PRECEDING AND CURRENT ROW)""",
 )
 def connection_profile_query(spark, sf):
-    from palisade.operators.profiles import connection_profile
-
     rows = net_events(spark, sf).select("event_id", "timestamp", "src_ip", "dst_ip", "dst_port")
     return connection_profile(rows, 2 * 86400).select(
         "event_id", "connection_frequency", "unique_dst_ports", "unique_dst_ips"
@@ -326,16 +327,35 @@ def connection_profile_query(spark, sf):
 
 @query(
     "host_profile",
-    f"""WITH {HOST_SQL}, b AS (SELECT *, epoch_us(ts) AS us,
-      CASE WHEN regexp_matches(lower(message), 'login.*fail|fail.*login') THEN 1 ELSE 0 END AS fl,
-      CASE WHEN regexp_matches(lower(coalesce(command_line, '')), 'sudo|runas') THEN 1 ELSE 0 END AS pe
-      FROM host)
+    f"""WITH {HOST_SQL}, b AS (SELECT *, epoch_us(ts) AS us, lower(coalesce(command_line, '')) AS c,
+      CASE WHEN regexp_matches(lower(message), 'login.*fail|fail.*login') THEN 1 ELSE 0 END AS fl FROM host),
+    d AS (SELECT *, CASE WHEN regexp_matches(c, 'sudo|runas') THEN 1 ELSE 0 END AS pe,
+      CASE WHEN regexp_matches(c, '(^|[ <>])/[a-z]|[<>]') THEN 1 ELSE 0 END AS fa,
+      CASE WHEN regexp_matches(c, '(http|ftp)s?://|(^| )(nc|ssh|telnet) ') THEN 1 ELSE 0 END AS nc FROM b)
     SELECT event_id, CAST({_trailing_sql("fl", 86400)} AS BIGINT) AS failed_login_count,
-      CAST({_trailing_sql("pe", 86400)} AS BIGINT) AS privilege_escalation_attempts FROM b""",
+      CAST({_trailing_sql("pe", 86400)} AS BIGINT) AS privilege_escalation_attempts,
+      round(CAST({_trailing_sql("fa", 86400)} AS DOUBLE) / 86400 * 60, 6) AS file_access_rate,
+      CAST({_trailing_sql("nc", 86400)} AS BIGINT) AS network_connection_count FROM d""",
 )
 def host_profile_query(spark, sf):
-    from palisade.operators.profiles import host_profile
-
     return host_profile(host_events(spark, sf), 86400).select(
-        "event_id", "failed_login_count", "privilege_escalation_attempts"
+        "event_id", "failed_login_count", "privilege_escalation_attempts",
+        F.round("file_access_rate", 6).alias("file_access_rate"), "network_connection_count",
+    )
+
+
+@query(
+    "protocol_distribution",
+    f"""WITH {NET_SQL} SELECT src_ip, epoch_us(date_trunc('day', ts)) AS day_us, count(*) AS n_events,
+      round(count(*) FILTER (upper(protocol) = 'TCP') / count(*), 6) AS share_tcp,
+      round(count(*) FILTER (upper(protocol) = 'UDP') / count(*), 6) AS share_udp,
+      round(count(*) FILTER (upper(protocol) = 'ICMP') / count(*), 6) AS share_icmp,
+      round(count(*) FILTER (upper(protocol) NOT IN ('TCP', 'UDP', 'ICMP')) / count(*), 6) AS share_other
+    FROM net GROUP BY src_ip, date_trunc('day', ts)""",
+)
+def protocol_distribution_query(spark, sf):
+    out = protocol_distribution(net_events(spark, sf), "day")
+    return out.select(
+        "src_ip", F.unix_micros("bucket").alias("day_us"), "n_events",
+        *[F.round(f"share_{p}", 6).alias(f"share_{p}") for p in ("tcp", "udp", "icmp", "other")],
     )

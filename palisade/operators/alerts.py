@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from palisade.functions.hashing import alert_id
 from palisade.functions.scores import anomaly_severity, fusion_severity
+from palisade.operators.joins import salted_join
 from palisade.rules.model import Rule, rules_frame
 from palisade.schemas import ALERT_SCHEMA
 
-# Fusion weights.
+# Fusion weights and the texts of anomaly alerts.
 SIGNATURE_WEIGHT = 0.7
 ANOMALY_WEIGHT = 0.3
+ANOMALY_TITLE = "ML Anomaly Detected"
+ANOMALY_TEXT = "Anomalous behavior detected with score %.2f"
 SEVERITY_ORDER = ["low", "medium", "high", "critical"]
 
 
@@ -38,7 +41,8 @@ def signature_alerts(matches: DataFrame, rules: Sequence[Rule], created_at: Colu
         "attack_tactics",
         "attack_techniques",
     )
-    joined = matches.join(table, "signature_id").select(
+    # One rule may make most of the matches.
+    joined = salted_join(matches, table, ["signature_id"], ["event_id"]).select(
         "*",
         alert_id(F.col("event_id"), F.col("title")).alias("alert_id"),
         F.lit("new").alias("status"),
@@ -68,16 +72,13 @@ def anomaly_alerts(
         .withColumn("anomaly_score", mean_score(F.col("contributing_factors")))
         .where(F.col("anomaly_score") > threshold)
     )
-    title = F.lit("ML Anomaly Detected")
     models = F.concat_ws(", ", F.map_keys("contributing_factors"))
     return to_alert_schema(
         rows.select(
             "*",
             alert_id(F.col("event_id"), models).alias("alert_id"),
-            title.alias("title"),
-            F.format_string(
-                "Anomalous behavior detected with score %.2f", F.col("anomaly_score")
-            ).alias("description"),
+            F.lit(ANOMALY_TITLE).alias("title"),
+            F.format_string(ANOMALY_TEXT, F.col("anomaly_score")).alias("description"),
             anomaly_severity(F.col("anomaly_score")).alias("severity"),
             F.lit("new").alias("status"),
             F.lit("anomaly").alias("detection_type"),

@@ -59,26 +59,43 @@ def connection_profile(events: DataFrame, window_seconds: int) -> DataFrame:
     ).drop("__us")
 
 
+def protocol_distribution(events: DataFrame, unit: str) -> DataFrame:
+    """Share of each protocol per source and calendar bucket."""
+    protocol = F.upper(F.coalesce("protocol", F.lit("unknown")))
+    known = ["TCP", "UDP", "ICMP"]
+    shares = [F.avg((protocol == p).cast("double")).alias(f"share_{p.lower()}") for p in known]
+    other = F.avg((~protocol.isin(known)).cast("double")).alias("share_other")
+    return events.groupBy("src_ip", F.date_trunc(unit, "timestamp").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n_events"), *shares, other
+    )
+
+
 def host_profile(events: DataFrame, window_seconds: int) -> DataFrame:
-    """Failed logins and privilege escalations of (host, user) over the window."""
+    """What (host, user) did over the window: failed logins, privilege escalations,
+    commands naming a file per minute, commands opening a connection."""
     window = window_seconds * US
     message = F.lower(F.coalesce(F.get_json_object("raw_data", "$.message"), F.lit("")))
     command = F.lower(F.coalesce("command_line", F.lit("")))
+    flags = {
+        "failed_login_count": message.rlike("login.*fail|fail.*login"),
+        "privilege_escalation_attempts": command.rlike("sudo|runas"),
+        "file_access_rate": command.rlike("(^|[ <>])/[a-z]|[<>]"),
+        "network_connection_count": command.rlike("(http|ftp)s?://|(^| )(nc|ssh|telnet) "),
+    }
     base = events.select(
         "event_id",
         micros(F.col("timestamp")).alias("us"),
         F.coalesce("hostname", F.lit("unknown")).alias("hostname"),
         F.coalesce("username", F.lit("unknown")).alias("username"),
-        flag(message.rlike("login.*fail|fail.*login")).cast("long").alias("failed"),
-        flag(command.rlike("sudo|runas")).cast("long").alias("escalated"),
+        *[flag(c).cast("long").alias(f"is_{n}") for n, c in flags.items()],
     )
-    return trailing_sums(
+    counted = trailing_sums(
         base,
         ["hostname", "username"],
         "us",
         ["event_id"],
-        [
-            Trailing("failed_login_count", F.col("failed"), window),
-            Trailing("privilege_escalation_attempts", F.col("escalated"), window),
-        ],
+        [Trailing(n, F.col(f"is_{n}"), window) for n in flags],
+    )
+    return counted.withColumn(
+        "file_access_rate", F.col("file_access_rate") / float(window_seconds) * 60
     )

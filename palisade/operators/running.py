@@ -14,7 +14,6 @@ Both ways give the same rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -42,7 +41,8 @@ class Measure:
 
 
 def group_limit(df: DataFrame) -> int:
-    """Rows one window partition may hold (0 forces the range-partitioned way)."""
+    """Rows one window partition may hold; 0 always cuts, a negative number never
+    looks at the groups and never cuts."""
     return int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, str(DEFAULT_GROUP_LIMIT)))
 
 
@@ -61,7 +61,7 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
 
 
 class Cut(NamedTuple):
-    """Whether some group exceeds the limit, and the number of pieces to cut."""
+    """Whether some group is too large for one task, and the pieces to cut."""
 
     hot: bool
     pieces: int
@@ -69,13 +69,17 @@ class Cut(NamedTuple):
 
 def measure_groups(df: DataFrame, keys: Sequence[str]) -> Cut:
     """Look at the group sizes, one job. An operator over a subset of the rows, or
-    over a finer key, may reuse the answer."""
+    over a finer key, may reuse the answer.
+
+    A group is too large when it exceeds the limit and the even share of a task:
+    below that share it is no more work than any other task has.
+    """
     limit = group_limit(df)
-    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if limit == 0:
-        return Cut(True, max(2, pieces))
+    pieces = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if limit <= 0:
+        return Cut(limit == 0, pieces)
     total, largest = group_sizes(df, keys)
-    return Cut(largest > limit, max(2, pieces, math.ceil(total / limit)))
+    return Cut(largest > max(limit, total // pieces), pieces)
 
 
 def _over(measure: Measure, window) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators.reports import event_counts
@@ -57,9 +57,11 @@ def ingest(
     results = dict.fromkeys(sources, 0)
     for name, read in sources.items():
         try:
-            events = read()
-            write_events(events, path)
-            results[name] = events.count()
+            # Counted while it is written, so sources are read once.
+            seen = Observation(name)
+            counted = read().observe(seen, F.count(F.lit(1)).alias("n"))
+            write_events(counted, path)
+            results[name] = seen.get["n"]
         except PySparkException as error:
             log.error("%s ingestion failed: %s", name, error)
     return results | {"total": sum(results.values())}

@@ -23,7 +23,7 @@ from palisade.anomaly.prep import (
     numeric,
 )
 from palisade.anomaly.reconstruction import score_reconstruction, train_reconstruction
-from palisade.functions.scores import forest_anomaly, unit
+from palisade.functions.scores import LARGEST_ERROR, forest_anomaly, unit
 from palisade.session import written
 
 MODEL_TYPES = ("isolation_forest", "one_class_svm", "autoencoder")
@@ -95,7 +95,7 @@ def score(model_type: str, model, df: DataFrame) -> DataFrame:
         )
     if model_type == "autoencoder":
         out = score_reconstruction(df, model)
-        return out.withColumn(model_type, unit(F.col("error") / 10.0)).drop("error")
+        return out.withColumn(model_type, unit(F.col("error") / LARGEST_ERROR)).drop("error")
     raise ValueError(f"unknown model type {model_type!r}")
 
 

@@ -17,6 +17,24 @@ SIGHTING_COLUMNS = [
 ]
 
 
+# What every entry of the address blacklist carries, and the
+# confidence and defaults of the other formats.
+BLACKLIST = {
+    "ioc_type": "ip",
+    "threat_type": "c2",
+    "confidence": 0.8,
+    "severity": "high",
+    "source": "abuse_ch",
+    "description": "SSL Blacklist - C2 server",
+}
+BLACKLIST_TAGS = ["c2", "ssl", "abuse_ch"]
+CSV_CONFIDENCE = 0.7
+LINE_CONFIDENCE = 0.6
+DEFAULT_THREAT = "unknown"
+DEFAULT_SEVERITY = "medium"
+CSV_COLUMNS = {"ip": ["ip", "IP"], "domain": ["domain", "Domain"], "hash": ["hash", "Hash"]}
+
+
 @dataclass(frozen=True)
 class Feed:
     """A feed and where its file landed; ``url`` only decides the format."""
@@ -55,21 +73,16 @@ def blacklist_feed(lines: DataFrame) -> DataFrame:
         _content(lines)
         .where(F.size(parts) >= 2)
         .select(
-            F.lit("ip").alias("ioc_type"),
             F.trim(F.get(parts, F.lit(1))).alias("value"),
-            F.lit("c2").alias("threat_type"),
-            F.lit(0.8).alias("confidence"),
-            F.lit("high").alias("severity"),
-            F.lit("abuse_ch").alias("source"),
-            F.lit("SSL Blacklist - C2 server").alias("description"),
-            F.array(F.lit("c2"), F.lit("ssl"), F.lit("abuse_ch")).alias("tags"),
+            F.array(*[F.lit(t) for t in BLACKLIST_TAGS]).alias("tags"),
+            *[F.lit(v).alias(k) for k, v in BLACKLIST.items()],
         )
     )
 
 
 def csv_feed(rows: DataFrame, source: str) -> DataFrame:
     """A table with a header; the kind of its first known column is the type."""
-    for kind, names in (("ip", ["ip", "IP"]), ("domain", ["domain", "Domain"]), ("hash", ["hash", "Hash"])):
+    for kind, names in CSV_COLUMNS.items():
         present = [n for n in names if n in rows.columns]
         if present:
             value = first_filled(*[F.col(n) for n in present])
@@ -84,9 +97,9 @@ def csv_feed(rows: DataFrame, source: str) -> DataFrame:
         rows.select(
             F.lit(kind).cast("string").alias("ioc_type"),
             value.alias("value"),
-            given("threat_type", "unknown").alias("threat_type"),
-            F.lit(0.7).alias("confidence"),
-            given("severity", "medium").alias("severity"),
+            given("threat_type", DEFAULT_THREAT).alias("threat_type"),
+            F.lit(CSV_CONFIDENCE).alias("confidence"),
+            given("severity", DEFAULT_SEVERITY).alias("severity"),
             F.lit(source).alias("source"),
             F.array(F.lit(source)).alias("tags"),
         ).where("value IS NOT NULL")
@@ -100,8 +113,8 @@ def line_feed(lines: DataFrame, source: str, hash_first: bool = False) -> DataFr
         .select(
             indicator_type(F.col("line"), hash_first).alias("ioc_type"),
             F.col("line").alias("value"),
-            F.lit(0.6).alias("confidence"),
-            F.lit("medium").alias("severity"),
+            F.lit(LINE_CONFIDENCE).alias("confidence"),
+            F.lit(DEFAULT_SEVERITY).alias("severity"),
             F.lit(source).alias("source"),
             F.array(F.lit(source)).alias("tags"),
         )
