@@ -26,7 +26,19 @@ from palisade.functions.hashing import hash_percent
 from palisade.functions.scores import anomaly_severity, forest_anomaly, normalise
 from palisade.operators.alerts import anomaly_alerts, mean_score
 from palisade.operators.features import network_features
-from palisade.plans.train import MODEL_TYPES, metrics_on_test, prepare, score_all, train
+from palisade.plans.train import (
+    MODEL_TYPES,
+    detect_anomalies,
+    load_active,
+    metrics_on_test,
+    prepare,
+    read_registry,
+    score,
+    score_events,
+    train,
+    train_and_register,
+)
+from palisade.session import scratch_path
 
 HASH_SQL = "('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 8))::BIGINT % 100"
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -381,12 +393,33 @@ FLOW_FEATURES = [
 
 @query("event_anomaly_alerts")
 def event_anomaly_alerts(spark, sf):
-    """Network events to features, three models, one mean score, alerts."""
+    """Network events to features, three registered models, one mean score, alerts."""
     features = network_features(net_events(spark, sf)).withColumn("label", F.lit(0))
+    folder = scratch_path(spark, "models")
     data = prepare(features, "label", "event_id", FLOW_FEATURES)
-    models = {t: train(t, data, "event_id") for t in MODEL_TYPES}
-    everything = data.train.unionByName(data.test)
-    scored = score_all(models, everything)
-    return anomaly_alerts(scored, F.col("scores"), created_at(), threshold=0.35).select(
-        "alert_id", "event_id", "severity", "anomaly_score", "model_name"
-    )
+    for model_type in MODEL_TYPES:
+        train_and_register(data, "event_id", model_type, folder, "events")
+    out = detect_anomalies(features, load_active(spark, folder), created_at(), threshold=0.35)
+    return out.select("alert_id", "event_id", "severity", "anomaly_score", "model_name")
+
+
+@query(
+    "model_store_round_trip",
+    "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different, CAST(3 AS BIGINT) AS n_registered FROM documents JOIN labels USING (doc_id)",
+)
+def model_store_round_trip(spark, sf):
+    """Scores of models read back from the store are those of the trained ones."""
+    rows = labelled_documents(spark, sf)
+    folder = scratch_path(spark, "models")
+    data = prepare(rows, "toxic", "doc_id", ["n_chars", "n_words", "n_digits"], ["lang"])
+    trained = train("isolation_forest", data, "doc_id")
+    for _ in range(2):
+        train_and_register(data, "doc_id", "isolation_forest", folder, "documents")
+    train_and_register(data, "doc_id", "one_class_svm", folder, "documents")
+    loaded = score_events(rows, "doc_id", load_active(spark, folder))
+    direct = score("isolation_forest", trained, data.steps.apply(rows, "doc_id"))
+    both = loaded.join(direct.select("doc_id", F.col("isolation_forest").alias("d")), "doc_id")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.abs(F.col("isolation_forest") - F.col("d")) > 1e-12).alias("n_different"),
+    ).withColumn("n_registered", F.lit(read_registry(spark, folder).count()).cast("long"))

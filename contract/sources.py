@@ -425,7 +425,7 @@ def indicator_values(spark, sf):
 @query(
     "line_feed_parse",
     """WITH v AS (SELECT url AS v FROM pages UNION ALL SELECT '# ' || url FROM pages
-      UNION ALL SELECT '   10.0.' || user_id || '.1 ' FROM events UNION ALL SELECT '' FROM events UNION ALL SELECT props FROM events)
+      UNION ALL SELECT '   10.0.' || (user_id % 250) || '.1 ' FROM events UNION ALL SELECT '' FROM events UNION ALL SELECT props FROM events)
     SELECT CASE WHEN starts_with(trim(v), '10.') THEN 'ip' ELSE 'url' END AS ioc_type, trim(v) AS value,
       CAST(0.6 AS DOUBLE) AS confidence, 'medium' AS severity, 'lines' AS source, count(*) AS n
     FROM v WHERE starts_with(trim(v), '10.') OR starts_with(v, 'http') GROUP BY ALL""",
@@ -437,7 +437,9 @@ def line_feed_parse(spark, sf):
         .unionByName(pages.select(F.concat(F.lit("# "), F.col("url")).alias("line")))
         .unionByName(
             events.select(
-                F.concat(F.lit("   10.0."), F.col("user_id").cast("string"), F.lit(".1 ")).alias("line")
+                F.concat(
+                    F.lit("   10.0."), (F.col("user_id") % 250).cast("string"), F.lit(".1 ")
+                ).alias("line")
             )
         )
         .unionByName(events.select(F.lit("").alias("line")))

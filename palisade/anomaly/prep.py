@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.hashing import hash_order, hash_percent
+from palisade.functions.text import strip
 from palisade.operators.joins import salted_join
 from palisade.operators.running import Measure, rank_by, running
 
@@ -26,7 +28,7 @@ QUANTILE_ACCURACY = 1000
 
 def binary_label(label: Column) -> Column:
     """0 for a benign label, else 1 (a missing label is an attack)."""
-    benign = F.trim(label.cast("string")).isin(BENIGN_LABELS)
+    benign = strip(label.cast("string")).isin(BENIGN_LABELS)
     return F.when(benign, 0).otherwise(1)
 
 
@@ -247,3 +249,52 @@ def stratified_split(
     return joined.withColumn(
         "split", F.when(share >= 1 - test_share, "test").otherwise("train")
     ).drop("__hash", "__rank", "__n")
+
+
+@dataclass
+class Preparation:
+    """Fitted steps: the same filling, encoding and scaling for training and scoring."""
+
+    numbers: list[str]
+    texts: list[str]
+    fill: dict[str, object]
+    classes: dict[str, DataFrame]
+    scale: dict[str, tuple[float, float]]
+    tag: str = ""
+
+    @property
+    def features(self) -> list[str]:
+        return [*self.numbers, *self.texts]
+
+    def key(self) -> str:
+        """Equal for equal steps."""
+        return self.tag or repr((self.numbers, self.texts, self.fill, self.scale))
+
+    def encoded(self, df: DataFrame, row_id: str, keep: Sequence[str] = ()) -> DataFrame:
+        """All features as finite numbers, not yet scaled."""
+        typed = df.select(
+            row_id,
+            *keep,
+            *[F.col(c).try_cast("double").alias(c) for c in self.numbers],
+            *[F.col(c).cast("string").alias(c) for c in self.texts],
+        )
+        filled = apply_fill(typed, self.fill)
+        for c in self.texts:
+            coded = encode(filled, c, self.classes[c], row_id, f"__{c}")
+            filled = coded.drop(c).withColumnRenamed(f"__{c}", c)
+        return filled.select(row_id, *keep, *[numeric(F.col(c)).alias(c) for c in self.features])
+
+    def apply(self, df: DataFrame, row_id: str, keep: Sequence[str] = ()) -> DataFrame:
+        """(row id, kept columns, features) with every feature scaled."""
+        return apply_scale(self.encoded(df, row_id, keep), self.scale)
+
+
+def fit_preparation(
+    df: DataFrame, row_id: str, numbers: Sequence[str], texts: Sequence[str] = ()
+) -> Preparation:
+    """Fit all steps on the given rows, in the order they are applied."""
+    steps = Preparation(list(numbers), list(texts), fit_fill(df, numbers, texts), {}, {})
+    filled = apply_fill(df, steps.fill)
+    steps.classes = {c: fit_classes(filled, c) for c in texts}
+    steps.scale = fit_scale(steps.encoded(df, row_id), steps.features)
+    return steps

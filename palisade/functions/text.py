@@ -25,6 +25,11 @@ def has_any(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(re.escape(w) for w in words))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def flag(condition: Column) -> Column:
     """Boolean to 0/1 with NULL as 0."""
     return F.coalesce(condition, F.lit(False)).cast("int")

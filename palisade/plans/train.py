@@ -1,41 +1,52 @@
-"""Training and scoring runs of the anomaly models."""
+"""Training, storing and scoring of the anomaly models."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.anomaly.evaluate import evaluate
 from palisade.anomaly.forest import score_forest, train_forest
 from palisade.anomaly.kernel import score_kernel, train_kernel
 from palisade.anomaly.prep import (
-    apply_fill,
-    apply_scale,
+    Preparation,
     benign_split,
     binary_label,
-    encode,
-    fit_classes,
-    fit_fill,
-    fit_scale,
-    numeric,
+    fit_preparation,
+    sample_rows,
 )
 from palisade.anomaly.reconstruction import score_reconstruction, train_reconstruction
+from palisade.anomaly.store import load_model, save_model
 from palisade.functions.scores import LARGEST_ERROR, forest_anomaly, unit
+from palisade.operators.alerts import anomaly_alerts
+from palisade.operators.changelog import active_models
+from palisade.schemas import MODEL_SCHEMA
 from palisade.session import written
 
 MODEL_TYPES = ("isolation_forest", "one_class_svm", "autoencoder")
+MODEL_NAMES = {
+    "isolation_forest": "Isolation Forest",
+    "one_class_svm": "One-Class SVM",
+    "autoencoder": "Autoencoder",
+}
 
 
 @dataclass
 class Prepared:
-    """Train and test rows with all features numeric and scaled."""
+    """Train and test rows with all features numeric and scaled, and how they came
+    about. Columns: the row id, ``label`` and the features."""
 
     train: DataFrame
     test: DataFrame
-    features: list[str]
+    steps: Preparation
+
+    @property
+    def features(self) -> list[str]:
+        return self.steps.features
 
 
 def prepare(
@@ -44,30 +55,29 @@ def prepare(
     row_id: str,
     numbers: Sequence[str],
     texts: Sequence[str] = (),
+    sample_size: int | None = None,
 ) -> Prepared:
     """Split benign-only, fit every step on the training rows, apply to both.
 
     The input is written down once: fitting reads it several times, and features
-    often come out of windows that should not run again for each step.
+    often come out of windows that should not run again for each step. So is the
+    result.
     """
     columns = df.select(
         row_id,
-        binary_label(F.col(label)).alias("__y"),
+        binary_label(F.col(label)).alias("label"),
         *[F.col(c).try_cast("double").alias(c) for c in numbers],
         *[F.col(c).cast("string").alias(c) for c in texts],
     )
     base = written(columns, "features")
-    marked = benign_split(base, "__y", row_id)
-    train_rows = marked.where("split = 'train'")
-    filled = apply_fill(marked, fit_fill(train_rows, numbers, texts))
-    for c in texts:
-        classes = fit_classes(filled.where("split = 'train'"), c)
-        filled = encode(filled, c, classes, row_id, f"__{c}").drop(c).withColumnRenamed(f"__{c}", c)
-    features = [*numbers, *texts]
-    ready = filled.select(row_id, "__y", "split", *[numeric(F.col(c)).alias(c) for c in features])
-    scale = fit_scale(ready.where("split = 'train'"), features)
-    final = apply_scale(ready, scale).withColumnRenamed("__y", "label")
-    return Prepared(final.where("split = 'train'"), final.where("split = 'test'"), features)
+    if sample_size:
+        base = sample_rows(base, row_id, sample_size)
+    marked = benign_split(base, "label", row_id)
+    steps = fit_preparation(marked.where("split = 'train'"), row_id, numbers, texts)
+    # Training and measuring pass over the result many times.
+    ready = written(steps.apply(marked, row_id, ["label", "split"]), "ready")
+    train_rows, test_rows = (ready.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+    return Prepared(train_rows, test_rows, steps)
 
 
 def train(model_type: str, data: Prepared, row_id: str):
@@ -113,3 +123,87 @@ def score_all(models: dict[str, object], df: DataFrame) -> DataFrame:
 
 def scores_map(names: Sequence[str]) -> Column:
     return F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])
+
+
+def train_and_register(
+    data: Prepared, row_id: str, model_type: str, folder: str, dataset: str
+) -> dict[str, object]:
+    """Train, measure and store a model, and append it to the registry of the folder.
+
+    The newest model of a type is the active one, so nothing has to be switched off.
+    """
+    spark = data.train.sparkSession
+    model = train(model_type, data, row_id)
+    metrics = metrics_on_test(model_type, model, data).first().asDict()
+    stamp = spark.sql("SELECT unix_micros(current_timestamp())").first()[0]
+    path = f"{folder}/{model_type}-{stamp}"
+    save_model(spark, path, model_type, model, data.steps)
+    n_train, n_test = data.train.count(), data.test.count()
+    row = {
+        "seq": stamp,
+        "name": MODEL_NAMES[model_type],
+        "version": str(stamp),
+        "model_type": model_type,
+        "file_path": path,
+        "parameters": {"features": ",".join(data.features)},
+        "training_dataset": dataset,
+        "training_samples": n_train,
+        "validation_accuracy": metrics["accuracy"],
+        "precision": metrics["precision"],
+        "recall": metrics["recall"],
+        "f1_score": metrics["f1_score"],
+        "false_positive_rate": metrics["false_positive_rate"],
+    }
+    table = spark.createDataFrame(
+        [tuple(row.get(f.name) for f in MODEL_SCHEMA)], MODEL_SCHEMA
+    ).withColumns({c: F.timestamp_micros("seq") for c in ("training_date", "deployed_at")})
+    table.write.mode("append").parquet(f"{folder}/registry")
+    return {
+        "model_path": path, "metrics": metrics, "training_samples": n_train, "test_samples": n_test
+    }
+
+
+def read_registry(spark: SparkSession, folder: str) -> DataFrame:
+    try:
+        return spark.read.schema(MODEL_SCHEMA).parquet(f"{folder}/registry")
+    except AnalysisException:
+        return spark.createDataFrame([], MODEL_SCHEMA)
+
+
+def load_active(spark: SparkSession, folder: str) -> dict[str, tuple[object, Preparation]]:
+    """Model and preparation steps of every active type; one registry row per type."""
+    rows = active_models(read_registry(spark, folder)).collect()
+    return {
+        r["model_type"]: load_model(spark, r["file_path"], r["model_type"])
+        for r in sorted(rows, key=lambda r: MODEL_TYPES.index(r["model_type"]))
+    }
+
+
+def score_events(
+    features: DataFrame, row_id: str, models: dict[str, tuple[object, Preparation]]
+) -> DataFrame:
+    """(row id, one score per active model, map of the scores).
+
+    Models that share their preparation share one pass over it.
+    """
+    out, shared = None, {}
+    for name, (model, steps) in models.items():
+        shared.setdefault(steps.key(), (steps, {}))[1][name] = model
+    for steps, group in shared.values():
+        ready = steps.apply(features, row_id)
+        scored = score_all(group, ready).select(row_id, *group)
+        out = scored if out is None else out.join(scored, row_id)
+    if out is None:
+        raise ValueError("no active model")
+    return out.withColumn("scores", scores_map(list(models)))
+
+
+def detect_anomalies(
+    features: DataFrame,
+    models: dict[str, tuple[object, Preparation]],
+    created_at: Column,
+    threshold: float = 0.5,
+) -> DataFrame:
+    """Anomaly alerts of events given as feature rows with ``event_id``."""
+    scored = score_events(features, "event_id", models)
+    return anomaly_alerts(scored, F.col("scores"), created_at, threshold)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions.indicators import indicator_type
-from palisade.functions.text import blank_to_null, first_filled
+from palisade.functions.text import blank_to_null, first_filled, strip
 
 SIGHTING_COLUMNS = [
     "ioc_type", "value", "threat_type", "confidence", "severity", "source", "description", "tags",
@@ -52,7 +52,7 @@ class Feed:
 
 
 def _content(lines: DataFrame) -> DataFrame:
-    trimmed = lines.withColumn("line", F.trim("line"))
+    trimmed = lines.withColumn("line", strip(F.col("line")))
     return trimmed.where((F.col("line") != "") & ~F.col("line").startswith("#"))
 
 
@@ -73,7 +73,7 @@ def blacklist_feed(lines: DataFrame) -> DataFrame:
         _content(lines)
         .where(F.size(parts) >= 2)
         .select(
-            F.trim(F.get(parts, F.lit(1))).alias("value"),
+            strip(F.get(parts, F.lit(1))).alias("value"),
             F.array(*[F.lit(t) for t in BLACKLIST_TAGS]).alias("tags"),
             *[F.lit(v).alias(k) for k, v in BLACKLIST.items()],
         )

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.functions.text import blank_to_null, first_filled
+from palisade.functions.text import blank_to_null, first_filled, strip
 from palisade.functions.timestamps import parse_timestamp, squeeze
 from palisade.sources.common import read_lines, to_event_schema, to_process_id
 from palisade.sources.xml_events import read_xml_events
@@ -38,7 +38,7 @@ def parse_json_lines(lines: DataFrame, year: Column, now: Column) -> DataFrame:
     """One JSON object per line; blank and broken lines are skipped."""
     ddl = ", ".join(f"`{f}` STRING" for f in [*JSON_FIELDS, _BROKEN])
     parsed = (
-        lines.withColumn("line", F.trim("line"))
+        lines.withColumn("line", strip(F.col("line")))
         .where(F.col("line").startswith("{"))
         .withColumn(
             "j", F.from_json("line", ddl, {"columnNameOfCorruptRecord": _BROKEN})
@@ -117,7 +117,7 @@ def parse_text_lines(lines: DataFrame, year: Column, now: Column) -> DataFrame:
     lines an array of their parts.
     """
     routed = (
-        lines.withColumn("line", F.trim("line"))
+        lines.withColumn("line", strip(F.col("line")))
         .where((F.col("line") != "") & ~F.col("line").startswith("#"))
         .withColumn("fmt", log_format(F.col("line")))
         .withColumn("pairs", F.when(F.col("fmt") == "audit", _audit_pairs(F.col("line"))))
@@ -218,6 +218,6 @@ def read_log_directory(
     parts = [
         read_text_logs(spark, path, year, now, text_glob),
         read_json_logs(spark, path, year, now, "*.json"),
-        read_xml_events(spark, path, year, now, "*.xml"),
+        read_xml_events(spark, path, year, now, "*.{xml,evtx}"),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -9,7 +9,18 @@ from palisade.anomaly import prep
 from palisade.anomaly.evaluate import evaluate
 from palisade.anomaly.forest import expected_path, score_forest, train_forest
 from palisade.functions.scores import anomaly_severity, fusion_severity, normalise
-from palisade.plans.train import MODEL_TYPES, metrics_on_test, prepare, score_all, train
+from palisade.plans.train import (
+    MODEL_TYPES,
+    detect_anomalies,
+    load_active,
+    metrics_on_test,
+    prepare,
+    read_registry,
+    score_all,
+    score_events,
+    train,
+    train_and_register,
+)
 
 
 @pytest.fixture(scope="module")
@@ -127,6 +138,7 @@ def test_models_find_the_far_rows(spark, clusters):
             assert m["recall"] > 0.95, name
         assert m["false_positive_rate"] < 0.25, name
     scored = score_all(models, data.test)
+    assert data.train.columns == ["id", "label", "a", "b", "c", "k", "p"]
     means = {r["label"]: r for r in scored.groupBy("label").agg(*[F.avg(t).alias(t) for t in MODEL_TYPES]).collect()}
     assert means[1]["isolation_forest"] > means[0]["isolation_forest"] + 0.1
     assert means[1]["one_class_svm"] > means[0]["one_class_svm"]
@@ -164,3 +176,28 @@ def test_bands(spark):
     assert [r[1] for r in got] == [None, "low", "medium", "medium", "high", "high", "critical"]
     n = spark.sql("select normalise_in, t from values (-0.25D, 'isolation_forest'), (0D, 'one_class_svm'), (25D, 'autoencoder'), (1D, 'x') v(normalise_in, t)")
     assert [r[0] for r in n.select(normalise(F.col("normalise_in"), F.col("t"))).collect()] == [0.75, 0.5, 1.0, 0.5]
+
+
+def test_registry_and_store(spark, clusters, tmp_path):
+    folder = str(tmp_path)
+    assert load_active(spark, folder) == {}
+    data = prepare(clusters, "label", "id", ["a", "b", "c"], ["p"], sample_size=600)
+    assert data.train.count() + data.test.count() <= 600
+    for name in MODEL_TYPES:
+        out = train_and_register(data, "id", name, folder, "clusters")
+        assert out["training_samples"] == data.train.count()
+    train_and_register(data, "id", "autoencoder", folder, "clusters")
+    registry = read_registry(spark, folder)
+    assert registry.count() == 4
+    models = load_active(spark, folder)
+    assert list(models) == list(MODEL_TYPES)
+    events = clusters.withColumnRenamed("id", "event_id").drop("label")
+    scored = score_events(events, "event_id", models)
+    assert scored.count() == 1000
+    alerts = detect_anomalies(events, models, F.lit("2024-02-01").cast("timestamp"), threshold=0.38)
+    odd = alerts.where("event_id >= 900").count()
+    assert odd > 50 and alerts.count() - odd < 30
+    one = alerts.first()
+    assert one["model_name"] == "isolation_forest, one_class_svm, autoencoder"
+    with pytest.raises(ValueError, match="no active model"):
+        score_events(events, "event_id", {})

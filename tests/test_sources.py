@@ -62,7 +62,7 @@ def test_audit(spark):
 
 
 def test_generic_lines(spark):
-    got = text(spark, " hello <34> world ").select(
+    got = text(spark, "\t hello <34> world \t").select(
         F.col("timestamp").cast("string").alias("t"), F.get_json_object("raw_data", "$.message").alias("m"), "process_name"
     )
     assert rows(got) == [(NOW_TEXT, "hello <34> world", None)]
