@@ -124,9 +124,9 @@ def stream_window_counts(spark, sf):
 PLAIN = [c for c in FLOW_FEATURES if not c.startswith(("flow_", "packets_per", "bytes_per"))]
 
 
-@query("stream_anomaly_scores")
+@query("stream_anomaly_scores", "SELECT event_id, TRUE AS as_in_batch FROM events")
 def stream_anomaly_scores(spark, sf):
-    """A forest trained on stored events scores the stream of them."""
+    """A forest trained on stored events scores the stream of them as it does the batch."""
     base = scratch_path(spark, "stream-scores")
 
     def features(events):
@@ -135,7 +135,8 @@ def stream_anomaly_scores(spark, sf):
             *[c.cast("double").alias(n) for n, c in network_columns().items() if n in PLAIN],
         )
 
-    forest = train_forest(features(net_events(spark, sf)), PLAIN, "event_id")
+    stored = features(net_events(spark, sf))
+    forest = train_forest(stored, PLAIN, "event_id")
 
     def start(stream):
         return (
@@ -149,4 +150,9 @@ def stream_anomaly_scores(spark, sf):
         )
 
     process(spark, net_events(spark, sf), start)
-    return spark.read.parquet(f"{base}/out")
+    batch = score_forest(stored, forest).select("event_id", F.col("score").alias("want"))
+    return (
+        spark.read.parquet(f"{base}/out")
+        .join(batch, "event_id")
+        .select("event_id", (F.abs(F.col("score") - F.col("want")) < 1e-12).alias("as_in_batch"))
+    )

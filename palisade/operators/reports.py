@@ -168,6 +168,11 @@ def page(
     )
 
 
-def retained(df: DataFrame, time: str, now: Column, days: int = 90) -> DataFrame:
-    """Rows younger than the retention period."""
-    return df.where(F.col(time) >= now - F.expr(f"INTERVAL '{days}' DAY"))
+def retained(
+    df: DataFrame, time: str, now: Column, days: int = 90, day_partition: str | None = None
+) -> DataFrame:
+    """Rows younger than the retention period; naming the day partition of a stored
+    table keeps older days from being opened."""
+    oldest = now - F.expr(f"INTERVAL '{days}' DAY")
+    kept = df.where(F.col(time) >= oldest)
+    return kept if day_partition is None else kept.where(F.col(day_partition) >= F.to_date(oldest))

@@ -55,6 +55,44 @@ class Rule:
         return "scan" in self.name.lower() and "failed_login" not in self.name.lower()
 
 
+# Keys of a written rule that are settings, not conditions on event fields.
+SETTINGS = ("threshold", "time_window_seconds", "grouping_key", "ioc_values")
+REQUIRED = ("name", "rule_type", "rule_content", "severity")
+
+
+def condition_from(field: str, test: object) -> Condition:
+    """A condition as written: ``{"type": ..., ...}``, or a plain value to be equal to."""
+    if not isinstance(test, dict):
+        return Condition(field, "equals", value=test)
+    return Condition(
+        field,
+        test.get("type"),
+        test.get("value"),
+        tuple(test.get("values", ())),
+        test.get("min"),
+        test.get("max"),
+        test.get("pattern"),
+    )
+
+
+def rule_from_dict(written: dict) -> Rule:
+    """A rule written as a mapping, its settings and field tests under ``conditions``."""
+    missing = [k for k in REQUIRED if k not in written]
+    if missing:
+        raise ValueError(f"rule lacks {', '.join(missing)}")
+    given = written.get("conditions") or {}
+    rest = {k: v for k, v in written.items() if k != "conditions"}
+    for name in ("tags", "references", "attack_tactics", "attack_techniques"):
+        rest[name] = tuple(rest.get(name) or ())
+    settings = {k: given[k] for k in SETTINGS if k in given}
+    if "ioc_values" in settings:
+        settings["ioc_values"] = tuple(settings["ioc_values"])
+    return Rule(
+        **{"description": "", **rest, **settings},
+        conditions=tuple(condition_from(f, t) for f, t in given.items() if f not in SETTINGS),
+    )
+
+
 def numbered(rules: Iterable[Rule]) -> list[Rule]:
     """Give rules without an id their position."""
     return [

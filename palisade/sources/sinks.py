@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palisade.operators.alerts import new_alerts_only
 
@@ -24,8 +24,23 @@ def write_events(events: DataFrame, path: str) -> None:
     )
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_events(
+    spark: SparkSession,
+    path: str,
+    start: Column | None = None,
+    end: Column | None = None,
+    event_type: str | None = None,
+) -> DataFrame:
+    """Stored events of a time span [start, end) and type. The span also limits the day
+    partition, so other days are never opened."""
+    events = spark.read.parquet(path)
+    if event_type is not None:
+        events = events.where(F.col("event_type") == event_type)
+    if start is not None:
+        events = events.where((F.col("event_date") >= F.to_date(start)) & (F.col("timestamp") >= start))
+    if end is not None:
+        events = events.where((F.col("event_date") <= F.to_date(end)) & (F.col("timestamp") < end))
+    return events
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:

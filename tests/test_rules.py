@@ -17,7 +17,7 @@ from palisade.rules.matching import (
     stateless_matches,
     threshold_matches,
 )
-from palisade.rules.model import Condition, Rule, rules_frame, rules_from_frame
+from palisade.rules.model import Condition, Rule, rule_from_dict, rules_frame, rules_from_frame
 from palisade.schemas import ALERT_SCHEMA
 
 def now():
@@ -210,3 +210,20 @@ def test_details_keep_declared_order():
 def test_signature_alert_without_matches(spark):
     df = events(spark, [{"dst_port": 1}])
     assert signature_alerts(pattern_matches(df, DEFAULT_RULES), DEFAULT_RULES, now()).count() == 0
+
+
+def test_rule_written_as_mapping(spark):
+    rule = rule_from_dict({
+        "name": "w", "rule_type": "pattern", "rule_content": "x", "severity": "low", "signature_id": 3,
+        "conditions": {"dst_port": 22, "src_ip": {"type": "regex", "pattern": "^10"}, "bytes_sent": {"type": "range", "max": 5}},
+    })
+    df = events(spark, [{"dst_port": 22, "src_ip": "10.1.1.1", "bytes_sent": 5}, {"dst_port": 22, "src_ip": "10.1.1.1", "bytes_sent": 6}])
+    assert hit_ids(df, rule) == [0]
+    count = rule_from_dict({
+        "name": "c", "rule_type": "threshold", "rule_content": "x", "severity": "low",
+        "conditions": {"threshold": 2, "time_window_seconds": 9, "grouping_key": "username", "dst_port": 1},
+    })
+    assert (count.threshold, count.time_window_seconds, count.grouping_key, len(count.conditions)) == (2, 9, "username", 1)
+    assert (count.confidence, count.enabled, count.description) == (1.0, True, "")
+    with pytest.raises(ValueError, match="severity"):
+        rule_from_dict({"name": "w", "rule_type": "pattern", "rule_content": "x"})

@@ -132,7 +132,7 @@ def test_limit_decides_the_way(spark):
         spark.conf.unset(GROUP_LIMIT_CONF)
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(
     st.lists(
         st.tuples(st.sampled_from("ab"), st.integers(0, 25), st.sampled_from([None, 1, 2]), st.integers(0, 3)),

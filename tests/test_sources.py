@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from palisade.functions.indicators import indicator_type, url_host
 from palisade.functions.timestamps import parse_timestamp, squeeze
+from palisade.operators.reports import retained
 from palisade.plans.detect import detect, detect_and_store
 from palisade.plans.ingest import ingest, read_sources
 from palisade.rules.catalog import DEFAULT_RULES
+from palisade.session import drop_written, written
 from palisade.sources import datasets, feeds, logs, sinks
 from palisade.sources.captures import decode_packets, read_captures
 from palisade.sources.flows import flow_events
@@ -288,6 +290,28 @@ def test_ingest_detect_store(spark, tmp_path):
         read_sources(spark)
 
 
+def test_event_span_reads_only_its_days(spark, tmp_path):
+    table = str(tmp_path / "t")
+    sinks.write_events(events(spark, [{"t": 86_400.0 * d, "event_id": d} for d in range(6)]), table)
+    day = "2024-01-0{}".format
+    span = sinks.read_events(
+        spark, table, F.lit(day(2)).cast("timestamp"), F.lit(day(4)).cast("timestamp"), "network"
+    )
+    assert rows(span.select("event_id"), "event_id") == [(1,), (2,)]
+    plan = span._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "event_date" in filters and "event_type" in filters
+    now_day = F.lit("2024-01-06 12:00:00").cast("timestamp")
+    young = retained(spark.read.parquet(table), "timestamp", now_day, 2, "event_date")
+    assert rows(young.select("event_id"), "event_id") == [(4,), (5,)]
+
+
+def test_written_tables_can_be_dropped(spark):
+    drop_written(spark)
+    table = written(spark.range(3), "x")
+    assert table.count() == 3 and drop_written(spark) == 1 and drop_written(spark) == 0
+
+
 def test_detect_one_type(spark):
     df = events(spark, [{"dst_port": 23}]).unionByName(events(spark, [{"process_name": "ncat"}], "host"))
     assert [r["title"] for r in detect(df, DEFAULT_RULES, now(), event_type="host").collect()] == ["Netcat Usage"]
