@@ -18,6 +18,7 @@ SIGNATURE_WEIGHT = 0.7
 ANOMALY_WEIGHT = 0.3
 ANOMALY_TITLE = "ML Anomaly Detected"
 ANOMALY_TEXT = "Anomalous behavior detected with score %.2f"
+BROADCAST_RULES = 10_000
 SEVERITY_ORDER = ["low", "medium", "high", "critical"]
 
 
@@ -41,8 +42,13 @@ def signature_alerts(matches: DataFrame, rules: Sequence[Rule], created_at: Colu
         "attack_tactics",
         "attack_techniques",
     )
-    # One rule may make most of the matches.
-    joined = salted_join(matches, table, ["signature_id"], ["event_id"]).select(
+    # One rule may make most of the matches. A table of rules that people wrote fits
+    # every task; a larger one is joined by salted keys.
+    if len(rules) <= BROADCAST_RULES:
+        joined = matches.join(F.broadcast(table), "signature_id")
+    else:
+        joined = salted_join(matches, table, ["signature_id"], ["event_id"])
+    joined = joined.select(
         "*",
         alert_id(F.col("event_id"), F.col("title")).alias("alert_id"),
         F.lit("new").alias("status"),

@@ -13,11 +13,6 @@ def latest_filled(column: str, order: Column) -> Column:
     return F.max_by(column, F.when(F.col(column).isNotNull(), order))
 
 
-def first_row(column: str, order: Column) -> Column:
-    """The value on the oldest row."""
-    return F.min_by(column, order)
-
-
 def current_rules(changes: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """Rule table from (signature_id, seq, op, enabled, attributes...).
 

@@ -26,7 +26,6 @@ from palisade.operators.running import (
 from palisade.rules.compile import details_json, field, rule_column
 from palisade.rules.model import RULE_TYPES, Rule
 
-MATCH_COLUMNS = ["event_id", "timestamp", "signature_id", "confidence", "details"]
 # Generated code has a size limit per method; rules beyond it go to further arrays.
 RULES_PER_ARRAY = 100
 US = 1_000_000

@@ -6,6 +6,7 @@ import pytest
 from helpers import events, rows
 from pyspark.sql import functions as F
 
+from palisade.operators import alerts as alerts_module
 from palisade.operators.alerts import new_alerts_only, signature_alerts
 from palisade.plans.detect import detect
 from palisade.rules.catalog import DEFAULT_RULES
@@ -196,6 +197,16 @@ def test_alerts_are_idempotent(spark):
     assert one["matched_rules"] == '{"details":{"dst_port":"equals 23"}}'
 
 
+def test_large_rule_tables_are_not_broadcast(spark, monkeypatch):
+    df = events(spark, [{"dst_port": 23}, {"dst_port": 23}])
+    few = detect(df, DEFAULT_RULES, now())
+    assert "BroadcastHashJoin [signature_id" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(alerts_module, "BROADCAST_RULES", 5)
+    many = detect(df, DEFAULT_RULES, now())
+    assert "__salt" in many._jdf.queryExecution().executedPlan().toString()
+    assert rows(many.select("alert_id"), "alert_id") == rows(few.select("alert_id"), "alert_id")
+
+
 def test_pattern_and_ioc_rules_share_a_scan(spark):
     df = events(spark, [{"dst_port": 23, "src_ip": "9.9.9.9"}])
     ioc = Rule("i", "", "ioc", "", "high", ioc_values=("9.9.9.9",), signature_id=50)
