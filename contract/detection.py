@@ -17,7 +17,13 @@ from contract.adapters import (
 )
 from contract.registry import query, table
 from palisade.operators.alerts import fused_scores, signature_alerts
-from palisade.operators.running import GROUP_LIMIT_CONF, Trailing, trailing_distinct, trailing_sums
+from palisade.operators.running import (
+    GROUP_LIMIT_CONF,
+    Distinct,
+    Trailing,
+    trailing_distinct,
+    trailing_sums,
+)
 from palisade.functions.timestamps import micros
 from palisade.operators.sequences import followed_by
 from palisade.plans.detect import detect
@@ -338,8 +344,8 @@ def port_scan_distinct(spark, sf):
     base = net_events(spark, sf).select(
         "event_id", "src_ip", "dst_port", micros(F.col("timestamp")).alias("us")
     )
-    out = trailing_distinct(base, ["src_ip"], "us", ["event_id"], "dst_port", 86400 * US, "n_ports")
-    out = trailing_distinct(out, ["src_ip"], "us", ["event_id"], "dst_port", None, "n_ports_ever")
+    counts = [Distinct("n_ports", "dst_port", 86400 * US), Distinct("n_ports_ever", "dst_port", None)]
+    out = trailing_distinct(base, ["src_ip"], "us", ["event_id"], counts)
     return out.select("event_id", "n_ports", "n_ports_ever")
 
 
@@ -359,7 +365,7 @@ def _line_windows(spark, sf):
         micros(F.col("l_shipdate")).alias("us"),
     )
     ties = ["l_orderkey", "l_linenumber", "l_partkey"]
-    out = trailing_distinct(base, ["l_suppkey"], "us", ties, "l_partkey", WEEK_US, "n_parts")
+    out = trailing_distinct(base, ["l_suppkey"], "us", ties, [Distinct("n_parts", "l_partkey", WEEK_US)])
     out = trailing_sums(
         out, ["l_suppkey"], "us", ties, [Trailing("n", F.lit(1).cast("long"), WEEK_US)]
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palisade.functions.text import flag
 from palisade.functions.timestamps import micros
 from palisade.operators.running import (
+    Distinct,
     Trailing,
     measure_groups,
     trailing_distinct,
@@ -44,10 +45,15 @@ def connection_profile(events: DataFrame, window_seconds: int) -> DataFrame:
     base = events.withColumn("__us", micros(F.col("timestamp")))
     cut = measure_groups(base, ["src_ip"])
     out = trailing_distinct(
-        base, ["src_ip"], "__us", ["event_id"], "dst_port", window, "unique_dst_ports", cut
-    )
-    out = trailing_distinct(
-        out, ["src_ip"], "__us", ["event_id"], "dst_ip", window, "unique_dst_ips", cut
+        base,
+        ["src_ip"],
+        "__us",
+        ["event_id"],
+        [
+            Distinct("unique_dst_ports", "dst_port", window),
+            Distinct("unique_dst_ips", "dst_ip", window),
+        ],
+        cut,
     )
     return trailing_sums(
         out,

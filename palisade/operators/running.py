@@ -262,46 +262,56 @@ def _trailing_cut(df, keys, time_us, ties, sums, cut) -> DataFrame:
     return out.select("__row.*", *[s.name for s in sums])
 
 
+@dataclass(frozen=True)
+class Distinct:
+    """The number of different non-NULL values of a column over the last ``window_us``
+    microseconds (None: ever seen)."""
+
+    name: str
+    value: str
+    window_us: int | None
+
+
 def trailing_distinct(
     df: DataFrame,
     keys: Sequence[str],
     time_us: str,
     ties: Sequence[str],
-    value: str,
-    window_us: int | None,
-    name: str,
+    counts: Sequence[Distinct],
     cut: Cut | None = None,
 ) -> DataFrame:
-    """Distinct non-NULL values of the last ``window_us`` (None: ever seen) per key.
+    """Add distinct counts per key; rows of one microsecond see each other.
 
     A value is present from its first sighting until W after the last one with
     no longer gap, so the count at t is the number of presence intervals open at
-    t: a running sum of +1 / -1 marks, with no set held anywhere. Rows of one
-    microsecond see each other.
+    t: a running sum of +1 / -1 marks, with no set held anywhere. All counts share
+    one order of rows and marks.
     """
-    # Every group below is finer than ``keys`` or at most three times its size.
+    # Every group below is finer than ``keys`` or a small multiple of its size.
     cut = cut or measure_groups(df, keys)
     tie_cols = [f"__tie{i}" for i in range(len(ties))]
-    rows = df.select(
+    both = df.select(
         *keys,
         F.col(time_us).alias("__at"),
         F.lit(1).alias("__kind"),
         *[F.col(t).alias(c) for t, c in zip(ties, tie_cols)],
-        F.lit(0).cast("long").alias("__d"),
+        *[F.lit(0).cast("long").alias(f"__d{i}") for i in range(len(counts))],
         F.struct(*[F.col(c) for c in df.columns]).alias("__row"),
     )
     # Marks sort before the rows of their moment, so rows see all of them.
-    marks = _presence_marks(df, keys, value, time_us, window_us, cut).withColumn(
-        "__kind", F.lit(0)
-    )
+    for i, c in enumerate(counts):
+        marks = _presence_marks(df, keys, c.value, time_us, c.window_us, cut).select(
+            *keys, "__at", F.lit(0).alias("__kind"), F.col("__d").alias(f"__d{i}")
+        )
+        both = both.unionByName(marks, allowMissingColumns=True)
     counted = running(
-        rows.unionByName(marks, allowMissingColumns=True),
+        both,
         keys,
         ["__at", "__kind", *tie_cols],
-        [Measure(name, "sum", F.col("__d"))],
+        [Measure(c.name, "sum", F.col(f"__d{i}")) for i, c in enumerate(counts)],
         cut,
     )
-    return counted.where("__kind = 1").select("__row.*", name)
+    return counted.where("__kind = 1").select("__row.*", *[c.name for c in counts])
 
 
 def _presence_marks(df, keys, value, time_us, window_us, cut) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.timestamps import micros
 from palisade.operators.running import (
+    Distinct,
     Measure,
     Trailing,
     measure_groups,
@@ -232,7 +233,8 @@ def _count_ports(events, key, rule, ties, legacy, cut) -> DataFrame:
         base = base.withColumn("__ago", -F.col("__us"))
         time = "__ago"
     window = None if legacy else rule.time_window_seconds * US
-    counted = trailing_distinct(base, ["__group"], time, list(ties), "__port", window, "__n0", cut)
+    counts = [Distinct("__n0", "__port", window)]
+    counted = trailing_distinct(base, ["__group"], time, list(ties), counts, cut)
     return _fired(counted, key, [rule])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators.running import (
     GROUP_LIMIT_CONF,
+    Distinct,
     Measure,
     Trailing,
     measure_groups,
@@ -94,8 +95,13 @@ def test_trailing_distinct(spark, way):
     data = sample(300, 2)
     df = spark.createDataFrame(data, DDL)
     for window in (1, 7, 30, None):
-        got = trailing_distinct(df, ["k"], "us", ["id"], "v", window, "n")
+        got = trailing_distinct(df, ["k"], "us", ["id"], [Distinct("n", "v", window)])
         assert {r["id"]: r["n"] for r in got.collect()} == distinct_model(data, window)
+    both = [Distinct("a", "v", 9), Distinct("b", "x", None)]
+    got = trailing_distinct(df, ["k"], "us", ["id"], both).collect()
+    swapped = [(i, k, us, x, v) for i, k, us, v, x in data]
+    assert {r["id"]: r["a"] for r in got} == distinct_model(data, 9)
+    assert {r["id"]: r["b"] for r in got} == distinct_model(swapped, None)
 
 
 def test_rank_without_key(spark, way):
@@ -115,7 +121,7 @@ def test_null_keys_are_one_group(spark, way):
 def test_empty_input(spark, way):
     df = spark.createDataFrame([], DDL)
     assert running(df, ["k"], ["us"], [Measure("n", "sum", F.col("x"))]).count() == 0
-    assert trailing_distinct(df, ["k"], "us", ["id"], "v", 5, "n").count() == 0
+    assert trailing_distinct(df, ["k"], "us", ["id"], [Distinct("n", "v", 5)]).count() == 0
 
 
 def test_limit_decides_the_way(spark):
@@ -148,7 +154,7 @@ def test_random_rows_and_windows(spark, raw, window):
             spark.conf.set(GROUP_LIMIT_CONF, limit)
             got = trailing_sums(df, ["k"], "us", ["id"], [Trailing("n", F.col("x"), window)])
             assert {r["id"]: r["n"] for r in got.collect()} == trailing_model(data, window)
-            got = trailing_distinct(df, ["k"], "us", ["id"], "v", window, "n")
+            got = trailing_distinct(df, ["k"], "us", ["id"], [Distinct("n", "v", window)])
             assert {r["id"]: r["n"] for r in got.collect()} == distinct_model(data, window)
     finally:
         spark.conf.unset(GROUP_LIMIT_CONF)
