@@ -4,25 +4,29 @@ result is compared with the batch definition."""
 from pyspark.sql import functions as F
 
 from contract.adapters import (
+    DAY,
     HOST_SQL,
     NET_SQL,
     TEST_RULES,
     all_events,
     created_at,
+    host_events,
     net_events,
 )
 from contract.anomaly import FLOW_FEATURES
 from contract.detection import PATTERN_SQL, THRESHOLD_SQL
 from contract.features import FLOW_COLUMNS_SQL, FLOW_SQL, NET_DIGITS, _rounded
-from contract.registry import query
+from contract.registry import ORACLES, query
 from palisade.anomaly.forest import score_forest, train_forest
 from palisade.operators.features import network_columns
+from palisade.operators.profiles import host_profile
 from palisade.schemas import EVENT_SCHEMA
 from palisade.session import scratch_path
 from palisade.streaming.detect_stream import (
     read_event_files,
     start_detection,
     start_flow_statistics,
+    start_trailing,
     windowed_counts,
 )
 
@@ -71,6 +75,24 @@ def stream_alerts(spark, sf):
     )
 
 
+@query("stream_host_profile", ORACLES["host_profile"])
+def stream_host_profile(spark, sf):
+    """One-day host profiles on a stream, looking back across arrivals."""
+    base = scratch_path(spark, "stream-hosts")
+    process(
+        spark,
+        host_events(spark, sf),
+        lambda stream: start_trailing(
+            stream, lambda known: host_profile(known, DAY), DAY,
+            f"{base}/out", f"{base}/state", f"{base}/checkpoint", once=True,
+        ),
+    )
+    return spark.read.parquet(f"{base}/out").select(
+        "event_id", "failed_login_count", "privilege_escalation_attempts",
+        F.round("file_access_rate", 6).alias("file_access_rate"), "network_connection_count",
+    )
+
+
 @query(
     "stream_flow_stats",
     f"WITH {NET_SQL}, {FLOW_SQL} SELECT event_id, {FLOW_COLUMNS_SQL} FROM flow",

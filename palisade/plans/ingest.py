@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from palisade.operators.reports import event_counts
 from palisade.sources.captures import read_captures
-from palisade.sources.common import to_event_schema
+from palisade.sources.common import numbered, to_event_schema
 from palisade.sources.logs import read_log_directory
-from palisade.sources.sinks import write_events
+from palisade.sources.sinks import next_event_id, write_events
 
 log = logging.getLogger(__name__)
 
@@ -24,8 +24,10 @@ def read_sources(
     captures: str | None = None,
     logs: str | None = None,
     now: Column | None = None,
+    first_id: int = 0,
 ) -> DataFrame:
-    """Network and host events of the given folders as one table."""
+    """Network and host events of the given folders as one table, numbered from
+    ``first_id``."""
     stamp = F.current_timestamp() if now is None else now
     parts = []
     if captures:
@@ -35,7 +37,7 @@ def read_sources(
     if not parts:
         raise ValueError("no source given")
     events = reduce(DataFrame.unionByName, [to_event_schema(p) for p in parts])
-    return events.withColumn("created_at", stamp)
+    return numbered(events, first_id).withColumn("created_at", stamp)
 
 
 def ingest(
@@ -49,17 +51,18 @@ def ingest(
     A source that fails counts 0 and does not stop the other; returns the number of
     events per source and the total.
     """
-    sources: dict[str, Callable[[], DataFrame]] = {}
+    sources: dict[str, Callable[[int], DataFrame]] = {}
     if captures:
-        sources["network"] = lambda: read_sources(spark, captures=captures)
+        sources["network"] = lambda first: read_sources(spark, captures=captures, first_id=first)
     if logs:
-        sources["host"] = lambda: read_sources(spark, logs=logs)
+        sources["host"] = lambda first: read_sources(spark, logs=logs, first_id=first)
     results = dict.fromkeys(sources, 0)
     for name, read in sources.items():
         try:
             # Counted while it is written, so sources are read once.
             seen = Observation(name)
-            counted = read().observe(seen, F.count(F.lit(1)).alias("n"))
+            events = read(next_event_id(spark, path))
+            counted = events.observe(seen, F.count(F.lit(1)).alias("n"))
             write_events(counted, path)
             results[name] = seen.get["n"]
         except PySparkException as error:

@@ -11,6 +11,7 @@ from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from palisade.rules.model import RULE_TYPES, Rule
 
 # Generated code has a size limit per method; rules beyond it go to further arrays.
 RULES_PER_ARRAY = 100
+# Indicator lists above this length are sought with an automaton instead of a regex.
+LONG_LIST = 200
 US = 1_000_000
 
 
@@ -98,6 +101,49 @@ def pattern_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return _matched(events, _pattern_flags(events, rules))
 
 
+def _last_contained(values: Sequence[str]):
+    """A vectorised function giving the last listed value a text contains.
+
+    One automaton finds all values in a single pass over the text, however long the
+    list is.
+    """
+
+    @F.pandas_udf("string")
+    def find(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        empty = -1  # an empty value is part of every text
+        for i, value in enumerate(values):
+            if value:
+                automaton.add_word(value, i)
+            else:
+                empty = i
+        automaton.make_automaton()
+
+        def last(text: str | None) -> str | None:
+            best = max((i for _, i in automaton.iter(text)), default=empty) if text else -1
+            return values[max(best, empty)] if best >= 0 else None
+
+        return texts.map(last)
+
+    return find
+
+
+def _with_long_lists(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Add the value found in the command line for rules with long lists."""
+    found = {
+        _found(r): _last_contained(r.ioc_values)(F.col("command_line"))
+        for r in enabled_of(rules, "ioc")
+        if len(r.ioc_values) > LONG_LIST
+    }
+    return events.withColumns(found) if found else events
+
+
+def _found(rule: Rule) -> str:
+    return f"__found_{rule.signature_id}"
+
+
 def _ioc_flags(rules: Sequence[Rule]) -> list[tuple[Column, Column]]:
     network, host = F.col("event_type") == "network", F.col("event_type") == "host"
     command = F.col("command_line")
@@ -109,10 +155,14 @@ def _ioc_flags(rules: Sequence[Rule]) -> list[tuple[Column, Column]]:
         source = network & F.col("src_ip").isin(values)
         target = network & F.col("dst_ip").isin(values)
         process = host & (F.col("process_name") != "") & F.col("process_name").isin(values)
-        # One regex decides whether any value occurs; only then the last one is sought.
-        inside = host & (command != "") & command.rlike("|".join(re.escape(v) for v in values))
-        known = F.array(*[F.lit(v) for v in values])
-        last = F.try_element_at(F.filter(known, lambda v: command.contains(v)), F.lit(-1))
+        if len(values) > LONG_LIST:
+            last = F.col(_found(r))
+            inside = host & last.isNotNull()
+        else:
+            # One regex decides whether any value occurs; only then the last is sought.
+            inside = host & (command != "") & command.rlike("|".join(re.escape(v) for v in values))
+            known = F.array(*[F.lit(v) for v in values])
+            last = F.try_element_at(F.filter(known, lambda v: command.contains(v)), F.lit(-1))
         test = source | target | process | inside
         if r.event_type is not None:
             test = (F.col("event_type") == r.event_type) & test
@@ -133,12 +183,13 @@ def ioc_rule_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     process name and, as substring, the command line (the last value found in
     list order is reported).
     """
-    return _matched(events, _ioc_flags(rules))
+    return _matched(_with_long_lists(events, rules), _ioc_flags(rules))
 
 
 def stateless_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Pattern and indicator rules together, in one scan."""
-    return _matched(events, _pattern_flags(events, rules) + _ioc_flags(rules))
+    flags = _pattern_flags(events, rules) + _ioc_flags(rules)
+    return _matched(_with_long_lists(events, rules), flags)
 
 
 def threshold_matches(

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions.network import protocol_name
-from palisade.sources.common import to_event_schema
+from palisade.sources.common import numbered, to_event_schema
 
 PACKET_DDL = (
     "path STRING, packet_no LONG, ts_us LONG, length LONG, ip_version INT, proto INT, ttl INT,"
@@ -243,8 +243,8 @@ def packet_events(decoded: DataFrame) -> DataFrame:
         )
     )
     return to_event_schema(
-        decoded.select(
-            F.xxhash64("path", "packet_no").alias("event_id"),
+        numbered(decoded).select(
+            "event_id",
             F.timestamp_micros("ts_us").alias("timestamp"),
             F.lit("network").alias("event_type"),
             F.lit("pcap").alias("source"),

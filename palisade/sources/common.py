@@ -8,22 +8,27 @@ from pyspark.sql import functions as F
 from palisade.schemas import EVENT_SCHEMA
 
 
-def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(event_id, source, line) of all text files under ``path``.
+def numbered(events: DataFrame, first_id: int = 0) -> DataFrame:
+    """Give the rows of one read their ids: unique, without a shuffle, and the same
+    for a retried task and for another run over the same files.
 
-    The id is a hash of file, block and position in the block: file splits are the
-    same on every run and on every retry, so ids are too, and no shuffle is needed.
+    Numbers are counted per partition from ``first_id``; give a later read the next
+    free one (:func:`palisade.sources.sinks.next_event_id`). Number after a union, as
+    its branches count on their own.
     """
+    ids = F.monotonically_increasing_id() + F.lit(first_id).cast("long")
+    return events.withColumn("event_id", ids)
+
+
+def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(event_id, source, line) of all text files under ``path``."""
     reader = spark.read.option("recursiveFileLookup", "false")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(
-        F.xxhash64(
-            "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()
-        ).alias("event_id"),
-        F.col("_metadata.file_name").alias("source"),
-        F.col("value").alias("line"),
+    lines = reader.text(path).select(
+        F.col("_metadata.file_name").alias("source"), F.col("value").alias("line")
     )
+    return numbered(lines)
 
 
 def to_event_schema(df: DataFrame, *extra: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import blank_to_null, first_filled, strip
 from palisade.functions.timestamps import parse_timestamp, squeeze
-from palisade.sources.common import read_lines, to_event_schema, to_process_id
+from palisade.sources.common import numbered, read_lines, to_event_schema, to_process_id
 from palisade.sources.xml_events import read_xml_events
 
 # Line shapes.
@@ -220,4 +220,4 @@ def read_log_directory(
         read_json_logs(spark, path, year, now, "*.json"),
         read_xml_events(spark, path, year, now, "*.{xml,evtx}"),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return numbered(reduce(DataFrame.unionByName, parts))

@@ -43,6 +43,16 @@ def read_events(
     return events
 
 
+def next_event_id(spark: SparkSession, path: str) -> int:
+    """The first id no stored event has; 0 where nothing is stored."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:
+        return 0
+    highest = stored.agg(F.max("event_id")).first()[0]
+    return 0 if highest is None else highest + 1
+
+
 def write_alerts(alerts: DataFrame, path: str) -> None:
     """Append the alerts that are not stored yet, by day of creation."""
     spark = alerts.sparkSession

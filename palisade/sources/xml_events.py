@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import blank_to_null
 from palisade.functions.timestamps import parse_timestamp, squeeze
-from palisade.sources.common import to_event_schema, to_process_id
+from palisade.sources.common import numbered, to_event_schema, to_process_id
 
 XML_DDL = (
     "System STRUCT<EventID: STRING, TimeCreated: STRUCT<_SystemTime: STRING>, Computer: STRING>,"
@@ -29,12 +29,11 @@ def read_xml_events(
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     rows = reader.load(path).select(
-        F.xxhash64("_metadata.file_path", F.monotonically_increasing_id()).alias("event_id"),
         F.col("_metadata.file_name").alias("source"),
         "System",
         "EventData",
     )
-    return xml_events(rows, year, now)
+    return xml_events(numbered(rows), year, now)
 
 
 def xml_events(rows: DataFrame, year: Column, now: Column) -> DataFrame:

@@ -63,36 +63,61 @@ def _read_tail(spark: SparkSession, state: str, batch: int, schema: T.StructType
     return spark.read.schema(schema).parquet(_tail_path(state, batch - 1))
 
 
-def alert_writer(
-    rules: Sequence[Rule], alerts: str, state: str, created_at: Column | None = None
+def trailing_writer(
+    operator: Callable[[DataFrame], DataFrame], window_seconds: int, out: str, state: str
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: alerts of the batch to ``alerts/batch=<n>``, the
-    tail of the stream to ``state``."""
-    counted = enabled_of(rules, "threshold")
-    longest = max((r.time_window_seconds for r in counted), default=0) * US
+    """A ``foreachBatch`` function that runs a batch operator over the batch and the
+    tail of the stream before it.
+
+    ``operator`` returns rows with ``event_id`` and looks back at most the window. Its
+    rows for the batch go to ``out/batch=<n>``, the new tail to ``state``; repeating a
+    batch rewrites both.
+    """
 
     def process(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        events = batch.persist()  # read twice below; recomputed from the source if lost
-        tail = _read_tail(spark, state, number, events.schema)
-        known = tail.unionByName(events)
-        matches = match_events(known, rules).join(
-            events.select("event_id"), "event_id", "left_semi"
-        )
-        stamp = F.current_timestamp() if created_at is None else created_at
-        signature_alerts(matches, rules, stamp).write.mode("overwrite").parquet(
-            f"{alerts}/batch={number}"
-        )
-        newest = known.agg(F.max(micros(F.col("timestamp")))).first()[0]
-        kept = known.where(
-            micros(F.col("timestamp")) > F.lit((newest or 0) - longest)
-        )
+        events = batch.persist()  # read several times; recomputed from the source if lost
+        known = _read_tail(batch.sparkSession, state, number, events.schema).unionByName(events)
+        fresh = operator(known).join(events.select("event_id"), "event_id", "left_semi")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        time = micros(F.col("timestamp"))
+        newest = known.agg(F.max(time)).first()[0] or 0
+        kept = known.where(time > F.lit(newest - window_seconds * US))
         kept.write.mode("overwrite").parquet(_tail_path(state, number))
         events.unpersist()
 
     return process
 
 
+def alert_writer(
+    rules: Sequence[Rule], alerts: str, state: str, created_at: Column | None = None
+) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function of detection: alerts of each batch."""
+
+    def alerts_of(known: DataFrame) -> DataFrame:
+        stamp = F.current_timestamp() if created_at is None else created_at
+        return signature_alerts(match_events(known, rules), rules, stamp)
+
+    counted = enabled_of(rules, "threshold")
+    longest = max((r.time_window_seconds for r in counted), default=0)
+    return trailing_writer(alerts_of, longest, alerts, state)
+
+
+def start_trailing(
+    events: DataFrame,
+    operator: Callable[[DataFrame], DataFrame],
+    window_seconds: int,
+    out: str,
+    state: str,
+    checkpoint: str,
+    once: bool = False,
+) -> StreamingQuery:
+    """Run an operator with a bounded look-back, such as host behaviour, on a stream."""
+    writer = events.writeStream.foreachBatch(
+        trailing_writer(operator, window_seconds, out, state)
+    ).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def start_detection(
     events: DataFrame,
     rules: Sequence[Rule],

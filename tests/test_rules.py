@@ -130,6 +130,18 @@ def test_ioc_rule(spark):
     ]
 
 
+def test_long_ioc_list(spark):
+    values = tuple(f"bad{i}." for i in range(500)) + ("ad7", "9.9.9.9")
+    rule = Rule("i", "", "ioc", "", "high", ioc_values=values, signature_id=9)
+    df = events(spark, [
+        {"command_line": "x bad7. y bad3. z"}, {"command_line": "bad5"}, {"command_line": None},
+        {"command_line": "bad499.bad12."}, {"event_type": "network", "src_ip": "9.9.9.9"},
+    ], "host")
+    assert rows(ioc_rule_matches(df, [rule]).select("event_id", "details"), "event_id") == [
+        (0, '{"command_line":"ad7"}'), (3, '{"command_line":"bad499."}'), (4, '{"src_ip":"9.9.9.9"}'),
+    ]
+
+
 def threshold(name="t", n=3, seconds=10, conditions=(), key="src_ip", **kw):
     return Rule(name, "", "threshold", "", "high", "network", tuple(conditions), threshold=n,
                 time_window_seconds=seconds, grouping_key=key, confidence=0.5, signature_id=4, **kw)

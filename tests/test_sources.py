@@ -281,7 +281,12 @@ def test_ingest_detect_store(spark, tmp_path):
     assert got == {"network": 7, "host": 4, "total": 11}
     assert ingest(spark, table, captures=str(tmp_path / "nowhere")) == {"network": 0, "total": 0}
     stored = sinks.read_events(spark, table)
+    assert stored.select("event_id").distinct().count() == 11
     assert stored.count() == 11 and {"event_date", "event_type"} <= set(stored.columns)
+    assert ingest(spark, str(tmp_path / "twice"), logs=str(tmp_path / "logs"))["total"] == 4
+    assert ingest(spark, str(tmp_path / "twice"), logs=str(tmp_path / "logs"))["total"] == 4
+    twice = spark.read.parquet(str(tmp_path / "twice"))
+    assert twice.select("event_id").distinct().count() == 8
     alerts = str(tmp_path / "alerts")
     first = detect_and_store(stored, alerts).first()
     assert (first["events_processed"], first["alerts_generated"], first["critical"]) == (11, 1, 1)

@@ -4,7 +4,7 @@ import pytest
 from helpers import events, rows
 from pyspark.sql import functions as F
 
-from palisade.operators.features import flow_columns
+from palisade.operators.features import flow_columns, host_features
 from palisade.plans.detect import detect
 from palisade.rules.model import Condition, Rule
 from palisade.schemas import EVENT_SCHEMA
@@ -13,6 +13,7 @@ from palisade.streaming.detect_stream import (
     read_event_files,
     start_detection,
     start_flow_statistics,
+    start_trailing,
     windowed_counts,
 )
 
@@ -59,6 +60,19 @@ def test_stream_alerts_equal_batch(spark, table, tmp_path, way):
     assert rows(stored.select(*keep), "alert_id") == want and len(want) > 20
 
 
+def test_host_behaviour_on_a_stream(spark, tmp_path):
+    data = [
+        {"event_id": i, "t": float(i * 11 % 97), "hostname": "hg"[i % 3 == 0], "username": "u",
+         "process_name": "p" if i % 2 else None, "command_line": "c" if i % 5 else ""}
+        for i in range(60)
+    ]
+    hosts = events(spark, data, "host")
+    paths = [str(tmp_path / x) for x in ("out", "state", "checkpoint")]
+    run(spark, hosts, str(tmp_path / "in"), lambda s: start_trailing(s, host_features, 300, *paths, once=True))
+    keep = ["event_id", "process_spawn_rate", "login_frequency", "command_execution_rate"]
+    assert rows(spark.read.parquet(paths[0]).select(*keep), "event_id") == rows(host_features(hosts).select(*keep), "event_id")
+
+
 def test_repeated_batch_changes_nothing(spark, table, tmp_path):
     parts = list(slices(table))
     writer = alert_writer(RULES, str(tmp_path / "a"), str(tmp_path / "s"), now())
