@@ -201,3 +201,63 @@ def test_registry_and_store(spark, clusters, tmp_path):
     assert one["model_name"] == "isolation_forest, one_class_svm, autoencoder"
     with pytest.raises(ValueError, match="no active model"):
         score_events(events, "event_id", {})
+
+
+def table_of(spark, matrix):
+    names = [f"f{i}" for i in range(matrix.shape[1])]
+    data = [(i, *map(float, r)) for i, r in enumerate(matrix)]
+    return spark.createDataFrame(data, "id long, " + ", ".join(f"{n} double" for n in names)), names
+
+
+def test_forest_scores_match_a_walk_by_hand(spark):
+    x = np.random.default_rng(7).normal(size=(300, 3))
+    df, names = table_of(spark, x)
+    forest = train_forest(df, names, "id", n_estimators=8, sample_size=32, contamination=0.1)
+    assert forest.nodes["tree"].nunique() == 8
+    trees = [t.set_index("node") for _, t in forest.nodes.groupby("tree")]
+
+    def depth(tree, row):
+        node = tree.loc[0]
+        while node["feature"] >= 0:
+            side = "left_node" if row[int(node["feature"])] <= node["cut"] else "right_node"
+            node = tree.loc[int(node[side])]
+        return node["path"]
+
+    want = [2.0 ** -(np.mean([depth(t, r) for t in trees]) / expected_path(32)) for r in x]
+    got = score_forest(df, forest).orderBy("id").collect()
+    assert [r["score"] for r in got] == pytest.approx(want)
+    assert 0.05 < np.mean([r["is_anomaly"] for r in got]) < 0.12
+
+
+def test_kernel_decision_matches_numpy(spark):
+    from palisade.anomaly.kernel import score_kernel, train_kernel
+
+    x = np.random.default_rng(8).normal(size=(400, 4))
+    df, names = table_of(spark, x)
+    model = train_kernel(df.repartition(3), names, nu=0.2, n_components=64)
+    z = np.sqrt(2 / 64) * np.cos(x @ model.directions + model.shifts)
+    want = z @ z.mean(axis=0)
+    got = np.array([r["decision"] for r in score_kernel(df, model).orderBy("id").collect()])
+    assert got + model.offset == pytest.approx(want)
+    assert np.mean(got < 0) == pytest.approx(0.2, abs=0.01)
+    # With many components (the error falls with their square root) the feature map
+    # gives the kernel itself, with gamma = 1 / number of features.
+    wide = train_kernel(df, names, n_components=4096)
+    got = np.array([r["decision"] for r in score_kernel(df, wide).orderBy("id").collect()])
+    exact = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / 4).mean(axis=1)
+    assert np.abs(got + wide.offset - exact).max() < 0.03
+
+
+def test_reconstruction_error_matches_numpy(spark):
+    from palisade.anomaly.reconstruction import score_reconstruction, train_reconstruction
+
+    x = np.random.default_rng(9).normal(size=(200, 5)) * np.array([1, 2, 3, 4, 5]) + 7
+    x[:, 4] += 2 * x[:, 0]
+    df, names = table_of(spark, x)
+    model = train_reconstruction(df, names, encoding_dim=2)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    top = np.linalg.svd(z, full_matrices=False)[2][:2]
+    want = ((z - z @ top.T @ top) ** 2).mean(axis=1)
+    got = score_reconstruction(df, model).orderBy("id").collect()
+    assert [r["error"] for r in got] == pytest.approx(want)
+    assert np.mean([r["is_anomaly"] for r in got]) == pytest.approx(0.05, abs=0.011)
