@@ -41,6 +41,12 @@ def _sampled(df: DataFrame, sample_size: int | None) -> DataFrame:
     return df if not sample_size else sample_rows(df, ROW_ID, sample_size)
 
 
+def _column_name(header: str) -> str:
+    """Trimmed, without dots, which would read as a path into a struct."""
+    name = header.strip().replace(".", "_")
+    return "label" if name == "Label" else name
+
+
 def flow_csv_set(
     spark: SparkSession, paths: Sequence[str], sample_size: int | None = None
 ) -> DataFrame:
@@ -54,7 +60,7 @@ def flow_csv_set(
         parts.append(
             raw.select(
                 *[
-                    F.col(f"`{c}`").alias("label" if c.strip() == "Label" else c.strip())
+                    F.col(f"`{c}`").alias(_column_name(c))
                     for c in raw.columns
                 ]
             )

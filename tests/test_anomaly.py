@@ -261,3 +261,25 @@ def test_reconstruction_error_matches_numpy(spark):
     got = score_reconstruction(df, model).orderBy("id").collect()
     assert [r["error"] for r in got] == pytest.approx(want)
     assert np.mean([r["is_anomaly"] for r in got]) == pytest.approx(0.05, abs=0.011)
+
+
+def test_training_on_a_flow_csv_set(spark, tmp_path):
+    """From files with awkward column names and gaps to registered models."""
+    from palisade.sources.datasets import ROW_ID, flow_csv_set
+
+    rng = np.random.default_rng(11)
+    lines = [" Flow Duration, Flow Bytes/s,Fwd Len. Mean,Total, Label"]
+    for i in range(400):
+        far = i >= 340
+        a, b, c = rng.normal(20 if far else 0, 1, 3)
+        lines.append(f"{a},{'' if i % 9 == 0 else 'Infinity' if i % 50 == 1 else b},{c},{i % 2},{'DDoS' if far else 'BENIGN'}")
+    (tmp_path / "d.csv").write_text("\n".join(lines) + "\n")
+    table = flow_csv_set(spark, [str(tmp_path / "d.csv")])
+    numbers = [c for c in table.columns if c not in (ROW_ID, "label")]
+    assert numbers == ["Flow Duration", "Flow Bytes/s", "Fwd Len_ Mean", "Total"]
+    data = prepare(table, "label", ROW_ID, numbers)
+    for name in MODEL_TYPES:
+        out = train_and_register(data, ROW_ID, name, str(tmp_path / "m"), "flows")
+        if name == "isolation_forest":
+            assert out["metrics"]["recall"] > 0.9
+    assert read_registry(spark, str(tmp_path / "m")).count() == 3
