@@ -10,7 +10,7 @@ from palisade.schemas import EVENT_SCHEMA
 
 def numbered(events: DataFrame, first_id: int = 0) -> DataFrame:
     """Give the rows of one read their ids: unique, without a shuffle, and the same
-    for a retried task and for another run over the same files.
+    for a retried task and for another run over the same files and split settings.
 
     Numbers are counted per partition from ``first_id``; give a later read the next
     free one (:func:`palisade.sources.sinks.next_event_id`). Number after a union, as
