@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palisade.llm.bpe import bpe_digests, word_vocabulary
 from palisade.llm.common import table
+from palisade.llm.line_blocks import extract
 from palisade.llm.sharding import shard_report
 from palisade.llm.token_files import byte_vocabulary, token_file_report
+from palisade.llm.url_equivalence import ORACLE as URL_SQL
+from palisade.llm.url_equivalence import judge
 from palisade.session import configure, ship_packages
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -44,7 +47,24 @@ def op8_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
+def op9_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge the url of every page by the rules, or by what its aliases inherit."""
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extract the main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: prepared(f) for f in (op2_bpe_automaton, op6_byte_shards, op8_huffman_tokens)
+    f.__name__: prepared(f)
+    for f in (
+        op2_bpe_automaton,
+        op6_byte_shards,
+        op8_huffman_tokens,
+        op9_url_aliases,
+        op10_line_blocks,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_url_aliases": URL_SQL}
