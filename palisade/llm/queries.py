@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from palisade.llm.bpe import bpe_digests, word_vocabulary
 from palisade.llm.common import table
 from palisade.llm.line_blocks import extract
+from palisade.llm.quality_rules import ORACLE as RULES_SQL
+from palisade.llm.quality_rules import judge as judge_quality
 from palisade.llm.sharding import shard_report
 from palisade.llm.token_files import byte_vocabulary, token_file_report
 from palisade.llm.url_equivalence import ORACLE as URL_SQL
@@ -32,6 +34,11 @@ def prepared(fn: Query) -> Query:
     return run
 
 
+def op1_language_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every document by counts and by its distance from its language."""
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document with the merge automaton and decode it again."""
     return bpe_digests(table(spark, sf_dir, "documents"), word_vocabulary())
@@ -60,6 +67,7 @@ def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: prepared(f)
     for f in (
+        op1_language_divergence,
         op2_bpe_automaton,
         op6_byte_shards,
         op8_huffman_tokens,
@@ -67,4 +75,4 @@ QUERIES: dict[str, Query] = {
         op10_line_blocks,
     )
 }
-ORACLES: dict[str, str] = {"op9_url_aliases": URL_SQL}
+ORACLES: dict[str, str] = {"op1_language_divergence": RULES_SQL, "op9_url_aliases": URL_SQL}
