@@ -30,7 +30,9 @@ CLASSES = ["\\p{Ll}", "\\p{Lu}", "\\p{Nd}", " \\t-\\r", ".,;:!?'\"()\\-"]
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of the words
 CHARACTER_DISTANCE = 0.28
-WORD_DISTANCE = 0.36
+# What chance adds to a sample of n words falls with the root of n.
+WORD_DISTANCE = 0.14
+WORD_SPREAD = 1.4
 MIN_WORDS_FOR_WORDS = 100
 
 GAP = "[ \\t-\\r]+"
@@ -200,7 +202,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     characters = distance(shares(F.col("characters")), F.col("ref_characters"))
     words = distance(shares(F.col("words")), F.col("ref_words"))
     far = characters > CHARACTER_DISTANCE
-    far |= F.when(F.col("n_words") >= MIN_WORDS_FOR_WORDS, words > WORD_DISTANCE).otherwise(F.lit(False))
+    limit = WORD_DISTANCE + WORD_SPREAD / F.sqrt("n_words")
+    far |= F.when(F.col("n_words") >= MIN_WORDS_FOR_WORDS, words > limit).otherwise(F.lit(False))
     return rows.select(
         "doc_id",
         "n_words",
@@ -264,7 +267,7 @@ def _oracle() -> str:
            CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
            CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
            NOT base_failed AND NOT coalesce(far_c > {CHARACTER_DISTANCE}
-               OR (n_words >= {MIN_WORDS_FOR_WORDS} AND far_w > {WORD_DISTANCE}), false) AS kept
+               OR (n_words >= {MIN_WORDS_FOR_WORDS} AND far_w > {WORD_DISTANCE} + {WORD_SPREAD} / sqrt(n_words)), false) AS kept
     FROM q
     """
 
