@@ -12,6 +12,7 @@ from palisade.llm.common import table
 from palisade.llm.line_blocks import extract
 from palisade.llm.quality_rules import ORACLE as RULES_SQL
 from palisade.llm.quality_rules import judge as judge_quality
+from palisade.llm.ranking import learn, score
 from palisade.llm.sharding import shard_report
 from palisade.llm.token_files import byte_vocabulary, token_file_report
 from palisade.llm.url_equivalence import ORACLE as URL_SQL
@@ -44,6 +45,12 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document by preferences learnt from the labels."""
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cut all documents, in order of doc_id, into 16 shards of equal bytes."""
     return shard_report(table(spark, sf_dir, "documents"))
@@ -69,6 +76,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_language_divergence,
         op2_bpe_automaton,
+        op5_pairwise_quality,
         op6_byte_shards,
         op8_huffman_tokens,
         op9_url_aliases,
