@@ -13,6 +13,7 @@ from palisade.llm.line_blocks import extract
 from palisade.llm.quality_rules import ORACLE as RULES_SQL
 from palisade.llm.quality_rules import judge as judge_quality
 from palisade.llm.ranking import learn, score
+from palisade.llm.repeats import repeat_report
 from palisade.llm.sharding import shard_report
 from palisade.llm.token_files import byte_vocabulary, token_file_report
 from palisade.llm.url_equivalence import ORACLE as URL_SQL
@@ -45,6 +46,11 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op3_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut strings of 400 bytes that occur elsewhere out of every document."""
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document by preferences learnt from the labels."""
     docs = table(spark, sf_dir, "documents")
@@ -76,6 +82,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_language_divergence,
         op2_bpe_automaton,
+        op3_prefix_doubling,
         op5_pairwise_quality,
         op6_byte_shards,
         op8_huffman_tokens,
