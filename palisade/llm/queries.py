@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palisade.llm.bpe import bpe_digests, word_vocabulary
 from palisade.llm.common import table
 from palisade.llm.line_blocks import extract
+from palisade.llm.near_duplicates import near_report
 from palisade.llm.quality_rules import ORACLE as RULES_SQL
 from palisade.llm.quality_rules import judge as judge_quality
 from palisade.llm.ranking import learn, score
@@ -51,6 +52,11 @@ def op3_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return near_report(table(spark, sf_dir, "documents"))
+
+
 def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document by preferences learnt from the labels."""
     docs = table(spark, sf_dir, "documents")
@@ -83,6 +89,7 @@ QUERIES: dict[str, Query] = {
         op1_language_divergence,
         op2_bpe_automaton,
         op3_prefix_doubling,
+        op4_prob_minhash,
         op5_pairwise_quality,
         op6_byte_shards,
         op8_huffman_tokens,
