@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palisade.llm.bpe import bpe_digests, word_vocabulary
 from palisade.llm.common import table
+from palisade.llm.decontamination import leak_report
 from palisade.llm.line_blocks import extract
 from palisade.llm.near_duplicates import near_report
 from palisade.llm.quality_rules import ORACLE as RULES_SQL
@@ -68,6 +69,11 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(table(spark, sf_dir, "documents"))
 
 
+def op7_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find items of the benchmark in all documents."""
+    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the ids of all documents Huffman-coded, and read them back."""
     return token_file_report(table(spark, sf_dir, "documents"), byte_vocabulary())
@@ -92,6 +98,7 @@ QUERIES: dict[str, Query] = {
         op4_prob_minhash,
         op5_pairwise_quality,
         op6_byte_shards,
+        op7_latent_retrieval,
         op8_huffman_tokens,
         op9_url_aliases,
         op10_line_blocks,
