@@ -26,8 +26,6 @@ import json
 import unicodedata
 from functools import cache
 
-import numpy as np
-
 from palisade.llm.pieces import Encoder, byte_letters, cut_words
 
 FOREVER = 1 << 60
@@ -180,7 +178,4 @@ def load(path: str) -> tuple[MergeAutomaton, Encoder]:
         # Lower case character by character: no final sigma.
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def piece(word: str) -> bytes:
-        return np.array(automaton.encode(word), "<u4").tobytes()
-
-    return automaton, Encoder(cut_words, piece, special, normalise)
+    return automaton, Encoder(cut_words, automaton.encode, special, normalise)

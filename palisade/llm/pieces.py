@@ -18,9 +18,10 @@ import regex
 END = 0x110000
 SPECIAL = END + 1
 LETTER, NUMBER, SPACE, OTHER, STOP, MARK = 1, 2, 3, 4, 0, 5
-# Code points handled at once, and pieces remembered.
+# Code points handled at once; pieces remembered, and how many of them not yet in order.
 CHUNK = 1 << 19
-REMEMBERED = 400_000
+REMEMBERED = 2_000_000
+FRESH = 50_000
 
 # White space as the tokenizers' regular expressions see it (fixed values).
 WHITE = "\t\n\x0b\f\r \x85\xa0  -     　"
@@ -130,18 +131,56 @@ def parts(text: str, size: int = CHUNK) -> Iterable[str]:
 _LONE = regex.compile(r"\S(?= \S)")
 
 
+class _Known:
+    """The ids of pieces by hash: sorted arrays, about 30 bytes a piece, and a few new ones."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        self.fresh: dict[int, tuple[int, int]] = {}
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, number of ids, which are missing) of ascending ``keys``."""
+        if not self.keys.size:
+            return np.zeros(keys.size, np.int64), np.zeros(keys.size, np.int64), np.arange(keys.size)
+        place = np.minimum(np.searchsorted(self.keys, keys), self.keys.size - 1)
+        return self.at[place], self.size[place], np.flatnonzero(self.keys[place] != keys)
+
+    def add(self, ids: list[int]) -> None:
+        if self.used + len(ids) > self.ids.size:
+            more = np.zeros(max(2 * self.ids.size, self.used + len(ids)), np.uint32)
+            more[: self.used] = self.ids[: self.used]
+            self.ids = more
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def settle(self) -> None:
+        """Sort the new pieces in."""
+        n = len(self.fresh)
+        keys = np.concatenate([self.keys, np.fromiter(self.fresh, np.uint64, n)])
+        order = np.argsort(keys, kind="stable")
+        pairs = np.array(list(self.fresh.values()), np.int64).reshape(n, 2)
+        self.keys = keys[order]
+        self.at = np.concatenate([self.at, pairs[:, 0]])[order]
+        self.size = np.concatenate([self.size, pairs[:, 1]])[order]
+        self.fresh = {}
+
+
 class Encoder:
     """Encodes whole texts with a vocabulary that encodes one piece at a time.
 
-    ``encode_piece`` returns a piece's ids as little-endian unsigned 32-bit integers;
-    ``cut`` is one of the two cuts above; ``normalise`` is applied to what lies between
-    special tokens, whose strings are looked for first.
+    ``encode_piece`` returns a piece's ids; ``cut`` is one of the two cuts above;
+    ``normalise`` is applied to what lies between special tokens, whose strings are looked
+    for first.
     """
 
     def __init__(
         self,
         cut: Callable,
-        encode_piece: Callable[[str], bytes],
+        encode_piece: Callable[[str], list[int]],
         special: dict[str, int],
         normalise: Callable[[str], str] | None = None,
     ):
@@ -149,9 +188,9 @@ class Encoder:
         self.special = special
         names = sorted(special, key=len, reverse=True)
         self.marks = {name: chr(0xE000 + i) for i, name in enumerate(names)}
-        self.by_mark = [np.uint32(special[name]).tobytes() for name in names]
+        self.by_mark = [[special[name]] for name in names]
         self.split = regex.compile("|".join(map(regex.escape, names))) if names else None
-        self.known: dict[int, bytes] = {}
+        self.known = _Known()
 
     def _points(self, text: str) -> list[np.ndarray]:
         def plain(s: str) -> np.ndarray:
@@ -173,26 +212,31 @@ class Encoder:
         if not first.size:
             return np.zeros(0, np.uint32), first, np.zeros(1, np.int64)
         value, example, which = np.unique(hashes(points, first, end), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, codes = self.known, []
-        for h, e in zip(value.tolist(), example.tolist()):
-            code = known.get(h)
-            if code is None:
-                a, b = first[e], end[e]
+        if self.known.keys.size > REMEMBERED:
+            self.known = _Known()
+        known = self.known
+        starts, sizes, missing = known.find(value)
+        fresh, more, at = known.fresh, [], known.used
+        for i, h in zip(missing.tolist(), value[missing].tolist()):
+            place = fresh.get(h)
+            if place is None:
+                a, b = first[example[i]], end[example[i]]
                 if points[a] >= SPECIAL:
-                    code = self.by_mark[points[a] - SPECIAL]
+                    ids = self.by_mark[points[a] - SPECIAL]
                 else:
-                    code = self.encode_piece(points[a:b].tobytes().decode("utf-32-le"))
-                known[h] = code
-            codes.append(code)
-        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) >> 2
-        starts = np.cumsum(sizes) - sizes
-        flat = np.frombuffer(b"".join(codes), np.uint32)
+                    ids = self.encode_piece(points[a:b].tobytes().decode("utf-32-le"))
+                place = fresh[h] = (at, len(ids))
+                at += len(ids)
+                more += ids
+            starts[i], sizes[i] = place
+        known.add(more)
         count = sizes[which]
         before = np.concatenate([[0], np.cumsum(count)])
         take = np.arange(before[-1]) + np.repeat(starts[which] - before[:-1], count)
-        return flat[take], first, before
+        ids = known.ids[take]
+        if len(fresh) > FRESH:
+            known.settle()
+        return ids, first, before
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of every text; a null text has none."""

@@ -53,9 +53,9 @@ def load(path: str) -> tuple[Encoder, int]:
     model, letters = tokenizer.model, byte_letters()
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
-    def piece(text: str) -> bytes:
+    def piece(text: str) -> list[int]:
         mapped = "".join([letters[b] for b in text.encode()])
-        return np.array([t.id for t in model.tokenize(mapped)], "<u4").tobytes()
+        return [t.id for t in model.tokenize(mapped)]
 
     largest = max(tokenizer.get_vocab(with_added_tokens=True).values())
     return Encoder(cut_with_spaces, piece, special), largest + 1
