@@ -80,13 +80,11 @@ def contiguous_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write whole rows under ``path/shard=N``; equal (id, text) rows go where the first of them lies."""
-    sizes = row_sizes(docs, id_col, text_col)
-    plan = contiguous_shards(sizes, shards).groupBy("doc_id", "text_crc32").agg(F.min("shard").alias("shard"))
-    text = F.crc32(F.coalesce(column(text_col), F.lit("")).cast("binary"))
-    match = column(id_col).eqNullSafe(plan["doc_id"]) & (text == plan["text_crc32"])
-    docs.join(plan, match).select(*[docs[f"`{c}`"] for c in docs.columns], plan["shard"]).write.partitionBy(
-        "shard"
-    ).parquet(path)
+    plan = contiguous_shards(row_sizes(docs, id_col, text_col), shards)
+    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc")).agg(F.min("shard").alias("shard"))
+    text = F.crc32(F.coalesce(docs[f"`{text_col}`"], F.lit("")).cast("binary"))
+    match = docs[f"`{id_col}`"].eqNullSafe(plan["__id"]) & (text == plan["__crc"])
+    docs.join(plan, match).drop("__id", "__crc").write.partitionBy("shard").parquet(path)
 
 
 def shard_report(docs: DataFrame) -> DataFrame:
