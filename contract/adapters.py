@@ -81,7 +81,7 @@ HOST = {
     "event_type": "'host'",
     "hostname": "concat('host', CAST(user_id % 20 AS STRING))",
     "username": "CASE user_id % 10 WHEN 0 THEN 'root' WHEN 1 THEN 'administrator'"
-    " WHEN 2 THEN NULL ELSE concat('user', CAST(user_id % 10 AS STRING)) END",
+    " WHEN 2 THEN NULL WHEN 3 THEN '0' ELSE concat('user', CAST(user_id % 10 AS STRING)) END",
     "process_name": _case("k % 20", PROCESSES),
     "process_id": "CAST(1000 + k AS INT)",
     "command_line": _case("k % 25", COMMANDS),

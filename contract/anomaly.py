@@ -26,6 +26,7 @@ from palisade.functions.hashing import hash_percent
 from palisade.functions.scores import anomaly_severity, forest_anomaly, normalise
 from palisade.operators.alerts import anomaly_alerts, mean_score
 from palisade.operators.features import network_features
+from palisade.operators.running import rank_by
 from palisade.plans.train import (
     MODEL_TYPES,
     detect_anomalies,
@@ -48,14 +49,14 @@ def _gaps(spark, sf):
     """Line items with missing cells."""
     return table(spark, sf, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
-        "CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS l_extendedprice",
+        "CASE l_linenumber WHEN 3 THEN NULL WHEN 4 THEN double('NaN') ELSE l_extendedprice END AS l_extendedprice",
         "CASE WHEN l_orderkey % 5 <> 1 THEN l_discount END AS l_discount", "l_tax",
         "CASE WHEN l_linenumber <> 2 THEN l_returnflag END AS l_returnflag", "l_linestatus",
     )
 
 
 GAPS_SQL = """g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
-  CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS l_extendedprice,
+  CASE WHEN l_linenumber NOT IN (3, 4) THEN l_extendedprice END AS l_extendedprice,
   CASE WHEN l_orderkey % 5 <> 1 THEN l_discount END AS l_discount, l_tax,
   CASE WHEN l_linenumber <> 2 THEN l_returnflag END AS l_returnflag, l_linestatus FROM lineitem)"""
 
@@ -316,25 +317,73 @@ def vectors(spark, sf):
     )
 
 
-@query("iforest_scores")
+def planted(spark, sf):
+    """Embeddings, and a twentieth of them again, moved far away: those are the anomalies.
+
+    Models learn from the first (label 0) and must find the second (label 1).
+    """
+    rows = vectors(spark, sf).withColumn("label", F.lit(0))
+    far = rows.where("vec_id % 20 = 0").select(
+        (-F.col("vec_id") - 1).alias("vec_id"), F.lit(1).alias("label"), *[(F.col(c) * -3 + 0.5).alias(c) for c in EMBEDDED]
+    )
+    return rows.unionByName(far)
+
+
+PLANTED_SQL = "SELECT count(*) AS n_rows, count(*) FILTER (vec_id % 20 = 0) AS n_planted"
+
+
+def properties(scored, score, flag, unit_range):
+    """What must hold for scores, larger for anomalies, of :func:`planted` rows."""
+    ranked = rank_by(scored, [], [score, "vec_id"], "rank")
+    ones, zeros = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+    area = (F.sum(F.when(F.col("label") == 1, F.col("rank"))) - ones * (ones + 1) / 2) / (ones * zeros)
+    inside = F.col(score).isNotNull() & ~F.isnan(score)
+    if unit_range:
+        inside &= F.col(score).between(0, 1)
+    flagged = F.count_if((F.col("label") == 0) & flag) / zeros
+    return ranked.agg(
+        zeros.alias("n_rows"),
+        ones.alias("n_planted"),
+        F.bool_and(inside).alias("scores_in_range"),
+        flagged.alias("flagged"),
+        (area >= 0.95).alias("finds_planted"),
+    )
+
+
+def _flagged_within(table, share, spread):
+    return table.withColumn(
+        "share_flagged_as_set", F.abs(F.col("flagged") - share) <= spread
+    ).drop("flagged")
+
+
+FOUND_SQL = "TRUE AS scores_in_range, TRUE AS share_flagged_as_set, TRUE AS finds_planted FROM embeddings"
+
+
+@query("iforest_scores", f"{PLANTED_SQL}, {FOUND_SQL}")
 def iforest_scores(spark, sf):
-    rows = vectors(spark, sf)
+    """Scores on [0, 1]; a tenth of the training rows is flagged; planted rows score higher."""
+    rows = planted(spark, sf)
     forest = train_forest(rows.where("label = 0"), EMBEDDED, "vec_id")
-    return score_forest(rows, forest).select("vec_id", "label", "score", "is_anomaly")
+    scored = score_forest(rows, forest)
+    return _flagged_within(properties(scored, "score", F.col("is_anomaly") == 1, True), 0.1, 0.02)
 
 
-@query("kernel_oneclass_scores")
+@query("kernel_oneclass_scores", f"{PLANTED_SQL}, {FOUND_SQL}")
 def kernel_oneclass_scores(spark, sf):
-    rows = vectors(spark, sf)
+    """Negative decisions are anomalies; a tenth of the training rows has one."""
+    rows = planted(spark, sf)
     model = train_kernel(rows.where("label = 0"), EMBEDDED)
-    return score_kernel(rows, model).select("vec_id", "label", "decision")
+    scored = score_kernel(rows, model).withColumn("score", -F.col("decision"))
+    return _flagged_within(properties(scored, "score", F.col("decision") < 0, False), 0.1, 0.02)
 
 
-@query("recon_error_scores")
+@query("recon_error_scores", f"{PLANTED_SQL}, {FOUND_SQL}")
 def recon_error_scores(spark, sf):
-    rows = vectors(spark, sf)
+    """Errors above the 95th percentile of the training rows are anomalies."""
+    rows = planted(spark, sf)
     model = train_reconstruction(rows.where("label = 0"), EMBEDDED)
-    return score_reconstruction(rows, model).select("vec_id", "label", "error", "is_anomaly")
+    scored = score_reconstruction(rows, model)
+    return _flagged_within(properties(scored, "error", F.col("is_anomaly") == 1, False), 0.05, 0.02)
 
 
 def labelled_documents(spark, sf):
@@ -356,21 +405,35 @@ def labelled_documents(spark, sf):
     e AS (SELECT d.*, CAST(coalesce(code, (SELECT count(*) FROM c)) AS DOUBLE) AS code FROM d LEFT JOIN c ON d.lang = c.lang),
     s AS (SELECT avg(n_chars) AS m1, stddev_pop(n_chars) AS s1, avg(code) AS m2, stddev_pop(code) AS s2
       FROM e WHERE toxic = 0 AND NOT t)
-    SELECT doc_id, round((n_chars - m1) / s1, 4) + 0 AS n_chars, round((code - m2) / s2, 4) + 0 AS lang FROM e, s WHERE toxic = 0 AND NOT t""",
+    SELECT doc_id, CASE WHEN toxic = 0 AND NOT t THEN 'train' ELSE 'test' END AS split,
+      round((n_chars - m1) / s1, 4) + 0 AS n_chars, round((code - m2) / s2, 4) + 0 AS lang FROM e, s
+    WHERE toxic = 0 OR doc_id IN (SELECT doc_id FROM d WHERE toxic = 1 ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id
+      LIMIT (SELECT count(*) FROM d WHERE toxic = 0 AND t))""",
 )
 def prepared_features(spark, sf):
-    """Training rows after filling, encoding and scaling."""
+    """Training and test rows after filling, encoding and scaling."""
     data = prepare(labelled_documents(spark, sf), "toxic", "doc_id", ["n_chars"], ["lang"])
-    return data.train.select(
+    train_rows, test_rows = (
+        rows.withColumn("split", F.lit(name)) for name, rows in (("train", data.train), ("test", data.test))
+    )
+    return train_rows.unionByName(test_rows).select(
         "doc_id",
+        "split",
         (F.round("n_chars", 4) + 0).alias("n_chars"),
         (F.round("lang", 4) + 0).alias("lang"),
     )
 
 
-@query("training_report")
+@query(
+    "training_report",
+    f"""WITH l AS (SELECT toxic, {HASH_SQL.format("doc_id")} >= 80 AS t FROM documents JOIN labels USING (doc_id)),
+    n AS (SELECT count(*) FILTER (toxic = 0 AND t) AS benign, count(*) FILTER (toxic = 1) AS attacks FROM l)
+    SELECT unnest(['autoencoder', 'isolation_forest', 'one_class_svm']) AS model_type, least(benign, attacks) AS n_attacks,
+      benign AS n_benign, TRUE AS rates_fit_counts FROM n""",
+)
 def training_report(spark, sf):
-    """All model types trained on labelled documents, with their test metrics."""
+    """All model types trained on labelled documents, with their test metrics: they cover
+    all test rows, and the rates follow from the counts."""
     data = prepare(
         labelled_documents(spark, sf), "toxic", "doc_id",
         ["n_chars", "n_words", "n_digits", "quality"], ["lang", "source"],
@@ -379,7 +442,17 @@ def training_report(spark, sf):
         metrics_on_test(t, train(t, data, "doc_id"), data).withColumn("model_type", F.lit(t))
         for t in MODEL_TYPES
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    tp, tn, fp, fn = (F.col(c) for c in ("true_positives", "true_negatives", "false_positives", "false_negatives"))
+
+    def same(name, top, bottom):
+        return F.abs(F.col(name) - F.coalesce(F.try_divide(top, bottom), F.lit(0.0))) < 1e-9
+
+    fit = same("accuracy", tp + tn, tp + tn + fp + fn) & same("precision", tp, tp + fp)
+    fit &= same("recall", tp, tp + fn) & same("f1_score", 2 * tp, 2 * tp + fp + fn)
+    fit &= same("false_positive_rate", fp, fp + tn)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(
+        "model_type", (tp + fn).alias("n_attacks"), (tn + fp).alias("n_benign"), fit.alias("rates_fit_counts")
+    )
 
 
 FLOW_FEATURES = [
@@ -391,16 +464,33 @@ FLOW_FEATURES = [
 ]
 
 
-@query("event_anomaly_alerts")
+@query(
+    "event_anomaly_alerts",
+    """SELECT count(*) AS n_scored, TRUE AS above_threshold_alerted, TRUE AS ids_fit, TRUE AS severities_fit,
+    'isolation_forest, one_class_svm, autoencoder' AS model_name FROM events""",
+)
 def event_anomaly_alerts(spark, sf):
-    """Network events to features, three registered models, one mean score, alerts."""
+    """Network events to features, three registered models, one mean score, alerts: as many
+    as scores lie above the threshold, each with the id and the severity that follow from it."""
     features = network_features(net_events(spark, sf)).withColumn("label", F.lit(0))
     folder = scratch_path(spark, "models")
     data = prepare(features, "label", "event_id", FLOW_FEATURES)
     for model_type in MODEL_TYPES:
         train_and_register(data, "event_id", model_type, folder, "events")
-    out = detect_anomalies(features, load_active(spark, folder), created_at(), threshold=0.35)
-    return out.select("alert_id", "event_id", "severity", "anomaly_score", "model_name")
+    models = load_active(spark, folder)
+    scored = score_events(features, "event_id", models).select("event_id", mean_score(F.col("scores")).alias("mean"))
+    alerts = detect_anomalies(features, models, created_at(), threshold=0.35)
+    both = scored.join(alerts, "event_id", "left")
+    fired, score = F.col("alert_id").isNotNull(), F.col("anomaly_score")
+    band = F.when(score >= 0.9, "critical").when(score >= 0.75, "high").when(score >= 0.6, "medium").otherwise("low")
+    wanted_id = F.md5(F.concat(F.col("event_id").cast("string"), F.lit(":"), F.col("model_name")))
+    return both.agg(
+        F.count(F.lit(1)).alias("n_scored"),
+        F.bool_and((F.col("mean") > 0.35) == fired).alias("above_threshold_alerted"),
+        F.bool_and(F.when(fired, F.col("alert_id") == wanted_id)).alias("ids_fit"),
+        F.bool_and(F.when(fired, F.col("severity") == band)).alias("severities_fit"),
+        F.max("model_name").alias("model_name"),
+    )
 
 
 @query(

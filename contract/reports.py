@@ -6,7 +6,6 @@ from contract.adapters import (
     ALL_RULES,
     HOST_SQL,
     NET_SQL,
-
     US,
     all_events,
     created_at,
@@ -14,14 +13,13 @@ from contract.adapters import (
     net_events,
     raw_events,
 )
-from contract.detection import NAMES, PATTERN_SQL, SEVERITY, _names_sql
+from contract.detection import IOC_SQL, NAMES, PATTERN_SQL, SEVERITY, THRESHOLD_SQL, _names_sql
 from contract.registry import query, table
 from palisade.functions.indicators import url_host
 from palisade.operators import changelog as log
 from palisade.operators import dedup, lookups, reports
-from palisade.operators.alerts import signature_alerts
-from palisade.rules.catalog import DEFAULT_RULES
-from palisade.rules.matching import pattern_matches
+from palisade.plans.detect import detect
+from palisade.rules.matching import match_events
 from palisade.rules.model import rules_frame
 from palisade.plans.ingest import ingestion_report
 
@@ -29,18 +27,20 @@ NAME = _names_sql("signature_id", NAMES)
 SEV = _names_sql("signature_id", SEVERITY)
 STATUS = "CASE event_id % 7 WHEN 0 THEN 'investigating' WHEN 1 THEN 'resolved' WHEN 2 THEN 'false_positive' ELSE 'new' END"
 
-# Pattern alerts of all events, created at event time, with a status by event id.
-ALERTS_SQL = f"""{NET_SQL}, {HOST_SQL}, {PATTERN_SQL},
+# Alerts of all rules on all events, created at event time, with a status by event id.
+ALERTS_SQL = f"""{NET_SQL}, {HOST_SQL}, {PATTERN_SQL}, {THRESHOLD_SQL}, {IOC_SQL},
+matched AS (SELECT event_id, signature_id, confidence FROM pat
+  UNION ALL SELECT event_id, signature_id, confidence FROM thr
+  UNION ALL SELECT event_id, signature_id, confidence FROM ioc),
 alerts AS (SELECT md5(p.event_id || ':' || {NAME}) AS alert_id, p.event_id, signature_id,
   {NAME} AS title, {SEV} AS severity, {STATUS.replace("event_id", "p.event_id")} AS status,
   confidence AS confidence_score, e.ts AS created_at
-  FROM pat p JOIN (SELECT event_id, ts FROM net UNION ALL SELECT event_id, ts FROM host) e
+  FROM matched p JOIN (SELECT event_id, ts FROM net UNION ALL SELECT event_id, ts FROM host) e
     ON p.event_id = e.event_id)"""
 
 
 def alert_table(spark, sf):
-    matches = pattern_matches(all_events(spark, sf), DEFAULT_RULES)
-    alerts = signature_alerts(matches, DEFAULT_RULES, F.col("timestamp"))
+    alerts = detect(all_events(spark, sf), ALL_RULES, F.col("timestamp"))
     return alerts.withColumn("status", F.expr(STATUS))
 
 
@@ -58,6 +58,8 @@ SIGHTING = {
     "severity": "CASE WHEN k % 6 = 0 THEN 'high' ELSE 'medium' END",
     "source": "CASE WHEN k % 8 <> 0 THEN raw_type END",
     "is_active": "CASE WHEN k % 10 = 1 THEN FALSE WHEN k % 10 = 2 THEN TRUE END",
+    "description": "CASE WHEN k % 9 <> 0 THEN concat('seen ', CAST(k AS STRING)) END",
+    "tags": "CASE WHEN k % 7 <> 0 THEN split(concat(raw_type, ',', CAST(k AS STRING)), ',') END",
 }
 
 
@@ -70,6 +72,8 @@ IOCS_SQL = f"""sightings AS (SELECT {_select(SIGHTING)} FROM {RAW}),
 iocs AS (SELECT ioc_type, value,
   arg_min(threat_type, seq) FILTER (op = 'seen') AS threat_type,
   arg_min(severity, seq) FILTER (op = 'seen') AS severity,
+  first(description ORDER BY seq) FILTER (op = 'seen') AS description,
+  first(tags ORDER BY seq) FILTER (op = 'seen') AS tags,
   coalesce(first(source ORDER BY seq) FILTER (op = 'seen'), 'manual') AS source,
   coalesce(arg_max(confidence, seq) FILTER (op = 'seen' AND confidence IS NOT NULL), 0.5) AS confidence,
   arg_max(CASE WHEN op = 'seen' THEN coalesce(is_active, TRUE) ELSE FALSE END, seq) AS is_active,
@@ -182,12 +186,12 @@ def ingest_and_detect_report(spark, sf):
 
 
 # Rules with the events that matched them, so the rule counters follow the data.
-RULE_USE_SQL = "used AS (SELECT DISTINCT signature_id FROM pat)"
+RULE_USE_SQL = "used AS (SELECT DISTINCT signature_id FROM matched)"
 
 
 def used_rules(spark, sf):
     """The rule table with ``enabled`` set only for rules some event matched."""
-    used = pattern_matches(all_events(spark, sf), DEFAULT_RULES).select("signature_id").distinct()
+    used = match_events(all_events(spark, sf), ALL_RULES).select("signature_id").distinct()
     return (
         rules_frame(spark, ALL_RULES)
         .join(used.withColumn("used", F.lit(True)), "signature_id", "left")
@@ -198,7 +202,7 @@ def used_rules(spark, sf):
 
 @query(
     "rule_stats",
-    f"WITH {NET_SQL}, {HOST_SQL}, {PATTERN_SQL}, {RULE_USE_SQL} SELECT count(*) AS enabled, CAST({len(ALL_RULES)} AS BIGINT) AS total FROM used",
+    f"WITH {ALERTS_SQL}, {RULE_USE_SQL} SELECT count(*) AS enabled, CAST({len(ALL_RULES)} AS BIGINT) AS total FROM used",
 )
 def rule_stats(spark, sf):
     return reports.rule_statistics(used_rules(spark, sf))
@@ -252,7 +256,7 @@ def alerts_page(spark, sf):
 
 @query(
     "rules_enabled_list",
-    f"WITH {NET_SQL}, {HOST_SQL}, {PATTERN_SQL}, {RULE_USE_SQL} SELECT CAST(signature_id AS BIGINT) AS signature_id, {NAME} AS name FROM used",
+    f"WITH {ALERTS_SQL}, {RULE_USE_SQL} SELECT CAST(signature_id AS BIGINT) AS signature_id, {NAME} AS name FROM used",
 )
 def rules_enabled_list(spark, sf):
     return used_rules(spark, sf).where("enabled").select("signature_id", "name")
@@ -270,12 +274,14 @@ def iocs_by_type(spark, sf):
 @query(
     "ioc_upsert_latest",
     f"""WITH {IOCS_SQL} SELECT ioc_type, value, threat_type, severity, source, round(confidence, 6) AS confidence,
-    is_active, epoch_us(first_seen) AS first_us, epoch_us(last_seen) AS last_us FROM iocs""",
+    is_active, epoch_us(first_seen) AS first_us, epoch_us(last_seen) AS last_us, description,
+    array_to_string(tags, ';') AS tags FROM iocs""",
 )
 def ioc_upsert_latest(spark, sf):
     return ioc_table(spark, sf).select(
         "ioc_type", "value", "threat_type", "severity", "source",
         F.round("confidence", 6).alias("confidence"), "is_active", us("first_seen"), us("last_seen"),
+        "description", F.array_join("tags", ";").alias("tags"),
     )
 
 
@@ -351,12 +357,13 @@ def alert_threat_intel(spark, sf):
     f"""WITH {ALERTS_SQL}, a AS (SELECT DISTINCT 'host' || (user_id % 20) AS hostname,
       CASE WHEN user_id % 20 < 5 THEN 'high' ELSE 'low' END AS criticality FROM events WHERE user_id % 20 <> 7)
     SELECT alert_id, coalesce(criticality, 'unknown') AS asset_criticality
-    FROM alerts JOIN host USING (event_id) LEFT JOIN a USING (hostname)""",
+    FROM alerts LEFT JOIN host USING (event_id) LEFT JOIN a USING (hostname)""",
 )
 def alert_asset_criticality(spark, sf):
     hosts = host_events(spark, sf).select("event_id", "hostname")
     alerts = lookups.alerts_with_events(
-        alert_table(spark, sf).select("alert_id", "event_id"), hosts
+        alert_table(spark, sf).select("alert_id", "event_id"),
+        all_events(spark, sf).select("event_id", "hostname"),
     )
     assets = (
         hosts.select("hostname").distinct().where("hostname <> 'host7'").withColumn(
@@ -520,8 +527,7 @@ def alert_lifecycle(spark, sf):
 
 @query(
     "alerts_current_status",
-    f"""WITH {ALERTS_SQL}, c AS (SELECT alert_id, a.event_id AS seq, 'resolved' AS status FROM alerts a WHERE severity = 'low')
-    SELECT alerts.alert_id, coalesce(c.status, alerts.status) AS status FROM alerts LEFT JOIN c ON c.alert_id = alerts.alert_id""",
+    f"WITH {ALERTS_SQL} SELECT alert_id, CASE WHEN severity = 'low' THEN 'resolved' ELSE status END AS status FROM alerts",
 )
 def alerts_current_status(spark, sf):
     alerts = alert_table(spark, sf)
@@ -563,7 +569,8 @@ def registry_states(spark, sf):
 
 GAP_US = 12 * 3600 * US
 GROUP_SQL = f"""h AS (SELECT alert_id, alerts.event_id, title, severity, hostname, command_line, epoch_us(created_at) AS us
-  FROM alerts JOIN host USING (event_id)),
+  FROM alerts JOIN (SELECT event_id, hostname, command_line FROM host
+    UNION ALL SELECT event_id, src_ip, concat_ws(' ', dst_ip, dst_port) FROM net) USING (event_id)),
 g AS (SELECT *, CASE WHEN us - lag(us) OVER w <= {GAP_US} THEN 0 ELSE 1 END AS starts FROM h
   WINDOW w AS (PARTITION BY title, hostname ORDER BY us, alert_id)),
 r AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY title, hostname ORDER BY us, alert_id
@@ -571,9 +578,16 @@ r AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY title, hostname ORDER BY us,
 
 
 def host_alerts(spark, sf):
+    """Alerts with what they are about: the host, or the source address of network events."""
     alerts = alert_table(spark, sf).select("alert_id", "event_id", "title", "severity", "created_at")
-    hosts = host_events(spark, sf).select("event_id", "hostname", "command_line")
-    return lookups.alerts_with_events(alerts, hosts)
+    about = all_events(spark, sf).select(
+        "event_id",
+        F.coalesce("hostname", "src_ip").alias("hostname"),
+        F.when(F.col("event_type") == "host", F.col("command_line"))
+        .otherwise(F.concat_ws(" ", "dst_ip", F.col("dst_port").cast("string")))
+        .alias("command_line"),
+    )
+    return lookups.alerts_with_events(alerts, about)
 
 
 @query(
@@ -592,7 +606,8 @@ def alert_dedup_gap(spark, sf):
     "alert_dedup_similarity",
     f"""WITH {ALERTS_SQL}, h AS (SELECT alert_id, hostname, title, epoch_us(created_at) AS us,
       list_distinct(list_filter(regexp_split_to_array(lower(coalesce(command_line, '')), '[^a-z0-9.]+'), lambda x: x <> '')) AS words
-      FROM alerts JOIN host USING (event_id)),
+      FROM alerts JOIN (SELECT event_id, hostname, command_line FROM host
+        UNION ALL SELECT event_id, src_ip, concat_ws(' ', dst_ip, dst_port) FROM net) USING (event_id)),
     p AS (SELECT *, lag(us) OVER w AS prev_us, lag(words) OVER w AS prev FROM h
       WINDOW w AS (PARTITION BY title, hostname ORDER BY us, alert_id))
     SELECT alert_id, CASE WHEN prev_us IS NULL OR us - prev_us > {3 * 86400 * US} THEN FALSE

@@ -508,33 +508,34 @@ def csv_feed_parse(spark, sf):
     f"""WITH e AS (SELECT user_id, {K} AS k FROM events), r AS (
       SELECT 'abuse_ch' AS source, 'ip' AS t, '203.0.113.' || k AS v FROM e WHERE k % 10 > 1
       UNION ALL SELECT 'csvfeed', 'domain', 'd' || user_id || '.example' FROM e WHERE k % 9 <> 0
-      UNION ALL SELECT 'lines', 'url', url FROM pages)
-    SELECT source, count(*) AS n_rows, count(DISTINCT v) AS n_indicators FROM r GROUP BY source""",
+      UNION ALL SELECT 'lines', 'url', url FROM pages),
+    f AS (SELECT unnest(['abuse_ch', 'csvfeed', 'lines', 'empty', 'gone']) AS source)
+    SELECT f.source, count(v) AS n_rows, count(DISTINCT v) AS n_indicators FROM f LEFT JOIN r ON r.source = f.source GROUP BY 1""",
 )
 def feed_refresh_counts(spark, sf):
-    """Three feeds landed as files, read, counted, and folded into indicators."""
+    """Feeds landed as files, one of them empty and one missing, stored and folded."""
     base = scratch_path(spark, "feeds")
     blacklist_lines(spark, sf).write.text(f"{base}/black")
     write_csv(domain_rows(spark, sf), f"{base}/csv")
     table(spark, sf, "pages").select("url").write.text(f"{base}/lines")
-    rows = feeds.read_feeds(
+    table(spark, sf, "pages").select("url").limit(0).write.text(f"{base}/empty")
+    counts = feeds.refresh_feeds(
         spark,
         [
             feeds.Feed("abuse_ch", "https://feeds.example/a", f"{base}/black"),
+            feeds.Feed("gone", "https://feeds.example/g", f"{base}/gone"),
+            feeds.Feed("empty", "https://feeds.example/e", f"{base}/empty"),
             feeds.Feed("csvfeed", "https://feeds.example/b.csv", f"{base}/csv"),
             feeds.Feed("lines", "https://feeds.example/c", f"{base}/lines"),
             feeds.Feed("off", "https://feeds.example/d", f"{base}/none", enabled=False),
         ],
+        f"{base}/indicators",
+        created_at(),
     )
-    seen = rows.select(
-        "*",
-        F.lit("seen").alias("op"),
-        F.monotonically_increasing_id().alias("seq"),
-        created_at().alias("at"),
-        F.lit(None).cast("boolean").alias("is_active"),
-    )
-    folded = current_iocs(seen).groupBy("source").agg(F.count(F.lit(1)).alias("n_indicators"))
-    return feed_counts(rows).withColumnRenamed("n_iocs", "n_rows").join(folded, "source")
+    counted = spark.createDataFrame(list(counts.items()), "source string, n_rows long")
+    stored = current_iocs(spark.read.parquet(f"{base}/indicators"))
+    folded = stored.groupBy("source").agg(F.count(F.lit(1)).alias("n_indicators"))
+    return counted.join(folded, "source", "left").na.fill(0, ["n_indicators"])
 
 
 
@@ -542,15 +543,20 @@ def feed_refresh_counts(spark, sf):
 @query(
     "dataset_flow_csv",
     """SELECT CASE WHEN l_returnflag = 'N' THEN 'BENIGN' ELSE l_returnflag END AS label, count(*) AS n,
-      round(sum(l_quantity), 2) AS quantity, round(sum(l_tax), 2) AS tax,
-      count(*) FILTER (l_discount >= 0.05) AS n_discount FROM lineitem GROUP BY 1""",
+      round(sum(l_quantity), 2) AS quantity, round(sum(l_tax) FILTER (l_linenumber NOT IN (2, 4)), 2) AS tax,
+      count(*) FILTER (l_discount >= 0.05) AS n_discount, count(*) FILTER (l_linenumber = 2) AS n_nan,
+      count(*) FILTER (l_linenumber = 4) AS n_infinite FROM lineitem GROUP BY 1""",
 )
 def dataset_flow_csv(spark, sf):
     """A labelled CSV set, whose label column name has a leading blank; missing
     numbers stay missing."""
     path = scratch_path(spark, "flowset")
     rows = table(spark, sf, "lineitem").select(
-        "l_quantity", "l_tax",
+        "l_quantity",
+        F.when(F.col("l_linenumber") == 2, "NaN")
+        .when(F.col("l_linenumber") == 4, "Infinity")
+        .otherwise(F.col("l_tax").cast("string"))
+        .alias("l_tax"),
         F.when(F.col("l_discount") >= 0.05, F.col("l_discount")).alias(" l_discount"),
         F.when(F.col("l_returnflag") == "N", "BENIGN").otherwise(F.col("l_returnflag")).alias(" Label"),
     )
@@ -559,8 +565,10 @@ def dataset_flow_csv(spark, sf):
     return out.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.sum("l_quantity"), 2).alias("quantity"),
-        F.round(F.sum("l_tax"), 2).alias("tax"),
+        F.round(F.sum(F.when(F.abs("l_tax") < float("inf"), F.col("l_tax"))), 2).alias("tax"),
         F.count("l_discount").alias("n_discount"),
+        F.count_if(F.isnan("l_tax")).alias("n_nan"),
+        F.count_if(F.col("l_tax") == float("inf")).alias("n_infinite"),
     )
 
 
@@ -629,18 +637,23 @@ def sample_by_hash(spark, sf):
 
 @query(
     "union_missing_columns",
-    """SELECT k, count(*) AS n, count(a) AS n_a, count(b) AS n_b FROM (
-      SELECT o_orderpriority AS k, o_totalprice AS a, NULL AS b FROM orders
-      UNION ALL SELECT p_brand, NULL, p_size FROM part) GROUP BY k""",
+    """SELECT label, count(*) AS n, count(a) AS n_a, count(b) AS n_b, round(sum(a), 2) AS a FROM (
+      SELECT o_orderpriority AS label, o_totalprice AS a, NULL AS b FROM orders
+      UNION ALL SELECT p_brand, NULL, p_size FROM part) GROUP BY label""",
 )
 def union_missing_columns(spark, sf):
+    """Two header CSVs with different columns, read as one set."""
+    base = scratch_path(spark, "flowsets")
     left = table(spark, sf, "orders").select(
-        F.col("o_orderpriority").alias("k"), F.col("o_totalprice").alias("a")
+        F.col("o_totalprice").alias(" a"), F.col("o_orderpriority").alias(" Label")
     )
-    right = table(spark, sf, "part").select(F.col("p_brand").alias("k"), F.col("p_size").alias("b"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    return both.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"), F.count("a").alias("n_a"), F.count("b").alias("n_b")
+    right = table(spark, sf, "part").select(F.col("p_size").alias(" b"), F.col("p_brand").alias("Label"))
+    for name, rows in (("orders", left), ("part", right)):
+        rows.write.option("header", True).csv(f"{base}/{name}")
+    both = datasets.flow_csv_set(spark, [f"{base}/orders", f"{base}/part"])
+    return both.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count("a").alias("n_a"), F.count("b").alias("n_b"),
+        F.round(F.sum("a"), 2).alias("a"),
     )
 
 
@@ -661,13 +674,13 @@ def event_rows(spark, sf):
     "event_sink_by_day",
     f"""WITH {NET_SQL}, {HOST_SQL}, e AS (SELECT event_type, ts, event_id FROM net UNION ALL SELECT event_type, ts, event_id FROM host)
     SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids
-    FROM e WHERE event_type = 'host' GROUP BY ALL""",
+    FROM e GROUP BY ALL""",
 )
 def event_sink_by_day(spark, sf):
-    """Events stored by day and type, one type read back."""
+    """Events stored by day and type, and read back."""
     path = scratch_path(spark, "events")
     sinks.write_events(all_events(spark, sf), path)
-    stored = sinks.read_events(spark, path).where("event_type = 'host'")
+    stored = sinks.read_events(spark, path)
     return stored.groupBy(F.col("event_date").cast("string").alias("day"), "event_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")
     )

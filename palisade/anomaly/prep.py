@@ -157,12 +157,16 @@ def fit_fill(df: DataFrame, numbers: Sequence[str], texts: Sequence[str]) -> dic
 
 
 def apply_fill(df: DataFrame, fill: dict[str, object]) -> DataFrame:
-    return df.select(
-        *[
-            F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c)
-            for c in df.columns
-        ]
-    )
+    """Missing cells filled; NaN is missing, as it is when the fill values are fitted."""
+
+    def filled(name: str, kind: str) -> Column:
+        value = F.lit(fill[name])
+        cell = F.col(name)
+        if kind in ("double", "float"):
+            cell = F.nanvl(cell, value)
+        return F.coalesce(cell, value).alias(name)
+
+    return df.select(*[filled(c, kind) if c in fill else F.col(c) for c, kind in df.dtypes])
 
 
 def fit_classes(df: DataFrame, column: str) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from palisade.functions.hashing import alert_id
 from palisade.functions.scores import anomaly_severity, fusion_severity
-from palisade.operators.joins import salted_join
 from palisade.rules.model import Rule, rules_frame
 from palisade.schemas import ALERT_SCHEMA
 
@@ -18,7 +17,6 @@ SIGNATURE_WEIGHT = 0.7
 ANOMALY_WEIGHT = 0.3
 ANOMALY_TITLE = "ML Anomaly Detected"
 ANOMALY_TEXT = "Anomalous behavior detected with score %.2f"
-BROADCAST_RULES = 10_000
 SEVERITY_ORDER = ["low", "medium", "high", "critical"]
 
 
@@ -42,13 +40,9 @@ def signature_alerts(matches: DataFrame, rules: Sequence[Rule], created_at: Colu
         "attack_tactics",
         "attack_techniques",
     )
-    # One rule may make most of the matches. A table of rules that people wrote fits
-    # every task; a larger one is joined by salted keys.
-    if len(rules) <= BROADCAST_RULES:
-        joined = matches.join(F.broadcast(table), "signature_id")
-    else:
-        joined = salted_join(matches, table, ["signature_id"], ["event_id"])
-    joined = joined.select(
+    # One rule may make most of the matches. The planner sees how large the rules are; if
+    # it shuffles, it splits the matches of that rule.
+    joined = matches.join(table, "signature_id").select(
         "*",
         alert_id(F.col("event_id"), F.col("title")).alias("alert_id"),
         F.lit("new").alias("status"),

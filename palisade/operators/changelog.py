@@ -107,11 +107,15 @@ def current_iocs(rows: DataFrame) -> DataFrame:
     when_seen = F.when(seen, seq)
 
     def kept(name: str) -> Column:
-        return F.min_by(name, when_seen).alias(name)
+        # A change log of people need not describe or tag anything.
+        value = F.col(name) if name in rows.columns else F.lit(None).cast("string")
+        return F.min_by(value, when_seen).alias(name)
 
     folded = usable.groupBy("ioc_type", "value").agg(
         kept("threat_type"),
         kept("severity"),
+        kept("description"),
+        kept("tags"),
         F.coalesce(F.min_by("source", when_seen), F.lit("manual")).alias("source"),
         F.coalesce(
             F.max_by("confidence", F.when(seen & F.col("confidence").isNotNull(), seq)),

@@ -71,15 +71,14 @@ def measure_groups(df: DataFrame, keys: Sequence[str]) -> Cut:
     """Look at the group sizes, one job. An operator over a subset of the rows, or
     over a finer key, may reuse the answer.
 
-    A group is too large when it exceeds the limit and the even share of a task:
-    below that share it is no more work than any other task has.
+    A group is too large when it exceeds the limit, however many tasks there are; then
+    there are as many pieces as hold a limit of rows each.
     """
     limit = group_limit(df)
-    pieces = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if limit <= 0:
-        return Cut(limit == 0, pieces)
+        return Cut(limit == 0, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     total, largest = group_sizes(df, keys)
-    return Cut(largest > max(limit, total // pieces), pieces)
+    return Cut(largest > limit, max(2, -(-total // limit)))
 
 
 def _over(measure: Measure, window) -> Column:

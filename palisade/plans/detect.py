@@ -12,6 +12,7 @@ from palisade.operators.reports import detection_statistics
 from palisade.rules.catalog import DEFAULT_RULES
 from palisade.rules.matching import match_events
 from palisade.rules.model import Rule
+from palisade.session import written
 from palisade.sources.sinks import write_alerts
 
 
@@ -32,7 +33,11 @@ def detect(
 def detect_and_store(
     events: DataFrame, path: str, rules: Sequence[Rule] = DEFAULT_RULES
 ) -> DataFrame:
-    """Append new alerts to the table at ``path`` and report the run."""
-    write_alerts(detect(events, rules), path)
-    stored = events.sparkSession.read.parquet(path)
-    return detection_statistics(events, stored)
+    """Append new alerts to the table at ``path`` and report the run.
+
+    The run's alerts are written down once, so storing and counting see the same; a run
+    in which nothing fires reports zeros.
+    """
+    alerts = written(detect(events, rules), "run-alerts")
+    write_alerts(alerts, path)
+    return detection_statistics(events, alerts)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +25,7 @@ from palisade.operators.alerts import anomaly_alerts
 from palisade.operators.changelog import active_models
 from palisade.schemas import MODEL_SCHEMA
 from palisade.session import written
+from palisade.sources.sinks import stored_table
 
 MODEL_TYPES = ("isolation_forest", "one_class_svm", "autoencoder")
 MODEL_NAMES = {
@@ -164,10 +164,8 @@ def train_and_register(
 
 
 def read_registry(spark: SparkSession, folder: str) -> DataFrame:
-    try:
-        return spark.read.schema(MODEL_SCHEMA).parquet(f"{folder}/registry")
-    except AnalysisException:
-        return spark.createDataFrame([], MODEL_SCHEMA)
+    stored = stored_table(spark, f"{folder}/registry", MODEL_SCHEMA)
+    return spark.createDataFrame([], MODEL_SCHEMA) if stored is None else stored
 
 
 def load_active(spark: SparkSession, folder: str) -> dict[str, tuple[object, Preparation]]:

@@ -5,15 +5,14 @@ Every matcher returns (event_id, timestamp, signature_id, confidence, details).
 
 from __future__ import annotations
 
-import re
 import warnings
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.functions.timestamps import micros
 from palisade.operators.running import (
@@ -27,11 +26,20 @@ from palisade.operators.running import (
 )
 from palisade.rules.compile import details_json, field, rule_column
 from palisade.rules.model import RULE_TYPES, Rule
+from palisade.session import local_rows
 
 # Generated code has a size limit per method; rules beyond it go to further arrays.
 RULES_PER_ARRAY = 100
-# Indicator lists above this length are sought with an automaton instead of a regex.
-LONG_LIST = 200
+# Length of the runs of characters on which command lines and indicators are joined.
+GRAM = 4
+VALUE_SCHEMA = T.StructType(
+    [
+        T.StructField("signature_id", T.LongType()),
+        T.StructField("position", T.IntegerType()),
+        T.StructField("value", T.StringType()),
+        T.StructField("gram", T.StringType()),
+    ]
+)
 US = 1_000_000
 
 
@@ -101,52 +109,69 @@ def pattern_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return _matched(events, _pattern_flags(events, rules))
 
 
-def _last_contained(values: Sequence[str]):
-    """A vectorised function giving the last listed value a text contains.
-
-    One automaton finds all values in a single pass over the text, however long the
-    list is.
-    """
-
-    @F.pandas_udf("string")
-    def find(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        empty = -1  # an empty value is part of every text
-        for i, value in enumerate(values):
-            if value:
-                automaton.add_word(value, i)
-            else:
-                empty = i
-        automaton.make_automaton()
-
-        def last(text: str | None) -> str | None:
-            best = max((i for _, i in automaton.iter(text)), default=empty) if text else -1
-            return values[max(best, empty)] if best >= 0 else None
-
-        return texts.map(last)
+def _has_grams(value: str) -> bool:
+    return len(value) >= GRAM
 
-    return find
 
+def _with_contained(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Add, for each rule with indicator values, the last listed one in the command line.
 
-def _with_long_lists(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Add the value found in the command line for rules with long lists."""
-    found = {
-        _found(r): _last_contained(r.ioc_values)(F.col("command_line"))
-        for r in enabled_of(rules, "ioc")
-        if len(r.ioc_values) > LONG_LIST
-    }
-    return events.withColumns(found) if found else events
+    Values shorter than a gram are few and sought one by one. For the others the command
+    line is expanded into its runs of ``GRAM`` characters, and those are joined with the
+    first run of each value: an equi-join, however long the lists are. Only joined pairs
+    are compared in full. Spark broadcasts the values if they are small.
+    """
+    rules = [r for r in enabled_of(rules, "ioc") if r.ioc_values]
+    listed = [
+        (r.signature_id, i, v, v[:GRAM])
+        for r in rules
+        for i, v in enumerate(r.ioc_values)
+        if _has_grams(v)
+    ]
+    out = events
+    if listed:
+        values = local_rows(events.sparkSession, listed, VALUE_SCHEMA)
+        command = F.col("command_line")
+        runs = F.transform(F.sequence(F.lit(1), F.length(command) - GRAM + 1), lambda i: F.substring(command, i, F.lit(GRAM)))
+        found = (
+            events.where((F.col("event_type") == "host") & (F.length(command) >= GRAM))
+            .select("event_id", "command_line", F.explode(F.array_distinct(runs)).alias("gram"))
+            .join(values, "gram")
+            .where(F.col("command_line").contains(F.col("value")))
+            .groupBy("event_id")
+            .agg(
+                *[
+                    F.max_by(
+                        F.struct("position", "value"),
+                        F.when(F.col("signature_id") == r.signature_id, F.col("position")),
+                    ).alias(_found(r))
+                    for r in rules
+                ]
+            )
+        )
+        out = events.join(found, "event_id", "left")
+    else:
+        nothing = F.lit(None).cast("struct<position:int,value:string>")
+        out = events.withColumns({_found(r): nothing for r in rules})
+    return out
 
 
 def _found(rule: Rule) -> str:
     return f"__found_{rule.signature_id}"
 
 
+def _last_found(rule: Rule) -> Column:
+    """The listed value that stands last in the list among those in the command line."""
+    command, best = F.col("command_line"), F.col(_found(rule))
+    for i, value in enumerate(rule.ioc_values):
+        if not _has_grams(value):
+            short = F.struct(F.lit(i).alias("position"), F.lit(value).alias("value"))
+            best = F.greatest(best, F.when((command != "") & command.contains(value), short))
+    return best["value"]
+
+
 def _ioc_flags(rules: Sequence[Rule]) -> list[tuple[Column, Column]]:
     network, host = F.col("event_type") == "network", F.col("event_type") == "host"
-    command = F.col("command_line")
     flags = []
     for r in enabled_of(rules, "ioc"):
         values = list(r.ioc_values)
@@ -155,14 +180,8 @@ def _ioc_flags(rules: Sequence[Rule]) -> list[tuple[Column, Column]]:
         source = network & F.col("src_ip").isin(values)
         target = network & F.col("dst_ip").isin(values)
         process = host & (F.col("process_name") != "") & F.col("process_name").isin(values)
-        if len(values) > LONG_LIST:
-            last = F.col(_found(r))
-            inside = host & last.isNotNull()
-        else:
-            # One regex decides whether any value occurs; only then the last is sought.
-            inside = host & (command != "") & command.rlike("|".join(re.escape(v) for v in values))
-            known = F.array(*[F.lit(v) for v in values])
-            last = F.try_element_at(F.filter(known, lambda v: command.contains(v)), F.lit(-1))
+        last = _last_found(r)
+        inside = host & last.isNotNull()
         test = source | target | process | inside
         if r.event_type is not None:
             test = (F.col("event_type") == r.event_type) & test
@@ -183,13 +202,13 @@ def ioc_rule_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     process name and, as substring, the command line (the last value found in
     list order is reported).
     """
-    return _matched(_with_long_lists(events, rules), _ioc_flags(rules))
+    return _matched(_with_contained(events, rules), _ioc_flags(rules))
 
 
 def stateless_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Pattern and indicator rules together, in one scan."""
     flags = _pattern_flags(events, rules) + _ioc_flags(rules)
-    return _matched(_with_long_lists(events, rules), flags)
+    return _matched(_with_contained(events, rules), flags)
 
 
 def threshold_matches(
@@ -215,26 +234,28 @@ def threshold_matches(
         rows = [r for r in members if not r.counts_ports]
         if rows:
             parts.append(_count_rows(events, key, rows, ties, legacy, cut))
-        for r in members:
-            if r.counts_ports:
-                parts.append(_count_ports(events, key, r, ties, legacy, cut))
+        ports = [r for r in members if r.counts_ports]
+        if ports:
+            parts.append(_count_ports(events, key, ports, ties, legacy, cut))
     return reduce(DataFrame.unionByName, parts) if parts else _empty(events)
 
 
 def _prepared(events, key, rules, ties, legacy) -> DataFrame:
     """Only the rows some rule counts, and only the columns counting needs.
 
-    Empty grouping values group nothing. The filter comes first and in plain terms,
+    Empty grouping values group nothing, and neither does the number 0; the text "0" is
+    a value like any other (root's uid in audit logs). The filter comes first and in plain terms,
     so that it reaches the table reader.
     """
-    group, _ = field(events, key)
-    group = group.cast("string")
+    value, kind = field(events, key)
+    given = value != 0 if isinstance(kind, T.NumericType) else value.cast("string") != ""
+    group = value.cast("string")
     tests = [rule_column(events, r, with_conditions=not legacy) for r in rules]
     extra = [F.col(t) for t in ties if t not in ("event_id", "timestamp")]
     if any(r.counts_ports for r in rules):
         extra.append(F.expr("nullif(dst_port, 0)").alias("__port"))
     return (
-        events.where(group.isNotNull() & ~group.isin("", "0"))
+        events.where(given)
         .where(_any(tests))
         .select(
             "event_id",
@@ -277,16 +298,19 @@ def _count_rows(events, key, rules, ties, legacy, cut) -> DataFrame:
     return _fired(counted, key, rules)
 
 
-def _count_ports(events, key, rule, ties, legacy, cut) -> DataFrame:
-    base = _prepared(events, key, [rule], ties, legacy)
+def _count_ports(events, key, rules, ties, legacy, cut) -> DataFrame:
+    """All port rules of a key; each counts the ports of its own rows."""
+    base = _prepared(events, key, rules, ties, legacy)
+    base = base.withColumns({f"__ports{i}": F.when(F.col(f"__f{i}"), F.col("__port")) for i in range(len(rules))})
     time = "__us"
     if legacy:
         base = base.withColumn("__ago", -F.col("__us"))
         time = "__ago"
-    window = None if legacy else rule.time_window_seconds * US
-    counts = [Distinct("__n0", "__port", window)]
+    counts = [
+        Distinct(f"__n{i}", f"__ports{i}", None if legacy else r.time_window_seconds * US) for i, r in enumerate(rules)
+    ]
     counted = trailing_distinct(base, ["__group"], time, list(ties), counts, cut)
-    return _fired(counted, key, [rule])
+    return _fired(counted, key, rules)
 
 
 def _fired(counted: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
@@ -309,11 +333,6 @@ def _fired(counted: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
     return _matched(counted, flags)
 
 
-def correlation_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Correlation rules are accepted and match nothing."""
-    return _empty(events)
-
-
 def match_events(
     events: DataFrame,
     rules: Sequence[Rule],

@@ -8,10 +8,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.schemas import SIGNATURE_SCHEMA
+from palisade.session import local_rows
 
 RULE_TYPES = ("pattern", "ioc", "threshold", "correlation")
-# A rule table is written by people; a larger one is a mistake, not a workload.
-MAX_RULES = 50_000
 
 
 @dataclass(frozen=True)
@@ -129,17 +128,14 @@ def rules_frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
                 list(r.attack_techniques),
             )
         )
-    return spark.createDataFrame(rows, SIGNATURE_SCHEMA)
+    return local_rows(spark, rows, SIGNATURE_SCHEMA)
 
 
 def rules_from_frame(rules: DataFrame) -> list[Rule]:
     """Read a rule table back; condition values take the type of the event field
     they are compared with."""
-    rows = rules.orderBy("signature_id").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     out = []
-    for row in rows:
+    for row in rules.orderBy("signature_id").toLocalIterator():
         d = row.asDict()
         conditions = tuple(
             Condition(

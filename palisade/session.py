@@ -7,7 +7,10 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Settings the operators rely on; all can be set on a running session.
 RUNTIME_CONF = {
@@ -60,6 +63,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A table of rows the driver has, of a size the planner knows, so that it can decide
+    whether to broadcast it."""
+    names = schema.names
+    columns = [list(c) for c in zip(*rows)] or [[] for _ in names]
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array([_plain(v, f.dataType) for v in c], a.type) for c, f, a in zip(columns, schema, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
+
+
+def _plain(value, kind: T.DataType):
+    """Structs as dicts, as Arrow wants them."""
+    if value is not None and isinstance(kind, T.ArrayType):
+        return [_plain(v, kind.elementType) for v in value]
+    if value is not None and isinstance(kind, T.StructType):
+        return dict(zip(kind.names, value))
+    return value
+
+
 _WRITTEN: list[str] = []
 
 

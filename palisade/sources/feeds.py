@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions.indicators import indicator_type
 from palisade.functions.text import blank_to_null, first_filled, strip
 
+log = logging.getLogger(__name__)
+
 SIGHTING_COLUMNS = [
     "ioc_type", "value", "threat_type", "confidence", "severity", "source", "description", "tags",
 ]
@@ -122,20 +126,56 @@ def line_feed(lines: DataFrame, source: str, hash_first: bool = False) -> DataFr
     )
 
 
+def read_feed(spark: SparkSession, feed: Feed) -> DataFrame:
+    """Sightings of one feed."""
+    if feed.format == "csv":
+        return csv_feed(spark.read.option("header", True).csv(feed.path), feed.name)
+    lines = spark.read.text(feed.path).withColumnRenamed("value", "line")
+    return blacklist_feed(lines) if feed.format == "blacklist" else line_feed(lines, feed.name)
+
+
 def read_feeds(spark: SparkSession, feeds: Sequence[Feed]) -> DataFrame:
-    """Sightings of all enabled feeds."""
+    """Sightings of all enabled feeds; a feed that can't be read is logged and left out."""
     parts = []
     for feed in feeds:
-        if not feed.enabled:
-            continue
-        if feed.format == "csv":
-            table = spark.read.option("header", True).csv(feed.path)
-            parts.append(csv_feed(table, feed.name))
-            continue
-        lines = spark.read.text(feed.path).withColumnRenamed("value", "line")
-        parts.append(
-            blacklist_feed(lines) if feed.format == "blacklist" else line_feed(lines, feed.name)
-        )
-    if not parts:
-        raise ValueError("no enabled feed")
-    return reduce(DataFrame.unionByName, parts)
+        if feed.enabled:
+            try:
+                parts.append(read_feed(spark, feed))
+            except PySparkException as error:
+                log.error("feed %s failed: %s", feed.name, error)
+    return reduce(DataFrame.unionByName, parts) if parts else _sightings(spark.createDataFrame([], "value string"))
+
+
+def refresh_feeds(
+    spark: SparkSession, feeds: Sequence[Feed], path: str, at: Column | None = None
+) -> dict[str, int]:
+    """Append each enabled feed's sightings to the indicator log at ``path``.
+
+    Returns the indicators taken from each; a feed that failed or was empty counts 0 and
+    does not stop the others. Fold the log with
+    :func:`palisade.operators.changelog.current_iocs`.
+    """
+    stamp = F.current_timestamp() if at is None else at
+    counts = {feed.name: 0 for feed in feeds if feed.enabled}
+    # Later runs are later in the log: the time leads the sequence, the row follows.
+    run = spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]
+    for number, feed in enumerate(f for f in feeds if f.enabled):
+        try:
+            rows = read_feed(spark, feed).where("ioc_type IS NOT NULL AND value IS NOT NULL")
+            seen = Observation(f"feed-{number}")
+            log_rows = rows.select(
+                F.struct(
+                    F.lit(run).alias("run"),
+                    F.lit(number).alias("feed"),
+                    F.monotonically_increasing_id().alias("row"),
+                ).alias("seq"),
+                stamp.alias("at"),
+                F.lit("seen").alias("op"),
+                F.lit(None).cast("boolean").alias("is_active"),
+                *rows.columns,
+            ).observe(seen, F.count(F.lit(1)).alias("n"))
+            log_rows.write.mode("append").parquet(path)
+            counts[feed.name] = seen.get["n"]
+        except PySparkException as error:
+            log.error("feed %s failed: %s", feed.name, error)
+    return counts

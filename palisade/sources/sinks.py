@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.operators.alerts import new_alerts_only
+from palisade.schemas import ALERT_SCHEMA, EVENT_SCHEMA
 
 
 def write_events(events: DataFrame, path: str) -> None:
@@ -43,11 +45,21 @@ def read_events(
     return events
 
 
+def stored_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The table at ``path`` in its declared layout, None if there is nothing yet. Any
+    other fault is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def next_event_id(spark: SparkSession, path: str) -> int:
     """The first id no stored event has; 0 where nothing is stored."""
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
+    stored = stored_table(spark, path, EVENT_SCHEMA)
+    if stored is None:
         return 0
     highest = stored.agg(F.max("event_id")).first()[0]
     return 0 if highest is None else highest + 1
@@ -55,13 +67,8 @@ def next_event_id(spark: SparkSession, path: str) -> int:
 
 def write_alerts(alerts: DataFrame, path: str) -> None:
     """Append the alerts that are not stored yet, by day of creation."""
-    spark = alerts.sparkSession
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
-        fresh = alerts
-    else:
-        fresh = new_alerts_only(alerts, stored)
+    stored = stored_table(alerts.sparkSession, path, ALERT_SCHEMA)
+    fresh = alerts if stored is None else new_alerts_only(alerts, stored)
     (
         fresh.withColumn("alert_date", F.to_date("created_at"))
         .hint("rebalance", F.col("alert_date"))

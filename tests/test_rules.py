@@ -6,9 +6,8 @@ import pytest
 from helpers import events, rows
 from pyspark.sql import functions as F
 
-from palisade.operators import alerts as alerts_module
 from palisade.operators.alerts import new_alerts_only, signature_alerts
-from palisade.plans.detect import detect
+from palisade.plans.detect import detect, detect_and_store
 from palisade.rules.catalog import DEFAULT_RULES
 from palisade.rules.compile import condition_column, details_json
 from palisade.rules.matching import (
@@ -209,14 +208,62 @@ def test_alerts_are_idempotent(spark):
     assert one["matched_rules"] == '{"details":{"dst_port":"equals 23"}}'
 
 
-def test_large_rule_tables_are_not_broadcast(spark, monkeypatch):
+def test_the_planner_measures_the_rules(spark):
     df = events(spark, [{"dst_port": 23}, {"dst_port": 23}])
     few = detect(df, DEFAULT_RULES, now())
     assert "BroadcastHashJoin [signature_id" in few._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(alerts_module, "BROADCAST_RULES", 5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     many = detect(df, DEFAULT_RULES, now())
-    assert "__salt" in many._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [signature_id" in many._jdf.queryExecution().executedPlan().toString()
     assert rows(many.select("alert_id"), "alert_id") == rows(few.select("alert_id"), "alert_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_text_zero_groups_and_number_zero_does_not(spark):
+    rule = Rule("Sudo", "", "threshold", "", "high", threshold=2, time_window_seconds=60, grouping_key="username", signature_id=1)
+    df = events(spark, [{"event_type": "host", "username": u, "t": float(i)} for i, u in enumerate(["0", "0", "", "", None, None])])
+    assert rows(threshold_matches(df, [rule]).select("event_id"), "event_id") == [(1,)]
+    ports = Rule("Port", "", "threshold", "", "high", threshold=2, time_window_seconds=60, grouping_key="dst_port", signature_id=2)
+    df = events(spark, [{"dst_port": p, "t": float(i)} for i, p in enumerate([0, 0, 5, 5, None, None])])
+    assert rows(threshold_matches(df, [ports]).select("event_id"), "event_id") == [(3,)]
+
+
+def test_two_port_rules_count_their_own_rows(spark):
+    rules = [
+        Rule(f"scan {p}", "", "threshold", "", "high", "network", (Condition("protocol", "equals", value=p),),
+             threshold=2, time_window_seconds=60, signature_id=i)
+        for i, p in enumerate(["TCP", "UDP"])
+    ]
+    data = [("TCP", 1), ("UDP", 1), ("UDP", 1), ("TCP", 2), ("UDP", 3)]
+    df = events(spark, [{"protocol": p, "dst_port": d, "src_ip": "a", "t": float(i)} for i, (p, d) in enumerate(data)])
+    got = rows(threshold_matches(df, rules).select("event_id", "signature_id"), "event_id")
+    assert got == [(3, 0), (4, 1)]
+
+
+def test_indicators_short_and_long(spark):
+    values = ("su", "powershell", "shell", "zz", "power", "a")
+    rule = Rule("i", "", "ioc", "", "high", ioc_values=values, signature_id=50)
+    commands = ["xx powershell", "su", "zz su", "", None, "pow", "bash", "q", "powe"]
+    df = events(spark, [{"event_type": "host", "command_line": c} for c in commands])
+    got = dict(rows(ioc_rule_matches(df, [rule]).select("event_id", F.get_json_object("details", "$.command_line")), "event_id"))
+
+    def last(text):
+        return next((v for v in reversed(values) if text and v in text), None)
+
+    assert got == {i: last(c) for i, c in enumerate(commands) if last(c)}
+
+
+def test_run_report_counts_the_run(spark, tmp_path):
+    path = str(tmp_path / "alerts")
+    quiet = events(spark, [{"dst_port": 1, "event_id": 9}])
+    assert detect_and_store(quiet, path).first()["alerts_generated"] == 0
+    hit = events(spark, [{"dst_port": 23, "event_id": 1}])
+    assert detect_and_store(hit, path).first()["alerts_generated"] == 1
+    again = events(spark, [{"dst_port": 23, "event_id": 2}])
+    assert detect_and_store(again, path).first()["alerts_generated"] == 1
+    assert detect_and_store(quiet, path).first()["alerts_generated"] == 0
+    assert spark.read.parquet(path).count() == 2
 
 
 def test_pattern_and_ioc_rules_share_a_scan(spark):

@@ -138,6 +138,20 @@ def test_limit_decides_the_way(spark):
         spark.conf.unset(GROUP_LIMIT_CONF)
 
 
+def test_large_groups_are_cut_at_any_partition_count(spark):
+    df = spark.range(1_000_000).select("id", (F.col("id") % 4).alias("k"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set(GROUP_LIMIT_CONF, "1000")
+        for partitions in ("2", "4", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            cut = measure_groups(df, ["k"])
+            assert cut.hot and cut.pieces == 1000
+    finally:
+        spark.conf.unset(GROUP_LIMIT_CONF)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @settings(max_examples=4, deadline=None)
 @given(
     st.lists(
