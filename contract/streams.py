@@ -22,7 +22,9 @@ from palisade.operators.features import network_columns
 from palisade.operators.profiles import host_profile
 from palisade.schemas import EVENT_SCHEMA
 from palisade.session import scratch_path
+from palisade.streaming.state import Bounds
 from palisade.streaming.detect_stream import (
+    latest,
     read_event_files,
     start_detection,
     start_flow_statistics,
@@ -44,7 +46,28 @@ def arrivals(events):
     yield events.where(time >= cuts[-1])
 
 
-def process(spark, events, start):
+# Later than any row of the month can be.
+ANY_ORDER = Bounds(late_seconds=40 * DAY)
+
+
+def shuffled(events):
+    """The events in arrivals that have nothing to do with time, and one of the far future
+    among the first."""
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    future = events.orderBy("event_id").limit(1).select(
+        *[
+            F.lit(-1).cast("long").alias(c) if c == "event_id"
+            else F.lit("2099-01-01 00:00:00").cast("timestamp").alias(c) if c == "timestamp"
+            else F.col(c)
+            for c in events.columns
+        ]
+    )
+    yield events.where(part == 0).unionByName(future)
+    yield events.where(part == 1)
+    yield events.where(part == 2)
+
+
+def process(spark, events, start, arrivals=arrivals):
     """Land each arrival, then run the stream until it has caught up."""
     inbox = scratch_path(spark, "inbox")
     for arrival in arrivals(events):
@@ -75,6 +98,24 @@ def stream_alerts(spark, sf):
     )
 
 
+@query("stream_alerts_shuffled", ORACLES["stream_alerts"])
+def stream_alerts_shuffled(spark, sf):
+    """The same alerts from rows that arrive in any order, beside one dated 2099."""
+    base = scratch_path(spark, "stream-shuffled")
+    process(
+        spark,
+        all_events(spark, sf),
+        lambda stream: start_detection(
+            stream, TEST_RULES, f"{base}/alerts", f"{base}/state", f"{base}/checkpoint",
+            created_at(), once=True, bounds=ANY_ORDER,
+        ),
+        shuffled,
+    )
+    return latest(spark.read.parquet(f"{base}/alerts"), "alert_id").select(
+        "event_id", "signature_id", F.round("confidence_score", 6).alias("confidence")
+    )
+
+
 @query("stream_host_profile", ORACLES["host_profile"])
 def stream_host_profile(spark, sf):
     """One-day host profiles on a stream, looking back across arrivals."""
@@ -113,6 +154,25 @@ def stream_flow_stats(spark, sf):
     )
 
 
+@query("stream_flow_stats_shuffled", ORACLES["stream_flow_stats"])
+def stream_flow_stats_shuffled(spark, sf):
+    """The same statistics from rows that arrive in any order, beside one dated 2099."""
+    base = scratch_path(spark, "stream-flows-shuffled")
+    process(
+        spark,
+        net_events(spark, sf),
+        lambda stream: start_flow_statistics(
+            stream, f"{base}/out", f"{base}/state", f"{base}/checkpoint", 40 * 86400, once=True,
+            bounds=ANY_ORDER,
+        ),
+        shuffled,
+    )
+    out = latest(spark.read.parquet(f"{base}/out"), "event_id")
+    return _rounded(
+        out.select("event_id", "flow_duration", "packets_per_second", "bytes_per_second"), NET_DIGITS
+    )
+
+
 @query(
     "stream_window_counts",
     f"""WITH {NET_SQL}, w AS (SELECT src_ip, CAST(date_trunc('day', ts) AS TIMESTAMP) - INTERVAL 1 DAY * unnest([0, 1]) AS s FROM net)

@@ -74,8 +74,9 @@ def flow_batch(events: DataFrame, before: DataFrame | None) -> DataFrame:
     )
 
 
-def flow_totals(events: DataFrame, before: DataFrame | None, idle_seconds: int) -> DataFrame:
-    """State after the batch: one row per flow seen within the idle time."""
+def flow_totals(events: DataFrame, before: DataFrame | None, since_us: int) -> DataFrame:
+    """Totals of the flows of ``before`` and of further events; flows last seen before
+    ``since_us`` are left out."""
     new = (
         keyed(events)
         .groupBy(*KEYS)
@@ -98,5 +99,4 @@ def flow_totals(events: DataFrame, before: DataFrame | None, idle_seconds: int)
                 F.sum("flow_bytes").alias("flow_bytes"),
             )
         )
-    newest = merged.agg(F.max("flow_last")).first()[0]
-    return merged.where(F.col("flow_last") >= F.lit((newest or 0) - idle_seconds * US))
+    return merged.where(F.col("flow_last") >= F.lit(since_us))

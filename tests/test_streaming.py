@@ -1,5 +1,7 @@
 """Streams against the batch definition."""
 
+import os
+
 import pytest
 from helpers import events, rows
 from pyspark.sql import functions as F
@@ -10,12 +12,15 @@ from palisade.rules.model import Condition, Rule
 from palisade.schemas import EVENT_SCHEMA
 from palisade.streaming.detect_stream import (
     alert_writer,
+    flow_state_writer,
+    latest,
     read_event_files,
     start_detection,
     start_flow_statistics,
     start_trailing,
     windowed_counts,
 )
+from palisade.streaming.state import Bounds, refused
 
 RULES = [
     Rule("burst", "", "threshold", "", "high", "network", (Condition("dst_port", "equals", value=22),),
@@ -95,11 +100,65 @@ def test_idle_flows_are_forgotten(spark, tmp_path):
     table = events(spark, [{**flow, "event_id": 1, "t": 0.0}, {"event_id": 2, "t": 40.5, "src_ip": "q"},
                            {**flow, "event_id": 3, "t": 95.0}])
     paths = [str(tmp_path / x) for x in ("out", "state", "checkpoint")]
-    run(spark, table, str(tmp_path / "in"), lambda s: start_flow_statistics(s, *paths, 30, once=True))
+    bounds = Bounds(late_seconds=0)
+    # A quarter of an hour apart, so that what came before is settled.
+    writer = flow_state_writer(paths[0], paths[1], 30, bounds)
+    for number, event in enumerate((1, 2, 3)):
+        late = F.expr(f"timestamp + INTERVAL {15 * number} MINUTES")
+        writer(table.where(F.col("event_id") == event).withColumn("timestamp", late), number)
     got = rows(spark.read.parquet(paths[0]).select("event_id", "flow_duration"), "event_id")
     assert got == [(1, None), (2, None), (3, None)]
 
 
+def shuffled(table, future=True):
+    part = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    for k in range(4):
+        rows_ = table.where(part == k)
+        if future and k == 0:
+            far = table.limit(1).withColumn("event_id", F.lit(-1).cast("long")).withColumn(
+                "timestamp", F.lit("2099-01-01").cast("timestamp"))
+            rows_ = rows_.unionByName(far)
+        yield rows_
+
+
+def test_any_order_and_a_wrong_clock(spark, table, tmp_path, way):
+    out, state = str(tmp_path / "a"), str(tmp_path / "s")
+    writer = alert_writer(RULES, out, state, now())
+    parts = list(shuffled(table))
+    for number, part in enumerate(parts):
+        writer(part, number)
+    writer(parts[3], 3)  # a repeated batch
+    keep = ["alert_id", "event_id", "title", "confidence_score", "matched_rules"]
+    want = rows(detect(table, RULES, now()).select(*keep), "alert_id")
+    assert rows(latest(spark.read.parquet(out), "alert_id").select(*keep), "alert_id") == want
+    assert rows(refused(spark, state), "reason") == [("future", 1)]
+
+
+def test_flows_in_any_order(spark, table, tmp_path):
+    out, state = str(tmp_path / "a"), str(tmp_path / "s")
+    writer = flow_state_writer(out, state, 10_000)
+    for number, part in enumerate(shuffled(table)):
+        writer(part, number)
+    keep = ["event_id", "flow_duration", "packets_per_second", "bytes_per_second"]
+    got = latest(spark.read.parquet(out), "event_id").select(*keep)
+    assert rows(got, "event_id") == rows(flow_columns(table).select(*keep), "event_id")
+
+
+def test_late_rows_are_set_aside_and_old_spans_go(spark, tmp_path):
+    out, state = str(tmp_path / "a"), str(tmp_path / "s")
+    writer = alert_writer(RULES, out, state, now(), Bounds(late_seconds=60))
+    spans = []
+    for number in range(8):
+        data = [{"event_id": 10 * number + i, "t": 600.0 * number + i, "src_ip": "a", "dst_port": 22} for i in range(4)]
+        if number == 3:
+            data.append({"event_id": 999, "t": 5.0, "src_ip": "a", "dst_port": 22})
+        writer(events(spark, data), number)
+        spans.append(len([x for x in os.listdir(f"{state}/rows") if x.startswith("span=")]))
+    assert rows(refused(spark, state), "reason") == [("late", 1)]
+    assert max(spans) <= 3
+    assert sorted(r["event_id"] % 10 for r in spark.read.parquet(out).collect()) == sorted([2, 3] * 8)
+
+
 def test_windowed_counts(spark, table, tmp_path):
     def start(stream):
         def store(batch, number):
