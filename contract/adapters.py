@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contract.registry import table
+from palisade.operators.features import with_features
 from palisade.rules.catalog import DEFAULT_RULES
 from palisade.rules.model import Condition, Rule
 from palisade.schemas import EVENT_SCHEMA
@@ -135,7 +136,7 @@ def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _STORED:
         path = scratch_path(spark, "events")
         (
-            _as_events(spark, sf_dir)
+            with_features(_as_events(spark, sf_dir))
             .repartition(spark.sparkContext.defaultParallelism, "event_id")
             .write.partitionBy("event_type")
             .parquet(path)

@@ -25,7 +25,7 @@ from palisade.anomaly.reconstruction import score_reconstruction, train_reconstr
 from palisade.functions.hashing import hash_percent
 from palisade.functions.scores import anomaly_severity, forest_anomaly, normalise
 from palisade.operators.alerts import anomaly_alerts, mean_score
-from palisade.operators.features import network_features
+from palisade.operators.features import stored_features
 from palisade.operators.running import rank_by
 from palisade.plans.train import (
     MODEL_TYPES,
@@ -472,7 +472,7 @@ FLOW_FEATURES = [
 def event_anomaly_alerts(spark, sf):
     """Network events to features, three registered models, one mean score, alerts: as many
     as scores lie above the threshold, each with the id and the severity that follow from it."""
-    features = network_features(net_events(spark, sf)).withColumn("label", F.lit(0))
+    features = stored_features(net_events(spark, sf)).withColumn("label", F.lit(0))
     folder = scratch_path(spark, "models")
     data = prepare(features, "label", "event_id", FLOW_FEATURES)
     for model_type in MODEL_TYPES:

@@ -25,6 +25,7 @@ from palisade.operators.running import (
     trailing_sums,
 )
 from palisade.functions.indicators import url_host
+from palisade.functions.text import SUSPICIOUS_COMMANDS
 from palisade.functions.timestamps import micros
 from palisade.operators.sequences import followed_by
 from palisade.plans.detect import detect, detect_and_store
@@ -35,7 +36,7 @@ from palisade.rules.matching import (
     pattern_matches,
     threshold_matches,
 )
-from palisade.rules.model import Rule
+from palisade.rules.model import Condition, Rule
 from palisade.schemas import ALERT_SCHEMA
 from palisade.session import scratch_path
 
@@ -252,6 +253,24 @@ def pattern_operators(spark, sf):
     return pattern_matches(all_events(spark, sf), OPERATOR_RULES).select("event_id", "signature_id")
 
 
+SUSPICIOUS = " OR ".join(f"contains(lower(coalesce(command_line, '')), '{w.lower()}')" for w in SUSPICIOUS_COMMANDS)
+
+
+@query(
+    "pattern_feature_path",
+    f"""WITH {NET_SQL}, {HOST_SQL}
+    SELECT event_id, CAST(401 AS BIGINT) AS signature_id FROM net WHERE upper(coalesce(protocol, 'unknown')) = 'TCP'
+    UNION ALL SELECT event_id, 402 FROM host WHERE {SUSPICIOUS}""",
+)
+def pattern_feature_path(spark, sf):
+    """Rules on stored features."""
+    rules = [
+        Rule(name, "", "pattern", "", "low", None, (Condition(f"features.{name}", "equals", value=1),), signature_id=i)
+        for i, name in ((401, "protocol_tcp"), (402, "cmd_suspicious"))
+    ]
+    return pattern_matches(all_events(spark, sf), rules).select("event_id", "signature_id")
+
+
 @query(
     "ioc_ip_alerts",
     f"WITH {NET_SQL}, {HOST_SQL}, {IOC_SQL} SELECT event_id, details FROM ioc WHERE signature_id = 101",

@@ -660,13 +660,16 @@ def union_missing_columns(spark, sf):
 @query(
     "event_rows",
     f"""WITH {NET_SQL}, {HOST_SQL} SELECT event_id, 'network' AS event_type, src_ip, dst_port, bytes_sent,
-      CAST(NULL AS VARCHAR) AS hostname, CAST(NULL AS VARCHAR) AS command_line FROM net
-    UNION ALL SELECT event_id, 'host', NULL, NULL, NULL, hostname, command_line FROM host""",
+      CAST(NULL AS VARCHAR) AS hostname, CAST(NULL AS VARCHAR) AS command_line,
+      coalesce(bytes_sent, 0) + coalesce(bytes_received, 0) AS total_bytes, CAST(NULL AS INT) AS cmd_has_pipe FROM net
+    UNION ALL SELECT event_id, 'host', NULL, NULL, NULL, hostname, command_line, NULL,
+      CAST(contains(coalesce(command_line, ''), '|') AS INT) FROM host""",
 )
 def event_rows(spark, sf):
     """Network and host events in one layout; absent fields are NULL."""
     return all_events(spark, sf).select(
-        "event_id", "event_type", "src_ip", "dst_port", "bytes_sent", "hostname", "command_line"
+        "event_id", "event_type", "src_ip", "dst_port", "bytes_sent", "hostname", "command_line",
+        "features.total_bytes", "features.cmd_has_pipe",
     )
 
 

@@ -19,6 +19,7 @@ from palisade.functions.text import (
 from palisade.functions.timestamps import micros
 from palisade.operators.flow_state import keyed, past_of_flow, statistics
 from palisade.operators.running import Trailing, trailing_sums
+from palisade.schemas import FEATURE_SCHEMA
 
 TCP_FLAGS = {"syn": "S", "ack": "A", "fin": "F", "rst": "R", "psh": "P"}
 BEHAVIOUR_WINDOW_SECONDS = 300
@@ -169,3 +170,38 @@ def extract_features(events: DataFrame) -> DataFrame:
     return net.withColumn("event_type", F.lit("network")).unionByName(
         host.withColumn("event_type", F.lit("host")), allowMissingColumns=True
     )
+
+
+def with_features(events: DataFrame) -> DataFrame:
+    """Fill the ``features`` column of events, in the order of their columns.
+
+    Each type is one branch with the ordered operators of its features; events of another
+    type have none.
+    """
+
+    def packed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        fields = [
+            columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FEATURE_SCHEMA
+        ]
+        return rows.select(
+            *[F.struct(*fields).alias(c) if c == "features" else F.col(c) for c in events.columns]
+        )
+
+    def looked_back(*names: str) -> dict[str, Column]:
+        return {n: F.col(n) for n in names}
+
+    net = flow_columns(events.where("event_type = 'network'"))
+    host = behaviour_columns(events.where("event_type = 'host'"))
+    other = events.where("event_type IS NULL OR event_type NOT IN ('network', 'host')")
+    flow = looked_back("flow_duration", "packets_per_second", "bytes_per_second")
+    behaviour = looked_back("process_spawn_rate", "login_frequency", "command_execution_rate")
+    return (
+        packed(net, network_columns() | flow | tcp_flag_columns())
+        .unionByName(packed(host, host_columns() | behaviour))
+        .unionByName(other)
+    )
+
+
+def stored_features(events: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """event_id and the stored features (or some), as models take them."""
+    return events.select("event_id", *([f"features.{n}" for n in names] if names else ["features.*"]))

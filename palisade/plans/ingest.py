@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.operators.features import with_features
 from palisade.operators.reports import event_counts
 from palisade.sources.captures import read_captures
 from palisade.sources.common import numbered, to_event_schema
@@ -27,7 +28,7 @@ def read_sources(
     first_id: int = 0,
 ) -> DataFrame:
     """Network and host events of the given folders as one table, numbered from
-    ``first_id``."""
+    ``first_id``, with their features."""
     stamp = F.current_timestamp() if now is None else now
     parts = []
     if captures:
@@ -37,7 +38,7 @@ def read_sources(
     if not parts:
         raise ValueError("no source given")
     events = reduce(DataFrame.unionByName, [to_event_schema(p) for p in parts])
-    return numbered(events, first_id).withColumn("created_at", stamp)
+    return with_features(numbered(events, first_id).withColumn("created_at", stamp))
 
 
 def ingest(

@@ -2,6 +2,8 @@
 
 from pyspark.sql import types as T
 
+from palisade.functions.network import SERVICE_PORTS
+
 _TEXT, _INT, _LONG = T.StringType(), T.IntegerType(), T.LongType()
 _DOUBLE, _TIME, _BOOL = T.DoubleType(), T.TimestampType(), T.BooleanType()
 _TEXTS = T.ArrayType(T.StringType())
@@ -11,6 +13,29 @@ def _layout(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
+# What is computed of every event when it is stored; fields of the other type are NULL.
+FEATURE_SCHEMA = _layout(
+    **dict.fromkeys(
+        "bytes_sent bytes_received packets_sent packets_received total_bytes total_packets".split(), _LONG
+    ),
+    avg_packet_size=_DOUBLE,
+    **dict.fromkeys("protocol_tcp protocol_udp protocol_icmp protocol_other src_port dst_port".split(), _INT),
+    **dict.fromkeys(
+        "well_known_port_src well_known_port_dst ephemeral_port_src ephemeral_port_dst".split(), _INT
+    ),
+    **{f"service_{s}": _INT for s in SERVICE_PORTS},
+    is_private_src=_INT,
+    is_private_dst=_INT,
+    **dict.fromkeys("flow_duration packets_per_second bytes_per_second".split(), _DOUBLE),
+    **{f"tcp_{f}": _INT for f in ("syn", "ack", "fin", "rst", "psh")},
+    **dict.fromkeys("has_process is_system_process is_shell cmd_length cmd_has_pipe".split(), _INT),
+    **dict.fromkeys("cmd_has_redirect cmd_has_background cmd_suspicious has_username is_root".split(), _INT),
+    unusual_parent_child=_INT,
+    process_spawn_rate=_DOUBLE,
+    login_frequency=_LONG,
+    command_execution_rate=_DOUBLE,
+)
+
 EVENT_SCHEMA = _layout(
     event_id=_LONG,
     timestamp=_TIME,
@@ -32,6 +57,7 @@ EVENT_SCHEMA = _layout(
     command_line=_TEXT,
     parent_process=_TEXT,
     raw_data=_TEXT,
+    features=FEATURE_SCHEMA,
     created_at=_TIME,
 )
 
