@@ -14,9 +14,11 @@ is held against all documents:
    singular vectors would leave all cosines as they are, so it isn't.
 3. Passages and items are compared in the latent space, a matrix product for each batch. A
    passage is a candidate if its cosine with an item is high enough, and its component along
-   the item is at least half the item's length (an item may be embedded in other text).
-4. Candidates are checked on the words around the passage: the longest common subsequence with
-   the item, weighted by inverse frequency, must reach 0.6 of the item's weight. That lets
+   the item is at least 0.4 of the item's length (an item may be embedded in other text).
+4. Candidates are checked on their words. First the weights of the rare words that passage and
+   item share are added up, for a whole batch at once. For those that share enough, the longest
+   common subsequence of the item and the words around the passage, weighted by inverse
+   frequency, must reach 0.6 of the item's weight. That lets
    paraphrases through in which some words were replaced, dropped or added. An item that has
    an answer (after its last question mark, or after "answer:") must have half of it matched.
 
@@ -41,8 +43,11 @@ ITEMS = 4000
 STRETCH = 32
 DIMENSIONS = 64
 SPARE = 16
-COSINE = 0.3
-ALONG = 0.5
+COSINE = 0.2
+ALONG = 0.4
+# Words rarer than this inverse frequency tell items apart; a share of them must be there.
+RARE = 2.5
+SHARED = 0.4
 MATCH = 0.6
 ANSWER = 0.5
 MIN_WORDS = 5
@@ -216,6 +221,47 @@ def match_score(block: Block, k: int, words: np.ndarray, weight: np.ndarray) ->
     return float(common[-1] / max(whole, 1e-9))
 
 
+@dataclass
+class Postings:
+    """For every word the segments that it tells apart, as flat arrays."""
+
+    start: np.ndarray
+    count: np.ndarray
+    segment: np.ndarray
+    weight: np.ndarray
+    needed: np.ndarray
+
+    def shared(self, window: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, segment) pairs that share enough, of different (window, word) pairs."""
+        n = self.count[word]
+        before = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(self.start[word] - before, n)
+        pair = np.repeat(window, n) * self.needed.size + self.segment[at]
+        pair, which = np.unique(pair, return_inverse=True)
+        total = np.bincount(which, weights=np.repeat(self.weight[word], n), minlength=pair.size)
+        window, segment = pair // self.needed.size, pair % self.needed.size
+        enough = total >= self.needed[segment]
+        return window[enough], segment[enough]
+
+
+def make_postings(block: Block, weight: np.ndarray, idf: np.ndarray) -> Postings:
+    """A segment is told apart by its rare words, or by all if those are the smaller part of it."""
+    words, segments = [], []
+    needed = np.zeros(len(block.segments))
+    for s, (_, segment) in enumerate(block.segments):
+        own = np.unique(segment)
+        rare = own[idf[own] > RARE]
+        if 2 * weight[rare].sum() < weight[own].sum():
+            rare = own
+        words.append(rare)
+        segments.append(np.full(rare.size, s))
+        needed[s] = SHARED * weight[rare].sum()
+    word, segment = np.concatenate(words), np.concatenate(segments)
+    order = np.argsort(word, kind="stable")
+    count = np.bincount(word, minlength=weight.size)
+    return Postings(np.cumsum(count) - count, count, segment[order], weight, needed)
+
+
 def _hits(block: Block, idf: np.ndarray, basis: np.ndarray):
     vectors = (basis * idf[:, None]).astype(np.float32)
     # Common words count a little, so that an item of common words has a weight too.
@@ -223,40 +269,55 @@ def _hits(block: Block, idf: np.ndarray, basis: np.ndarray):
     queries = np.stack([vectors[s].sum(axis=0) for _, s in block.segments])
     length = np.linalg.norm(queries, axis=1)
     owner = np.array([k for k, _ in block.segments])
+    postings = make_postings(block, weight, idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, places, images = [], [], []
+            docs, places, images, pairs = [], [], [], []
             rows = batch.column("ids").to_pylist()
+            count = 0
             for i, b in enumerate(rows):
-                image = _windows(np.frombuffer(b, np.int32), vectors)
-                docs.append(np.full(image.shape[0], i))
-                places.append(np.arange(image.shape[0]))
+                ids = np.frombuffer(b, np.int32)
+                image = _windows(ids, vectors)
+                n = image.shape[0]
+                known = np.flatnonzero(ids >= 0)
+                stretch = known // STRETCH
+                word = ids[known].astype(np.int64)
+                # A stretch is in the window that begins with it and in the one before.
+                pairs.append((count + np.minimum(stretch, n - 1)) * idf.size + word)
+                pairs.append((count + np.maximum(stretch - 1, 0)) * idf.size + word)
+                docs.append(np.full(n, i))
+                places.append(np.arange(n))
                 images.append(image)
+                count += n
             if not docs:
                 continue
             doc, place, image = np.concatenate(docs), np.concatenate(places), np.concatenate(images)
             found: dict[tuple[int, int], float] = {}
-            size = np.linalg.norm(image, axis=1) + 1e-9
+            length_of = np.linalg.norm(image, axis=1) + 1e-9
+            pair = np.unique(np.concatenate(pairs))
+            window, segment = postings.shared(pair // idf.size, pair % idf.size)
+            near = np.zeros(window.size, bool)
             for begin in range(0, doc.size, 1 << 14):
-                part = slice(begin, begin + (1 << 14))
-                product = image[part] @ queries.T
+                end = min(begin + (1 << 14), doc.size)
+                product = image[begin:end] @ queries.T
                 good = product >= ALONG * (length**2)[None, :]
-                good &= product >= COSINE * size[part][:, None] * length[None, :]
-                for w, q in zip(*np.nonzero(good)):
-                    w += begin
-                    ids, k = np.frombuffer(rows[doc[w]], np.int32), int(owner[q])
-                    n = block.items[k].size
-                    at = place[w] * STRETCH
-                    around = ids[max(0, at - n) : at + 2 * STRETCH + n]
-                    # Words that the item does not have can't be in a common subsequence.
-                    around = around[np.isin(around, block.items[k])]
-                    if weight[around].sum() < MATCH * weight[block.items[k]].sum():
-                        continue
-                    score = match_score(block, k, around, weight)
-                    key = (int(doc[w]), k)
-                    if score >= MATCH and score > found.get(key, 0):
-                        found[key] = score
+                good &= product >= COSINE * length_of[begin:end][:, None] * length[None, :]
+                a, z = np.searchsorted(window, [begin, end])
+                near[a:z] = good[window[a:z] - begin, segment[a:z]]
+            for w, q in zip(window[near].tolist(), segment[near].tolist()):
+                ids, k = np.frombuffer(rows[doc[w]], np.int32), int(owner[q])
+                key = (int(doc[w]), k)
+                n = block.items[k].size
+                at = place[w] * STRETCH
+                around = ids[max(0, at - n) : at + 2 * STRETCH + n]
+                # Words that the item does not have can't be in a common subsequence.
+                around = around[np.isin(around, block.items[k])]
+                if weight[around].sum() < MATCH * weight[block.items[k]].sum():
+                    continue
+                score = match_score(block, k, around, weight)
+                if score >= MATCH and score > found.get(key, 0):
+                    found[key] = score
             if found:
                 ids, h = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
                 yield pa.RecordBatch.from_arrays(
