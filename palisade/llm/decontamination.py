@@ -60,13 +60,13 @@ def words_of(text: str | None) -> np.ndarray:
     """Hashes of the words, runs of letters and digits in lower case."""
     found = []
     for part in parts((text or "").lower()):
-        kind = classes()[np.frombuffer((part + " ").encode("utf-32-le"), np.uint32)]
+        points = np.frombuffer((part + " ").encode("utf-32-le"), np.uint32)
+        kind = classes()[points]
         inside = (kind == LETTER) | (kind == NUMBER)
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if inside[0]:
             edge = np.concatenate([[0], edge])
         if edge.size:
-            points = np.frombuffer((part + " ").encode("utf-32-le"), np.uint32)
             found.append(hashes(points, edge[0::2], edge[1::2]))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
@@ -183,8 +183,10 @@ def _gathered(idf: np.ndarray, directions: np.ndarray):
                 images.append(here + before)
             if words:
                 word, image = np.concatenate(words), np.concatenate(images)
-                for d in range(image.shape[1]):
-                    total[:, d] += np.bincount(word, weights=image[:, d], minlength=idf.size)
+                order = np.argsort(word, kind="stable")
+                word = word[order]
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                total[word[first]] += np.add.reduceat(image[order], first, axis=0)
         total *= idf[:, None]
         used = np.flatnonzero(total.any(axis=1))
         if used.size:
