@@ -58,7 +58,7 @@ def text_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Calla
 def components(spark: SparkSession, edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of the links (u, v): rows (node, root), root the least node.
 
-    Alternates two steps until nothing changes: every node links its larger neighbours
+    Alternates two steps until every node links to a root: every node links its larger neighbours
     to its least neighbour, then its smaller ones. Only minima per node are aggregated,
     before the shuffle as well, so a node with any number of links is no bottleneck. Each
     step is written to the shared folder. Links with a null end are ignored; a link of a
@@ -71,20 +71,21 @@ def components(spark: SparkSession, edges: DataFrame, name: str = "components")
     def least(e: DataFrame, at: Column) -> DataFrame:
         return written(e.groupBy("u").agg(F.least(F.min("v"), at).alias("m")), f"{name}-least")
 
-    def mark(e: DataFrame) -> tuple:
-        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        return row["n"], row["s"]
+    def done(e: DataFrame) -> bool:
+        """Whether the links are stars: every node has one link, and none leads to a node that has."""
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionAll(
+            e.select(F.col("v").alias("x"), F.lit(0).alias("up"))
+        )
+        each = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+        return each.where("ups > 1 or (ups = 1 and least = 0)").isEmpty()
 
     edges = edges.select("u", "v").where("u is not null and v is not null")
     nodes = both(edges).select(F.col("u").alias("node")).distinct()
-    nodes = written(nodes, f"{name}-nodes")
     now = written(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
         f"{name}-links",
     )
-    before = None
-    while (state := mark(now)) != before:
-        before = state
+    while not done(now):
         pairs = both(now)
         large = (
             pairs.join(least(pairs, F.col("u")), "u")

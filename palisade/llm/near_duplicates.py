@@ -9,12 +9,12 @@ change anything, so only about m ln m of them are ever drawn, however long the t
 
 1. Equal texts are one text from here on; they share a class by themselves.
 2. Signatures are cut into bands; texts with an equal band meet in a bucket. Each bucket links
-   its texts to one of them, chosen anew in every band, so a bucket of n texts has n - 1
-   candidate pairs, not n squared.
+   its texts to a few of them, its leaders, chosen anew in every band, so a bucket of n texts
+   has a few n candidate pairs, not n squared.
 3. Candidates whose sizes or signatures rule a similarity of 0.8 out are dropped; the others
    are verified on the sets of shingles (Jaccard, exactly 0.8 or more).
-4. Links join texts to classes. Buckets that still hold several classes link one text of each
-   to another of them, again newly chosen, until a round finds nothing new.
+4. Links join texts to classes. Buckets that still hold several classes link their texts to
+   leaders of other classes, again newly chosen, until a round finds nothing new.
 
 With 25 bands of 5 registers a pair at 0.8 misses all buckets once in 20,000 times, at 0.9 once
 in 10^9. Ruling out by signature starts below 0.56 agreement, which a pair at 0.8 falls short
@@ -38,6 +38,11 @@ SIMILAR = 0.8
 BANDS = 25
 ROWS = 5
 AGREE = 0.56
+# Texts of a bucket that all others are compared with, in the first round and in later ones,
+# in which few buckets are left; and how many of its candidates a text is verified with in a
+# round, those that agree best.
+LEADERS = (2, 8)
+BEST = 3
 
 _ALL = (1 << 64) - 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -149,8 +154,9 @@ def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _agree(batch: pa.RecordBatch) -> pa.RecordBatch:
     a = [np.frombuffer(b, np.uint8) for b in batch.column("sig_u").to_pylist()]
     b = [np.frombuffer(b, np.uint8) for b in batch.column("sig_v").to_pylist()]
-    same = np.mean(np.stack(a) == np.stack(b), axis=1)
-    return batch.select(["u", "v"]).filter(pa.array(same >= AGREE))
+    same = np.mean(np.stack(a) == np.stack(b), axis=1).astype(np.float32)
+    out = batch.select(["u", "v"]).append_column("same", pa.array(same))
+    return out.filter(pa.array(same >= AGREE))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -168,29 +174,49 @@ def _similar(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _pairs_of(buckets: DataFrame, round_: int) -> DataFrame:
-    """(u, v) of rows (band, hash, root, key, n): one text of each class, linked to one of the bucket."""
-    one = F.min(F.struct(F.xxhash64("key", "band", F.lit(round_)).alias("o"), "key", "n"))
-    each = written(buckets.groupBy("band", "hash", "root").agg(one.alias("m")), "near-members")
-    lead = each.groupBy("band", "hash").agg(F.count("*").alias("c"), F.min("m").alias("l")).where("c > 1")
-    lead = written(lead.drop("c"), "near-leaders")
+    """(u, v) of rows (band, hash, key, n, root, size): texts u with leaders v of their buckets.
+
+    Only buckets with several classes have leaders, and only texts of other classes, no
+    larger than the leader's, are paired with them: those few are to find their way into a
+    large class, not its members into theirs.
+    """
+    leaders = [
+        F.min(F.struct(F.xxhash64("key", "band", F.lit(1000 * round_ + k)).alias("o"), "key", "n", "root", "size"))
+        for k in range(LEADERS[min(round_, 1)])
+    ]
+    lead = (
+        buckets.groupBy("band", "hash")
+        .agg(F.array(*leaders).alias("leaders"), F.min("root").alias("a"), F.max("root").alias("z"))
+        .where("a <> z")
+        .select("band", "hash", "leaders")
+    )
+    lead = written(lead, "near-leaders")
     return (
-        each.join(lead, ["band", "hash"])
-        .where("m.key <> l.key")
-        .where(F.least("m.n", "l.n") >= F.greatest("m.n", "l.n") * SIMILAR)
-        .select(F.least("m.key", "l.key").alias("u"), F.greatest("m.key", "l.key").alias("v"))
+        buckets.join(lead, ["band", "hash"])
+        .select("key", "n", "root", "size", F.explode("leaders").alias("l"))
+        .where("root <> l.root and size <= l.size")
+        .where(F.least(F.col("n"), F.col("l.n")) >= F.greatest(F.col("n"), F.col("l.n")) * SIMILAR)
+        .select(F.col("key").alias("u"), F.col("l.key").alias("v"))
         .distinct()
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are similar."""
+def _agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose signatures allow for similarity, the best few of each text u. What is
+    left out here comes up again in the next round, if it is still of two classes."""
     sigs = texts.select("key", "sig")
     near = (
         pairs.join(sigs.withColumnsRenamed({"key": "u", "sig": "sig_u"}), "u")
         .join(sigs.withColumnsRenamed({"key": "v", "sig": "sig_v"}), "v")
-        .mapInArrow(text_batches(_agree), "u binary, v binary")
+        .mapInArrow(text_batches(_agree), "u binary, v binary, same float")
     )
-    near = written(near, "near-agreeing")
+    # At most as many as there are leaders in a text's bands.
+    best = F.slice(F.sort_array(F.collect_list(F.struct("same", "v")), False), 1, BEST)
+    return near.groupBy("u").agg(best.alias("b")).select("u", F.explode("b.v").alias("v"))
+
+
+def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that are similar."""
     return (
         near.join(sets.withColumnsRenamed({"key": "u", "items": "set_u"}), "u")
         .join(sets.withColumnsRenamed({"key": "v", "items": "set_v"}), "v")
@@ -229,34 +255,33 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     release(spark)
 
     # One row for each text that shares a bucket.
-    wanted = written(buckets.select("key").distinct(), "near-wanted")
-    first = signed.select("rid", "key").groupBy("key").agg(F.min("rid").alias("rid")).join(wanted, "key")
-    first = written(first.select("rid"), "near-first")
+    wanted = signed.select("rid", "key").join(buckets.select("key").distinct(), "key")
+    first = wanted.groupBy("key").agg(F.min("rid").alias("rid"))
     sets = rows.join(first, "rid", "left_semi").select("key", "text").mapInArrow(text_batches(_sets), "key binary, items binary")
     sets = written(sets, "near-sets")
     release(spark)
 
-    links = roots = None
-    tested = None
+    roots = tested = None
     round_ = 0
     while True:
-        here = buckets.withColumn("root", F.col("key"))
+        here = buckets.withColumns({"root": F.col("key"), "size": F.lit(1).cast("long")})
         if roots is not None:
             here = buckets.join(roots, buckets["key"] == roots["node"], "left").select(
-                "band", "hash", "key", "n", F.coalesce("root", "key").alias("root")
+                "band", "hash", "key", "n", F.coalesce("root", "key").alias("root"),
+                F.coalesce("size", F.lit(1)).alias("size"),
             )
         pairs = _pairs_of(here, round_)
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        if pairs.isEmpty():
-            break
-        found = written(_verified(pairs, texts, sets), "near-links")
-        if found.isEmpty():
+        near = written(_agreeing(pairs, texts), "near-agreeing")
+        tested = near if tested is None else tested.unionAll(near)
+        links = written(_verified(near, sets), "near-links")
+        if links.isEmpty():
             break
-        links = found if links is None else links.unionAll(found)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        roots = written(components(spark, links, "near-components"), "near-roots")
+        # The classes so far are links of their members to the root.
+        known = links if roots is None else links.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        found = written(components(spark, known, "near-components"), "near-roots")
+        roots = found.join(found.groupBy("root").agg(F.count("*").alias("size")), "root")
         round_ += 1
         release(spark)
 
