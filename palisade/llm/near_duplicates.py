@@ -9,12 +9,17 @@ change anything, so only about m ln m of them are ever drawn, however long the t
 
 1. Equal texts are one text from here on; they share a class by themselves.
 2. Signatures are cut into bands; texts with an equal band meet in a bucket. Each bucket links
-   its texts to a few of them, its leaders, chosen anew in every band, so a bucket of n texts
-   has a few n candidate pairs, not n squared.
+   its texts to two of them, its leaders, the ends of one order of all texts, so a bucket of n
+   texts has 2 n candidate pairs, and large buckets of the same texts mostly have the same.
 3. Candidates whose sizes or signatures rule a similarity of 0.8 out are dropped; the others
    are verified on the sets of shingles (Jaccard, exactly 0.8 or more).
-4. Links join texts to classes. Buckets that still hold several classes link their texts to
-   leaders of other classes, again newly chosen, until a round finds nothing new.
+4. Links join texts to classes. Buckets that still hold several classes do this once more, with
+   leaders by another order.
+5. The leaders only save work. Whatever buckets still hold several classes, their texts are
+   dealt into blocks, and every two blocks are compared, all pairs of different classes, first
+   by size and signature, then, for texts with a partner left, on the sets. A class too large
+   for a block has blocks of its own, which are not compared with each other. Work grows with
+   the square of the texts of small classes in a bucket; rows made do so over BLOCK.
 
 With 25 bands of 5 registers a pair at 0.8 misses all buckets once in 20,000 times, at 0.9 once
 in 10^9. Ruling out by signature starts below 0.56 agreement, which a pair at 0.8 falls short
@@ -38,11 +43,12 @@ SIMILAR = 0.8
 BANDS = 25
 ROWS = 5
 AGREE = 0.56
-# Texts of a bucket that all others are compared with, in the first round and in later ones,
-# in which few buckets are left; and how many of its candidates a text is verified with in a
-# round, those that agree best.
-LEADERS = (2, 8)
+# Rounds with leaders, and how many of its candidates a text is verified with in one, those
+# that agree best.
+ROUNDS = 2
 BEST = 3
+# Texts of a bucket that are compared in full with as many others at once.
+BLOCK = 256
 
 _ALL = (1 << 64) - 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -178,15 +184,12 @@ def _pairs_of(buckets: DataFrame, round_: int) -> DataFrame:
 
     Only buckets with several classes have leaders, and only texts of other classes, no
     larger than the leader's, are paired with them: those few are to find their way into a
-    large class, not its members into theirs.
+    large class, not its members into theirs. What is left out here is compared in the end.
     """
-    leaders = [
-        F.min(F.struct(F.xxhash64("key", "band", F.lit(1000 * round_ + k)).alias("o"), "key", "n", "root", "size"))
-        for k in range(LEADERS[min(round_, 1)])
-    ]
+    one = F.struct(F.xxhash64("key", F.lit(round_)).alias("o"), "key", "n", "root", "size")
     lead = (
         buckets.groupBy("band", "hash")
-        .agg(F.array(*leaders).alias("leaders"), F.min("root").alias("a"), F.max("root").alias("z"))
+        .agg(F.array(F.min(one), F.max(one)).alias("leaders"), F.min("root").alias("a"), F.max("root").alias("z"))
         .where("a <> z")
         .select("band", "hash", "leaders")
     )
@@ -202,8 +205,7 @@ def _pairs_of(buckets: DataFrame, round_: int) -> DataFrame:
 
 
 def _agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose signatures allow for similarity, the best few of each text u. What is
-    left out here comes up again in the next round, if it is still of two classes."""
+    """The pairs whose signatures allow for similarity, the best few of each text u."""
     sigs = texts.select("key", "sig")
     near = (
         pairs.join(sigs.withColumnsRenamed({"key": "u", "sig": "sig_u"}), "u")
@@ -224,6 +226,115 @@ def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(here: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (task, side, band, key, root, n, sig, bands) of the blocks that are to be compared,
+    for rows (band, hash, key, root): all texts of side 0 with all of side 1, or, where
+    there is no side 1, with each other."""
+    classes_ = written(here.groupBy("band", "hash", "root").agg(F.count("*").alias("c")), "near-bucket-classes")
+    large = classes_.where(F.col("c") > BLOCK)
+    mixed = (
+        classes_.groupBy("band", "hash")
+        .agg(F.count("*").alias("classes"), F.sum(F.when(F.col("c") <= BLOCK, F.col("c"))).alias("small"))
+        .where("classes > 1")
+        .drop("classes")
+    )
+    mixed = written(mixed, "near-mixed")
+    # Texts of small classes share blocks, which have no owner.
+    rows = (
+        here.join(mixed, ["band", "hash"])
+        .join(large, ["band", "hash", "root"], "left")
+        .select(
+            "band", "hash", "key", "root",
+            F.when(F.col("c").isNotNull(), F.col("root")).otherwise(F.lit(b"")).alias("owner"),
+            F.pmod(F.xxhash64("key"), F.ceil(F.coalesce("c", "small") / BLOCK)).alias("salt"),
+        )
+    )
+    rows = written(rows, "near-blocks")
+    blocks = rows.select("band", "hash", "owner", "salt").distinct().groupBy("band", "hash")
+    blocks = blocks.agg(F.sort_array(F.collect_list(F.struct("owner", "salt"))).alias("all"))
+    tasks = (
+        blocks.select("band", "hash", "all", F.posexplode("all").alias("k", "a"))
+        .select("band", "hash", "a", F.explode(F.slice("all", F.col("k") + 1, F.size("all"))).alias("b"))
+        .where("a.owner = X'' or a.owner <> b.owner")
+        .withColumn("task", F.monotonically_increasing_id())
+    )
+    tasks = written(tasks, "near-tasks")
+    ends = tasks.select("task", F.lit(0).alias("side"), "band", "hash", "a.*").unionAll(
+        tasks.where("a <> b").select("task", F.lit(1).alias("side"), "band", "hash", "b.*")
+    )
+    return (
+        rows.join(ends, ["band", "hash", "owner", "salt"])
+        .select("task", "side", "band", "key", "root")
+        .join(texts.select("key", "n", "sig", "bands"), "key")
+        .select("task", "side", "band", "key", "root", "n", "sig", "bands")
+    )
+
+
+def _partners(task: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of a task that may be similar and are of different classes. A pair that
+    shares an earlier band too is left to that band's bucket."""
+    side = task.column("side").to_numpy()
+    band = task.column("band")[0].as_py()
+    n = task.column("n").to_numpy().astype(np.int64)
+    root = np.unique(np.array(task.column("root").to_pylist(), object), return_inverse=True)[1]
+    sig = np.stack([np.frombuffer(b, np.uint8) for b in task.column("sig").to_pylist()])
+    hashed = np.array(task.column("bands").to_pylist(), np.int64)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not right.size
+    if alone:
+        right = left
+    us, vs = [], []
+    for at in range(0, left.size, 32):
+        few = left[at : at + 32]
+        small = np.minimum(n[few, None], n[None, right])
+        ok = (small >= np.maximum(n[few, None], n[None, right]) * SIMILAR) & (root[few, None] != root[None, right])
+        if alone:
+            ok &= few[:, None] < right[None]
+        i, j = np.nonzero(ok)
+        for k in range(0, i.size, 8192):
+            u, v = few[i[k : k + 8192]], right[j[k : k + 8192]]
+            good = np.mean(sig[u] == sig[v], axis=1).astype(np.float32) >= AGREE
+            good &= ~(hashed[u, :band] == hashed[v, :band]).any(axis=1)
+            us.append(u[good])
+            vs.append(v[good])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs])
+
+
+def _possible(task: pa.Table) -> pa.Table:
+    """The texts of a task that have a partner in it."""
+    return task.take(pa.array(np.unique(np.concatenate(_partners(task)))))
+
+
+def _linked(task: pa.Table) -> pa.Table:
+    """Links (u, v) that join all classes of a task with similar texts. Pairs that earlier
+    links have joined need none."""
+    us, vs = _partners(task)
+    key, root = task.column("key").to_pylist(), task.column("root").to_pylist()
+    items = [np.frombuffer(b, np.uint32) for b in task.column("items").to_pylist()]
+    up = {r: r for r in root}
+
+    def find(r: bytes) -> bytes:
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    found = []
+    for u, v in zip(us.tolist(), vs.tolist()):
+        a, b = find(root[u]), find(root[v])
+        if a != b and jaccard(items[u], items[v]) >= SIMILAR:
+            up[a] = b
+            found.append((key[u], key[v]))
+    return pa.table({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
+
+
+def _compared(here: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) that join all classes that have similar texts in a bucket."""
+    schema = "task long, side int, band int, key binary, root binary, n int, sig binary, bands array<long>"
+    possible = written(_dealt(here, texts).groupBy("task").applyInArrow(_possible, schema), "near-possible")
+    return possible.join(sets, "key").groupBy("task").applyInArrow(_linked, "u binary, v binary")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, doc_id, key, class_id, class_size, kept) of every row of ``docs``.
 
@@ -262,27 +373,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     release(spark)
 
     roots = tested = None
-    round_ = 0
-    while True:
+    for round_ in range(ROUNDS + 1):
         here = buckets.withColumns({"root": F.col("key"), "size": F.lit(1).cast("long")})
         if roots is not None:
             here = buckets.join(roots, buckets["key"] == roots["node"], "left").select(
                 "band", "hash", "key", "n", F.coalesce("root", "key").alias("root"),
                 F.coalesce("size", F.lit(1)).alias("size"),
             )
-        pairs = _pairs_of(here, round_)
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        near = written(_agreeing(pairs, texts), "near-agreeing")
-        tested = near if tested is None else tested.unionAll(near)
-        links = written(_verified(near, sets), "near-links")
+        if round_ == ROUNDS:
+            links = _compared(here.select("band", "hash", "key", "root"), texts, sets)
+        else:
+            pairs = _pairs_of(here, round_)
+            if tested is not None:
+                pairs = pairs.join(tested, ["u", "v"], "left_anti")
+            near = written(_agreeing(pairs, texts), "near-agreeing")
+            tested = near if tested is None else tested.unionAll(near)
+            links = _verified(near, sets)
+        links = written(links, "near-links")
         if links.isEmpty():
-            break
+            continue
         # The classes so far are links of their members to the root.
         known = links if roots is None else links.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         found = written(components(spark, known, "near-components"), "near-roots")
         roots = found.join(found.groupBy("root").agg(F.count("*").alias("size")), "root")
-        round_ += 1
         release(spark)
 
     members = signed.select("rid", "doc_id", "key")

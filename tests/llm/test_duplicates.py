@@ -127,6 +127,22 @@ def test_near_classes_like_brute_force(spark, tmp_path):
     assert kept.columns == docs.columns and kept.count() == len(theirs)
 
 
+@pytest.mark.parametrize("block", [256, 20])
+def test_all_pairs_of_crowded_buckets_are_compared(spark, tmp_path, monkeypatch, block):
+    """Hundreds of texts of one boilerplate, less than similar, but for two of little else."""
+    monkeypatch.setattr("palisade.llm.near_duplicates.BLOCK", block)
+    draw = random.Random(9)
+    word = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+    base = draw.choices(word, k=204)
+    texts = [" ".join(base + draw.choices(word, k=24 if i in (123, 234) else 40)) for i in range(500)]
+    number = brute.near_groups(texts)
+    assert len(set(number)) == 499 and number[123] == number[234]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    got = {r["doc_id"]: r["class_id"] for r in near_report(spark.read.parquet(path)).collect()}
+    assert got == {i: 123 if i == 234 else i for i in range(500)}
+
+
 def test_near_classes_of_nothing(spark, tmp_path):
     path = str(tmp_path / "none")
     spark.createDataFrame([], "doc_id long, text string").write.parquet(path)
