@@ -43,10 +43,8 @@ SIMILAR = 0.8
 BANDS = 25
 ROWS = 5
 AGREE = 0.56
-# Rounds with leaders, and how many of its candidates a text is verified with in one, those
-# that agree best.
+# Rounds with leaders.
 ROUNDS = 2
-BEST = 3
 # Texts of a bucket that are compared in full with as many others at once.
 BLOCK = 256
 
@@ -161,8 +159,7 @@ def _agree(batch: pa.RecordBatch) -> pa.RecordBatch:
     a = [np.frombuffer(b, np.uint8) for b in batch.column("sig_u").to_pylist()]
     b = [np.frombuffer(b, np.uint8) for b in batch.column("sig_v").to_pylist()]
     same = np.mean(np.stack(a) == np.stack(b), axis=1).astype(np.float32)
-    out = batch.select(["u", "v"]).append_column("same", pa.array(same))
-    return out.filter(pa.array(same >= AGREE))
+    return batch.select(["u", "v"]).filter(pa.array(same >= AGREE))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -205,16 +202,13 @@ def _pairs_of(buckets: DataFrame, round_: int) -> DataFrame:
 
 
 def _agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose signatures allow for similarity, the best few of each text u."""
+    """The pairs whose signatures allow for similarity."""
     sigs = texts.select("key", "sig")
-    near = (
+    return (
         pairs.join(sigs.withColumnsRenamed({"key": "u", "sig": "sig_u"}), "u")
         .join(sigs.withColumnsRenamed({"key": "v", "sig": "sig_v"}), "v")
-        .mapInArrow(text_batches(_agree), "u binary, v binary, same float")
+        .mapInArrow(text_batches(_agree), "u binary, v binary")
     )
-    # At most as many as there are leaders in a text's bands.
-    best = F.slice(F.sort_array(F.collect_list(F.struct("same", "v")), False), 1, BEST)
-    return near.groupBy("u").agg(best.alias("b")).select("u", F.explode("b.v").alias("v"))
 
 
 def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
@@ -234,9 +228,14 @@ def _dealt(here: DataFrame, texts: DataFrame) -> DataFrame:
     large = classes_.where(F.col("c") > BLOCK)
     mixed = (
         classes_.groupBy("band", "hash")
-        .agg(F.count("*").alias("classes"), F.sum(F.when(F.col("c") <= BLOCK, F.col("c"))).alias("small"))
-        .where("classes > 1")
-        .drop("classes")
+        .agg(
+            F.count("*").alias("classes"),
+            F.sum("c").alias("texts"),
+            F.sum(F.when(F.col("c") <= BLOCK, F.col("c"))).alias("small"),
+        )
+        # Two leaders have met all the texts of a bucket of three.
+        .where("classes > 1 and texts > 3")
+        .select("band", "hash", "small")
     )
     mixed = written(mixed, "near-mixed")
     # Texts of small classes share blocks, which have no owner.

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from palisade.llm.common import components
-from palisade.llm.near_duplicates import jaccard, near_classes, near_report, keep_one, shingles, signature
+from palisade.llm.near_duplicates import _agreeing, jaccard, near_classes, near_report, keep_one, shingles, signature
 from palisade.llm.repeats import anchors, merged, remove_repeats, repeat_report, without
 
 from . import brute
@@ -143,6 +143,15 @@ def test_all_pairs_of_crowded_buckets_are_compared(spark, tmp_path, monkeypatch,
     assert got == {i: 123 if i == 234 else i for i in range(500)}
 
 
+def test_all_agreeing_pairs_are_verified(spark):
+    """However many others of a text agree better."""
+    sigs = [(b"u", bytes(125)), *((b"%d" % k, bytes([1] * (k * 5) + [0] * (125 - k * 5))) for k in range(14))]
+    texts = spark.createDataFrame(sigs, "key binary, sig binary")
+    pairs = spark.createDataFrame([(b"u", b"%d" % k) for k in range(14)], "u binary, v binary")
+    got = {bytes(r["v"]) for r in _agreeing(pairs, texts).collect()}
+    assert got == {b"%d" % k for k in range(12)}
+
+
 def test_near_classes_of_nothing(spark, tmp_path):
     path = str(tmp_path / "none")
     spark.createDataFrame([], "doc_id long, text string").write.parquet(path)
