@@ -152,6 +152,21 @@ def test_all_agreeing_pairs_are_verified(spark):
     assert got == {b"%d" % k for k in range(12)}
 
 
+def test_lines_repeated_in_one_of_two_texts(spark, tmp_path):
+    """They count once in similarity, so they must not keep texts apart before."""
+    draw = random.Random(10)
+    word = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+    texts = []
+    for _ in range(40):
+        body = " ".join(draw.choices(word, k=100))
+        texts += [body, body + "\n" + "\n".join([" ".join(draw.choices(word, k=12))] * 200)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    assert len(set(brute.near_groups(texts))) == 40
+    got = {r["doc_id"]: r["class_id"] for r in near_report(spark.read.parquet(path)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(80)}
+
+
 def test_near_classes_of_nothing(spark, tmp_path):
     path = str(tmp_path / "none")
     spark.createDataFrame([], "doc_id long, text string").write.parquet(path)
