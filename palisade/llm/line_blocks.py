@@ -4,8 +4,10 @@ Markup is stripped to lines, one for each block of the page. What is no reading
 its markup (menus, forms, scripts, adverts and so on) leaves blank lines. Text lengths,
 without link texts, are summed over a sliding window of lines. Where the sum rises over a
 threshold the main text may begin (a surge), where it falls to nothing it ends (a dive);
-what lies between is kept if it surged. If the page marks its article, what lies outside
-counts as blank and any text is a surge.
+what lies between is kept if it surged. Blank lines between two lines of one container (an
+advert amid paragraphs) are no dive. If nothing surges, the stretch with the most text is
+kept. If the page marks its article, what lies outside counts as blank and any text is a
+surge, so the marks decide there and the window does not.
 
 Pages are independent: one pass without a shuffle, one page in memory at a time.
 """
@@ -30,6 +32,8 @@ BLOCKS = frozenset(
     " figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search"
     " section summary table tbody tfoot thead tr ul".split()
 )
+# Elements that hold the paragraphs of one text.
+CONTAINERS = frozenset("article body center details div fieldset html main section td".split())
 # What a page's article does not consist of, by element ...
 DROPPED = frozenset(
     "aside audio button canvas datalist dialog footer form head iframe input label map math menu meter nav"
@@ -111,25 +115,35 @@ def _element(tag: str, attributes: str, parent: _Element, by_name: bool) -> _Ele
 
 def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
     """(text, characters outside links, inside an article) of every line; blank where something was dropped."""
+    return _lines_and_containers(page, by_name)[0]
+
+
+def _lines_and_containers(page: str, by_name: bool) -> tuple[list[tuple[str, int, bool]], list[_Element | None]]:
+    """The lines, and the container that each begins in."""
     lines: list[tuple[str, int, bool]] = []
+    containers: list[_Element | None] = []
     stack = [_Element("", False, "", False, False)]
     text: list[str] = []
     plain = at = 0
     inside = False
+    container: _Element | None = None
 
     def end_line() -> None:
-        nonlocal plain, inside
+        nonlocal plain, inside, container
         line = " ".join("".join(text).split())
         if line:
             lines.append((line, plain, inside))
+            containers.append(container)
         text.clear()
-        plain, inside = 0, False
+        plain, inside, container = 0, False, None
 
     def add(raw: str) -> None:
-        nonlocal plain, inside
+        nonlocal plain, inside, container
         top = stack[-1]
         if raw and not top.dropped:
             value = html.unescape(raw) if "&" in raw else raw
+            if container is None and not value.isspace():
+                container = next((e for e in reversed(stack) if e.tag in CONTAINERS), stack[0])
             text.append(value)
             inside |= top.article
             if not top.link:
@@ -138,6 +152,7 @@ def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
     def close_to(depth: int) -> None:
         if any(e.dropped for e in stack[depth:]) and not stack[depth - 1].dropped:
             lines.extend([("", 0, False)] * WINDOW)
+            containers.extend([None] * WINDOW)
         del stack[depth:]
 
     while at < len(page):
@@ -182,7 +197,22 @@ def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
                     break
         stack.append(_element(tag, attributes, stack[-1], by_name))
     end_line()
-    return lines
+    return lines, containers
+
+
+def _without_gaps(lines: list[tuple[str, int, bool]], containers: list[_Element | None]) -> list[tuple[str, int, bool]]:
+    """The lines without the blank ones between two of the same container."""
+    out: list[tuple[str, int, bool]] = []
+    last, blank = None, 0
+    for line, container in zip(lines, containers):
+        if line[0]:
+            if blank and container is last:
+                del out[-blank:]
+            last, blank = container, 0
+        else:
+            blank += 1
+        out.append(line)
+    return out
 
 
 def between_surge_and_dive(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
@@ -210,23 +240,44 @@ def between_surge_and_dive(weights: list[int], window: int = WINDOW, surge: int
     return keep
 
 
+def best_stretch(weights: list[int], window: int = WINDOW) -> list[bool]:
+    """Which lines to keep if none surge: those of the first stretch with the most text."""
+    stretches: list[list[int]] = []
+    last = -window - 1
+    for i, w in enumerate(weights):
+        if w:
+            if i - last > window:
+                stretches.append([])
+            stretches[-1].append(i)
+            last = i
+    best = set(max(stretches, key=lambda s: sum(weights[i] for i in s), default=()))
+    return [i in best for i in range(len(weights))]
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The page's main text, blocks joined by two line feeds; empty if there is none."""
     if not page:
         return ""
+    read = []
     for by_name in (True, False):
-        lines = page_lines(page, by_name)
+        lines, containers = _lines_and_containers(page, by_name)
         marked = any(inside and line for line, _, inside in lines)
         if marked:
             # Links inside an article are part of its sentences.
             weights = [len(line) if inside else 0 for line, _, inside in lines]
         else:
+            lines = _without_gaps(lines, containers)
             # A line of links only is a menu.
             weights = [plain if 2 * plain > len(line) else 0 for line, plain, _ in lines]
         keep = between_surge_and_dive(weights, window, 1 if marked else surge)
         kept = [line for (line, _, _), k, w in zip(lines, keep, weights) if k and w]
         if kept:
             return "\n\n".join(kept)
+        read.append((lines, weights))
+    for lines, weights in read:
+        kept = [line for (line, _, _), k in zip(lines, best_stretch(weights, window)) if k]
+        if kept:
+            return "\n\n".join(kept)
     return ""
 
 

@@ -249,6 +249,22 @@ def test_main_text():
     assert main_text('<div class="wrap sidebar"><article><p>kept</p></article></div>') == "kept"
 
 
+def test_unmarked_pages_with_dropped_elements():
+    long = "Long text. " * 19
+    ad = "<div class=ad>x</div>"
+    assert main_text(f"<body><div><p>{long}</p>{ad}<p>He died in 1990.</p></div></body>").split("\n\n") == [
+        long.strip(), "He died in 1990."
+    ]
+    assert main_text(f"<div><h1>Title</h1>{ad}{ad}<p>a</p><form>b</form><p>{long}</p></div>").split("\n\n") == [
+        "Title", "a", long.strip()
+    ]
+    # What stands in another container stays out.
+    assert main_text(f"<div>tagline</div><nav>menu</nav><div><p>{long}</p></div>") == long.strip()
+    assert main_text("<body><p>Only a short one.</p></body>") == "Only a short one."
+    assert main_text(f"<div>by</div>{ad}<div><p>One short.</p>{ad}<p>Two.</p></div>") == "One short.\n\nTwo."
+    assert main_text("<ul><li><a>Menu one</a></li></ul>") == ""
+
+
 def test_surge_and_dive():
     keep = between_surge_and_dive([5, 0, 0, 0, 0, 0, 50, 0, 50, 0, 0, 0, 9], 3, 80)
     assert keep[6] and keep[8] and not keep[0] and not keep[12]
