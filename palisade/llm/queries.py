@@ -11,6 +11,8 @@ from palisade.llm.bpe import bpe_digests, word_vocabulary
 from palisade.llm.common import table
 from palisade.llm.decontamination import leak_report
 from palisade.llm.line_blocks import extract
+from palisade.llm.mixing import ORACLE as MIX_SQL
+from palisade.llm.mixing import mix_report
 from palisade.llm.near_duplicates import near_report
 from palisade.llm.quality_rules import ORACLE as RULES_SQL
 from palisade.llm.quality_rules import judge as judge_quality
@@ -89,6 +91,11 @@ def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op13_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents to the weights of their sources."""
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: prepared(f)
     for f in (
@@ -102,6 +109,7 @@ QUERIES: dict[str, Query] = {
         op8_huffman_tokens,
         op9_url_aliases,
         op10_line_blocks,
+        op13_source_schedule,
     )
 }
-ORACLES: dict[str, str] = {"op1_language_divergence": RULES_SQL, "op9_url_aliases": URL_SQL}
+ORACLES: dict[str, str] = {"op1_language_divergence": RULES_SQL, "op9_url_aliases": URL_SQL, "op13_source_schedule": MIX_SQL}
