@@ -14,6 +14,7 @@ from palisade.llm.line_blocks import extract
 from palisade.llm.mixing import ORACLE as MIX_SQL
 from palisade.llm.mixing import mix_report
 from palisade.llm.near_duplicates import near_report
+from palisade.llm.periodic_runs import run_report
 from palisade.llm.quality_rules import ORACLE as RULES_SQL
 from palisade.llm.quality_rules import judge as judge_quality
 from palisade.llm.ranking import learn, score
@@ -91,6 +92,11 @@ def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_synchronising_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find the periodic runs of words of every document."""
+    return run_report(table(spark, sf_dir, "documents"))
+
+
 def op13_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to the weights of their sources."""
     return mix_report(table(spark, sf_dir, "documents"))
@@ -109,6 +115,7 @@ QUERIES: dict[str, Query] = {
         op8_huffman_tokens,
         op9_url_aliases,
         op10_line_blocks,
+        op11_synchronising_sets,
         op13_source_schedule,
     )
 }
