@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from palisade.llm.bpe import bpe_digests, word_vocabulary
 from palisade.llm.common import table
 from palisade.llm.decontamination import leak_report
+from palisade.llm.hard_negatives import ORACLE as MINE_SQL
+from palisade.llm.hard_negatives import mining_report
 from palisade.llm.line_blocks import extract
 from palisade.llm.mixing import ORACLE as MIX_SQL
 from palisade.llm.mixing import mix_report
@@ -97,6 +99,11 @@ def op11_synchronising_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(table(spark, sf_dir, "documents"))
 
 
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mine hard negatives for every fiftieth vector from all vectors."""
+    return mining_report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to the weights of their sources."""
     return mix_report(table(spark, sf_dir, "documents"))
@@ -116,7 +123,8 @@ QUERIES: dict[str, Query] = {
         op9_url_aliases,
         op10_line_blocks,
         op11_synchronising_sets,
+        op12_multi_index,
         op13_source_schedule,
     )
 }
-ORACLES: dict[str, str] = {"op1_language_divergence": RULES_SQL, "op9_url_aliases": URL_SQL, "op13_source_schedule": MIX_SQL}
+ORACLES: dict[str, str] = {"op1_language_divergence": RULES_SQL, "op9_url_aliases": URL_SQL, "op12_multi_index": MINE_SQL, "op13_source_schedule": MIX_SQL}
