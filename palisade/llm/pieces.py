@@ -2,8 +2,8 @@
 
 Both public vocabularies cut a text by character class first and encode each piece alone.
 Here the cut is done with NumPy on the code points of a whole batch. Equal pieces of a
-batch are found by a 64-bit hash and encoded once; the ids are then laid out in order by
-gathering. A bounded cache keeps the pieces of earlier batches.
+batch are found by a 64-bit hash, compared in full, and encoded once; the ids are then laid out in
+order by gathering. A cache, bounded in bytes, keeps the pieces of earlier batches by their code points.
 """
 
 from __future__ import annotations
@@ -18,10 +18,13 @@ import regex
 END = 0x110000
 SPECIAL = END + 1
 LETTER, NUMBER, SPACE, OTHER, STOP, MARK = 1, 2, 3, 4, 0, 5
-# Code points handled at once; pieces remembered, and how many of them not yet in order.
+# Code points handled at once; bytes of pieces remembered, the longest of them, and what one takes beside its bytes.
 CHUNK = 1 << 19
-REMEMBERED = 2_000_000
-FRESH = 50_000
+REMEMBERED = 16 << 20
+LONG = 1024
+EACH = 190
+# Code points that hashes are prepared for.
+USUAL = 1 << 20
 
 # White space as the tokenizers' regular expressions see it (fixed values).
 WHITE = "\t\n\x0b\f\r \x85\xa0  -     　"
@@ -44,8 +47,17 @@ def classes() -> np.ndarray:
     return table
 
 
-@cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; those for usual sizes are kept."""
+    return _usual_powers() if n <= USUAL else _new_powers(n)
+
+
+@cache
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _new_powers(USUAL)
+
+
+def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     ones = np.ones(n, np.uint64)
     up, down = ones * _BASE, ones * _INVERSE
     up[0] = down[0] = 1
@@ -106,7 +118,7 @@ def _ends(begins: np.ndarray, kind: np.ndarray, outside: np.ndarray) -> tuple[np
 
 def hashes(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every piece."""
-    up, down = _powers(1 << max(20, int(points.size).bit_length()))
+    up, down = _powers(points.size)
     sums = np.zeros(points.size + 1, np.uint64)
     np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: points.size], out=sums[1:])
     value = (sums[end] - sums[first]) * down[first]
@@ -115,6 +127,34 @@ def hashes(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray
     return value * np.uint64(0xD6E8FEB86659FD93)
 
 
+def classes_of(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a piece of each class, the class of every piece); pieces of a class are equal.
+
+    Hashes bring equal pieces together, and every piece is then compared with its class's
+    example, code point by code point. Those that only share its hash get classes of their own.
+    """
+    _, example, which = np.unique(hashes(points, first, end), return_index=True, return_inverse=True)
+    size = end - first
+    like = example[which]
+    same = size == size[like]
+    inside = np.where(same, size, 0)
+    offset = np.arange(int(inside.sum())) - np.repeat(np.cumsum(inside) - inside, inside)
+    differ = points[np.repeat(first, inside) + offset] != points[np.repeat(first[like], inside) + offset]
+    if differ.any():
+        same[np.repeat(np.arange(first.size), inside)[differ]] = False
+    if not same.all():
+        more: dict[bytes, int] = {}
+        extra = []
+        for i in np.flatnonzero(~same).tolist():
+            piece = points[first[i] : end[i]].tobytes()
+            if piece not in more:
+                more[piece] = example.size + len(extra)
+                extra.append(i)
+            which[i] = more[piece]
+        example = np.concatenate([example, extra])
+    return example, which
+
+
 def parts(text: str, size: int = CHUNK) -> Iterable[str]:
     """The text in parts of about ``size`` characters, cut before a lone space between words:
     no piece crosses such a place."""
@@ -132,41 +172,23 @@ _LONE = regex.compile(r"\S(?= \S)")
 
 
 class _Known:
-    """The ids of pieces by hash: sorted arrays, about 30 bytes a piece, and a few new ones."""
+    """The ids of pieces met before, by the piece itself, both as bytes; at most ``REMEMBERED`` bytes of them."""
 
     def __init__(self):
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.fresh: dict[int, tuple[int, int]] = {}
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, number of ids, which are missing) of ascending ``keys``."""
-        if not self.keys.size:
-            return np.zeros(keys.size, np.int64), np.zeros(keys.size, np.int64), np.arange(keys.size)
-        place = np.minimum(np.searchsorted(self.keys, keys), self.keys.size - 1)
-        return self.at[place], self.size[place], np.flatnonzero(self.keys[place] != keys)
-
-    def add(self, ids: list[int]) -> None:
-        if self.used + len(ids) > self.ids.size:
-            more = np.zeros(max(2 * self.ids.size, self.used + len(ids)), np.uint32)
-            more[: self.used] = self.ids[: self.used]
-            self.ids = more
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-
-    def settle(self) -> None:
-        """Sort the new pieces in."""
-        n = len(self.fresh)
-        keys = np.concatenate([self.keys, np.fromiter(self.fresh, np.uint64, n)])
-        order = np.argsort(keys, kind="stable")
-        pairs = np.array(list(self.fresh.values()), np.int64).reshape(n, 2)
-        self.keys = keys[order]
-        self.at = np.concatenate([self.at, pairs[:, 0]])[order]
-        self.size = np.concatenate([self.size, pairs[:, 1]])[order]
-        self.fresh = {}
+        self.ids: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def add(self, piece: bytes, ids: bytes) -> None:
+        if len(piece) > LONG:
+            return
+        self.held += len(piece) + len(ids) + EACH
+        if self.held > REMEMBERED:
+            self.forget()
+            self.held = len(piece) + len(ids) + EACH
+        self.ids[piece] = ids
+
+    def forget(self) -> None:
+        self.ids, self.held = {}, 0
 
 
 class Encoder:
@@ -211,32 +233,31 @@ class Encoder:
         first, end = self.cut(points)
         if not first.size:
             return np.zeros(0, np.uint32), first, np.zeros(1, np.int64)
-        value, example, which = np.unique(hashes(points, first, end), return_index=True, return_inverse=True)
-        if self.known.keys.size > REMEMBERED:
-            self.known = _Known()
-        known = self.known
-        starts, sizes, missing = known.find(value)
-        fresh, more, at = known.fresh, [], known.used
-        for i, h in zip(missing.tolist(), value[missing].tolist()):
-            place = fresh.get(h)
-            if place is None:
-                a, b = first[example[i]], end[example[i]]
+        example, which = classes_of(points, first, end)
+        raw = points.tobytes()
+        known, found = self.known.ids.get, []
+        for a, b in zip(first[example].tolist(), end[example].tolist()):
+            piece = raw[4 * a : 4 * b]
+            ids = known(piece)
+            if ids is None:
                 if points[a] >= SPECIAL:
-                    ids = self.by_mark[points[a] - SPECIAL]
+                    new = self.by_mark[points[a] - SPECIAL]
                 else:
-                    ids = self.encode_piece(points[a:b].tobytes().decode("utf-32-le"))
-                place = fresh[h] = (at, len(ids))
-                at += len(ids)
-                more += ids
-            starts[i], sizes[i] = place
-        known.add(more)
+                    new = self.encode_piece(piece.decode("utf-32-le"))
+                ids = np.array(new, "<u4").tobytes()
+                self.known.add(piece, ids)
+                known = self.known.ids.get
+            found.append(ids)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
         count = sizes[which]
         before = np.concatenate([[0], np.cumsum(count)])
         take = np.arange(before[-1]) + np.repeat(starts[which] - before[:-1], count)
-        ids = known.ids[take]
-        if len(fresh) > FRESH:
-            known.settle()
-        return ids, first, before
+        return np.frombuffer(b"".join(found), "<u4")[take], first, before
+
+    def forget(self) -> None:
+        """Drop what is remembered."""
+        self.known.forget()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of every text; a null text has none."""

@@ -12,8 +12,8 @@ from tokenizers import Tokenizer
 
 from palisade.llm.bpe import bpe_digests, decode, encode, encode_and_decode, word_vocabulary
 from palisade.llm.huffman import Code, code_lengths
-from palisade.llm.merge_automaton import MergeAutomaton, load
-from palisade.llm.pieces import Encoder, cut_words, parts
+from palisade.llm.merge_automaton import MergeAutomaton, load, load as load_words
+from palisade.llm.pieces import Encoder, classes_of, cut_words, hashes, parts
 from palisade.llm.token_files import byte_vocabulary, load as load_bytes, read_tokens, write_tokens
 
 TEXTS = [
@@ -100,8 +100,8 @@ def test_long_texts_are_cut_between_words():
 
 
 def test_pieces_are_forgotten_and_found_again(monkeypatch):
-    monkeypatch.setattr("palisade.llm.pieces.FRESH", 3)
-    monkeypatch.setattr("palisade.llm.pieces.REMEMBERED", 10)
+    monkeypatch.setattr("palisade.llm.pieces.REMEMBERED", 700)
+    monkeypatch.setattr("palisade.llm.pieces.LONG", 20)
     made = []
     encoder = Encoder(cut_words, lambda w: made.append(w) or [len(w)] * len(w), {})
     for k in range(6):
@@ -111,6 +111,27 @@ def test_pieces_are_forgotten_and_found_again(monkeypatch):
         assert got[1].tolist() == [2] * 4 and got[2].size == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    """The first n letters; exchanging a and b gives a word with the same hash modulo 2^64."""
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_different_pieces_with_one_hash(words, bytes_):
+    one, two = thue_morse(2048), thue_morse(2048, "b", "a")
+    points = np.frombuffer(f"{one} {two} {one} {two}x".encode("utf-32-le"), np.uint32)
+    first, end = cut_words(points)
+    value = hashes(points, first, end)
+    assert value[0] == value[1] and one != two
+    example, which = classes_of(points, first, end)
+    assert which[0] == which[2] != which[1] and len(set(which.tolist())) == 3
+    assert all(points[first[example[k]]] == points[first[i]] for i, k in enumerate(which.tolist()))
+    for encoder, library in ((load_words(word_vocabulary())[1], words), (load_bytes(byte_vocabulary())[0], bytes_)):
+        encoder.forget()
+        texts = [one, f"{two} {one}", two, one]
+        for got in (encoder.encode(texts), [encoder.encode([t])[0] for t in texts]):
+            assert [g.tolist() for g in got] == [ids_of(library, t) for t in texts]
+
+
 def test_digests(spark, words):
     got = Counter(tuple(r) for r in bpe_digests(table(spark, ROWS), word_vocabulary()).collect())
     want = Counter()
