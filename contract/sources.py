@@ -15,7 +15,7 @@ from contract.adapters import (
     raw_events,
 )
 from contract.detection import NAMES, PATTERN_SQL, _names_sql
-from contract.packets import capture_files
+from contract.packets import CUT_FILE, EVENTS_PER_FILE, FACES, HEADERS, LINKS, capture_files, write_capture_folder
 from contract.registry import query, table
 from palisade.anomaly.prep import sample_rows
 from palisade.functions.indicators import indicator_type
@@ -23,7 +23,7 @@ from palisade.operators.changelog import current_iocs, feed_counts
 from palisade.plans.detect import detect
 from palisade.session import scratch_path, written
 from palisade.sources import datasets, feeds, logs, sinks
-from palisade.sources.captures import packet_events, packets
+from palisade.sources.captures import packet_events, packets, read_packets
 from palisade.sources.flows import flow_events
 
 NOW_US = 1706745600000000  # 2024-02-01
@@ -376,6 +376,58 @@ def capture_decode(spark, sf):
     )
 
 
+def _sql_case(value: str, cases: dict) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items()) + " END"
+
+
+@query(
+    "capture_folder",
+    f"""WITH n AS (SELECT {", ".join(f"{e} AS {a}" for a, e in NET.items())}, k, user_id
+      FROM (SELECT event_id, ts, user_id, event_type AS raw_type, value, {K} AS k FROM events)),
+    f AS (SELECT *, event_id // {EVENTS_PER_FILE} AS file, coalesce(contains(dst_ip, ':'), false) AS six FROM n),
+    b AS (SELECT *, CASE WHEN file % 2 = 0 THEN 0 WHEN event_id % 5 = 1 THEN 2 WHEN event_id % 5 = 2 THEN 3 ELSE 6 END AS block
+      FROM f),
+    l AS (SELECT *, CASE WHEN block = 3 THEN {FACES[0]}
+        WHEN block > 0 THEN {_sql_case(f"event_id % {len(FACES)}", {
+            i: f"(CASE WHEN six THEN {229 if x == 228 else x} ELSE {228 if x == 229 else x} END)" for i, x in enumerate(FACES)})}
+        ELSE {_sql_case(f"(file // 2) % {len(LINKS)}", dict(enumerate(LINKS)))} END AS link,
+      coalesce(last_value(CASE WHEN block <> 3 THEN epoch_us(ts) END IGNORE NULLS) OVER (
+        PARTITION BY file ORDER BY event_id), 0) AS ts_us,
+      max(event_id) OVER (PARTITION BY file) AS last_id FROM b)
+    SELECT 'packet' AS kind, ts_us, CASE WHEN six THEN 'fd00::' || (user_id % 9999 + 1) ELSE src_ip END AS src_ip, dst_ip,
+      CASE WHEN protocol IN ('TCP', 'udp') THEN src_port END AS src_port,
+      CASE WHEN protocol IN ('TCP', 'udp') THEN dst_port END AS dst_port, upper(protocol) AS protocol,
+      CAST({_sql_case("link", HEADERS)} + CASE WHEN link = 1 THEN 4 * (event_id % 3) ELSE 0 END
+        + CASE WHEN six THEN 40 ELSE 20 END + k
+        + CASE protocol WHEN 'TCP' THEN 20 WHEN 'udp' THEN 8 WHEN 'ICMP' THEN 8 ELSE 4 END AS BIGINT) AS bytes_sent,
+      {FLAGS_SQL} AS tcp_flags, CAST(NULL AS VARCHAR) AS error
+    FROM l WHERE dst_ip IS NOT NULL AND NOT (file = {CUT_FILE} AND event_id = last_id)
+    UNION ALL SELECT 'error', NULL, NULL, NULL, NULL, NULL, NULL, size, NULL, error
+    FROM (VALUES (CAST(0 AS BIGINT), 'empty.pcap: empty file'), (50, 'foreign.pcapng: not a capture')) e(size, error)
+    UNION ALL SELECT 'error', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '{CUT_FILE}.pcapng: cut off in a record'
+    FROM (SELECT 1 FROM events WHERE event_id // {EVENTS_PER_FILE} = {CUT_FILE} LIMIT 1)""",
+)
+def capture_folder(spark, sf):
+    """A folder of captures of all link types, read in ranges of 50 kB, and what could not be read."""
+    rows = raw_events(spark, sf).selectExpr(*[f"{e} AS {a}" for a, e in NET.items()], "k", "user_id")
+    rows = rows.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
+    folder = scratch_path(spark, "capture-folder")
+    write_capture_folder(rows, folder)
+    found, errors = read_packets(spark, folder, every=50_000)
+    events = packet_events(found).select(
+        F.lit("packet").alias("kind"), micros_or_null(), "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes_sent",
+        F.get_json_object("raw_data", "$.tcp_flags").alias("tcp_flags"),
+    )
+    name = F.substring_index("path", "/", -1)
+    errors = errors.select(
+        F.lit("error").alias("kind"),
+        # How long the cut one is depends on how it was written.
+        F.when(~name.startswith(f"{CUT_FILE}."), F.col("size")).alias("bytes_sent"),
+        F.concat(name, F.lit(": "), "error").alias("error"),
+    )
+    return events.unionByName(errors, allowMissingColumns=True)
+
+
 @query(
     "ioc_type_detect",
     """WITH v AS (

@@ -1,23 +1,34 @@
 """Packet captures (pcap and pcapng) to network events.
 
-A capture file is a chain of records, so one file is decoded by one task; captures
-are rotated into files far below the 2 GB a binary column may hold. Only the walk
-along the chain is a loop: header fields are cut out of the whole buffer at once,
-and everything after that is ordinary columns.
+1. Spark lists the files. One task a file follows its records' headers with a small buffer and
+   writes down byte ranges that begin and end with whole records (``capture_chain.py``). Broken, foreign
+   and empty files break nothing: what can't be read is a row of :func:`capture_errors`.
+2. Ranges, not files, are dealt to tasks. Each reads its bytes and decodes them: the walk along the
+   chain is a loop, header fields are cut out of the whole buffer at once, and everything after
+   that is ordinary columns.
+
+Ranges need a store that Arrow's file systems open (a shared folder, HDFS, S3, GCS). On any other,
+Spark reads files whole, of up to 2 GB each.
 """
 
 from __future__ import annotations
 
 import ipaddress
-import struct
+import re
 from collections.abc import Iterator
+from itertools import islice
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions.network import protocol_name
+from palisade.session import written
+from palisade.sources.capture_chain import RANGE, BrokenChain, Buffered, Face, Peek, State, begin, entries, follow
 from palisade.sources.common import numbered, to_event_schema
 
 PACKET_DDL = (
@@ -25,69 +36,22 @@ PACKET_DDL = (
     " ip_len INT, src_ip STRING, dst_ip STRING, transport STRING, src_port INT, dst_port INT,"
     " tcp_flags INT, seq LONG, ack LONG, window INT, udp_len INT, icmp_type INT, icmp_code INT"
 )
+INDEX_DDL = (
+    "path STRING, size LONG, start LONG, end LONG, first_no LONG, blocks BOOLEAN, byte_order STRING,"
+    " links ARRAY<INT>, ticks ARRAY<STRING>, ahead ARRAY<LONG>, longest ARRAY<LONG>, stamp LONG, error STRING"
+)
 BATCH = 50_000
+# Parts that ranges are dealt to, at most.
+PARTS = 20_000
 IPV6_EXTENSIONS = (0, 43, 60)
+# Stores that Arrow opens, by the scheme of a path.
+STORES = ("", "file", "hdfs", "s3", "s3a", "gs")
 
-
-def _pcap_records(data: bytes):
-    """(offset, captured length, time in us, link type) of a classic capture."""
-    magic = data[:4]
-    orders = {
-        b"\xd4\xc3\xb2\xa1": ("<", 1),
-        b"\xa1\xb2\xc3\xd4": (">", 1),
-        b"\x4d\x3c\xb2\xa1": ("<", 1000),
-        b"\xa1\xb2\x3c\x4d": (">", 1000),
-    }
-    order, per_us = orders[magic]
-    link = struct.unpack_from(order + "I", data, 20)[0] & 0xFFFF
-    head = struct.Struct(order + "IIII")
-    at = 24
-    while at + 16 <= len(data):
-        seconds, fraction, caught, _ = head.unpack_from(data, at)
-        at += 16
-        if at + caught > len(data):
-            return
-        yield at, caught, seconds * 1_000_000 + fraction // per_us, link
-        at += caught
-
-
-def _pcapng_records(data: bytes):
-    """The same of a block-structured capture."""
-    at, order, links = 0, "<", []
-    while at + 12 <= len(data):
-        if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
-            order = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
-            links = []
-        kind, size = struct.unpack_from(order + "II", data, at)
-        if size < 12 or at + size > len(data):
-            return
-        if kind == 1:
-            links.append(
-                (struct.unpack_from(order + "H", data, at + 8)[0], _resolution(data, at, size, order))
-            )
-        elif kind == 6:
-            face, high, low, caught, _ = struct.unpack_from(order + "IIIII", data, at + 8)
-            link, ticks = links[face]
-            yield at + 28, caught, ((high << 32) | low) * 1_000_000 // ticks, link
-        at += size
-
-
-def _resolution(data: bytes, at: int, size: int, order: str) -> int:
-    """Ticks per second of an interface (option 9), by default a million."""
-    pos, end = at + 16, at + size - 4
-    while pos + 4 <= end:
-        code, length = struct.unpack_from(order + "HH", data, pos)
-        if code == 0:
-            break
-        if code == 9 and length:
-            value = data[pos + 4]
-            return 2 ** (value & 0x7F) if value & 0x80 else 10**value
-        pos += 4 + (length + 3) // 4 * 4
-    return 1_000_000
-
-
-def _records(data: bytes):
-    return _pcapng_records(data) if data[:4] == b"\x0a\x0d\x0d\x0a" else _pcap_records(data)
+# Link types (fixed values).
+ETHERNET, COOKED, COOKED_2 = 1, 113, 276
+NULL, LOOP = 0, 108
+BARE = (12, 14, 101, 228, 229)
+VLAN = (0x8100, 0x88A8, 0x9100)
 
 
 def _names(addresses: np.ndarray) -> np.ndarray:
@@ -121,35 +85,58 @@ class _Fields:
 
 def _network_start(f: _Fields, at: np.ndarray, link: np.ndarray):
     """Offset of the IP header and the IP version (0: not IP)."""
-    start, version = at.copy(), np.zeros(len(at), np.int64)
-    ethernet, cooked, raw, loop = link == 1, link == 113, np.isin(link, (12, 101)), link == 0
-    kind = f.number(at + 12, 2)
-    tagged = ethernet & np.isin(kind, (0x8100, 0x88A8))
-    kind = np.where(tagged, f.number(at + 16, 2), kind)
-    kind = np.where(cooked, f.number(at + 14, 2), kind)
-    start = np.where(ethernet, at + 14 + 4 * tagged, start)
-    start = np.where(cooked, at + 16, start)
-    start = np.where(loop, at + 4, start)
-    version = np.where((ethernet | cooked) & (kind == 0x0800), 4, version)
-    version = np.where((ethernet | cooked) & (kind == 0x86DD), 6, version)
+    start, kind = at.copy(), np.zeros(len(at), np.int64)
+    # Where the payload begins, and where its type is told.
+    for name, payload, told in ((ETHERNET, 14, 12), (COOKED, 16, 14), (COOKED_2, 20, 0)):
+        mine = link == name
+        if mine.any():
+            start = np.where(mine, at + payload, start)
+            kind = np.where(mine, f.number(at + told, 2), kind)
+    while (tagged := np.isin(kind, VLAN)).any():
+        # A tag: two bytes, and the type of what follows.
+        kind = np.where(tagged, f.number(start + 2, 2), kind)
+        start = np.where(tagged, start + 4, start)
+    # A length instead of a type: the type is behind six bytes that say so.
+    named = (kind > 0) & (kind <= 1500) & (f.number(start, 6) == 0xAAAA03000000)
+    if named.any():
+        kind = np.where(named, f.number(start + 6, 2), kind)
+        start = np.where(named, start + 8, start)
+    version = np.where(kind == 0x0800, 4, np.where(kind == 0x86DD, 6, 0))
+    family = np.isin(link, (NULL, LOOP))
+    start = np.where(family, at + 4, start)
     nibble = f.number(start, 1) >> 4
-    bare = (raw | loop) & np.isin(nibble, (4, 6))
+    bare = (family | np.isin(link, BARE)) & np.isin(nibble, (4, 6))
     return start, np.where(bare, nibble, version)
 
 
-def decode_packets(path: str, data: bytes) -> Iterator[pd.DataFrame]:
-    """Header fields of the IP packets of one capture, in batches."""
+def _packets(path: str, state: State, data: bytes, first: int = 0) -> Iterator[pd.DataFrame]:
+    """Header fields of the IP packets of ``data``, which begins at byte ``first`` of the capture, in batches."""
     fields = _Fields(data)
-    chain = _records(data)
-    number = 0
-    while True:
-        rows = [r for _, r in zip(range(BATCH), chain)]
-        if not rows:
+
+    def peek(at: int, n: int) -> bytes:
+        return data[at - first : at - first + n]
+
+    def records():
+        try:
+            for _, record in follow(state, peek, first + len(data)):
+                if record:
+                    yield record
+        except BrokenChain:
             return
-        at, caught, stamp, link = (np.array(c, dtype=np.int64) for c in zip(*rows))
-        numbers = np.arange(number, number + len(rows))
-        number += len(rows)
-        yield _decode_batch(path, fields, at, caught, stamp, link, numbers)
+
+    chain = records()
+    while rows := list(islice(chain, BATCH)):
+        at, caught, stamp, link, number = (np.array(c, dtype=np.int64) for c in zip(*rows))
+        yield _decode_batch(path, fields, at - first, caught, stamp, link, number)
+
+
+def decode_packets(path: str, data: bytes) -> Iterator[pd.DataFrame]:
+    """Header fields of the IP packets of one capture, in batches; none if it is no capture."""
+    try:
+        state = begin(lambda at, n: data[at : at + n])
+    except BrokenChain:
+        return
+    yield from _packets(path, state, data)
 
 
 def _decode_batch(path, f, at, caught, stamp, link, numbers) -> pd.DataFrame:
@@ -264,12 +251,122 @@ def packet_events(decoded: DataFrame) -> DataFrame:
     )
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a capture file, or of all captures of a folder."""
-    files = (
+def _opened(path: str) -> pa.NativeFile:
+    """The file at a path as Spark names it."""
+    parts = urlparse(path)
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem().open_input_file(unquote(parts.path) if parts.scheme else path)
+    if parts.scheme == "s3a":
+        path = "s3" + path[3:]
+    store, inside = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inside)
+
+
+def _index_rows(path: str, peek: Peek, size: int, every: int) -> pd.DataFrame:
+    rows = [
+        (
+            path, size, s.at, end, s.number, s.blocks, s.order, [f.link for f in s.faces], [str(f.ticks) for f in s.faces],
+            [f.ahead for f in s.faces], [f.longest for f in s.faces], s.stamp, error,
+        )
+        for s, end, error in entries(peek, size, every)
+    ]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX_DDL.split(", ")])
+
+
+def _state(r: dict) -> State:
+    faces = zip(r["links"], r["ticks"], r["ahead"], r["longest"])
+    faces = tuple(Face(int(link), int(ticks), int(ahead), int(longest)) for link, ticks, ahead, longest in faces)
+    return State(r["start"], r["first_no"], r["blocks"], r["byte_order"], faces, r["stamp"])
+
+
+def _parts(spark: SparkSession, rows: int) -> int:
+    return max(1, min(PARTS, rows, 4 * spark.sparkContext.defaultParallelism + rows // 4))
+
+
+def capture_index(files: DataFrame, every: int = RANGE) -> DataFrame:
+    """Byte ranges of (path, length) captures, about ``every`` bytes each, and a row with an
+    ``error`` for each file whose chain of records breaks, telling where (``start``) and why."""
+
+    def follow_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, size in zip(batch["path"].tolist(), batch["length"].tolist()):
+                try:
+                    with _opened(path) as stream:
+                        yield _index_rows(path, Buffered(stream, size), size, every)
+                except OSError as error:
+                    broken = {"path": path, "size": size, "start": 0, "end": size, "error": f"not readable: {error}"[:300]}
+                    columns = [c.split()[0] for c in INDEX_DDL.split(", ")]
+                    yield pd.DataFrame([broken], columns=columns).astype(object).replace({np.nan: None})
+
+    spark = files.sparkSession
+    files = written(files.select("path", "length"), "capture-files")
+    dealt = files.repartition(_parts(spark, files.count()), "path")
+    return written(dealt.mapInPandas(follow_files, INDEX_DDL), "capture-index")
+
+
+def capture_errors(index: DataFrame) -> DataFrame:
+    """(path, size, at, error): what could not be read from byte ``at`` on."""
+    return index.where("error is not null").select("path", "size", F.col("start").alias("at"), "error")
+
+
+def indexed_packets(index: DataFrame) -> DataFrame:
+    """IP packets of the byte ranges of :func:`capture_index`, by range."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with _opened(r["path"]) as stream:
+                    stream.seek(r["start"])
+                    data = stream.read(r["end"] - r["start"])
+                for found in _packets(r["path"], _state(r), data, r["start"]):
+                    yield pa.RecordBatch.from_pandas(found, schema=_PACKET_ARROW, preserve_index=False)
+
+    spark = index.sparkSession
+    ranges = index.where("error is null")
+    dealt = ranges.repartition(_parts(spark, ranges.count()), "path", "start").sortWithinPartitions("path", "start")
+    return dealt.mapInArrow(decode, PACKET_DDL)
+
+
+_KINDS = {"STRING": pa.string(), "LONG": pa.int64(), "INT": pa.int32()}
+_PACKET_ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in PACKET_DDL.split(", "))])
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.{pcap,pcapng}")
         .option("recursiveFileLookup", "false")
         .load(path)
     )
-    return packet_events(packets(files))
+
+
+def _empty_files(files: DataFrame, index: DataFrame) -> DataFrame:
+    """Errors of the files of no bytes, which Spark lists but gives no rows of."""
+    spark = files.sparkSession
+    # Spark has the names of all files of a relation on the driver.
+    names = [(re.sub("^file:/+", "file:/", unquote(name)),) for name in files.inputFiles()]
+    listed = spark.createDataFrame(names, "path STRING")
+    return listed.join(index.select("path").distinct(), "path", "left_anti").select(
+        "path", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("at"), F.lit("empty file").alias("error")
+    )
+
+
+def read_packets(spark: SparkSession, path: str, every: int = RANGE) -> tuple[DataFrame, DataFrame]:
+    """(IP packets, errors) of a capture file, or of all captures of a folder."""
+    files = _files(spark, path)
+    if urlparse(path).scheme in STORES:
+        index = capture_index(files, every)
+        return indexed_packets(index), capture_errors(index).unionByName(_empty_files(files, index))
+
+    def follow_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, data in zip(batch["path"], batch["content"]):
+                yield _index_rows(name, lambda at, n: data[at : at + n], len(data), every)
+
+    index = written(files.select("path", "content").mapInPandas(follow_contents, INDEX_DDL), "capture-index")
+    return packets(files), capture_errors(index).unionByName(_empty_files(files, index))
+
+
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """Events of a capture file, or of all captures of a folder."""
+    return packet_events(read_packets(spark, path)[0])

@@ -1,8 +1,10 @@
 """Parsers, readers and sinks, with malformed input."""
 
+import io
 import struct
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from helpers import events, lines, rows
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from palisade.plans.detect import detect, detect_and_store
 from palisade.plans.ingest import ingest, read_sources
 from palisade.rules.catalog import DEFAULT_RULES
 from palisade.session import drop_written, written
-from palisade.sources import datasets, feeds, logs, sinks
+from palisade.sources import capture_chain, captures, datasets, feeds, logs, sinks
 from palisade.sources.captures import decode_packets, read_captures
 from palisade.sources.flows import flow_events
 
@@ -201,6 +203,123 @@ def test_capture_folder(spark, tmp_path):
     assert {r[0] for r in got.select("protocol").distinct().collect()} == {"TCP", "UDP", "ICMP", "GRE", "IPv6"} - {"IPv6"}
 
 
+def ip(proto=17, body=UDP, v6=False):
+    return frame(proto, *(("fe80::1", "fe80::2") if v6 else ("10.0.0.1", "8.8.8.8")), body, v6=v6)[14:]
+
+
+LINKED = [
+    (0, b"\2\0\0\0" + ip()), (0, b"\x1e\0\0\0" + ip(v6=True)), (12, ip()), (14, ip()), (101, ip(v6=True)), (108, b"\0\0\0\2" + ip()),
+    (113, b"\0" * 14 + b"\x08\0" + ip()), (113, b"\0" * 14 + b"\x81\0\0\7\x86\xdd" + ip(v6=True)),
+    (228, ip()), (229, ip(v6=True)), (276, b"\x08\0" + b"\0" * 18 + ip()), (276, b"\x86\xdd" + b"\0" * 18 + ip(v6=True)),
+    (1, b"\1" * 12 + b"\x88\xa8\0\1\x81\0\0\2\x81\0\0\3\x08\0" + ip()),
+    (1, b"\1" * 12 + struct.pack(">H", len(ip()) + 8) + b"\xaa\xaa\3\0\0\0\x08\0" + ip()),
+    # No IP: another type, a length without one, an unknown link.
+    (1, b"\1" * 12 + b"\x08\x06" + ip()), (1, b"\1" * 12 + b"\0\x40" + ip()), (147, ip()), (113, b"\0" * 14 + b"\0\1" + ip()), (101, b""),
+]
+
+
+@pytest.mark.parametrize("link, data", LINKED)
+def test_every_link_type(link, data):
+    out = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, link) + struct.pack("<IIII", 1, 2, len(data), len(data)) + data
+    got = list(decode_packets("x", out))
+    found = LINKED.index((link, data)) < 14
+    assert sum(len(g) for g in got) == found
+    if found:
+        assert got[0]["src_port"].tolist() == [53] and got[0]["src_ip"][0] in ("10.0.0.1", "fe80::1")
+        assert got[0]["length"].tolist() == [len(data)] and got[0]["ts_us"].tolist() == [1_000_002]
+
+
+def section(order, *blocks):
+    def block(kind, body):
+        body += b"\0" * (-len(body) % 4)
+        size = struct.pack(order + "I", len(body) + 12)
+        return struct.pack(order + "I", kind) + size + body + size
+
+    head = block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1))
+    return head + b"".join(block(*b) for b in blocks)
+
+
+def blocks_of(order):
+    """Two interfaces, one with a clock of 2^-20 s that is 5 s behind, and packets of all kinds."""
+    p = order + "IIIII"
+    slow = struct.pack(order + "HHI", 101, 0, 40) + struct.pack(order + "HHB3xHHq", 9, 1, 0x80 | 20, 14, 8, 5)
+    data = ip()
+    return section(
+        order, (1, struct.pack(order + "HHI", 101, 0, 40)), (1, slow), (4, b"names"),
+        (3, struct.pack(order + "I", len(data)) + data),
+        (6, struct.pack(p, 1, 0, 3 << 20, len(data), len(data)) + data),
+        (2, struct.pack(order + "HHIIII", 0, 9, 0, 7_000_000, len(data), len(data)) + data),
+        (3, struct.pack(order + "I", 900) + data + data),
+    )
+
+
+def test_blocks_of_all_kinds_and_both_orders():
+    data = blocks_of("<") + blocks_of(">")
+    (got,) = decode_packets("x", data)
+    assert got["ts_us"].tolist() == [0, 8_000_000, 7_000_000, 7_000_000] + [7_000_000, 8_000_000, 7_000_000, 7_000_000]
+    # The last of each section is kept in part, as long as its interface says.
+    assert got["length"].tolist() == [28, 28, 28, 40] * 2 and got["packet_no"].tolist() == list(range(8))
+
+
+CAPTURES = {
+    "classic": capture() * 1 + capture()[24:] * 6, "swapped": capture(">", True), "blocks": (blocks_of("<") + blocks_of(">")) * 4,
+    "only a header": capture()[:24],
+}
+
+
+@pytest.mark.parametrize("name", list(CAPTURES))
+@pytest.mark.parametrize("every", [1, 90, 250, 10**6])
+def test_ranges_hold_the_same_packets(name, every, monkeypatch):
+    monkeypatch.setattr(capture_chain, "BUFFER", 64)
+    data = CAPTURES[name]
+    peek = capture_chain.Buffered(io.BytesIO(data), len(data))
+    found = list(capture_chain.entries(peek, len(data), every))
+    assert all(error is None for *_, error in found)
+    bounds = [(s.at, end) for s, end, _ in found]
+    assert all(b == c for (_, b), (c, _) in zip(bounds, bounds[1:])) and (not bounds or bounds[-1][1] == len(data))
+    parts = [f for s, end, _ in found for f in captures._packets("x", s, data[s.at : end], s.at)]
+    whole = list(decode_packets("x", data))
+    assert len(found) <= 1 + len(data) // every and (every > 1 or len(found) > 3 or name == "only a header")
+    if whole:
+        pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), whole[0])
+
+
+@pytest.mark.parametrize("data, packets, at, reason", [
+    (b"", 0, 0, "empty file"), (b"no capture", 0, 0, "not a capture"), (capture()[:20], 0, 0, "cut off in the file header"),
+    (capture() + b"\0" * 9, 7, len(capture()), "cut off in a record header"),
+    (capture()[:-1], 6, len(capture()) - 16 - len(FRAMES[-1]), "cut off in a record"),
+    (capture() + b"\xff" * 40, 7, len(capture()), "a record of 4294967295 bytes"),
+    (blocks_of("<")[:-3], 3, len(blocks_of("<")) - 72, "cut off in a record"),
+    (blocks_of(">") + struct.pack(">II", 6, 2) * 9, 4, len(blocks_of(">")), "a block of 2 bytes"),
+    (section("<", (6, struct.pack("<IIIII", 0, 0, 0, 4, 4) + b"data")), 0, 28, "a packet of an unknown interface"),
+    (section("<", (1, struct.pack("<HHI", 1, 0, 0)), (6, struct.pack("<IIIII", 0, 0, 0, 99, 99))), 0, 48, "a packet of 99 bytes in a block of 32"),
+    (section("<", (1, b"")), 0, 28, "an interface block of 12 bytes"),
+])
+def test_broken_chains(data, packets, at, reason):
+    found = list(capture_chain.entries(lambda a, n: data[a : a + n], len(data), 100))
+    assert (found[-1][0].at, found[-1][2]) == (at, reason) and all(e is None for *_, e in found[:-1])
+    assert sum(len(f) for f in decode_packets("x", data)) == packets
+    assert sum(len(f) for s, end, e in found[:-1] for f in captures._packets("x", s, data[s.at : end], s.at)) == packets
+
+
+def test_bad_files_stop_nothing(spark, tmp_path):
+    (tmp_path / "a b%20é.pcap").write_bytes(capture())
+    (tmp_path / "none.pcap").write_bytes(b"")
+    (tmp_path / "empty é.pcap").write_bytes(b"")
+    (tmp_path / "foreign.pcapng").write_bytes(b"PK" * 50)
+    (tmp_path / "cut.pcap").write_bytes(capture()[:-1])
+    (tmp_path / "deep").mkdir()
+    found, errors = captures.read_packets(spark, str(tmp_path), every=200)
+    assert found.count() == 13 and read_captures(spark, f"file://{tmp_path}").count() == 13
+    want = {("none.pcap", "empty file"), ("empty é.pcap", "empty file"), ("foreign.pcapng", "not a capture"), ("cut.pcap", "cut off in a record")}
+    assert {(r["path"].rsplit("/", 1)[1], r["error"]) for r in errors.collect()} == want
+    again = captures.capture_index(captures._files(spark, str(tmp_path)))
+    for f in tmp_path.glob("a*"):
+        f.unlink()
+    assert captures.capture_errors(again).count() == 2
+    assert captures.capture_index(spark.createDataFrame([("/nowhere/x.pcap", 5)], "path string, length long")).first()["error"].startswith("not readable")
+
+
 def test_flow_records(spark):
     df = spark.createDataFrame(
         [(1, 1704067200.25, "a", "b", 1, 2, 6, None, None), (2, None, "a", "b", None, None, 250, 7, 8)],
