@@ -17,7 +17,7 @@ import ipaddress
 import re
 from collections.abc import Iterator
 from itertools import islice
-from urllib.parse import unquote, urlparse
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -45,7 +45,7 @@ BATCH = 50_000
 PARTS = 20_000
 IPV6_EXTENSIONS = (0, 43, 60)
 # Stores that Arrow opens, by the scheme of a path.
-STORES = ("", "file", "hdfs", "s3", "s3a", "gs")
+STORES = ("file", "hdfs", "s3", "s3a", "gs")
 
 # Link types (fixed values).
 ETHERNET, COOKED, COOKED_2 = 1, 113, 276
@@ -252,14 +252,13 @@ def packet_events(decoded: DataFrame) -> DataFrame:
 
 
 def _opened(path: str) -> pa.NativeFile:
-    """The file at a path as Spark names it."""
-    parts = urlparse(path)
-    if parts.scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_file(unquote(parts.path) if parts.scheme else path)
-    if parts.scheme == "s3a":
-        path = "s3" + path[3:]
-    store, inside = fs.FileSystem.from_uri(path)
-    return store.open_input_file(inside)
+    """The file at a path as Spark tells it: a scheme, and a name in which nothing is escaped."""
+    scheme, name = path.split(":", 1)
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + name.lstrip("/"))
+    host, inside = name.removeprefix("//").split("/", 1)
+    store, root = fs.FileSystem.from_uri(f"{scheme.replace('s3a', 's3')}://{host}/")
+    return store.open_input_file(f"{root.rstrip('/')}/{inside}")
 
 
 def _index_rows(path: str, peek: Peek, size: int, every: int) -> pd.DataFrame:
@@ -354,7 +353,7 @@ def _empty_files(files: DataFrame, index: DataFrame) -> DataFrame:
 def read_packets(spark: SparkSession, path: str, every: int = RANGE) -> tuple[DataFrame, DataFrame]:
     """(IP packets, errors) of a capture file, or of all captures of a folder."""
     files = _files(spark, path)
-    if urlparse(path).scheme in STORES:
+    if all(name.split(":", 1)[0] in STORES for name in files.inputFiles()[:1]):
         index = capture_index(files, every)
         return indexed_packets(index), capture_errors(index).unionByName(_empty_files(files, index))
 

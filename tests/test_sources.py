@@ -317,7 +317,7 @@ def test_bad_files_stop_nothing(spark, tmp_path):
     for f in tmp_path.glob("a*"):
         f.unlink()
     assert captures.capture_errors(again).count() == 2
-    assert captures.capture_index(spark.createDataFrame([("/nowhere/x.pcap", 5)], "path string, length long")).first()["error"].startswith("not readable")
+    assert captures.capture_index(spark.createDataFrame([("file:/nowhere/x.pcap", 5)], "path string, length long")).first()["error"].startswith("not readable")
 
 
 def test_flow_records(spark):
