@@ -26,11 +26,10 @@ from palisade.streaming.state import Bounds
 from palisade.streaming.detect_stream import (
     latest,
     read_event_files,
-    start_detection,
-    start_flow_statistics,
     start_trailing,
     windowed_counts,
 )
+from palisade.streaming.keyed import start_keyed_detection, start_keyed_flows
 
 # Arrivals of about ten days each; together they are the whole table.
 CUTS = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]
@@ -84,34 +83,26 @@ def process(spark, events, start, arrivals=arrivals):
 )
 def stream_alerts(spark, sf):
     """All rules on a stream, thresholds counted across arrivals."""
-    base = scratch_path(spark, "stream-alerts")
-    process(
-        spark,
-        all_events(spark, sf),
-        lambda stream: start_detection(
-            stream, TEST_RULES, f"{base}/alerts", f"{base}/state", f"{base}/checkpoint",
-            created_at(), once=True,
-        ),
-    )
-    return spark.read.parquet(f"{base}/alerts").select(
-        "event_id", "signature_id", F.round("confidence_score", 6).alias("confidence")
-    )
+    return _alerts_of(spark, all_events(spark, sf), "stream-alerts")
 
 
 @query("stream_alerts_shuffled", ORACLES["stream_alerts"])
 def stream_alerts_shuffled(spark, sf):
     """The same alerts from rows that arrive in any order, beside one dated 2099."""
-    base = scratch_path(spark, "stream-shuffled")
+    return _alerts_of(spark, all_events(spark, sf), "stream-shuffled", shuffled, ANY_ORDER)
+
+
+def _alerts_of(spark, events, name, order=arrivals, bounds=Bounds(), rules=TEST_RULES):
+    base = scratch_path(spark, name)
     process(
         spark,
-        all_events(spark, sf),
-        lambda stream: start_detection(
-            stream, TEST_RULES, f"{base}/alerts", f"{base}/state", f"{base}/checkpoint",
-            created_at(), once=True, bounds=ANY_ORDER,
+        events,
+        lambda stream: start_keyed_detection(
+            stream, rules, f"{base}/alerts", f"{base}/checkpoint", created_at(), once=True, bounds=bounds
         ),
-        shuffled,
+        order,
     )
-    return latest(spark.read.parquet(f"{base}/alerts"), "alert_id").select(
+    return latest(spark.read.parquet(f"{base}/alerts"), "alert_id", "version").select(
         "event_id", "signature_id", F.round("confidence_score", 6).alias("confidence")
     )
 
@@ -140,34 +131,26 @@ def stream_host_profile(spark, sf):
 )
 def stream_flow_stats(spark, sf):
     """Running flow statistics whose state outlives each arrival."""
-    base = scratch_path(spark, "stream-flows")
-    process(
-        spark,
-        net_events(spark, sf),
-        lambda stream: start_flow_statistics(
-            stream, f"{base}/out", f"{base}/state", f"{base}/checkpoint", 40 * 86400, once=True
-        ),
-    )
-    out = spark.read.parquet(f"{base}/out")
-    return _rounded(
-        out.select("event_id", "flow_duration", "packets_per_second", "bytes_per_second"), NET_DIGITS
-    )
+    return _flows_of(spark, net_events(spark, sf), "stream-flows")
 
 
 @query("stream_flow_stats_shuffled", ORACLES["stream_flow_stats"])
 def stream_flow_stats_shuffled(spark, sf):
     """The same statistics from rows that arrive in any order, beside one dated 2099."""
-    base = scratch_path(spark, "stream-flows-shuffled")
+    return _flows_of(spark, net_events(spark, sf), "stream-flows-shuffled", shuffled, ANY_ORDER)
+
+
+def _flows_of(spark, events, name, order=arrivals, bounds=Bounds()):
+    base = scratch_path(spark, name)
     process(
         spark,
-        net_events(spark, sf),
-        lambda stream: start_flow_statistics(
-            stream, f"{base}/out", f"{base}/state", f"{base}/checkpoint", 40 * 86400, once=True,
-            bounds=ANY_ORDER,
+        events,
+        lambda stream: start_keyed_flows(
+            stream, f"{base}/out", f"{base}/checkpoint", 40 * DAY, once=True, bounds=bounds
         ),
-        shuffled,
+        order,
     )
-    out = latest(spark.read.parquet(f"{base}/out"), "event_id")
+    out = latest(spark.read.parquet(f"{base}/out"), "event_id", "version")
     return _rounded(
         out.select("event_id", "flow_duration", "packets_per_second", "bytes_per_second"), NET_DIGITS
     )

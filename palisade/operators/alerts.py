@@ -20,18 +20,20 @@ ANOMALY_TEXT = "Anomalous behavior detected with score %.2f"
 SEVERITY_ORDER = ["low", "medium", "high", "critical"]
 
 
-def to_alert_schema(df: DataFrame) -> DataFrame:
-    """All alert columns in order; missing ones are NULL."""
+def to_alert_schema(df: DataFrame, *extra: str) -> DataFrame:
+    """All alert columns in order (missing ones NULL), then the extra columns."""
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in ALERT_SCHEMA
-        ]
+        ],
+        *extra,
     )
 
 
-def signature_alerts(matches: DataFrame, rules: Sequence[Rule], created_at: Column) -> DataFrame:
-    """One new alert per match, with title, severity and attack ids of the rule."""
+def signature_alerts(matches: DataFrame, rules: Sequence[Rule], created_at: Column, *extra: str) -> DataFrame:
+    """One new alert per match, with title, severity and attack ids of the rule; ``extra``
+    columns of the matches are kept."""
     table = rules_frame(matches.sparkSession, rules).select(
         "signature_id",
         F.col("name").alias("title"),
@@ -52,7 +54,7 @@ def signature_alerts(matches: DataFrame, rules: Sequence[Rule], created_at: Colu
         F.lit(False).alias("false_positive"),
         created_at.alias("created_at"),
     )
-    return to_alert_schema(joined)
+    return to_alert_schema(joined, *extra)
 
 
 def mean_score(scores: Column) -> Column:

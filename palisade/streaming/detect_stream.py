@@ -56,11 +56,11 @@ def windowed_counts(
     )
 
 
-def latest(out: DataFrame, key: str) -> DataFrame:
-    """What a writer below has stored, in its newest version: a late row writes the rows that
-    it changes once more, with a higher ``batch``."""
-    rest = [c for c in out.columns if c not in (key, "batch")]
-    newest = F.max_by(F.struct(*rest), "batch").alias("row")
+def latest(out: DataFrame, key: str, version: str = "batch") -> DataFrame:
+    """What a stream has stored, in its newest version: a late row writes the rows that
+    it changes once more, with a higher ``version``."""
+    rest = [c for c in out.columns if c not in (key, version)]
+    newest = F.max_by(F.struct(*rest), version).alias("row")
     return out.groupBy(key).agg(newest).select(key, "row.*")
 
 
