@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "detection", "reports", "sources", "anomaly", "streams"]
+MODULES = ["features", "detection", "reports", "sources", "anomaly", "streams", "sequences"]
 
 
 def all_queries():

@@ -25,6 +25,7 @@ from palisade.operators.running import (
     trailing_sums,
 )
 from palisade.rules.compile import details_json, field, rule_column
+from palisade.rules.correlation import correlation_matches
 from palisade.rules.model import RULE_TYPES, Rule
 from palisade.session import local_rows
 
@@ -346,4 +347,6 @@ def match_events(
     parts = [stateless_matches(events, rules)]
     if enabled_of(rules, "threshold"):
         parts.append(threshold_matches(events, rules, ties, legacy))
+    if any(r.steps for r in enabled_of(rules, "correlation")):
+        parts.append(correlation_matches(events, rules, ties))
     return reduce(DataFrame.unionByName, parts)

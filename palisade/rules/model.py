@@ -47,6 +47,9 @@ class Rule:
     attack_techniques: tuple[str, ...] = ()
     enabled: bool = True
     signature_id: int = 0
+    # Of correlation rules: the conditions of each step, and those that begin anew.
+    steps: tuple[tuple[Condition, ...], ...] = ()
+    reset: tuple[Condition, ...] = ()
 
     @property
     def counts_ports(self) -> bool:
@@ -55,7 +58,7 @@ class Rule:
 
 
 # Keys of a written rule that are settings, not conditions on event fields.
-SETTINGS = ("threshold", "time_window_seconds", "grouping_key", "ioc_values")
+SETTINGS = ("threshold", "time_window_seconds", "grouping_key", "ioc_values", "steps", "reset")
 REQUIRED = ("name", "rule_type", "rule_content", "severity")
 
 
@@ -74,6 +77,10 @@ def condition_from(field: str, test: object) -> Condition:
     )
 
 
+def _conditions_from(written: dict) -> tuple[Condition, ...]:
+    return tuple(condition_from(f, t) for f, t in written.items())
+
+
 def rule_from_dict(written: dict) -> Rule:
     """A rule written as a mapping, its settings and field tests under ``conditions``."""
     missing = [k for k in REQUIRED if k not in written]
@@ -86,6 +93,10 @@ def rule_from_dict(written: dict) -> Rule:
     settings = {k: given[k] for k in SETTINGS if k in given}
     if "ioc_values" in settings:
         settings["ioc_values"] = tuple(settings["ioc_values"])
+    if "steps" in settings:
+        settings["steps"] = tuple(_conditions_from(step) for step in settings["steps"])
+    if "reset" in settings:
+        settings["reset"] = _conditions_from(settings["reset"])
     return Rule(
         **{"description": "", **rest, **settings},
         conditions=tuple(condition_from(f, t) for f, t in given.items() if f not in SETTINGS),
@@ -110,22 +121,26 @@ def _float(value: float | None) -> float | None:
 
 def rules_frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     """The rule table."""
-    rows = []
-    for r in rules:
-        conditions = [
+
+    def rows_of(conditions: Iterable[Condition]) -> list[tuple]:
+        return [
             (
                 c.field, c.op, _text(c.value), [str(v) for v in c.values],
                 _float(c.min), _float(c.max), c.pattern,
             )
-            for c in r.conditions
+            for c in conditions
         ]
+
+    rows = []
+    for r in rules:
+        conditions = rows_of(r.conditions)
         rows.append(
             (
                 r.signature_id, r.name, r.description, r.rule_type, r.rule_content,
                 r.event_type, conditions, r.threshold, r.time_window_seconds,
                 r.grouping_key, list(r.ioc_values), r.severity, r.enabled, r.confidence,
                 r.category, list(r.tags), list(r.references), list(r.attack_tactics),
-                list(r.attack_techniques),
+                list(r.attack_techniques), [rows_of(step) for step in r.steps], rows_of(r.reset),
             )
         )
     return local_rows(spark, rows, SIGNATURE_SCHEMA)
@@ -134,16 +149,22 @@ def rules_frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
 def rules_from_frame(rules: DataFrame) -> list[Rule]:
     """Read a rule table back; condition values take the type of the event field
     they are compared with."""
-    out = []
-    for row in rules.orderBy("signature_id").toLocalIterator():
-        d = row.asDict()
-        conditions = tuple(
+
+    def of(rows) -> tuple[Condition, ...]:
+        return tuple(
             Condition(
                 c["field"], c["op"], c["value"], tuple(c["values"] or ()),
                 _number(c["min"]), _number(c["max"]), c["pattern"],
             )
-            for c in d.pop("conditions") or ()
+            for c in rows or ()
         )
+
+    out = []
+    for row in rules.orderBy("signature_id").toLocalIterator():
+        d = row.asDict()
+        conditions = of(d.pop("conditions"))
+        d["steps"] = tuple(of(step) for step in d.get("steps") or ())
+        d["reset"] = of(d.get("reset"))
         for name in ("ioc_values", "tags", "references", "attack_tactics", "attack_techniques"):
             d[name] = tuple(d[name] or ())
         out.append(Rule(conditions=conditions, **d))

@@ -120,6 +120,8 @@ SIGNATURE_SCHEMA = _layout(
     references=_TEXTS,
     attack_tactics=_TEXTS,
     attack_techniques=_TEXTS,
+    steps=T.ArrayType(T.ArrayType(CONDITION_SCHEMA)),
+    reset=T.ArrayType(CONDITION_SCHEMA),
 )
 
 IOC_SCHEMA = _layout(

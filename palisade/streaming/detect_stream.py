@@ -9,7 +9,7 @@ a stated lateness.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +56,33 @@ def windowed_counts(
     )
 
 
+def start_sessions(
+    events: DataFrame,
+    keys: Sequence[str],
+    gap_seconds: int,
+    sums: Mapping[str, Column],
+    out: str,
+    checkpoint: str,
+    late_seconds: int,
+    once: bool = False,
+) -> StreamingQuery:
+    """Append (keys, start, end, sums) of every session to ``out`` once no accepted row can change it.
+
+    A row that comes late, but not later than stated, joins the sessions on both sides of it. Sessions
+    are merged before the shuffle too, so a busy key costs a few rows a task.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    found = (
+        events.withWatermark("timestamp", f"{late_seconds} seconds")
+        .groupBy(F.session_window("timestamp", f"{gap_seconds} seconds").alias("w"), *keys)
+        .agg(*[value.alias(name) for name, value in sums.items()])
+        .select(*keys, "w.start", "w.end", *sums)
+    )
+    stream = found.writeStream.format("parquet").outputMode("append").option("path", out)
+    stream = stream.option("checkpointLocation", checkpoint).queryName("sessions")
+    return (stream.trigger(availableNow=True) if once else stream).start()
+
+
 def latest(out: DataFrame, key: str, version: str = "batch") -> DataFrame:
     """What a stream has stored, in its newest version: a late row writes the rows that
     it changes once more, with a higher ``version``."""
