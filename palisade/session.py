@@ -101,17 +101,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` returned, once all that is made of them is written too."""
+    for table in tables:
+        path, spark = table.written_path, table.sparkSession
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+        delete_path(spark, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_written(spark: SparkSession) -> int:
     """Delete the tables :func:`written` made in this process, once nothing reads them
     any more; returns how many there were."""
-    conf = spark._jsc.hadoopConfiguration()
     count = len(_WRITTEN)
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete_path(spark, _WRITTEN.pop())
     return count
 
 
