@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.session import scratch_path, written
+from palisade.session import discard, scratch_path, written
 
-__all__ = ["column", "components", "let", "release", "scratch_path", "small_batches", "table", "text_batches", "written"]
+__all__ = ["column", "components", "discard", "let", "release", "scratch_path", "small_batches", "table", "text_batches", "written"]
 
 # Rows of an Arrow batch sent to Python: texts may be long, and a batch is in memory whole.
 BATCH_ROWS = "256"

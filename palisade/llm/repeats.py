@@ -19,6 +19,10 @@ is left goes on with shorter ranges, hence longer cores, down to single windows.
 items go on too, one for each hull, as far as others with their core are unsettled. Ranks are
 128-bit hashes of the strings, so equal strings on any machine have equal ranks.
 
+The same serves passages of words: units are then words instead of bytes, anchors are strings of eight words,
+and cores have at least 8, 44 and 51 of them. A passage counts if another document has it, so a round keeps two items of
+different documents for each settled hull, and all items of the unsettled ones.
+
 Groups are counted before the shuffle and joined back from a written table, so a string with
 any number of copies is no bottleneck. Texts are shuffled twice: to fetch the surroundings
 of unsettled items, and to cut the repeats out.
@@ -27,7 +31,10 @@ of unsettled items, and to cut the repeats out.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +42,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import column, release, small_batches, text_batches, written
+from palisade.llm.common import column, discard, release, small_batches, text_batches, written
 
-LENGTH = 400
-GRAM = 16
-BLOCKS = (256, 16, 1)
-# Windows of one document handled at once.
+# Windows of one document handled at once; rows sent to the JVM at once.
 CHUNK = 1 << 18
+ROWS = 20_000
 
 _SCRAMBLE = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -49,6 +54,57 @@ _ITEM = "doc_id long, h long, a long, parent int, lo int, hi int, core binary, h
 _WHERE = ["doc_id", "h", "a", "lo", "hi"]
 
 
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of, and how long the repeated ones are.
+
+    ``gram`` units make an anchor's string; ``blocks`` are the ranges of distances of the rounds, the last single windows;
+    ``across``: whether another string must be in another document. Rows equal in id and text are one document then.
+    """
+
+    length: int
+    gram: int
+    blocks: tuple[int, int, int]
+    words: bool = False
+    across: bool = False
+
+    def cut(self, text: str | None) -> tuple[bytes, np.ndarray, list[int] | None]:
+        """(bytes, a number of each unit, where units begin and the last ends; None if every byte is one)."""
+        data = (text or "").encode()
+        if not self.words:
+            return data, _SCRAMBLE[np.frombuffer(data, np.uint8)], None
+        words = data.split()
+        value = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        return b" ".join(words), value, _edges(words)
+
+    def edges(self, data: bytes) -> list[int] | None:
+        return _edges(data.split(b" ")) if self.words else None
+
+
+def _edges(words: list[bytes]) -> list[int]:
+    """Where words joined by a space begin, and the end as if one more space followed."""
+    return [0, *accumulate(len(w) + 1 for w in words)]
+
+
+def _part(data: bytes, edges: list[int] | None, begin: int, end: int) -> bytes:
+    """The units from begin to before end."""
+    return data[begin:end] if edges is None else data[edges[begin] : edges[end] - 1]
+
+
+LENGTH = 400
+WORDS = 51
+
+
+def bytes_of(length: int = LENGTH) -> Unit:
+    """Strings of so many bytes that start anywhere else too."""
+    return Unit(length, 16, (256, 16, 1))
+
+
+def passages_of(words: int = WORDS) -> Unit:
+    """Passages of so many words that another document has too."""
+    return Unit(words, 8, (64, 8, 1), True, True)
+
+
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` neighbours."""
     n = values.size - width + 1
@@ -60,21 +116,22 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def anchors(values: np.ndarray, unit: Unit = bytes_of()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(anchor, least distance, largest distance) of runs of windows that share an anchor."""
-    windows = len(data) - length + 1
+    length, gram = unit.length, unit.gram
+    windows = values.size - length + 1
     for begin in range(0, windows, CHUNK):
         end = min(begin + CHUNK, windows)
-        value = _SCRAMBLE[np.frombuffer(data, np.uint8, end - begin + length - 1, begin)]
+        value = values[begin : end + length - 1]
         span = 1
-        while span < GRAM:
+        while span < gram:
             value = value[:-span] + value[span:] * np.uint64(pow(int(_STEP), span, 1 << 64))
             span *= 2
-        value ^= value >> np.uint64(29)
+        value = value ^ (value >> np.uint64(29))
         value *= np.uint64(0xBF58476D1CE4E5B9)
         value &= np.uint64(0xFFFFFFFF00000000)
         value |= np.arange(value.size, dtype=np.uint64)
-        at = (_sliding_least(value, length - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        at = (_sliding_least(value, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.append(first[1:], at.size) - 1
         a = at[first]
@@ -91,17 +148,18 @@ def split_ranges(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int) -> t
 
 
 def ranks(
-    data: bytes, shift: int, a: list[int], lo: list[int], hi: list[int], block: int, length: int
+    data: bytes, edges: list[int] | None, shift: int, a: list[int], lo: list[int], hi: list[int], block: int, unit: Unit
 ) -> tuple[list[bytes], list[int]]:
-    """(core, hull) of every item; ``data`` begins ``shift`` bytes after the document does."""
+    """(core, hull) of every item; ``data`` begins ``shift`` units after the document does."""
     cores, hulls = [], []
-    core_of, hull_of, top = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest, length - GRAM
+    length = unit.length
+    core_of, hull_of, top = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest, length - unit.gram
     for at, least, most in zip(a, lo, hi):
         begin = least // block * block
         end = min(begin + block - 1, top)
         at -= shift
-        cores.append(core_of(data[at - begin : at - end + length], begin))
-        hull = hull_of(data[at - most : at - least + length], least << 16 | most)
+        cores.append(core_of(_part(data, edges, at - begin, at - end + length), begin))
+        hull = hull_of(_part(data, edges, at - most, at - least + length), least << 16 | most)
         hulls.append(hull - (1 << 64) if hull >> 63 else hull)
     return cores, hulls
 
@@ -122,27 +180,46 @@ def _rows(doc_ids: list, hs: list, a, parent, lo, hi, cores: list, hulls: list)
     )
 
 
-def _first_items(length: int):
+class _Out:
+    """Columns of items, sent on when there are enough."""
+
+    def __init__(self):
+        self.columns: list[list] = [[] for _ in range(8)]
+
+    def add(self, *columns: list) -> None:
+        for to, more in zip(self.columns, columns):
+            to += more
+
+    def full(self, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+        if len(self.columns[0]) >= rows:
+            yield _rows(*self.columns)
+            self.columns = [[] for _ in range(8)]
+
+
+def _first_items(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Out()
         for batch in batches:
             for doc_id, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text"))):
-                data = (text or "").encode()
-                for found in anchors(data, length):
-                    _, a, lo, hi = split_ranges(*found, BLOCKS[0])
+                data, values, edges = unit.cut(text)
+                for found in anchors(values, unit):
+                    _, a, lo, hi = split_ranges(*found, unit.blocks[0])
                     a, lo, hi = a.tolist(), lo.tolist(), hi.tolist()
                     n = len(a)
-                    yield _rows([doc_id] * n, [h] * n, a, lo, lo, hi, *ranks(data, 0, a, lo, hi, BLOCKS[0], length))
+                    out.add([doc_id] * n, [h] * n, a, lo, lo, hi, *ranks(data, edges, 0, a, lo, hi, unit.blocks[0], unit))
+                    yield from out.full()
+        yield from out.full(1)
 
     return run
 
 
-def _surroundings(length: int):
-    """The bytes that the windows of each item cover."""
+def _surroundings(unit: Unit):
+    """The units that the windows of each item cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                data = (r["text"] or "").encode()
+                data, _, edges = unit.cut(r["text"])
                 items = r["items"]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -151,7 +228,7 @@ def _surroundings(length: int):
                         pa.array([i["a"] for i in items], pa.int64()),
                         pa.array([i["lo"] for i in items], pa.int32()),
                         pa.array([i["hi"] for i in items], pa.int32()),
-                        pa.array([data[i["a"] - i["hi"] : i["a"] - i["lo"] + length] for i in items], pa.binary()),
+                        pa.array([_part(data, edges, i["a"] - i["hi"], i["a"] - i["lo"] + unit.length) for i in items], pa.binary()),
                     ],
                     [*_WHERE, "data"],
                 )
@@ -159,49 +236,63 @@ def _surroundings(length: int):
     return run
 
 
-def _next_items(block: int, length: int):
+def _next_items(block: int, unit: Unit):
     """Items with shorter ranges, from surroundings and the ranges ``parts`` to go on with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Out()
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
             for r in batch.to_pylist():
                 ranges = np.array([(p["lo"], p["hi"]) for p in r["parts"]], np.int64)
                 at = np.full(len(ranges), r["a"], np.int64)
                 _, a, lo, hi = split_ranges(at, ranges[:, 0], ranges[:, 1], block)
                 a, lo, hi = a.tolist(), lo.tolist(), hi.tolist()
                 n = len(a)
-                found = ranks(r["data"], r["a"] - r["hi"], a, lo, hi, block, length)
-                for to, more in zip(out, ([r["doc_id"]] * n, [r["h"]] * n, a, [r["lo"]] * n, lo, hi, *found)):
-                    to += more
-            if out[0]:
-                yield _rows(*out)
+                found = ranks(r["data"], unit.edges(r["data"]), r["a"] - r["hi"], a, lo, hi, block, unit)
+                out.add([r["doc_id"]] * n, [r["h"]] * n, a, [r["lo"]] * n, lo, hi, *found)
+                yield from out.full()
+        yield from out.full(1)
 
     return run
 
 
-def _ranked(items: DataFrame, length: int, go_on: bool) -> tuple[DataFrame, DataFrame | None]:
+def _ranked(items: DataFrame, unit: Unit, go_on: bool) -> tuple[DataFrame, DataFrame | None]:
     """(repeated spans, items to go on with) of one round."""
     spark = items.sparkSession
     items = written(items, "repeats-items")
-    twice = items.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    twice = written(twice, "repeats-cores")
+    who = F.xxhash64("doc_id", "h")
+    # Repeated: by any other item, or by one of another document.
+    several = F.min(who) != F.max(who) if unit.across else F.count("*") > 1
+    twice = written(items.groupBy("core").agg(several.alias("yes")).where("yes").select("core"), "repeats-cores")
     alive = written(items.join(twice, "core", "left_semi"), "repeats-alive")
+    discard(items, twice)
     release(spark)
-    ranks_of = alive.groupBy("core", "hull").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "a", "parent", "lo", "hi")).alias("one")
-    )
-    classes = written(ranks_of, "repeats-ranks")
-    shared = classes.where("n > 1").select("core", "hull")
+    item = F.struct("doc_id", "h", "a", "parent", "lo", "hi")
+    some = [F.min(item).alias("one")]
+    if unit.across:
+        # Of two documents, so that an item of either meets another one.
+        one = F.struct(who.alias("who"), item.alias("item"))
+        some = [F.min(one)["item"].alias("one"), F.max(one)["item"].alias("other")]
+    classes = written(alive.groupBy("core", "hull").agg(several.alias("settled"), *some), "repeats-ranks")
+    shared = classes.where("settled").select("core", "hull")
     spans = alive.join(shared, ["core", "hull"], "left_semi").select(
-        "doc_id", "h", (F.col("a") - F.col("hi")).alias("start"), (F.col("a") - F.col("lo") + length).alias("end")
+        "doc_id", "h", (F.col("a") - F.col("hi")).alias("start"), (F.col("a") - F.col("lo") + unit.length).alias("end")
     )
     spans = written(spans.distinct(), "repeats-spans")
     if not go_on:
+        discard(alive, classes)
         return spans, None
-    mixed = written(classes.where("n = 1").select("core").distinct(), "repeats-mixed")
-    rest = classes.join(mixed, "core", "left_semi").select("one.*")
+    mixed = written(classes.where("not settled").select("core").distinct(), "repeats-mixed")
+    rest = classes.join(mixed, "core", "left_semi")
+    if unit.across:
+        open_ = classes.where("not settled").select("core", "hull")
+        open_ = alive.join(open_, ["core", "hull"], "left_semi").select("doc_id", "h", "a", "parent", "lo", "hi")
+        both = rest.where("settled").select(F.explode(F.array("one", "other")).alias("i")).select("i.*")
+        rest = both.unionByName(open_)
+    else:
+        rest = rest.select("one.*")
     rest = written(rest, "repeats-rest")
+    discard(alive, classes, mixed)
     release(spark)
     return spans, rest
 
@@ -213,37 +304,38 @@ def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return out
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, h, spans) of (doc_id, h, text): the places of strings of ``length`` bytes that start elsewhere too.
+def repeated_spans(rows: DataFrame, unit: Unit = bytes_of()) -> DataFrame:
+    """(doc_id, h, spans) of (doc_id, h, text): the places of strings that start elsewhere too.
 
     ``h`` is the hash of the text; rows equal in both are alike and share one result, in
-    which the spans, (start, end) in bytes, may overlap. Only documents with spans appear.
+    which the spans, (start, end) in units, may overlap. Only documents with spans appear.
     """
-    first = rows.mapInArrow(_first_items(length), _ITEM)
-    found, rest = _ranked(first, length, True)
+    first = rows.mapInArrow(_first_items(unit), _ITEM)
+    found, rest = _ranked(first, unit, True)
 
     lists = rest.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("items"))
     lists = written(lists, "repeats-lists")
     texts = rows.join(lists, _same(rows, lists, ["h"])).select(rows["doc_id"], rows["h"], "text", "items")
-    around = texts.mapInArrow(
-        _surroundings(length), "doc_id long, h long, a long, lo int, hi int, data binary"
+    surroundings = texts.mapInArrow(
+        _surroundings(unit), "doc_id long, h long, a long, lo int, hi int, data binary"
     )
-    around = written(around.groupBy(*_WHERE).agg(F.first("data").alias("data")), "repeats-around")
+    around = written(surroundings.groupBy(*_WHERE).agg(F.first("data").alias("data")), "repeats-around")
+    discard(rest, lists)
     release(rows.sparkSession)
 
     whole = around.withColumn("parts", F.array(F.struct("lo", "hi")))
-    more, rest = _ranked(whole.mapInArrow(_next_items(BLOCKS[1], length), _ITEM), length, True)
-    found = found.unionAll(more)
+    more, rest = _ranked(whole.mapInArrow(_next_items(unit.blocks[1], unit), _ITEM), unit, True)
 
     parts = rest.groupBy("doc_id", "h", "a", "parent").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
     parts = written(parts.withColumnRenamed("parent", "lo"), "repeats-parts")
     single = around.join(parts, _same(around, parts, ["h", "a", "lo"])).select(
         *[around[c] for c in [*_WHERE, "data"]], "parts"
     )
-    more, _ = _ranked(single.mapInArrow(_next_items(BLOCKS[2], length), _ITEM), length, False)
-    found = found.unionAll(more).distinct()
-    spans = found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    last, _ = _ranked(single.mapInArrow(_next_items(unit.blocks[2], unit), _ITEM), unit, False)
+    every = found.unionAll(more).unionAll(last).distinct()
+    spans = every.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = written(spans, "repeats-by-document")
+    discard(around, rest, parts, found, more, last)
     release(rows.sparkSession)
     return spans
 
@@ -267,6 +359,20 @@ def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[0::2], edges[1::2]))
 
 
+def without_words(data: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """The text without the runs of words; a run takes along the white space before it, at the start that after it."""
+    found = list(_WORD.finditer(data))
+    out, at = [], 0
+    for begin, end in runs:
+        first = found[begin - 1].end() if begin else 0
+        out.append(data[at:first])
+        at = found[end - 1].end() if begin else (found[end].start() if end < len(found) else len(data))
+    return b"".join([*out, data[at:]])
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         column(id_col).cast("long").alias("doc_id"), F.xxhash64(column(text_col)).alias("h"), column(text_col).alias("text")
@@ -274,74 +380,77 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeat_report(
-    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_words) of every document.
 
     Texts are UTF-8 bytes, a null text is empty; texts shorter than ``length`` have no
     repeats. Documents are told apart by id and text, so null and repeated ids are no
     matter, and rows repeated as a whole are copies of each other. An empty table gives none.
+    ``passage_words`` counts the words in passages of ``words`` words that a document with another id or text has
+    too, and ``n_passages`` the maximal runs of them; nothing is removed for those.
     """
     small_batches(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows, length)
+    spans = repeated_spans(rows, bytes_of(length))
+    passages = repeated_spans(rows, passages_of(words))
+    both = spans.select("doc_id", "h", "spans", F.lit(None).cast(spans.schema["spans"].dataType).alias("passages")).unionByName(
+        passages.select("doc_id", "h", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.col("spans").alias("passages"))
+    )
+    # One row of each kind a document at most.
+    both = both.groupBy("doc_id", "h").agg(F.first("spans", True).alias("spans"), F.first("passages", True).alias("passages"))
+    found = written(both, "repeats-found")
+    discard(spans, passages)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        for text, list_of in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            data, runs = (text or "").encode(), merged(list_of)
+        for text, list_of, others in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "passages"))):
+            data, runs, shared = (text or "").encode(), merged(list_of), merged(others)
             kept = without(data, runs)
-            out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
-        n_bytes, n_removed, n_spans, digest = zip(*out)
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array(n_bytes, pa.int64()),
-                pa.array(n_removed, pa.int64()),
-                pa.array(n_spans, pa.int64()),
-                pa.array(digest, pa.string()),
-            ],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-        )
-
-    joined = rows.join(spans, _same(rows, spans, ["h"]), "left").select(rows["doc_id"], "text", "spans")
+            out.append((
+                len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(),
+                len(shared), sum(b - a for a, b in shared),
+            ))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words"]
+        arrays = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *names])
+
+    joined = rows.join(found, _same(rows, found, ["h"]), "left").select(rows["doc_id"], "text", "spans", "passages")
     return joined.mapInArrow(
-        text_batches(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        text_batches(run),
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long",
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, unit: Unit = bytes_of()) -> DataFrame:
     """The documents, all their columns, with the repeats cut out of ``text`` and ``n_chars`` to fit.
 
-    Every document stays, if with an empty text. Characters of which a run took a part go as
-    a whole. A null text stays null.
+    Every document stays, if with an empty text. Of bytes, characters of which a run took a part go as
+    a whole. Of words, the gap before a run goes with it. A null text stays null. Columns of the same names as those used here
+    are kept like any other.
     """
     small_batches(docs.sparkSession)
-    rows = _keyed(docs, "doc_id", "text")
-    spans = repeated_spans(rows, length)
-    spans = spans.select(
-        F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans")
-    )
+    spans = repeated_spans(_keyed(docs, "doc_id", "text"), unit)
     names, schema = docs.columns, docs.schema
-    arrow_names = [*names, "__spans"]
+    # The document travels as one struct, so its columns clash with nothing.
+    whole = docs.select(F.struct(*[column(c) for c in names]).alias("doc"))
+    match = F.col("doc.doc_id").cast("long").eqNullSafe(spans["doc_id"]) & (F.xxhash64("doc.text") == spans["h"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = []
-        for text, list_of in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
+        arrays = dict(zip(names, batch.column("doc").flatten()))
+        lists = batch.column("spans").to_pylist()
+        texts = arrays["text"].to_pylist()
+        for i, list_of in enumerate(lists):
             if list_of:
-                text = without(text.encode(), merged(list_of)).decode(errors="ignore")
-            texts.append(text)
-        arrays = [batch.column(c) for c in names]
-        arrays[names.index("text")] = pa.array(texts, batch.column("text").type)
-        if "n_chars" in names:
-            kind = batch.column("n_chars").type
-            changed = batch.column("__spans").is_valid().to_pylist()
-            counts = batch.column("n_chars").to_pylist()
-            arrays[names.index("n_chars")] = pa.array(
-                [len(t) if c else n for t, c, n in zip(texts, changed, counts)], kind
-            )
-        return pa.RecordBatch.from_arrays(arrays, names)
-
-    match = docs["doc_id"].cast("long").eqNullSafe(spans["__id"]) & (F.xxhash64(docs["text"]) == spans["__h"])
-    joined = docs.join(spans, match, "left").select(*[F.col(f"`{c}`") for c in arrow_names])
+                cut = without_words if unit.words else without
+                texts[i] = cut(texts[i].encode(), merged(list_of)).decode(errors="ignore")
+        arrays["text"] = pa.array(texts, arrays["text"].type)
+        if "n_chars" in arrays:
+            counts = arrays["n_chars"].to_pylist()
+            counts = [len(t) if c else n for t, c, n in zip(texts, lists, counts)]
+            arrays["n_chars"] = pa.array(counts, arrays["n_chars"].type)
+        return pa.RecordBatch.from_arrays([arrays[c] for c in names], names)
+
+    joined = whole.join(spans, match, "left").select("doc", "spans")
     return joined.mapInArrow(text_batches(run), schema)

@@ -31,6 +31,26 @@ def repeats(texts, length):
     return out
 
 
+def passages(rows, length):
+    """For each (id, text) the maximal runs of words in passages that a row of another id or text has too."""
+    words = [(t or "").encode().split() for _, t in rows]
+    having = defaultdict(set)
+    for (i, t), w in zip(rows, words):
+        for k in range(len(w) - length + 1):
+            having[tuple(w[k : k + length])].add((i, t))
+    out = []
+    for w in words:
+        runs = []
+        for k in range(len(w) - length + 1):
+            if len(having[tuple(w[k : k + length])]) > 1:
+                if runs and k <= runs[-1][1]:
+                    runs[-1][1] = k + length
+                else:
+                    runs.append([k, k + length])
+        out.append([tuple(r) for r in runs])
+    return out
+
+
 def shingle_set(text, words=5):
     w = (text or "").split()
     return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()

@@ -8,7 +8,7 @@ import pytest
 
 from palisade.llm.common import components
 from palisade.llm.near_duplicates import _agreeing, jaccard, near_classes, near_report, keep_one, shingles, signature
-from palisade.llm.repeats import anchors, merged, remove_repeats, repeat_report, without
+from palisade.llm.repeats import anchors, bytes_of, merged, passages_of, remove_repeats, repeat_report, without, without_words
 
 from . import brute
 
@@ -52,10 +52,53 @@ def test_repeats_like_brute_force(spark):
     rows = brute.strange(list(enumerate(texts_with_repeats())))
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, h int, spans string")
     got = Counter(tuple(r) for r in repeat_report(df.repartition(3)).collect())
-    want = Counter((i, *b) for (i, _), b in zip(rows, brute.repeats([t for _, t in rows], 400)))
+    passages = [(len(runs), sum(b - a for a, b in runs)) for runs in brute.passages(rows, 51)]
+    want = Counter((i, *b, *p) for (i, _), b, p in zip(rows, brute.repeats([t for _, t in rows], 400), passages))
     assert got == want
 
 
+def texts_with_passages():
+    draw = random.Random(8)
+    base = [draw.choice(["a", "bb", "ccc", "é", "d."]) for _ in range(900)]
+    texts = ["", " \t\n", "one two", " ".join(base[:51]), " ".join(base[1:51]), "x " + "\n".join(base[:52]) + " y"]
+    texts += ["same words " * 60, "a " * 300, "a " * 50, " ".join(base[400:600] * 2), "\x0b".join(base[100:180]) + "　z"]
+    texts += [" ".join(base[200:260]) + " q " + " ".join(base[300:355]), " ".join(base[230:320])]
+    for _ in range(40):
+        at = draw.randrange(800)
+        t = base[at : at + draw.randrange(40, 160)]
+        for _ in range(draw.randrange(3)):
+            t[draw.randrange(len(t))] = draw.choice("XYZ")
+        texts.append(draw.choice([" ", "  ", "\n "]).join(t) + draw.choice(["", " "]))
+    return texts
+
+
+@pytest.mark.parametrize("words", [51, 20])
+def test_passages_like_brute_force(spark, words):
+    rows = brute.strange(list(enumerate(texts_with_passages()))) + [(700, texts_with_passages()[3]), (3, "another text " * 20)]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, passage_words int")
+    got = Counter(tuple(r)[0:1] + tuple(r)[5:] for r in repeat_report(df.repartition(3), words=words).collect())
+    want = Counter((i, len(runs), sum(b - a for a, b in runs)) for (i, _), runs in zip(rows, brute.passages(rows, words)))
+    assert got == want and sum(n > 0 for _, n, _ in want) > 20
+
+
+def test_passages_are_cut_out_of_documents(spark):
+    rows = list(enumerate(texts_with_passages()))
+    df = spark.createDataFrame([(i, t, 5, "z", 1) for i, t in rows], "doc_id long, text string, n_chars long, spans string, h long")
+    got = {r["doc_id"]: r for r in remove_repeats(df, passages_of()).collect()}
+    for (i, t), runs in zip(rows, brute.passages(rows, 51)):
+        gone = {k for a, b in runs for k in range(a, b)}
+        assert got[i]["text"].encode().split() == [w for k, w in enumerate(t.encode().split()) if k not in gone]
+        assert got[i]["n_chars"] == (len(got[i]["text"]) if runs else 5) and (got[i]["spans"], got[i]["h"]) == ("z", 1)
+        assert runs or got[i]["text"] == t
+
+
+def test_words_are_cut_with_their_gaps():
+    text = b"  one two\n\nthree four "
+    assert without_words(text, [(1, 2)]) == b"  one\n\nthree four "
+    assert without_words(text, [(0, 1), (3, 4)]) == b"two\n\nthree "
+    assert without_words(text, [(0, 4)]) == b"" and without_words(text, []) == text
+
+
 def test_repeats_are_cut_out_of_documents(spark):
     draw = random.Random(6)
     shared = "".join(draw.choice("abcdefg é") for _ in range(500))
@@ -71,6 +114,7 @@ def test_repeats_are_cut_out_of_documents(spark):
 def test_every_window_has_one_anchor(size, monkeypatch):
     monkeypatch.setattr("palisade.llm.repeats.CHUNK", 700)
     data = bytes(random.Random(size).choices(b"abc", k=size))
+    data = bytes_of().cut(data.decode())[1]
     starts = sorted(s for a, lo, hi in anchors(data) for k in range(a.size) for s in range(a[k] - hi[k], a[k] - lo[k] + 1))
     assert starts == list(range(max(0, size - 399)))
     for a, lo, hi in anchors(data):
