@@ -14,7 +14,7 @@ from palisade.llm.common import table
 from palisade.llm.decontamination import without_leaks
 from palisade.llm.near_duplicates import keep_one
 from palisade.llm.ranking import keep_good, learn
-from palisade.llm.repeats import remove_repeats
+from palisade.llm.repeats import passages_of, remove_repeats
 from palisade.session import written
 
 
@@ -29,8 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur elsewhere too are cut out; the documents stay."""
-    return remove_repeats(docs)
+    """Passages of 51 words that another document has too are cut out; the documents stay."""
+    return remove_repeats(docs, passages_of())
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
