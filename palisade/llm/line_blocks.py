@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +37,8 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article body center details div fieldset html main section td".split())
 # What a page's article does not consist of, by element ...
 DROPPED = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe input label map math menu meter nav"
-    " noscript object option output progress script search select style svg template textarea title video".split()
+    "aside audio button canvas datalist dialog footer form head iframe input menu nav"
+    " noscript object option script search select style svg template textarea title video".split()
 )
 # ... and by the words of class, id and role. Those of the second kind stay inside an article.
 WORDS = frozenset(
@@ -48,6 +49,8 @@ WORDS = frozenset(
     " replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe"
     " subscription taboola teaser toolbar topbar widget widgets".split()
 )
+# What the words must be for an element inside a line to go: a marked name or button stays.
+INLINE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense outbrain sponsored taboola".split())
 PAGE_WORDS = frozenset("header masthead banner".split())
 # A class of these says what the whole page has, not what the element is.
 ABOUT = frozenset("has no with without is".split())
@@ -93,7 +96,7 @@ def _names(attributes: str) -> tuple[set[str], bool]:
 def _element(tag: str, attributes: str, parent: _Element, by_name: bool) -> _Element:
     dropped, reason, article = parent.dropped, parent.reason, parent.article
     words, hidden = _names(attributes) if attributes.strip() else (set(), False)
-    readers = bool(by_name and words & READERS)
+    readers = bool(by_name and tag in BLOCKS and words & READERS)
     if tag in ("article", "main") and not readers:
         # A wrapper's name does not take its article away.
         if reason not in ("element", "readers"):
@@ -104,7 +107,7 @@ def _element(tag: str, attributes: str, parent: _Element, by_name: bool) -> _Ele
             dropped, reason = True, "readers"
         elif tag in DROPPED or hidden:
             dropped, reason = True, "element"
-        elif tag != "article" and by_name and words & WORDS:
+        elif tag != "article" and by_name and words & (WORDS if tag in BLOCKS else INLINE_WORDS):
             dropped, reason = True, "name"
         elif not article and (tag == "header" or by_name and words & PAGE_WORDS):
             dropped, reason = True, "name"
@@ -123,6 +126,10 @@ def _lines_and_containers(page: str, by_name: bool) -> tuple[list[tuple[str, int
     lines: list[tuple[str, int, bool]] = []
     containers: list[_Element | None] = []
     stack = [_Element("", False, "", False, False)]
+    # Places in the stack of the open elements of a name, of the open blocks and of the open containers.
+    places: dict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = [0]
+    holders: list[int] = [0]
     text: list[str] = []
     plain = at = 0
     inside = False
@@ -143,7 +150,7 @@ def _lines_and_containers(page: str, by_name: bool) -> tuple[list[tuple[str, int
         if raw and not top.dropped:
             value = html.unescape(raw) if "&" in raw else raw
             if container is None and not value.isspace():
-                container = next((e for e in reversed(stack) if e.tag in CONTAINERS), stack[0])
+                container = stack[holders[-1]]
             text.append(value)
             inside |= top.article
             if not top.link:
@@ -153,7 +160,12 @@ def _lines_and_containers(page: str, by_name: bool) -> tuple[list[tuple[str, int
         if any(e.dropped for e in stack[depth:]) and not stack[depth - 1].dropped:
             lines.extend([("", 0, False)] * WINDOW)
             containers.extend([None] * WINDOW)
+        for e in reversed(stack[depth:]):
+            places[e.tag].pop()
         del stack[depth:]
+        for open_ in (blocks, holders):
+            while open_[-1] >= depth:
+                open_.pop()
 
     while at < len(page):
         found = _TOKEN.search(page, at)
@@ -172,13 +184,9 @@ def _lines_and_containers(page: str, by_name: bool) -> tuple[list[tuple[str, int
         elif tag in ("br", "td", "th", "option"):
             add(" ")
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close_to(depth)
-                    break
-                # An inline end tag does not close blocks.
-                if not block and stack[depth].tag in BLOCKS:
-                    break
+            # An inline end tag does not close blocks.
+            if places[tag] and (block or places[tag][-1] > blocks[-1]):
+                close_to(places[tag][-1])
             continue
         if tag in VOID:
             continue
@@ -188,13 +196,14 @@ def _lines_and_containers(page: str, by_name: bool) -> tuple[list[tuple[str, int
             continue
         if block:
             # A block ends an open paragraph, an item an open item.
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = stack[depth].tag
-                if open_tag == "p" or open_tag == tag and tag in ("li", "dt", "dd", "tr"):
-                    close_to(depth)
-                    break
-                if open_tag in BLOCKS:
-                    break
+            open_tag = stack[blocks[-1]].tag
+            if open_tag == "p" or open_tag == tag and tag in ("li", "dt", "dd", "tr"):
+                close_to(blocks[-1])
+        places[tag].append(len(stack))
+        if block:
+            blocks.append(len(stack))
+        if tag in CONTAINERS:
+            holders.append(len(stack))
         stack.append(_element(tag, attributes, stack[-1], by_name))
     end_line()
     return lines, containers
@@ -215,6 +224,16 @@ def _without_gaps(lines: list[tuple[str, int, bool]], containers: list[_Element
     return out
 
 
+def _with_single_links(lines: list[tuple[str, int, bool]], weights: list[int]) -> list[int]:
+    """The weights, with one for each line of links that stands alone between two lines of text: a linked
+    heading, not a menu."""
+    out, n = list(weights), len(weights)
+    for i, (line, _, _) in enumerate(lines):
+        if line and not weights[i] and 0 < i < n - 1 and weights[i - 1] and weights[i + 1]:
+            out[i] = 1
+    return out
+
+
 def between_surge_and_dive(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
     """Which lines to keep: ``weights`` are the text lengths of the lines.
 
@@ -270,6 +289,8 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             # A line of links only is a menu.
             weights = [plain if 2 * plain > len(line) else 0 for line, plain, _ in lines]
         keep = between_surge_and_dive(weights, window, 1 if marked else surge)
+        if not marked:
+            weights = _with_single_links(lines, weights)
         kept = [line for (line, _, _), k, w in zip(lines, keep, weights) if k and w]
         if kept:
             return "\n\n".join(kept)

@@ -293,6 +293,33 @@ def test_articles_of_the_given_pages(spark):
 # All of it
 
 
+@pytest.mark.parametrize("piece", [
+    "<b>x</i>", "</i>", "<div><b></div>", "<p><b>t</p>", "<i><div><b>", "<a href=\"", "<a '>", "<!-- x", "<![CDATA[", "&amp;&#x2F;", "<li><b>",
+    "<td></i>", "< <", "<a b='\">", "<script>x", "<b \"'>",
+])
+def test_long_pages_take_linear_time(piece):
+    import time
+
+    start = time.time()
+    main_text("<i>" + piece * (1_000_000 // len(piece)))
+    assert time.time() - start < 20
+
+
+def test_what_stays_in_an_article():
+    page = "<article><p>Take <math><mi>x</mi></math> as <label>given</label> and <span class='share'>share</span> it.</p>"
+    assert main_text(page) == "Take x as given and share it."
+    gone = "<article><p>Read <span class='ad'>BUY</span>on.</p><div class='share'>Tweet</div><form><label>Name</label></form></article>"
+    assert main_text(gone) == "Read on."
+
+
+def test_linked_headings_stay_on_unmarked_pages():
+    body = "word " * 40
+    page = f"<body><div><p>{body}</p><h2><a href=x>A linked heading</a></h2><p>{body}</p></div></body>"
+    assert main_text(page).split("\n\n") == [body.strip(), "A linked heading", body.strip()]
+    menu = f"<body><div><p>{body}</p><ul><li><a href=x>One</a><li><a href=y>Two</a></ul><p>{body}</p></div></body>"
+    assert main_text(menu).split("\n\n") == [body.strip(), body.strip()]
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage against what it is for, on its own input."""
     docs = table(spark, "documents")
