@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -211,6 +212,43 @@ PAGES = [
 ]
 
 
+# (url, page, verdict): pages whose links are relative, escaped, or not the first.
+LINKED = [
+    ("http://a1.example.com/en/1", '<link rel=canonical href="http://ok.com/"><link rel=canonical href="http://c.net/">', "block"),
+    ("http://a2.example.com/en/p.html", '<link rel=canonical href="../de/p.html">', "block"),
+    ("http://a3.com/x/q.html", "<link rel=canonical href='http://a4.com/x/p.html'>", "block"),
+    ("http://a4.com/x/p.html", "<link rel=canonical href=q.html>", "block"),
+    ("http://a4.com/x/q.html", "<meta http-equiv=refresh content='0;url=http://z.net/'>", "block"),
+    ("http://a5.com/", '<link rel=canonical href="http:&#x2F;&#x2F;d.net/">', "block"),
+    ("http://a6.com/a?x=1", '<link rel="alternate canonical" href=" http&colon;&sol;&sol;d&#46;net/?a=1&amp;b=2 ">', "block"),
+    ("http://a7.com/a/b/c", '<base href="http://b7.net/x/"><link rel=canonical href="y">', "block"),
+    ("http://a8.com/a/b/c", "<base href='../'><link rel=canonical href='x#y'><meta http-equiv=refresh content='5'>", "block"),
+    ("http://a8.com/a/x", "<META HTTP-EQUIV='Refresh' CONTENT='0; URL=//e.net'><link rel=canonical href='//e.net/..'>", "block"),
+    ("http://b8.com/a/b/c", "<base href='../'><link rel=canonical href='x#y'>", "block"),
+    ("http://b8.com/a/x", "<link rel=canonical href='//e.net/..'>", "block"),
+    ("http://a9.com/a", "<link rel=canonical href='mailto:x@y.net'><link rel=canonical href='#top'><link rel=canonical href=''>", "allow"),
+    ("http://c1.com/a?b", "<link rel=canonical href='?c'>", "block"),
+    ("http://c1.com/a?c", "<link rel=canonical href='./x/.././a?d&e=//n'>", "block"),
+    ("http://c1.com/a?d&e=//n", "<link rel=canonical href='https://q.example.com/./en/../de/'>", "block"),
+    ("http://c2.com/a", "<link rel=canonical href='n?u=http://v.net/'>", "allow"),
+    ("http://c3.com/&eacute", "<link rel=canonical href='http://c4.com/&eacute;&#233;&#xE9'>", "allow"),
+    ("http://c4.com/&eacute;éé", "<link rel=nofollow href='http://x.net/'>", "allow"),
+    ("no address", "<link rel=canonical href='x'><link rel=canonical href='//x.net/'>", "allow"),
+    (None, "<link rel=canonical href='x'>", "allow"),
+]
+
+
+def test_all_links_count(spark):
+    rows = [(i, u, h, "x", v) for i, (u, h, v) in enumerate(LINKED)] + [(100, None, None, "x", "allow"), (101, "http://a5.com/", None, "x", "block")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, base string, links string")
+    got = {r["page_id"]: r for r in judge(df).collect()}
+    assert {i: r["verdict"] for i, r in got.items()} == {r[0]: r[4] for r in rows}
+    con = duckdb.connect()
+    con.register("pages", df.toArrow())
+    rel = con.sql(ORACLES["op9_url_aliases"])
+    assert sorted(rel.fetchall()) == sorted(tuple(r[c] for c in rel.columns) for r in got.values())
+
+
 def test_addresses(spark):
     rows = [(i, u, h, "x") for i, (u, h) in enumerate(PAGES)] + [(None, "http://q.net/de/", "", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
