@@ -10,8 +10,8 @@ is held against all documents:
 2. The passages are the windows of two stretches, weighted by TF-IDF. A randomised SVD finds
    the space in which they vary most: passages are projected on random directions and the
    projections gathered back on the words, A'(A W), task by task, summed by word. An
-   orthonormal basis of the sum spans the latent space. Turning that basis further to the
-   singular vectors would leave all cosines as they are, so it isn't.
+   orthonormal basis of the sum spans their range; a small eigenproblem inside it gives the leading
+   ``DIMENSIONS`` singular vectors, and the ``SPARE`` directions are cut off.
 3. Passages and items are compared in the latent space, a matrix product for each batch. A
    passage is a candidate if its cosine with an item is high enough, and its component along
    the item is at least 0.4 of the item's length (an item may be embedded in other text).
@@ -22,6 +22,8 @@ is held against all documents:
    paraphrases through in which some words were replaced, dropped or added. An item that has
    an answer (after its last question mark, or after "answer:") must have half of it matched.
 
+Items of fewer than ``MIN_WORDS`` words leave no room for paraphrases and are sought word for word.
+
 What is broadcast is bounded by the block: its vocabulary times the dimensions.
 """
 
@@ -80,6 +82,8 @@ class Block:
     items: list[np.ndarray]
     answers: list[int]  # number of words before the answer; all words if there is none
     segments: list[tuple[int, np.ndarray]] = field(default_factory=list)
+    # Items of fewer than MIN_WORDS words, found as they are.
+    short: list[tuple[int, np.ndarray]] = field(default_factory=list)
 
     def number(self, words: np.ndarray) -> np.ndarray:
         """The vocabulary's number of each word, -1 if it has none."""
@@ -90,12 +94,14 @@ class Block:
 
 
 def make_block(rows: list[tuple[int, str | None]]) -> Block:
-    """Items with fewer than ``MIN_WORDS`` words, null ones among them, say too little to be
-    recognised and are left out."""
-    hashed = [(i, words_of(t), t) for i, t in rows]
-    hashed = [(i, w, t) for i, w, t in hashed if w.size >= MIN_WORDS]
-    vocabulary = np.unique(np.concatenate([w for _, w, _ in hashed])) if hashed else np.zeros(0, np.uint64)
+    """Items with fewer than ``MIN_WORDS`` words say too little to be recognised when they are altered: they must
+    occur word for word. Items without words, null ones among them, are in no document."""
+    every = [(i, words_of(t), t) for i, t in rows]
+    every = [(i, w, t) for i, w, t in every if w.size]
+    vocabulary = np.unique(np.concatenate([w for _, w, _ in every])) if every else np.zeros(0, np.uint64)
+    hashed = [(i, w, t) for i, w, t in every if w.size >= MIN_WORDS]
     block = Block([i for i, _, _ in hashed], vocabulary, [], [])
+    block.short = [(i, block.number(w)) for i, w, _ in every if w.size < MIN_WORDS]
     for k, (_, w, text) in enumerate(hashed):
         item = block.number(w)
         block.items.append(item)
@@ -264,6 +270,40 @@ def make_postings(block: Block, weight: np.ndarray, idf: np.ndarray) -> Postings
     return Postings(np.cumsum(count) - count, count, segment[order], weight, needed)
 
 
+def _found_as_is(short: dict[int, list[tuple[int, np.ndarray]]], opens: np.ndarray, ids: np.ndarray) -> set[int]:
+    """The short items that occur word for word, by their first words; ``opens`` tells which words are one."""
+    out = set()
+    for at in np.flatnonzero(opens[ids]).tolist():
+        for item, words in short[int(ids[at])]:
+            if item not in out and np.array_equal(ids[at : at + words.size], words):
+                out.add(item)
+    return out
+
+
+def _short_hits(block: Block):
+    by_first: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for item, words in block.short:
+        by_first.setdefault(int(words[0]), []).append((item, words))
+    # The last place stands for -1, a word that no item has.
+    opens = np.zeros(block.vocabulary.size + 1, bool)
+    opens[list(by_first)] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "h", "ids")]
+            rows = [
+                (doc_id, h, item, 1.0)
+                for doc_id, h, b in zip(*columns)
+                for item in _found_as_is(by_first, opens, np.frombuffer(b, np.int32))
+            ]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "item_id", "score"])
+
+    return run
+
+
 def _hits(block: Block, idf: np.ndarray, basis: np.ndarray):
     vectors = (basis * idf[:, None]).astype(np.float32)
     # Common words count a little, so that an item of common words has a weight too.
@@ -336,7 +376,12 @@ def _hits(block: Block, idf: np.ndarray, basis: np.ndarray):
 
 
 def latent_basis(passages: DataFrame, idf: np.ndarray, dimensions: int = DIMENSIONS, spare: int = SPARE) -> np.ndarray:
-    """An orthonormal basis, words by dimensions, of where the TF-IDF passages vary most."""
+    """An orthonormal basis, words by dimensions, of where the TF-IDF passages A vary most.
+
+    The range of A'A is found from its image of ``dimensions + spare`` random directions W. What A'A does inside
+    that range, a small matrix, follows from the same image: Q'A'AW = (Q'A'AQ)(Q'W) on the range. Its leading
+    eigenvectors are the singular vectors of A, and the spare dimensions are cut off.
+    """
     width = min(idf.size, dimensions + spare)
     directions = np.random.default_rng(SEED).standard_normal((idf.size, width))
     rows = passages.mapInArrow(_gathered(idf, directions), "word int, v array<float>")
@@ -344,7 +389,15 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, dimensions: int = DIMENSI
     image = np.zeros((idf.size, width))
     if sums.num_rows:
         image[sums["word"].to_numpy()] = np.array(sums["v"].to_pylist())
-    return np.linalg.qr(image + 1e-9 * directions)[0]
+    return leading(image + 1e-9 * directions, directions, dimensions)
+
+
+def leading(image: np.ndarray, directions: np.ndarray, dimensions: int) -> np.ndarray:
+    """The leading eigenvectors of a symmetric matrix, from its image of random directions."""
+    found = np.linalg.qr(image)[0]
+    inside = (found.T @ image) @ np.linalg.pinv(found.T @ directions)
+    value, vector = np.linalg.eigh((inside + inside.T) / 2)
+    return found @ vector[:, np.argsort(-value)[:dimensions]]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, items: int) -> Iterator[list[tuple[int, str | None]]]:
@@ -382,10 +435,16 @@ def leaks(
     out = spark.createDataFrame([], "doc_id long, h long, item_id long, score double")
     for some in _blocks(benchmark, item_col, item_text_col, items):
         block = make_block(some)
-        if not block.items:
+        if not block.items and not block.short:
             continue
         numbered = rows.mapInArrow(_numbered(block), "doc_id long, h long, ids binary, seen binary")
         numbered = written(numbered, "leaks-words")
+        passages = numbered.where("ids is not null").select("doc_id", "h", "ids")
+        if block.short:
+            found = passages.mapInArrow(_short_hits(block), "doc_id long, h long, item_id long, score double")
+            out = out.unionAll(written(found, "leaks-short"))
+        if not block.items:
+            continue
         counts = numbered.where("seen is not null").select("seen").mapInArrow(_sum_seen, "word int, n long")
         counts = counts.groupBy("word").agg(F.sum("n").alias("n")).toArrow()
         size = block.vocabulary.size
@@ -393,7 +452,6 @@ def leaks(
         if counts.num_rows:
             seen[counts["word"].to_numpy()] = counts["n"].to_numpy()
         idf = np.log((seen[size] + 1) / (seen[:size] + 1))
-        passages = numbered.where("ids is not null").select("doc_id", "h", "ids")
         basis = latent_basis(passages.select("ids"), idf)
         found = passages.mapInArrow(_hits(block, idf, basis), "doc_id long, h long, item_id long, score double")
         found = found.groupBy("doc_id", "h", "item_id").agg(F.max("score").alias("score"))
@@ -410,7 +468,8 @@ def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all their columns, that hold no item."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
-    found = written(found, "leaks-documents")
-    match = docs["doc_id"].cast("long").eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__h"])
-    return docs.join(found, match, "left_anti")
+    found = written(leaks(docs, benchmark).select("doc_id", "h").distinct(), "leaks-documents")
+    # The document is one struct, so its columns clash with nothing.
+    whole = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("doc"))
+    match = F.col("doc.doc_id").cast("long").eqNullSafe(found["doc_id"]) & (F.xxhash64("doc.text") == found["h"])
+    return whole.join(found, match, "left_anti").select("doc.*")

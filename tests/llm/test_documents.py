@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from palisade.llm import quality_rules, ranking
+from palisade.llm import decontamination, quality_rules, ranking
 from palisade.llm.decontamination import common_weight, leak_report, leaks, make_block, without_leaks
 from palisade.llm.line_blocks import between_surge_and_dive, extract, main_text, page_lines
 from palisade.llm.queries import ORACLES, QUERIES
@@ -175,11 +175,61 @@ def test_leaks(spark):
     assert leak_report(df.limit(0), some).count() == leak_report(df, some.limit(0)).count() == 0
 
 
+def test_short_items_are_found_word_for_word(spark):
+    items = [(1, "capital of France Paris"), (2, "Paris"), (3, "red fox"), (4, "  ,. "), (5, "fox red fox"), (None, "blue whale")]
+    docs = [(1, "The CAPITAL of france, Paris!"), (2, "a red  fox"), (3, "red a fox"), (4, "capital of France"), (5, "red fox red fox red"),
+            (6, None), (7, ""), (None, "one blue whale"), (8, "parisian")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, `doc.x` int")
+    some = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leak_report(df, some).collect()}
+    assert got == {(1, 1), (1, 2), (2, 3), (5, 3), (5, 5), (None, None)}
+    left = without_leaks(df, some)
+    assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == [3, 4, 6, 7, 8]
+    longer = some.unionByName(spark.createDataFrame([(9, "an item that has more than five words in it")], "item_id long, text string"))
+    more = df.unionByName(spark.createDataFrame([(20, "see an item that has more than five words in it", 1)], df.schema))
+    assert {(r["doc_id"], r["item_id"]) for r in leak_report(more, longer).collect()} == got | {(20, 9)}
+
+
+def test_leading_vectors():
+    draw = np.random.default_rng(2)
+    q = np.linalg.qr(draw.normal(size=(60, 60)))[0]
+    values = np.concatenate([[50, 40, 30, 20, 10], np.full(55, 1e-6)])
+    matrix = (q * values) @ q.T
+    directions = draw.normal(size=(60, 8))
+    found = decontamination.leading(matrix @ directions, directions, 5)
+    assert np.allclose(np.abs(np.sum(found * q[:, :5], axis=0)), 1, atol=1e-4)
+    assert np.allclose(found.T @ found, np.eye(5))
+
+
+def test_leaks_like_brute_force(spark):
+    """Every pair that the verification accepts somewhere in a text, without candidates."""
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, "documents").collect()]
+    items = [(r["item_id"], r["text"]) for r in table(spark, "benchmark").collect()][:60]
+    got = {(r["doc_id"], r["item_id"]) for r in leak_report(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    block = make_block(items)
+    numbers = [block.number(decontamination.words_of(t)) for _, t in docs]
+    stretches = [np.unique(n[n >= 0].astype(np.int64) + (np.flatnonzero(n >= 0) // 32) * block.vocabulary.size) % block.vocabulary.size for n in numbers]
+    seen = np.bincount(np.concatenate(stretches), minlength=block.vocabulary.size)
+    weight = np.log((sum(-(-n.size // 32) for n in numbers) + 1) / (seen + 1)) + 0.1
+    want = set()
+    for (doc_id, _), n in zip(docs, numbers):
+        for k, item in enumerate(block.items):
+            size = item.size
+            for at in range(0, max(1, n.size), 32):
+                around = n[max(0, at - size) : at + 64 + size]
+                around = around[np.isin(around, item)]
+                if weight[around].sum() >= 0.6 * weight[item].sum() and decontamination.match_score(block, k, around, weight) >= 0.6:
+                    want.add((doc_id, block.ids[k]))
+                    break
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 3
+
+
 def test_common_subsequence_and_answers():
     weight = np.array([1.0, 2.0, 4.0, 0.5])
     assert common_weight(np.array([0, 1, 2, 3]), np.array([1, 0, 2, 2, 3]), weight).tolist() == [1, 2, 6, 6.5]
     block = make_block([(1, "What is the name of it? The long answer"), (2, "too short"), (3, None)])
-    assert block.ids == [1] and block.answers == [6]
+    assert block.ids == [1] and block.answers == [6] and [i for i, _ in block.short] == [2]
     from palisade.llm.decontamination import match_score
 
     ones = np.ones(block.vocabulary.size)
