@@ -14,14 +14,17 @@ from contract.adapters import (
     raw_events,
 )
 from contract.detection import IOC_SQL, NAMES, PATTERN_SQL, SEVERITY, THRESHOLD_SQL, _names_sql
-from contract.registry import query, table
+from contract.registry import ORACLES, query, table
 from palisade.functions.indicators import url_host
 from palisade.operators import changelog as log
-from palisade.operators import dedup, lookups, reports
+from palisade.operators import dedup, lookups, reports, rollups
 from palisade.plans.detect import detect
 from palisade.rules.matching import match_events
 from palisade.rules.model import rules_frame
 from palisade.plans.ingest import ingestion_report
+from palisade.schemas import ALERT_SCHEMA
+from palisade.session import scratch_path
+from palisade.sources.sinks import write_alerts
 
 NAME = _names_sql("signature_id", NAMES)
 SEV = _names_sql("signature_id", SEVERITY)
@@ -39,8 +42,18 @@ alerts AS (SELECT md5(p.event_id || ':' || {NAME}) AS alert_id, p.event_id, sign
     ON p.event_id = e.event_id)"""
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def alert_table(spark, sf):
-    alerts = detect(all_events(spark, sf), ALL_RULES, F.col("timestamp"))
+    """The stored alerts of all rules. Like events they are stored once per session, as
+    reports run on stored alerts."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = scratch_path(spark, "stored-alerts")
+        write_alerts(detect(all_events(spark, sf), ALL_RULES, F.col("timestamp")), path)
+        _STORED[key] = path
+    alerts = spark.read.schema(ALERT_SCHEMA).parquet(_STORED[key])
     return alerts.withColumn("status", F.expr(STATUS))
 
 
@@ -229,6 +242,38 @@ def dashboard_long(spark, sf):
     )
 
 
+@query("dashboard_incremental", ORACLES["dashboard_long"])
+def dashboard_incremental(spark, sf):
+    """The same from partial aggregates, stored by each of three runs of its own rows alone, and from
+    indicator changes that were compacted in between. The second run is repeated."""
+    path, changes = scratch_path(spark, "rollups"), scratch_path(spark, "ioc-changes")
+    events, alerts, seen = all_events(spark, sf), alert_table(spark, sf), sightings(spark, sf)
+    part = lambda df, number, time: df.where(F.pmod(F.dayofmonth(time), F.lit(3)) == number)
+    for number in (0, 1, 1, 2):
+        partial = [rollups.event_partials(part(events, number, "timestamp")), rollups.alert_partials(part(alerts, number, "event_time"))]
+        rollups.store(path, number, *partial)
+        rows = part(seen, number, "at")
+        log.append_changes(rows, changes, number)
+        log.compact(spark, changes, rows.schema, log.IOC_KEYS, log.ioc_witnesses())
+    iocs = log.current_iocs(log.read_changes(spark, changes, seen.schema))
+    return rollups.dashboard(rollups.read(spark, path), used_rules(spark, sf), iocs)
+
+
+@query(
+    "event_rollup_report",
+    f"""WITH {NET_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n_events, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent,
+    epoch_us(max(ts)) AS latest_us, count(DISTINCT src_ip) AS n_sources FROM net GROUP BY 1""",
+)
+def event_rollup_report(spark, sf):
+    """Daily totals of network events folded from the partial aggregates of three runs, each over rows of all days; the
+    sketches of sources are exact at this size."""
+    path = scratch_path(spark, "daily")
+    for number in range(3):
+        rollups.store(path, number, rollups.event_partials(net_events(spark, sf).where(F.col("event_id") % 3 == number)))
+    daily = rollups.daily_totals(rollups.read(spark, path))
+    return daily.select(F.col("day").cast("string"), "n_events", "bytes_sent", F.unix_micros("latest").alias("latest_us"), F.col("n_sources"))
+
+
 @query(
     "recent_events_page",
     f"""WITH {NET_SQL} SELECT event_id, epoch_us(ts) AS ts_us, src_ip FROM net
@@ -285,6 +330,22 @@ def ioc_upsert_latest(spark, sf):
     )
 
 
+@query("changelog_compacted", ORACLES["ioc_upsert_latest"])
+def changelog_compacted(spark, sf):
+    """The same from a log that was compacted three times, and a rest that was not."""
+    path = scratch_path(spark, "ioc-log")
+    rows = sightings(spark, sf)
+    for number in range(4):
+        log.append_changes(rows.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == number), path, number)
+        if number < 3:
+            log.compact(spark, path, rows.schema, log.IOC_KEYS, log.ioc_witnesses())
+    return log.current_iocs(log.read_changes(spark, path, rows.schema)).select(
+        "ioc_type", "value", "threat_type", "severity", "source",
+        F.round("confidence", 6).alias("confidence"), "is_active", us("first_seen"), us("last_seen"),
+        "description", F.array_join("tags", ";").alias("tags"),
+    )
+
+
 @query(
     "ioc_feed_counts",
     f"""WITH {IOCS_SQL} SELECT coalesce(source, 'none') AS source,

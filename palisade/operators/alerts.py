@@ -42,6 +42,8 @@ def signature_alerts(matches: DataFrame, rules: Sequence[Rule], created_at: Colu
         "attack_tactics",
         "attack_techniques",
     )
+    if "timestamp" in matches.columns:
+        matches = matches.withColumn("event_time", F.col("timestamp"))
     # One rule may make most of the matches. The planner sees how large the rules are; if
     # it shuffles, it splits the matches of that rule.
     joined = matches.join(table, "signature_id").select(

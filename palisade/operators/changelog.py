@@ -1,11 +1,19 @@
-"""Current state of tables kept as append-only change rows."""
+"""Current state of tables kept as append-only change rows, and the compaction of such logs.
+
+A fold reads each key's newest or oldest row that meets some condition. Those rows are the fold's witnesses:
+a log of the witnesses alone folds to the same, also together with any rows that come later. So a
+snapshot is a shorter log in the same layout, a few rows a key, and needs no fold of its own.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest_filled(column: str, order: Column) -> Column:
@@ -152,3 +160,106 @@ def active_models(models: DataFrame) -> DataFrame:
         .agg(F.max_by(F.struct(*rest), "seq").alias("m"))
         .select("model_type", "m.*")
     )
+
+
+@dataclass(frozen=True)
+class Witness:
+    """The row with the largest (or least) ``order`` among those that meet the condition."""
+
+    order: str
+    condition: Column
+    newest: bool = True
+
+
+RULE_KEYS, STATE_KEYS, IOC_KEYS = ("signature_id",), ("alert_id",), ("ioc_type", "value")
+
+
+def rule_witnesses(attributes: Sequence[str]) -> list[Witness]:
+    """What :func:`current_rules` reads."""
+    op = F.col("op")
+    switch = F.col("enabled").isNotNull() | op.isin("enable", "disable")
+    return [
+        *[Witness("seq", F.col(a).isNotNull()) for a in attributes],
+        Witness("seq", switch),
+        Witness("seq", op == "add"),
+        Witness("seq", op == "delete"),
+    ]
+
+
+def state_witnesses() -> list[Witness]:
+    """What :func:`alert_states` reads."""
+    status = F.col("status")
+    return [
+        Witness("seq", F.lit(True)),
+        Witness("seq", status == "investigating"),
+        Witness("seq", status.isin("resolved", "false_positive")),
+        Witness("seq", F.col("notes") != ""),
+    ]
+
+
+def ioc_witnesses() -> list[Witness]:
+    """What :func:`current_iocs` reads."""
+    seen = F.col("op") == "seen"
+    return [
+        Witness("seq", seen, False),
+        Witness("seq", seen & F.col("confidence").isNotNull()),
+        Witness("seq", F.lit(True)),
+        Witness("at", seen, False),
+        Witness("at", seen),
+    ]
+
+
+def witnesses(rows: DataFrame, keys: Sequence[str], wanted: Sequence[Witness]) -> DataFrame:
+    """The rows that a fold by ``keys`` depends on, in one aggregation."""
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    picked = [(F.max_by if w.newest else F.min_by)(whole, F.when(w.condition, F.col(w.order))) for w in wanted]
+    kept = F.array_distinct(F.array_compact(F.array(*picked)))
+    return rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(kept.alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+
+
+def append_changes(rows: DataFrame, path: str, batch: int) -> None:
+    """Add a batch of change rows to the log at ``path``; a repeated batch replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{path}/log/batch={batch}")
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType, part: str) -> DataFrame | None:
+    """A table in folders by number, None if there is none yet."""
+    try:
+        return spark.read.schema(T.StructType([*schema.fields, T.StructField(part, T.IntegerType())])).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest snapshot and the batches after it; other folders are not opened."""
+    return _since_snapshot(spark, path, schema)[0]
+
+
+def _since_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, int]:
+    """The rows to fold, and the last batch among them."""
+    snapshots = _stored(spark, f"{path}/snapshots", schema, "upto")
+    upto = -1 if snapshots is None else _largest(snapshots, "upto")
+    log = _stored(spark, f"{path}/log", schema, "batch")
+    if log is None:
+        return spark.createDataFrame([], schema), upto
+    tail = log.where(F.col("batch") > upto).drop("batch")
+    last = max(upto, _largest(log, "batch"))
+    if snapshots is None:
+        return tail, last
+    return snapshots.where(F.col("upto") == upto).drop("upto").unionByName(tail), last
+
+
+def _largest(stored: DataFrame, part: str) -> int:
+    """The largest folder number, from the names of the files alone."""
+    names = [f.rsplit(f"/{part}=", 1)[1].split("/")[0] for f in stored.inputFiles() if f"/{part}=" in f]
+    return max(map(int, names), default=-1)
+
+
+def compact(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], wanted: Sequence[Witness]) -> int:
+    """Write a snapshot of everything up to the last batch, reading the one before and what came
+    after; returns that batch's number. Rows with a null key are kept apart like any other key."""
+    rows, last = _since_snapshot(spark, path, schema)
+    witnesses(rows, keys, wanted).write.mode("overwrite").parquet(f"{path}/snapshots/upto={last}")
+    return last

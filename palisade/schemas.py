@@ -88,6 +88,7 @@ ALERT_SCHEMA = _layout(
     false_positive=_BOOL,
     created_at=_TIME,
     updated_at=_TIME,
+    event_time=_TIME,
 )
 
 CONDITION_SCHEMA = _layout(

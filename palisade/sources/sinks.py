@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 
 from palisade.operators.alerts import new_alerts_only
 from palisade.schemas import ALERT_SCHEMA, EVENT_SCHEMA
+from palisade.session import discard, written
+
+ALERT_DAYS = T.StructType([*ALERT_SCHEMA.fields, T.StructField("alert_date", T.DateType())])
 
 
 def write_events(events: DataFrame, path: str) -> None:
@@ -66,13 +69,17 @@ def next_event_id(spark: SparkSession, path: str) -> int:
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:
-    """Append the alerts that are not stored yet, by day of creation."""
-    stored = stored_table(alerts.sparkSession, path, ALERT_SCHEMA)
-    fresh = alerts if stored is None else new_alerts_only(alerts, stored)
-    (
-        fresh.withColumn("alert_date", F.to_date("created_at"))
-        .hint("rebalance", F.col("alert_date"))
-        .write.mode("append")
-        .partitionBy("alert_date")
-        .parquet(path)
-    )
+    """Append the alerts that are not stored yet, by day of their event (of creation, if that is unknown).
+
+    An alert is always stored under the same day, so only the days of this run are looked up.
+    """
+    day = F.to_date(F.coalesce("event_time", "created_at"))
+    run = written(alerts.withColumn("alert_date", day), "new-alerts")
+    stored = stored_table(alerts.sparkSession, path, ALERT_DAYS)
+    fresh = run
+    if stored is not None:
+        # One row a day.
+        days = [r["alert_date"] for r in run.select("alert_date").distinct().collect()]
+        fresh = new_alerts_only(run, stored.where(F.col("alert_date").isin(days)))
+    fresh.hint("rebalance", F.col("alert_date")).write.mode("append").partitionBy("alert_date").parquet(path)
+    discard(run)
