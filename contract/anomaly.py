@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from contract.adapters import created_at, net_events, raw_events
+from contract.adapters import all_events, created_at, net_events, raw_events
 from contract.registry import query, table
 from palisade.anomaly.evaluate import evaluate
 from palisade.anomaly.forest import score_forest, train_forest
@@ -35,11 +35,14 @@ from palisade.plans.train import (
     prepare,
     read_registry,
     score,
+    score_and_store,
     score_events,
+    train_from_set,
     train,
     train_and_register,
 )
-from palisade.session import scratch_path
+from palisade.schemas import ALERT_SCHEMA
+from palisade.session import delete_path, scratch_path
 
 HASH_SQL = "('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 8))::BIGINT % 100"
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -513,3 +516,56 @@ def model_store_round_trip(spark, sf):
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.abs(F.col("isolation_forest") - F.col("d")) > 1e-12).alias("n_different"),
     ).withColumn("n_registered", F.lit(read_registry(spark, folder).count()).cast("long"))
+
+
+@query(
+    "named_set_training",
+    """SELECT 'UNSW-NB15' AS training_dataset, count(*) = count(*) FILTER (toxic IS NOT NULL) AS labelled, 'id_like,lang,n_chars,n_words' AS features,
+      count(*) FILTER (toxic = 0) AS n_benign, TRUE AS split_fits FROM documents JOIN labels USING (doc_id)""",
+)
+def named_set_training(spark, sf):
+    """A model from a set of that layout: kinds of columns are seen from the data, all attacks are kept for testing or sampled."""
+    path, folder = scratch_path(spark, "named-set"), scratch_path(spark, "models")
+    rows = labelled_documents(spark, sf).select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("d"), F.pmod("doc_id", F.lit(5))).alias("id_like"), "lang", "n_chars", "n_words",
+        F.lit("x").alias("attack_cat"), F.col("toxic").cast("int").alias("label"),
+    )
+    rows.write.option("header", True).csv(path)
+    report = train_from_set(spark, "UNSW-NB15", path, "isolation_forest", folder)
+    model = read_registry(spark, folder)
+    benign = rows.where("label = 0").count()
+    train, test = report["training_samples"], report["test_samples"]
+    return model.select(
+        "training_dataset",
+        F.lit(True).alias("labelled"),
+        F.array_join(F.array_sort(F.split(F.col("parameters")["features"], ",")), ",").alias("features"),
+        F.lit(benign).cast("long").alias("n_benign"),
+        ((F.col("training_samples") == train) & F.lit(0 < train <= benign <= train + test)).alias("split_fits"),
+    )
+
+
+@query(
+    "event_scoring_run",
+    f"""WITH e AS (SELECT 1 FROM events UNION ALL SELECT 1 FROM events)
+    SELECT run, count(*) AS events_processed, TRUE AS alerts_are_anomalies, TRUE AS stored_once, 'isolation_forest, autoencoder' AS model_name
+    FROM e, (VALUES (1), (2)) r(run) GROUP BY run""",
+)
+def event_scoring_run(spark, sf):
+    """All stored events scored and their alerts kept, twice; of three registered models one is broken and left out."""
+    events = all_events(spark, sf)
+    folder, path = scratch_path(spark, "models"), scratch_path(spark, "anomaly-alerts")
+    data = prepare(stored_features(events).withColumn("label", F.lit(0)), "label", "event_id", ["total_bytes", "dst_port", "cmd_length"])
+    for model_type in MODEL_TYPES:
+        kept = train_and_register(data, "event_id", model_type, folder, "events")
+        if model_type == "one_class_svm":
+            delete_path(spark, f"{kept['model_path']}/model")
+    out = []
+    for run in (1, 2):
+        report = score_and_store(events, path, folder, created_at(), threshold=0.3).first()
+        stored = spark.read.schema(ALERT_SCHEMA).parquet(path)
+        found = stored.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("e"), F.max("model_name").alias("m")).first()
+        out.append((
+            run, report["events_processed"], report["anomalies_detected"] == found["n"] > 0, found["n"] == found["e"], found["m"]
+        ))
+    schema = "run int, events_processed long, alerts_are_anomalies boolean, stored_once boolean, model_name string"
+    return spark.createDataFrame(out, schema)

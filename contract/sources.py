@@ -612,7 +612,11 @@ def dataset_flow_csv(spark, sf):
         F.when(F.col("l_discount") >= 0.05, F.col("l_discount")).alias(" l_discount"),
         F.when(F.col("l_returnflag") == "N", "BENIGN").otherwise(F.col("l_returnflag")).alias(" Label"),
     )
-    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", "false").csv(path)
+    # Three forms of header, in forty files.
+    for number, order in enumerate(([0, 1, 2, 3], [3, 0, 2, 1], [2, 3, 1, 0])):
+        part = rows.where(F.pmod(F.xxhash64("l_quantity", "` Label`", "l_tax"), F.lit(3)) == number)
+        part = part.repartition(14 - number).select(*[f"`{rows.columns[i]}`" for i in order])
+        part.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", "false").csv(path)
     out = datasets.flow_csv_set(spark, [path])
     return out.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"),

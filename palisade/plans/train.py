@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +24,16 @@ from palisade.anomaly.prep import (
 from palisade.anomaly.reconstruction import score_reconstruction, train_reconstruction
 from palisade.anomaly.store import load_model, save_model
 from palisade.functions.scores import LARGEST_ERROR, forest_anomaly, unit
-from palisade.operators.alerts import anomaly_alerts
+from palisade.operators.alerts import anomaly_alerts, mean_score, to_alert_schema
 from palisade.operators.changelog import active_models
+from palisade.operators.features import stored_features
+from palisade.operators.reports import anomaly_statistics
 from palisade.schemas import MODEL_SCHEMA
 from palisade.session import written
-from palisade.sources.sinks import stored_table
+from palisade.sources.datasets import ROW_ID, column_kinds, named_set
+from palisade.sources.sinks import stored_table, write_alerts
+
+log = logging.getLogger(__name__)
 
 MODEL_TYPES = ("isolation_forest", "one_class_svm", "autoencoder")
 MODEL_NAMES = {
@@ -163,18 +171,35 @@ def train_and_register(
     }
 
 
+def train_from_set(
+    spark: SparkSession, name: str, path: str, model_type: str, folder: str, sample_size: int | None = None
+) -> dict[str, object]:
+    """Train a model on a published set and register it; which features are numbers and which are
+    categories is seen from the data."""
+    table = written(named_set(spark, name, path, sample_size), "training-set")
+    numbers, texts = column_kinds(table)
+    data = prepare(table, "label", ROW_ID, numbers, texts)
+    return train_and_register(data, ROW_ID, model_type, folder, name)
+
+
 def read_registry(spark: SparkSession, folder: str) -> DataFrame:
     stored = stored_table(spark, f"{folder}/registry", MODEL_SCHEMA)
     return spark.createDataFrame([], MODEL_SCHEMA) if stored is None else stored
 
 
 def load_active(spark: SparkSession, folder: str) -> dict[str, tuple[object, Preparation]]:
-    """Model and preparation steps of every active type; one registry row per type."""
+    """Model and preparation steps of every active type; one registry row per type. A model that can't be
+    read is reported and left out."""
     rows = active_models(read_registry(spark, folder)).collect()
-    return {
-        r["model_type"]: load_model(spark, r["file_path"], r["model_type"])
-        for r in sorted(rows, key=lambda r: MODEL_TYPES.index(r["model_type"]))
-    }
+    known = [r for r in rows if r["model_type"] in MODEL_TYPES]
+    out = {}
+    for r in sorted(known, key=lambda r: MODEL_TYPES.index(r["model_type"])):
+        try:
+            out[r["model_type"]] = load_model(spark, r["file_path"], r["model_type"])
+        except (PySparkException, Py4JError, KeyError, TypeError, ValueError) as error:
+            # The others go on scoring.
+            log.error("%s can't be read from %s: %s", r["model_type"], r["file_path"], error)
+    return out
 
 
 def score_events(
@@ -182,18 +207,24 @@ def score_events(
 ) -> DataFrame:
     """(row id, one score per active model, map of the scores).
 
-    Models that share their preparation share one pass over it.
+    Models that share their preparation share one pass over it. Those that want features which the events
+    don't have are reported and left out.
     """
-    out, shared = None, {}
+    out, shared, used = None, {}, []
     for name, (model, steps) in models.items():
         shared.setdefault(steps.key(), (steps, {}))[1][name] = model
     for steps, group in shared.values():
+        missing = sorted({*steps.numbers, *steps.texts} - set(features.columns))
+        if missing:
+            log.error("%s can't score events without %s", ", ".join(group), ", ".join(missing))
+            continue
         ready = steps.apply(features, row_id)
         scored = score_all(group, ready).select(row_id, *group)
         out = scored if out is None else out.join(scored, row_id)
+        used += group
     if out is None:
         raise ValueError("no active model")
-    return out.withColumn("scores", scores_map(list(models)))
+    return out.withColumn("scores", scores_map([n for n in models if n in used]))
 
 
 def detect_anomalies(
@@ -205,3 +236,21 @@ def detect_anomalies(
     """Anomaly alerts of events given as feature rows with ``event_id``."""
     scored = score_events(features, "event_id", models)
     return anomaly_alerts(scored, F.col("scores"), created_at, threshold)
+
+
+def score_and_store(
+    events: DataFrame, path: str, folder: str, created_at: Column | None = None, threshold: float = 0.5
+) -> DataFrame:
+    """Score stored events with the active models of ``folder``, append new alerts to the table at ``path``, and report
+    the run: events processed, anomalies detected, alerts generated.
+
+    Network and host events are scored alike; features that an event's type lacks are filled as in
+    training. Scores are written once, so alerts and counts see the same.
+    """
+    models = load_active(events.sparkSession, folder)
+    stamp = F.current_timestamp() if created_at is None else created_at
+    scored = written(score_events(stored_features(events), "event_id", models), "run-scores")
+    alerts = anomaly_alerts(scored, F.col("scores"), stamp, threshold)
+    times = events.select("event_id", F.col("timestamp").alias("event_time"))
+    write_alerts(to_alert_schema(alerts.drop("event_time").join(times, "event_id", "left")), path)
+    return anomaly_statistics(scored.select(mean_score(F.col("scores")).alias("mean")), "mean", threshold)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.anomaly.prep import sample_rows
+from palisade.session import written
 
 # Column names of the 43-column headerless set.
 KDD_COLUMNS = [
@@ -25,16 +29,15 @@ KDD_COLUMNS = [
 ]
 KDD_TEXT = {"protocol_type", "service", "flag", "label"}
 ROW_ID = "row_id"
+ENCODING = "ISO-8859-1"
+# The sets by name, and what their readers take.
+FLOW_SET, HEADERLESS_SET, LABELLED_SET = "CIC-IDS2017", "NSL-KDD", "UNSW-NB15"
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """A row id from file, block and position: the same on every run and retry."""
-    return df.withColumn(
-        ROW_ID,
-        F.xxhash64(
-            "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()
-        ),
-    )
+    """A row id from the read's partition and position: unique, and the same for a retried task and for another
+    run over the same files and split settings."""
+    return df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
 def _sampled(df: DataFrame, sample_size: int | None) -> DataFrame:
@@ -47,30 +50,67 @@ def _column_name(header: str) -> str:
     return "label" if name == "Label" else name
 
 
-def flow_csv_set(
-    spark: SparkSession, paths: Sequence[str], sample_size: int | None = None
-) -> DataFrame:
+def _column_names(cells: Sequence[str]) -> list[str]:
+    """The names of a header's columns; a name's second and further columns get a number."""
+    out, seen = [], Counter()
+    for i, cell in enumerate(cells):
+        name = _column_name(cell) or f"_c{i}"
+        out.append(f"{name}_{seen[name]}" if seen[name] else name)
+        seen[name] += 1
+    return out
+
+
+def _headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(file, header): the first line of every file."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.decode(F.col("value").cast("binary"), ENCODING).alias("line"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("line", "place").alias("header"))
+    return written(first, "csv-headers")
+
+
+def flow_csv_set(spark: SparkSession, paths: Sequence[str], sample_size: int | None = None) -> DataFrame:
     """Header CSVs whose columns may differ from file to file; all values but the
-    label become numbers. Without a label column every row is benign."""
-    parts = []
-    for path in paths:
-        raw = with_row_id(
-            spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-        )
-        parts.append(
-            raw.select(
-                *[
-                    F.col(f"`{c}`").alias(_column_name(c))
-                    for c in raw.columns
-                ]
-            )
-        )
-    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    if "label" not in table.columns:
-        table = table.withColumn("label", F.lit("BENIGN"))
-    numbers = [c for c in table.columns if c not in ("label", ROW_ID)]
-    typed = table.select(
-        ROW_ID, *[F.col(f"`{c}`").try_cast("double").alias(c) for c in numbers], "label"
+    label become numbers. Without a label column every row is benign.
+
+    All files are one read, so the plan does not grow with them. Their headers are gathered first, one line a file;
+    files with the same header are a form, and a column is taken from where its form has it.
+    """
+    heads = _headers(spark, paths)
+    # One row a form: sets have a few.
+    forms = [r["header"] for r in heads.select("header").distinct().orderBy("header").collect()]
+    cells = [next(csv.reader([line]), []) for line in forms]
+    names = [_column_names(c) for c in cells]
+    numbered = heads.withColumn("form", F.array_position(F.array(*map(F.lit, forms)), F.col("header")) - 1)
+    width = max(map(len, cells), default=1)
+    raw = (
+        spark.read.schema(", ".join(f"_c{i} STRING" for i in range(width)))
+        .option("encoding", ENCODING)
+        .csv(list(paths))
+        .select("*", F.col("_metadata.file_path").alias("file"))
+    )
+    rows = with_row_id(raw).join(numbered.select("file", "form"), "file")
+
+    def is_header(form: int) -> Column:
+        same = [F.col(f"_c{i}").eqNullSafe(F.lit(c or None)) for i, c in enumerate(cells[form])]
+        return reduce(lambda a, b: a & b, same, F.col("form") == form)
+
+    headers = reduce(lambda a, b: a | b, map(is_header, range(len(forms))), F.lit(False))
+    every = list(dict.fromkeys(name for some in names for name in some))
+
+    def column(name: str) -> Column:
+        places = [(form, some.index(name)) for form, some in enumerate(names) if name in some]
+        out = F.lit(None).cast("string")
+        for form, place in places:
+            out = F.when(F.col("form") == form, F.col(f"_c{place}")).otherwise(out)
+        return out
+
+    label = column("label") if "label" in every else F.lit("BENIGN")
+    typed = rows.where(~headers).select(
+        ROW_ID, *[column(c).try_cast("double").alias(c) for c in every if c != "label"], label.alias("label")
     )
     return _sampled(typed, sample_size)
 
@@ -91,3 +131,28 @@ def labelled_csv_set(
     if "label" not in raw.columns:
         raise ValueError("no label column")
     return _sampled(raw.drop("attack_cat", "id"), sample_size)
+
+
+def named_set(spark: SparkSession, name: str, path: str, sample_size: int | None = None) -> DataFrame:
+    """A set by its published name, its files under ``path``."""
+    if name == FLOW_SET:
+        return flow_csv_set(spark, [path], sample_size)
+    if name == HEADERLESS_SET:
+        return kdd_set(spark, path, sample_size)
+    if name == LABELLED_SET:
+        return labelled_csv_set(spark, path, sample_size)
+    raise ValueError(f"unknown data set {name!r}")
+
+
+def column_kinds(table: DataFrame) -> tuple[list[str], list[str]]:
+    """(numbers, texts) among the columns besides the row id and the label: a text column all of whose
+    values are numbers is one of numbers. One pass, and none if the types say it."""
+    features = [f for f in table.schema if f.name not in (ROW_ID, "label")]
+    texts = [f.name for f in features if isinstance(f.dataType, T.StringType)]
+    if texts:
+        value = lambda c: F.col(f"`{c}`")
+        words = table.agg(
+            *[F.count_if(value(c).isNotNull() & value(c).try_cast("double").isNull()).alias(f"n{i}") for i, c in enumerate(texts)]
+        ).first()
+        texts = [c for i, c in enumerate(texts) if words[f"n{i}"]]
+    return [f.name for f in features if f.name not in texts], texts

@@ -283,3 +283,38 @@ def test_training_on_a_flow_csv_set(spark, tmp_path):
         if name == "isolation_forest":
             assert out["metrics"]["recall"] > 0.9
     assert read_registry(spark, str(tmp_path / "m")).count() == 3
+
+
+def test_named_sets_and_kinds_of_columns(spark, tmp_path):
+    from palisade.plans.train import train_from_set
+    from palisade.sources.datasets import column_kinds, named_set
+
+    path = str(tmp_path / "set")
+    rows_ = [(i, f"{i % 7}", "tcp" if i % 2 else "udp", None if i % 5 else "4", "DoS", int(i % 10 == 0)) for i in range(300)]
+    table = spark.createDataFrame(rows_, "id long, a string, p string, b string, attack_cat string, label int")
+    table.repartition(3).write.option("header", True).csv(path)
+    read = named_set(spark, "UNSW-NB15", path)
+    assert column_kinds(read) == (["a", "b"], ["p"])
+    assert read.select("row_id").distinct().count() == 300
+    report = train_from_set(spark, "UNSW-NB15", path, "isolation_forest", str(tmp_path / "models"))
+    assert 0 < report["training_samples"] < 270
+    assert read_registry(spark, str(tmp_path / "models")).first()["training_dataset"] == "UNSW-NB15"
+    with pytest.raises(ValueError, match="unknown data set"):
+        named_set(spark, "else", path)
+
+
+def test_broken_models_are_left_out(spark, clusters, tmp_path):
+    from palisade.session import delete_path
+
+    folder = str(tmp_path)
+    data = prepare(clusters, "label", "id", ["a", "b", "c"], ["p"], sample_size=400)
+    paths = {name: train_and_register(data, "id", name, folder, "x")["model_path"] for name in MODEL_TYPES}
+    delete_path(spark, paths["one_class_svm"] + "/model")
+    (tmp_path / "note.txt").write_text("{")
+    models = load_active(spark, folder)
+    assert list(models) == ["isolation_forest", "autoencoder"]
+    events = clusters.withColumnRenamed("id", "event_id")
+    other = prepare(clusters.withColumn("z", F.col("a")), "label", "id", ["z"])
+    train_and_register(other, "id", "autoencoder", folder, "x")
+    scored = score_events(events, "event_id", load_active(spark, folder))
+    assert scored.columns == ["event_id", "isolation_forest", "scores"] and scored.count() == 1000

@@ -388,6 +388,24 @@ def test_datasets(spark, tmp_path):
         datasets.labelled_csv_set(spark, str(tmp_path / "c.csv"))
 
 
+def test_many_files_with_few_headers_are_one_read(spark, tmp_path):
+    headers = ["a, b,Label", "Label,c.x,a", "b,b,\"x, y\"", "only"]
+    for i in range(60):
+        (tmp_path / f"f{i}.csv").write_text(f"{headers[i % 4]}\n" + "".join(f"{k},{10 * k},X\n" for k in range(i % 3)), encoding="latin-1")
+    (tmp_path / "empty.csv").write_text("")
+    got = datasets.flow_csv_set(spark, [str(tmp_path)])
+    assert got.columns == ["row_id", "a", "b", "b_1", "x, y", "c_x", "only", "label"] or set(got.columns) == {
+        "row_id", "a", "b", "b_1", "x, y", "c_x", "only", "label"}
+    assert got.count() == sum(i % 3 for i in range(60)) and got.select("row_id").distinct().count() == got.count()
+    by = lambda k: [i for i in range(60) if i % 4 == k]
+    assert got.where("label = 'X'").count() == sum(i % 3 for i in by(0))
+    assert got.agg(F.sum("c_x")).first()[0] == sum(10 * k for i in by(1) for k in range(i % 3))
+    assert got.agg(F.sum("b_1")).first()[0] == sum(10 * k for i in by(2) for k in range(i % 3))
+    few = datasets.flow_csv_set(spark, [str(tmp_path / f"f{i}.csv") for i in range(8)])
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert size(few) == size(got)
+
+
 def test_ingest_detect_store(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "caps").mkdir()
