@@ -38,6 +38,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,12 +117,22 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(values: np.ndarray, unit: Unit = bytes_of()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, least distance, largest distance) of runs of windows that share an anchor."""
+def anchors(
+    values: np.ndarray, sizes: np.ndarray, unit: Unit = bytes_of()
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, anchor, least distance, largest distance) of runs of windows that share an anchor.
+
+    ``values`` are the units of documents of the given sizes, one after the other; anchors are places in their document.
+    """
     length, gram = unit.length, unit.gram
-    windows = values.size - length + 1
-    for begin in range(0, windows, CHUNK):
-        end = min(begin + CHUNK, windows)
+    ends = np.cumsum(sizes)
+    for begin in range(0, values.size - length + 1, CHUNK):
+        end = min(begin + CHUNK, values.size - length + 1)
+        starts = np.arange(begin, end)
+        doc = np.searchsorted(ends, starts, side="right")
+        starts = starts[ends[doc] - starts >= length]  # those that cross no border
+        if not starts.size:
+            continue
         value = values[begin : end + length - 1]
         span = 1
         while span < gram:
@@ -131,11 +142,13 @@ def anchors(values: np.ndarray, unit: Unit = bytes_of()) -> Iterator[tuple[np.nd
         value *= np.uint64(0xBF58476D1CE4E5B9)
         value &= np.uint64(0xFFFFFFFF00000000)
         value |= np.arange(value.size, dtype=np.uint64)
-        at = (_sliding_least(value, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        at = (_sliding_least(value, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64) + begin
+        at = at[starts - begin]
+        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
         last = np.append(first[1:], at.size) - 1
         a = at[first]
-        yield a + begin, a - last, a - first
+        doc = np.searchsorted(ends, a, side="right")
+        yield doc, a - (ends[doc] - sizes[doc]), a - starts[last], a - starts[first]
 
 
 def split_ranges(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int) -> tuple[np.ndarray, ...]:
@@ -199,15 +212,23 @@ class _Out:
 def _first_items(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Out()
+        block = unit.blocks[0]
         for batch in batches:
-            for doc_id, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text"))):
-                data, values, edges = unit.cut(text)
-                for found in anchors(values, unit):
-                    _, a, lo, hi = split_ranges(*found, unit.blocks[0])
-                    a, lo, hi = a.tolist(), lo.tolist(), hi.tolist()
-                    n = len(a)
-                    out.add([doc_id] * n, [h] * n, a, lo, lo, hi, *ranks(data, edges, 0, a, lo, hi, unit.blocks[0], unit))
-                    yield from out.full()
+            doc_ids, hs = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
+            cut = [unit.cut(text) for text in batch.column("text").to_pylist()]
+            sizes = np.array([values.size for _, values, _ in cut])
+            values = np.concatenate([values for _, values, _ in cut])
+            for doc, *found in anchors(values, sizes, unit):
+                source, a, lo, hi = split_ranges(*found, block)
+                doc = doc[source]
+                edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])).tolist()
+                a, lo, hi = a.tolist(), lo.tolist(), hi.tolist()
+                for begin, end in zip(edges, edges[1:]):
+                    k, n = int(doc[begin]), end - begin
+                    own = a[begin:end], lo[begin:end], hi[begin:end]
+                    ranked = ranks(cut[k][0], cut[k][2], 0, *own, block, unit)
+                    out.add([doc_ids[k]] * n, [hs[k]] * n, own[0], own[1], own[1], own[2], *ranked)
+                yield from out.full()
         yield from out.full(1)
 
     return run
@@ -340,14 +361,23 @@ def repeated_spans(rows: DataFrame, unit: Unit = bytes_of()) -> DataFrame:
     return spans
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """The spans as maximal runs."""
-    out: list[tuple[int, int]] = []
-    for begin, end in sorted((s["start"], s["end"]) for s in spans or ()):
-        if out and begin <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((begin, end))
+def merged_lists(lists: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """For each list of (start, end) its maximal runs; none for a null."""
+    values, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(lists))]
+    if not len(values):
+        return out
+    owner = np.repeat(np.arange(sizes.size), sizes)
+    start, end = (values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+    # Lists are laid apart, so that one running maximum serves all.
+    apart = owner * (int(end.max()) + 2)
+    order = np.argsort(start + apart, kind="stable")
+    owner, start, end = owner[order], (start + apart)[order], np.maximum.accumulate((end + apart)[order])
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    last = np.append(first[1:], start.size) - 1
+    shift = owner[first] * (int(values.field("end").to_numpy(zero_copy_only=False).max()) + 2)
+    for k, a, b in zip(owner[first].tolist(), (start[first] - shift).tolist(), (end[last] - shift).tolist()):
+        out[k].append((a, b))
     return out
 
 
@@ -404,8 +434,9 @@ def repeat_report(
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        for text, list_of, others in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "passages"))):
-            data, runs, shared = (text or "").encode(), merged(list_of), merged(others)
+        spans, passages = merged_lists(batch.column("spans")), merged_lists(batch.column("passages"))
+        for text, runs, shared in zip(batch.column("text").to_pylist(), spans, passages):
+            data = (text or "").encode()
             kept = without(data, runs)
             out.append((
                 len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(),
@@ -439,12 +470,12 @@ def remove_repeats(docs: DataFrame, unit: Unit = bytes_of()) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         arrays = dict(zip(names, batch.column("doc").flatten()))
-        lists = batch.column("spans").to_pylist()
+        lists = merged_lists(batch.column("spans"))
         texts = arrays["text"].to_pylist()
-        for i, list_of in enumerate(lists):
-            if list_of:
+        for i, runs in enumerate(lists):
+            if runs:
                 cut = without_words if unit.words else without
-                texts[i] = cut(texts[i].encode(), merged(list_of)).decode(errors="ignore")
+                texts[i] = cut(texts[i].encode(), runs).decode(errors="ignore")
         arrays["text"] = pa.array(texts, arrays["text"].type)
         if "n_chars" in arrays:
             counts = arrays["n_chars"].to_pylist()

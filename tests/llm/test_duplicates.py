@@ -4,11 +4,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from palisade.llm.common import components
 from palisade.llm.near_duplicates import _agreeing, jaccard, near_classes, near_report, keep_one, shingles, signature
-from palisade.llm.repeats import anchors, bytes_of, merged, passages_of, remove_repeats, repeat_report, without, without_words
+from palisade.llm.repeats import anchors, bytes_of, merged_lists, passages_of, remove_repeats, repeat_report, without, without_words
 
 from . import brute
 
@@ -114,17 +115,24 @@ def test_repeats_are_cut_out_of_documents(spark):
 def test_every_window_has_one_anchor(size, monkeypatch):
     monkeypatch.setattr("palisade.llm.repeats.CHUNK", 700)
     data = bytes(random.Random(size).choices(b"abc", k=size))
-    data = bytes_of().cut(data.decode())[1]
-    starts = sorted(s for a, lo, hi in anchors(data) for k in range(a.size) for s in range(a[k] - hi[k], a[k] - lo[k] + 1))
-    assert starts == list(range(max(0, size - 399)))
-    for a, lo, hi in anchors(data):
+    texts = [b"ab" * 150, data, b"", b"c" * 400, data[:401], data[7:]]
+    cut = [bytes_of().cut(t.decode())[1] for t in texts]
+    found = list(anchors(np.concatenate(cut), np.array([c.size for c in cut])))
+    for doc, text in enumerate(texts):
+        starts = sorted(s for d, a, lo, hi in found for k in range(a.size) if d[k] == doc for s in range(a[k] - hi[k], a[k] - lo[k] + 1))
+        assert starts == list(range(max(0, len(text) - 399)))
+    for _, a, lo, hi in found:
         assert (lo >= 0).all() and (hi <= 384).all()
 
 
 def test_runs():
-    runs = merged([{"start": 5, "end": 9}, {"start": 0, "end": 3}, {"start": 3, "end": 4}, {"start": 6, "end": 7}])
-    assert runs == [(0, 4), (5, 9)]
-    assert without(b"0123456789", runs) == b"49" and without(b"", []) == b"" and merged(None) == []
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    lists = [[(5, 9), (0, 3), (3, 4), (6, 7)], None, [], [(9, 10)], [(0, 1), (2, 3)], [(0, 1), (1, 3)], [(4, 6)] * 3]
+    rows = [None if x is None else [{"start": a, "end": b} for a, b in x] for x in lists]
+    got = merged_lists(pa.array(rows, kind))
+    assert got == [[(0, 4), (5, 9)], [], [], [(9, 10)], [(0, 1), (2, 3)], [(0, 3)], [(4, 6)]]
+    assert merged_lists(pa.array(rows, kind).slice(3, 2)) == got[3:5] and merged_lists(pa.array([None], kind)) == [[]]
+    assert without(b"0123456789", got[0]) == b"49" and without(b"", []) == b""
 
 
 def near_texts():
