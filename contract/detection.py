@@ -30,6 +30,7 @@ from palisade.functions.timestamps import micros
 from palisade.operators.sequences import followed_by
 from palisade.plans.detect import detect, detect_and_store
 from palisade.rules.catalog import DEFAULT_RULES
+from palisade.rules.indicators import indicator_matches
 from palisade.rules.matching import (
     ioc_rule_matches,
     match_events,
@@ -339,26 +340,36 @@ def threshold_alerts_shipped_windows(spark, sf):
     return _threshold_rows(threshold_matches(events, DEFAULT_RULES))
 
 
-# A list of a thousand indicators: the hosts of the pages, and text that command lines hold.
-LONG_LIST_SQL = """hosts AS (SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS v FROM pages),
-listed AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM hosts WHERE v <> ''
-  UNION ALL SELECT v, (SELECT count(*) FROM hosts WHERE v <> '') + i FROM (VALUES
-    ('example.org', 0), ('.sh', 1), ('198.51.100.7', 2), ('sudo', 3), ('vssadmin delete', 4), ('no such text', 5)) t(v, i))"""
-EXTRA_INDICATORS = ("example.org", ".sh", "198.51.100.7", "sudo", "vssadmin delete", "no such text")
+# A long list of indicators: the hosts of the pages, an address for each order, all of one beginning, and text that
+# command lines hold. What stands last in it has the largest position, of the same position the largest value.
+LONG_LIST_SQL = """listed AS (SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS v, 0 AS i FROM pages
+  UNION SELECT 'http://198.51.100.' || (o_orderkey % 9) || '/' || substr('abcdef', 1 + CAST(o_orderkey % 6 AS INT), 1)
+    || CASE WHEN o_orderkey % 100 = 6 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END, 1 FROM orders
+  UNION ALL SELECT v, i FROM (VALUES
+    ('example.org', 2), ('.sh', 3), ('198.51.100.7', 4), ('sudo', 5), ('vssadmin delete', 6), ('no such text', 7), ('su', 8)) t(v, i))"""
+EXTRA_INDICATORS = ("example.org", ".sh", "198.51.100.7", "sudo", "vssadmin delete", "no such text", "su")
 
 
 @query(
     "ioc_long_list_alerts",
     f"""WITH {HOST_SQL}, {LONG_LIST_SQL}
-    SELECT event_id, arg_max(v, i) AS found FROM host JOIN listed ON contains(command_line, v) GROUP BY event_id""",
+    SELECT event_id, arg_max(v, (i, v)) AS found FROM host JOIN listed ON v <> '' AND contains(command_line, v) GROUP BY event_id""",
 )
 def ioc_long_list_alerts(spark, sf):
-    """Command lines against a long list; the value that stands last in it is reported."""
-    hosts = table(spark, sf, "pages").select(url_host(F.col("url")).alias("v")).where("v <> ''").distinct()
-    listed = tuple(r["v"] for r in hosts.orderBy("v").collect()) + EXTRA_INDICATORS
-    rule = Rule("Long list", "", "ioc", "", "low", "host", ioc_values=listed, signature_id=301)
+    """Command lines against a long list, which is a table; the value that stands last in it is reported."""
+    hosts = table(spark, sf, "pages").select(url_host(F.col("url")).alias("value"), F.lit(0).cast("long").alias("position"))
+    key = F.col("o_orderkey")
+    address = F.concat(
+        F.lit("http://198.51.100."), (key % 9).cast("string"), F.lit("/"), F.substring(F.lit("abcdef"), (1 + key % 6).cast("int"), F.lit(1)),
+        F.when(key % 100 == 6, "").otherwise(key.cast("string")),
+    )
+    orders = table(spark, sf, "orders").select(address.alias("value"), F.lit(1).cast("long").alias("position"))
+    extra = spark.createDataFrame([(v, i) for i, v in enumerate(EXTRA_INDICATORS, 2)], "value string, position long")
+    listed = hosts.unionByName(orders).distinct().unionByName(extra).withColumn("signature_id", F.lit(301).cast("long"))
+    rule = Rule("Long list", "", "ioc", "", "low", "host", signature_id=301)
     found = F.get_json_object("details", "$.command_line")
-    return ioc_rule_matches(host_events(spark, sf), [rule]).select("event_id", found.alias("found"))
+    matches = indicator_matches(host_events(spark, sf), [rule], listed)
+    return matches.select("event_id", found.alias("found")).where("found IS NOT NULL")
 
 
 class cut_always:

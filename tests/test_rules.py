@@ -297,3 +297,25 @@ def test_rule_written_as_mapping(spark):
     assert (count.confidence, count.enabled, count.description) == (1.0, True, "")
     with pytest.raises(ValueError, match="severity"):
         rule_from_dict({"name": "w", "rule_type": "pattern", "rule_content": "x"})
+
+
+def test_indicators_as_a_table_find_the_same(spark):
+    import random
+
+    from palisade.rules.indicators import indicator_matches
+
+    draw = random.Random(9)
+    words = ["http://a.b/c", "http://a.b/d", "http", "su", "x", "", "sudo", "10.0.0.1", "10.0.0.2", "ncat", "é🙂é", "no such"]
+    data = [{"event_id": i, "src_ip": draw.choice(["10.0.0.1", "10.0.0.3", None]), "dst_ip": draw.choice(["10.0.0.2", "x9", None])} for i in range(40)]
+    hosts = [{"event_id": 100 + i, "process_name": draw.choice(["ncat", "nc", "", None]), "src_ip": "10.0.0.1",
+              "command_line": draw.choice([None, "", "".join(draw.choice(words + [" ", "y"]) for _ in range(4))])} for i in range(150)]
+    table = events(spark, data).unionByName(events(spark, hosts, "host"))
+    rules = [Rule("a", "", "ioc", "", "low", None, ioc_values=tuple(words), confidence=0.3, signature_id=1),
+             Rule("b", "", "ioc", "", "low", "host", ioc_values=tuple(reversed(words)), signature_id=2),
+             Rule("c", "", "ioc", "", "low", "network", ioc_values=("10.0.0.2", "sudo"), signature_id=3),
+             Rule("d", "", "ioc", "", "low", "network", ioc_values=("10.0.0.1",), enabled=False, signature_id=4),
+             Rule("e", "", "ioc", "", "low", None, signature_id=5)]
+    names = ["event_id", "signature_id", "confidence", "details"]
+    got = rows(indicator_matches(table, rules).select(*names), "event_id", "signature_id")
+    assert got == rows(ioc_rule_matches(table, rules).select(*names), "event_id", "signature_id") and len(got) > 150
+    assert indicator_matches(table.limit(0), rules).count() == 0 and indicator_matches(table, rules[4:]).count() == 0
