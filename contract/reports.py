@@ -17,7 +17,7 @@ from contract.detection import IOC_SQL, NAMES, PATTERN_SQL, SEVERITY, THRESHOLD_
 from contract.registry import ORACLES, query, table
 from palisade.functions.indicators import url_host
 from palisade.operators import changelog as log
-from palisade.operators import dedup, lookups, reports, rollups
+from palisade.operators import dedup, lookups, reports, rollups, similarity
 from palisade.plans.detect import detect
 from palisade.rules.matching import match_events
 from palisade.rules.model import rules_frame
@@ -274,6 +274,31 @@ def event_rollup_report(spark, sf):
     return daily.select(F.col("day").cast("string"), "n_events", "bytes_sent", F.unix_micros("latest").alias("latest_us"), F.col("n_sources"))
 
 
+SIMILAR_SQL = f"""{ALERTS_SQL}, texts AS (
+  SELECT alert_id, lower(title || ' ' || coalesce(process_name, '') || ' ' || coalesce(command_line, '') || ' ' || coalesce(parent_process, '')) AS t
+  FROM alerts JOIN host USING (event_id)),
+words AS (SELECT alert_id, list_sort(list_distinct(list_filter(regexp_split_to_array(t, '[^a-z0-9.]+'), lambda w: w <> ''))) AS w FROM texts),
+rows AS (SELECT alert_id, w, md5(array_to_string(w, ' ')) AS s FROM words),
+sets AS (SELECT DISTINCT s, w FROM rows WHERE len(w) > 0),
+links AS (SELECT a.s AS a, b.s AS b FROM sets a JOIN sets b ON a.s <> b.s
+  AND len(list_intersect(a.w, b.w)) >= 0.6 * len(list_distinct(list_concat(a.w, b.w)))),
+reach AS (SELECT s AS a, s AS b FROM (SELECT DISTINCT s FROM rows) UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)"""
+
+
+@query(
+    "alert_similar_classes",
+    f"""WITH RECURSIVE {SIMILAR_SQL}, c AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+    d AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT alert_id, class_id, coalesce(n, 0) AS n_similar FROM rows JOIN c ON c.a = s LEFT JOIN d ON d.a = s""",
+)
+def alert_similar_classes(spark, sf):
+    """Host alerts by the words of their title and event: classes of those that share at least 0.6."""
+    parts = ["title", "process_name", "command_line", "parent_process"]
+    text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in parts])
+    rows = alert_table(spark, sf).select("alert_id", "event_id", "title").join(host_events(spark, sf).select("event_id", *parts[1:]), "event_id")
+    return similarity.similar_classes(rows, "alert_id", text, 0.6).select("alert_id", "class_id", "n_similar")
+
+
 @query(
     "recent_events_page",
     f"""WITH {NET_SQL} SELECT event_id, epoch_us(ts) AS ts_us, src_ip FROM net

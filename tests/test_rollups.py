@@ -108,3 +108,30 @@ def test_alerts_are_stored_by_day_of_their_event(spark, tmp_path):
     undated = detect(table, [PORTS], F.lit("2024-06-01").cast("timestamp")).withColumn("event_time", F.lit(None).cast("timestamp"))
     sinks.write_alerts(undated.withColumn("alert_id", F.lit("x")).limit(1), path)
     assert spark.read.parquet(path).where("alert_date = '2024-06-01'").count() == 1
+
+
+def test_similar_texts_like_brute_force(spark):
+    from palisade.operators.similarity import similar_classes
+
+    draw = random.Random(5)
+    words = ["a", "b", "c", "d", "e", "f", "g", "h", "10.0.0.1", "x.y"]
+    texts = [" ".join(draw.sample(words, draw.randrange(1, 9))).upper() + draw.choice(["", " a", "!!", " common"]) for _ in range(150)]
+    texts += [None, "", " ,; ", texts[0], texts[0] + " " + texts[0]]
+    for least in (0.5, 0.8, 1.0):
+        got = {r["i"]: r for r in similar_classes(
+            spark.createDataFrame(list(enumerate(texts)), "i long, t string"), "i", F.col("t"), least).collect()}
+        sets = [frozenset(w for w in "".join(ch if ch.isalnum() or ch == "." else " " for ch in (t or "").lower()).split()) for t in texts]
+        distinct = list(dict.fromkeys(sets))
+        near = {s: {o for o in distinct if o != s and s and len(s & o) >= least * len(s | o) - 1e-9} for s in distinct}
+        group = {}
+        for s in distinct:
+            if s not in group:
+                todo = [s]
+                while todo:
+                    x = todo.pop()
+                    if x not in group:
+                        group[x] = s
+                        todo += near[x]
+        assert all(got[i]["n_similar"] == len(near[s]) for i, s in enumerate(sets))
+        assert {(i, j) for i in got for j in got if got[i]["class_id"] == got[j]["class_id"]} == {
+            (i, j) for i in got for j in got if group[sets[i]] == group[sets[j]]}
