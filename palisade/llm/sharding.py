@@ -15,28 +15,29 @@ Texts are read once and never shuffled. The range partitioner samples its key, a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palisade.llm.common import column, written
+from palisade.llm.common import column, discard, written
 
 SHARDS = 16
 
 
-def row_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32): UTF-8 bytes plus 1, checksum of the bytes; a null text has none."""
+def row_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *kept: Column) -> DataFrame:
+    """(doc_id, size, text_crc32, kept columns): UTF-8 bytes plus 1, checksum of the bytes; a null text has none."""
     text = F.coalesce(column(text_col), F.lit(""))
     return docs.select(
         column(id_col).alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        *kept,
     )
 
 
 def contiguous_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Add ``shard`` (0 to shards - 1) and ``slot`` (place in the shard, from 0) to
-    (doc_id, size, text_crc32).
+    (doc_id, size, text_crc32) and, if the rows have it, their own number ``tie``.
 
     A row belongs to the shard in which its first byte falls, so a shard's bytes differ
     from the target by less than the largest row. Null ids come first; equal ids lie by
@@ -44,9 +45,9 @@ def contiguous_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     larger than a target leaves the shards that it spans beyond its own empty.
     """
     key = ["doc_id", "text_crc32", "tie"]
-    base = written(
-        rows.select("doc_id", "size", "text_crc32").withColumn("tie", F.monotonically_increasing_id()), "shard-sizes"
-    )
+    own = ["tie"] if "tie" in rows.columns else []
+    tie = F.col("tie") if own else F.monotonically_increasing_id()
+    base = written(rows.select("doc_id", "size", "text_crc32", tie.alias("tie")), "shard-sizes")
     laid = written(base.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "shard-layout")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
@@ -72,19 +73,23 @@ def contiguous_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
             F.floor(F.col("start").cast("decimal(38,0)") * shards / F.col("bytes_in_all")).cast("int"),
         )
     )
-    placed = written(placed.select("doc_id", "size", "text_crc32", "start", "place", "shard"), "shard-places")
+    placed = written(placed.select("doc_id", "size", "text_crc32", *own, "start", "place", "shard"), "shard-places")
     # One row a shard.
     firsts = placed.groupBy("shard").agg(F.min("place").alias("first_place"))
     return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("place") - F.col("first_place"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write whole rows under ``path/shard=N``; equal (id, text) rows go where the first of them lies."""
-    plan = contiguous_shards(row_sizes(docs, id_col, text_col), shards)
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc")).agg(F.min("shard").alias("shard"))
-    text = F.crc32(F.coalesce(docs[f"`{text_col}`"], F.lit("")).cast("binary"))
-    match = docs[f"`{id_col}`"].eqNullSafe(plan["__id"]) & (text == plan["__crc"])
-    docs.join(plan, match).drop("__id", "__crc").write.partitionBy("shard").parquet(path)
+    """Write whole rows under ``path/shard=N``, each into the shard that the layout gives it.
+
+    Rows are numbered in a copy, so that equal rows are told apart. Columns of any name are kept, but for one named ``shard``.
+    """
+    whole = F.struct(*[column(c) for c in docs.columns if c != "shard"]).alias("doc")
+    copy = written(docs.select(whole, F.monotonically_increasing_id().alias("tie")), "shard-documents")
+    flat = copy.select(F.col("doc").getField(id_col).alias("id"), F.col("doc").getField(text_col).alias("text"), "tie")
+    plan = contiguous_shards(row_sizes(flat, "id", "text", F.col("tie")), shards)
+    copy.join(plan.select("tie", "shard"), "tie").select("doc.*", "shard").write.partitionBy("shard").parquet(path)
+    discard(copy)
 
 
 def shard_report(docs: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 from palisade.llm.common import column, release, scratch_path, small_batches
 from palisade.llm.huffman import LIMIT, Code, code_lengths
 from palisade.llm.pieces import Encoder, byte_letters, cut_with_spaces
+from palisade.session import delete_path
 
 SEGMENT = 1 << 20
 END_ID = 2
@@ -181,6 +182,7 @@ def write_tokens(
         f"{path}/code"
     )
     del rows, stored, counts
+    delete_path(spark, ids_path)
     release(spark)
 
 

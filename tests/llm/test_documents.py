@@ -139,6 +139,13 @@ def test_shards_of_one_hot_row_and_of_nothing(spark, tmp_path):
     assert shard_report(df.limit(0)).count() == 0
     write_shards(df.distinct(), str(tmp_path / "s"), 2)
     assert spark.read.parquet(str(tmp_path / "s")).count() == 2
+    # Equal rows go where the report has them, not all where the first lies.
+    same = spark.createDataFrame([(1, "one text", 7, "x.y")] * 40 + [(None, None, 8, None)], "doc_id long, text string, tie int, `doc.x` string")
+    write_shards(same, str(tmp_path / "t"), 4)
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    want = contiguous_shards(row_sizes(same), 4).groupBy("shard").count()
+    assert sorted(map(tuple, stored.groupBy("shard").count().collect())) == sorted(map(tuple, want.collect()))
+    assert set(same.columns) < set(stored.columns) and stored.where("`doc.x` = 'x.y' and tie = 7").count() == 40
 
 
 # Benchmark passages
