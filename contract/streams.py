@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from contract.adapters import (
     DAY,
     HOST_SQL,
+    IOC_RULES,
     NET_SQL,
     TEST_RULES,
     all_events,
@@ -14,7 +15,7 @@ from contract.adapters import (
     net_events,
 )
 from contract.anomaly import FLOW_FEATURES
-from contract.detection import PATTERN_SQL, THRESHOLD_SQL
+from contract.detection import IOC_SQL, PATTERN_SQL, THRESHOLD_SQL
 from contract.features import FLOW_COLUMNS_SQL, FLOW_SQL, NET_DIGITS, _rounded
 from contract.registry import ORACLES, query
 from palisade.anomaly.forest import score_forest, train_forest
@@ -29,7 +30,7 @@ from palisade.streaming.detect_stream import (
     start_trailing,
     windowed_counts,
 )
-from palisade.streaming.keyed import start_keyed_detection, start_keyed_flows
+from palisade.streaming.keyed import start_indicator_detection, start_keyed_detection, start_keyed_flows
 
 # Arrivals of about ten days each; together they are the whole table.
 CUTS = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]
@@ -107,6 +108,25 @@ def _alerts_of(spark, events, name, order=arrivals, bounds=Bounds(), rules=TEST_
     )
 
 
+@query(
+    "stream_indicator_alerts",
+    f"WITH {NET_SQL}, {HOST_SQL}, {IOC_SQL} SELECT event_id, CAST(signature_id AS BIGINT) AS signature_id, round(confidence, 6) AS confidence FROM ioc",
+)
+def stream_indicator_alerts(spark, sf):
+    """Indicator rules on a stream."""
+    base = scratch_path(spark, "stream-indicators")
+    process(
+        spark,
+        all_events(spark, sf),
+        lambda stream: start_indicator_detection(
+            stream, IOC_RULES, f"{base}/alerts", f"{base}/checkpoint", created_at=created_at(), once=True
+        ),
+    )
+    return spark.read.parquet(f"{base}/alerts").select(
+        "event_id", "signature_id", F.round("confidence_score", 6).alias("confidence")
+    )
+
+
 @query("stream_host_profile", ORACLES["host_profile"])
 def stream_host_profile(spark, sf):
     """One-day host profiles on a stream, looking back across arrivals."""

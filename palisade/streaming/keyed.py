@@ -32,8 +32,10 @@ from palisade.functions.timestamps import micros
 from palisade.operators.alerts import signature_alerts
 from palisade.operators.flow_state import KEYS, keyed
 from palisade.rules.compile import field, rule_column
-from palisade.rules.matching import enabled_of, stateless_matches
+from palisade.rules.indicators import indicator_matches
+from palisade.rules.matching import enabled_of, pattern_matches
 from palisade.rules.model import Rule
+from palisade.session import discard, written
 from palisade.streaming.state import Bounds
 
 US = 1_000_000
@@ -237,19 +239,45 @@ def start_keyed_detection(
     bounds: Bounds = Bounds(),
     now: Column | None = None,
 ) -> StreamingQuery:
-    """Run all rules on a stream of events; alerts are appended to ``alerts`` with their ``version``.
+    """Run pattern and threshold rules on a stream of events; alerts are appended to ``alerts`` with their ``version``.
 
-    An alert of a threshold rule is given out again when a late row raises its count; an alert never
+    Indicator rules are run by :func:`start_indicator_detection`. An alert of a threshold rule is given out again when a late row raises its count; an alert never
     ceases to be one, as rows only add to counts.
     """
     events = in_time(events, bounds, now)
     stamp = F.current_timestamp() if created_at is None else created_at
-    found = signature_alerts(stateless_matches(events, rules).withColumn("version", F.lit(0).cast("long")), rules, stamp, "version")
+    found = signature_alerts(pattern_matches(events, rules).withColumn("version", F.lit(0).cast("long")), rules, stamp, "version")
     if any(r.threshold for r in enabled_of(rules, "threshold")):
         found = found.unionByName(signature_alerts(keyed_threshold_matches(events, rules), rules, stamp, "version"))
     return _running(found, alerts, checkpoint, "keyed_detection", once)
 
 
+def start_indicator_detection(
+    events: DataFrame,
+    rules: Sequence[Rule],
+    alerts: str,
+    checkpoint: str,
+    listed: DataFrame | None = None,
+    created_at: Column | None = None,
+    once: bool = False,
+) -> StreamingQuery:
+    """Run indicator rules on a stream of events, each batch on its own, against their lists or the table ``listed``.
+
+    The list may change between batches: each reads it anew. A repeated batch replaces its files.
+    """
+    stamp = F.current_timestamp() if created_at is None else created_at
+
+    def process(batch: DataFrame, number: int) -> None:
+        # The batch is read several times, and the list is joined to it as it is to a table.
+        rows = written(batch, "indicator-batch")
+        found = signature_alerts(indicator_matches(rows, rules, listed), rules, stamp)
+        found.write.mode("overwrite").parquet(f"{alerts}/batch={number}")
+        discard(rows)
+
+    stream = events.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).queryName("indicators")
+    return (stream.trigger(availableNow=True) if once else stream).start()
+
+
 class FlowState(StatefulProcessor):
     """The statistics of one flow, which continue its totals."""
 
