@@ -166,20 +166,21 @@ def _session_rows(found):
     )
 
 
-SUMS = {"n_events": F.count(F.lit(1)), "bytes_sent": F.sum("bytes_sent")}
+def sums():
+    return {"n_events": F.count(F.lit(1)), "bytes_sent": F.sum("bytes_sent")}
 
 
 @query("session_report", SESSION_SQL)
 def session_report(spark, sf):
     """Sessions of each source, which half a day of silence ends."""
-    return _session_rows(sessions(net_events(spark, sf), ["src_ip"], GAP, SUMS))
+    return _session_rows(sessions(net_events(spark, sf), ["src_ip"], GAP, sums()))
 
 
 @query("session_report_cut_by_range", SESSION_SQL)
 def session_report_cut_by_range(spark, sf):
     """The same sessions the way hot keys are handled."""
     with cut_always(spark):
-        return _session_rows(sessions(net_events(spark, sf), ["src_ip"], GAP, SUMS))
+        return _session_rows(sessions(net_events(spark, sf), ["src_ip"], GAP, sums()))
 
 
 @query("stream_session_report", SESSION_SQL)
@@ -201,7 +202,7 @@ def stream_session_report(spark, sf):
     process(
         spark,
         events,
-        lambda stream: start_sessions(stream, ["src_ip"], GAP, SUMS, f"{base}/out", f"{base}/checkpoint", 30 * DAY, once=True),
+        lambda stream: start_sessions(stream, ["src_ip"], GAP, sums(), f"{base}/out", f"{base}/checkpoint", 30 * DAY, once=True),
         arrivals,
     )
     return _session_rows(spark.read.parquet(f"{base}/out"))
