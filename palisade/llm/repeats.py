@@ -73,19 +73,45 @@ class Unit:
         data = (text or "").encode()
         if not self.words:
             return data, _SCRAMBLE[np.frombuffer(data, np.uint8)], None
-        words = data.split()
-        value = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        return b" ".join(words), value, _edges(words)
+        data, edges = _spaced(data)
+        if not data:
+            return data, np.zeros(0, np.uint64), [0]
+        # Letters times the number of their place in the word, added up: equal for equal words.
+        letters = np.frombuffer(data, np.uint8)
+        value = _SCRAMBLE[letters]
+        value[edges[1:-1] - 1] = 0
+        place = np.arange(letters.size) - np.repeat(edges[:-1], np.diff(edges))[: letters.size]
+        value *= _SCRAMBLE[place & 255]
+        return data, np.add.reduceat(value, edges[:-1]), edges.tolist()
+
+    def bytes_and_edges(self, text: str | None) -> tuple[bytes, list[int] | None]:
+        """The same without the numbers."""
+        data = (text or "").encode()
+        if not self.words:
+            return data, None
+        data, edges = _spaced(data)
+        return data, edges.tolist()
 
     def edges(self, data: bytes) -> list[int] | None:
-        return _edges(data.split(b" ")) if self.words else None
+        return _spaced(data)[1].tolist() if self.words else None
+
+
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
-def _edges(words: list[bytes]) -> list[int]:
-    """Where words joined by a space begin, and the end as if one more space followed."""
-    ends = np.zeros(len(words) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=ends[1:])
-    return ends.tolist()
+def _spaced(data: bytes) -> tuple[bytes, np.ndarray]:
+    """The words joined by one space; where they begin, and the end as if one more space followed."""
+    letters = np.frombuffer(data, np.uint8)
+    blank = _BLANK[letters]
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]  # the first blank behind a word stands for all
+    letters = np.where(blank, np.uint8(32), letters)[keep]
+    if letters.size and letters[-1] == 32:
+        letters = letters[:-1]
+    if not letters.size:
+        return b"", np.zeros(1, np.int64)
+    edges = np.concatenate([[0], np.flatnonzero(letters == 32) + 1, [letters.size + 1]])
+    return letters.tobytes(), edges
 
 
 def _part(data: bytes, edges: list[int] | None, begin: int, end: int) -> bytes:
@@ -241,7 +267,7 @@ def _surroundings(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                data, _, edges = unit.cut(r["text"])
+                data, edges = unit.bytes_and_edges(r["text"])
                 items = r["items"]
                 yield pa.RecordBatch.from_arrays(
                     [
