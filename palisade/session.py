@@ -115,6 +115,19 @@ def discard(*tables: DataFrame) -> None:
         delete_path(spark, path)
 
 
+def written_so_far() -> set[str]:
+    """The paths of the tables that :func:`written` made and nobody deleted."""
+    return set(_WRITTEN)
+
+
+def discard_since(before: set[str], spark: SparkSession, *kept: DataFrame) -> None:
+    """Delete the tables written since ``before`` was taken, but for those that are kept."""
+    stay = before | {table.written_path for table in kept}
+    for path in [p for p in _WRITTEN if p not in stay]:
+        _WRITTEN.remove(path)
+        delete_path(spark, path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
