@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.session import discard, scratch_path, written
+from palisade.session import discard, discard_since, scratch_path, written, written_so_far
 
-__all__ = ["column", "components", "discard", "let", "release", "scratch_path", "small_batches", "table", "text_batches", "written"]
+__all__ = ["column", "components", "discard", "discard_since", "written_so_far", "let", "release", "scratch_path", "small_batches", "table", "text_batches", "written"]
 
 # Rows of an Arrow batch sent to Python: texts may be long, and a batch is in memory whole.
 BATCH_ROWS = "256"
@@ -87,21 +87,25 @@ def components(spark: SparkSession, edges: DataFrame, name: str = "components")
     )
     while not done(now):
         pairs = both(now)
+        near = least(pairs, F.col("u"))
         large = (
-            pairs.join(least(pairs, F.col("u")), "u")
+            pairs.join(near, "u")
             .where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
         large = written(large, f"{name}-large")
-        stars = large.join(least(large, F.col("u")), "u")
+        nearest = least(large, F.col("u"))
+        stars = large.join(nearest, "u")
         small = (
             stars.where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionAll(stars.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = written(small, f"{name}-small")
+        after = written(small, f"{name}-small")
+        discard(now, near, large, nearest)
+        now = after
     return nodes.join(now, nodes["node"] == now["u"], "left").select(
         "node", F.coalesce(now["v"], nodes["node"]).alias("root")
     )

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import column, release, small_batches, written
+from palisade.llm.common import column, discard, release, small_batches, written
 from palisade.llm.pieces import LETTER, NUMBER, classes, hashes, parts
 
 ITEMS = 4000
@@ -444,6 +444,7 @@ def leaks(
             found = passages.mapInArrow(_short_hits(block), "doc_id long, h long, item_id long, score double")
             out = out.unionAll(written(found, "leaks-short"))
         if not block.items:
+            discard(numbered)
             continue
         counts = numbered.where("seen is not null").select("seen").mapInArrow(_sum_seen, "word int, n long")
         counts = counts.groupBy("word").agg(F.sum("n").alias("n")).toArrow()
@@ -456,6 +457,7 @@ def leaks(
         found = passages.mapInArrow(_hits(block, idf, basis), "doc_id long, h long, item_id long, score double")
         found = found.groupBy("doc_id", "h", "item_id").agg(F.max("score").alias("score"))
         out = out.unionAll(written(found, "leaks-found"))
+        discard(numbered)
         release(spark)
     return out
 

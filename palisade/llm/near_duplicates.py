@@ -36,7 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import column, components, release, small_batches, text_batches, written
+from palisade.llm.common import (
+    column,
+    components,
+    discard_since,
+    release,
+    small_batches,
+    text_batches,
+    written,
+    written_so_far,
+)
 from palisade.llm.pieces import END, SPACE, classes, hashes, parts
 
 WORDS = 5
@@ -345,6 +354,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null doc_id is no class id unless the class has no other. An empty table gives none.
     """
     spark = docs.sparkSession
+    before = written_so_far()
     small_batches(spark)
     text = F.coalesce(column(text_col), F.lit(""))
     rows = docs.select(
@@ -410,6 +420,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     best = members.groupBy("root").agg(first.alias("first"), F.count("*").alias("class_size"))
     best = written(best, "near-classes")
+    # All that the result reads is in these two.
+    discard_since(before, spark, members, best)
+    release(spark)
     return members.join(best, "root").select(
         "rid",
         "doc_id",
