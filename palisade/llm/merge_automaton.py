@@ -30,7 +30,7 @@ from palisade.llm.pieces import Encoder, byte_letters, cut_words
 
 FOREVER = 1 << 60
 # Arcs remembered.
-ARCS = 100_000
+ARCS = 200_000
 
 
 class MergeAutomaton:

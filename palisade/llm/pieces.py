@@ -20,7 +20,7 @@ SPECIAL = END + 1
 LETTER, NUMBER, SPACE, OTHER, STOP, MARK = 1, 2, 3, 4, 0, 5
 # Code points handled at once; bytes of pieces remembered, the longest of them, and what one takes beside its bytes.
 CHUNK = 1 << 19
-REMEMBERED = 16 << 20
+REMEMBERED = 64 << 20
 LONG = 1024
 EACH = 190
 # Code points that hashes are prepared for.
@@ -172,23 +172,36 @@ _LONE = regex.compile(r"\S(?= \S)")
 
 
 class _Known:
-    """The ids of pieces met before, by the piece itself, both as bytes; at most ``REMEMBERED`` bytes of them."""
+    """The ids of pieces met before, by the piece itself, both as bytes; at most ``REMEMBERED`` bytes of them.
+
+    There are two generations. A full one becomes the old one, which is dropped when the next is full; what is
+    met again moves to the new one, so frequent pieces stay.
+    """
 
     def __init__(self):
-        self.ids: dict[bytes, bytes] = {}
-        self.held = 0
+        self.forget()
+
+    def get(self, piece: bytes) -> bytes | None:
+        ids = self.new.get(piece)
+        if ids is None and self.old:
+            ids = self.old.get(piece)
+            if ids is not None:
+                self.add(piece, ids)
+        return ids
 
     def add(self, piece: bytes, ids: bytes) -> None:
         if len(piece) > LONG:
             return
         self.held += len(piece) + len(ids) + EACH
-        if self.held > REMEMBERED:
-            self.forget()
+        if self.held > REMEMBERED // 2:
+            self.old, self.new = self.new, {}
             self.held = len(piece) + len(ids) + EACH
-        self.ids[piece] = ids
+        self.new[piece] = ids
 
     def forget(self) -> None:
-        self.ids, self.held = {}, 0
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
 
 
 class Encoder:
@@ -235,7 +248,7 @@ class Encoder:
             return np.zeros(0, np.uint32), first, np.zeros(1, np.int64)
         example, which = classes_of(points, first, end)
         raw = points.tobytes()
-        known, found = self.known.ids.get, []
+        known, found = self.known.get, []
         for a, b in zip(first[example].tolist(), end[example].tolist()):
             piece = raw[4 * a : 4 * b]
             ids = known(piece)
@@ -246,7 +259,6 @@ class Encoder:
                     new = self.encode_piece(piece.decode("utf-32-le"))
                 ids = np.array(new, "<u4").tobytes()
                 self.known.add(piece, ids)
-                known = self.known.ids.get
             found.append(ids)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         starts = np.cumsum(sizes) - sizes
