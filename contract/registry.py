@@ -22,6 +22,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             configure(spark)
+            # Stored events and alerts are many times larger in memory than in their files, of which the planner decides
+            # what to broadcast.
+            spark.conf.set("spark.sql.sources.fileCompressionFactor", "10")
             ship_packages(spark, os.path.join(ROOT, "palisade"), os.path.join(ROOT, "contract"))
             return fn(spark, sf_dir)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.hashing import hash_order, hash_percent
 from palisade.functions.text import strip
-from palisade.operators.joins import salted_join
+from palisade.operators.joins import lookup_join
 from palisade.operators.running import Measure, rank_by, running
 
 # Labels that mean "no attack".
@@ -185,7 +185,7 @@ def encode(
         return df.withColumn(out, F.lit(0).cast("long"))
     table = classes.select(F.col("value").alias(column), F.col("code").alias(out))
     n_classes = classes.count()
-    joined = salted_join(df, table, [column], [row_id], how="left")
+    joined = lookup_join(df, table, [column], how="left")
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(n_classes).cast("long")))
 
 
@@ -248,7 +248,7 @@ def stratified_split(
     hashed = df.withColumn("__hash", hash_order(F.col(row_id)))
     ranked = rank_by(hashed, [label], ["__hash", row_id], "__rank")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    joined = salted_join(ranked, sizes, [label], [row_id])
+    joined = lookup_join(ranked, sizes, [label])
     share = F.coalesce(F.try_divide(F.col("__rank") - 1, F.col("__n") - 1), F.lit(0.0))
     return joined.withColumn(
         "split", F.when(share >= 1 - test_share, "test").otherwise("train")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.timestamps import micros
-from palisade.operators.joins import salted_join
+from palisade.operators.joins import lookup_join
 from palisade.operators.running import Measure, running
 
 US = 1_000_000
@@ -62,7 +62,7 @@ def flow_batch(events: DataFrame, before: DataFrame | None) -> DataFrame:
     rows = past_of_flow(keyed(events))
     if before is None:
         return statistics(events, rows)
-    joined = salted_join(rows, before, KEYS, ["event_id"], how="left")
+    joined = lookup_join(rows, before, KEYS, how="left")
     none = F.lit(0)
     return statistics(
         events,

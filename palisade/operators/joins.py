@@ -1,4 +1,4 @@
-"""Equi-joins that stay even when one key holds a third of the rows."""
+"""Equi-joins that stay even when one key holds a third of the rows, and small in the driver."""
 
 from __future__ import annotations
 
@@ -7,25 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+# Rows of a lookup side that are sent to every task; more are shuffled.
+BROADCAST_ROWS = 100_000
 
 
-def salted_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[str],
-    how: str = "inner",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``big`` to the smaller lookup side, spreading each key over ``salts`` tasks.
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join ``big`` to the smaller lookup side.
 
-    The salt is a hash of the row's own columns, so a retried task repeats it.
-    No broadcast hint: Spark broadcasts the lookup side when its measured size
-    is below the session's threshold, and shuffles both sides otherwise.
+    No broadcast hint: Spark broadcasts the lookup side when its size is below the session's threshold.
+    Otherwise both sides are shuffled, once, and the adaptive planner cuts the
+    rows of a hot key over several tasks. Nothing is repeated per task, as that would hide
+    the size of the lookup side from the planner.
     """
-    left = big.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    right = small.withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    return left.join(right, [*on, "__salt"], how).drop("__salt")
+    return big.join(small, list(on), how)
+
+
+def join_expanded(rows: DataFrame, listed: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows that an ``explode`` made to a table that was written down.
+
+    The planner takes exploded rows to be as small as what they came from and would send them to every
+    task, over the driver. So the table is counted: a short one is broadcast, otherwise both
+    sides are shuffled.
+    """
+    short = listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(listed) if short else listed.hint("merge"), list(on), how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.operators.joins import salted_join
+from palisade.operators.joins import lookup_join
 
 
 def active_iocs(iocs: DataFrame, ioc_type: str | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def ioc_hits(rows: DataFrame, row_id: str, columns: dict[str, str], iocs: DataFr
         rows.select(row_id, values.alias("v")).select(row_id, "v.*").where("value IS NOT NULL")
     )
     table = active_iocs(iocs).select("ioc_type", "value", "threat_type", "confidence", "severity")
-    return salted_join(candidates, table, ["ioc_type", "value"], [row_id, "field"])
+    return lookup_join(candidates, table, ["ioc_type", "value"])
 
 
 def with_threat_intel(alerts: DataFrame, hits: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def with_threat_intel(alerts: DataFrame, hits: DataFrame) -> DataFrame:
 def with_criticality(alerts: DataFrame, assets: DataFrame, on: str) -> DataFrame:
     """Criticality of the asset an alert is about; ``unknown`` if it is not listed."""
     table = assets.select(on, F.col("criticality").alias("__criticality"))
-    joined = salted_join(alerts, table, [on], ["alert_id"], how="left")
+    joined = lookup_join(alerts, table, [on], how="left")
     return joined.withColumn(
         "asset_criticality", F.coalesce("__criticality", F.lit("unknown"))
     ).drop("__criticality")
@@ -65,16 +65,10 @@ def alerts_with_events(alerts: DataFrame, events: DataFrame) -> DataFrame:
 def alerts_with_comments(alerts: DataFrame, comments: DataFrame) -> DataFrame:
     """Alerts with each of their comments (NULL columns where there are none).
 
-    All comments of one alert may be a large share of the table, so the join
-    spreads them over salts: an alert is repeated once per salt, then alerts that
-    met no comment anywhere are added back.
+    All comments of one alert may be a large share of the table. An inner join can be
+    cut on the side of the comments; alerts that met no comment are added back.
     """
-    hit = salted_join(
-        comments.withColumnRenamed("created_at", "commented_at"),
-        alerts,
-        ["alert_id"],
-        ["author", "comment", "commented_at"],
-    )
+    hit = lookup_join(comments.withColumnRenamed("created_at", "commented_at"), alerts, ["alert_id"])
     quiet = alerts.join(comments.select("alert_id").distinct(), "alert_id", "left_anti")
     return hit.unionByName(quiet, allowMissingColumns=True)
 

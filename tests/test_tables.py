@@ -156,3 +156,16 @@ def test_fusion_bands(spark):
 def test_mean_score_ignores_missing(spark):
     df = spark.sql("select map('a', 0.5D, 'b', cast(null as double)) m union all select map('a', cast(null as double))")
     assert [r[0] for r in df.select(mean_score(F.col("m"))).collect()] == [0.5, None]
+
+
+def test_comments_repeat_no_alert_per_task(spark):
+    """The side that Spark may broadcast holds every alert once."""
+    from tests.plans import broadcast_rows
+
+    al = spark.range(2000).select(F.col("id").cast("string").alias("alert_id"), F.col("id").alias("event_id"))
+    comments = spark.range(4000).select(
+        (F.col("id") % 5).cast("string").alias("alert_id"), F.lit("x").alias("author"), F.lit("y").alias("comment"), F.lit(at(0)).alias("created_at")
+    )
+    got = lookups.alerts_with_comments(al, comments)
+    assert got.count() == 4000 + 1995
+    assert broadcast_rows(got) <= 2000
