@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.operators.joins import join_expanded
 from palisade.rules.matching import enabled_of
 from palisade.rules.model import Rule
 from palisade.session import local_rows, written
@@ -44,8 +45,8 @@ def _in_commands(commands: DataFrame, listed: DataFrame) -> DataFrame:
     filed = listed.where(F.length(value) >= GRAM).select("signature_id", "position", "value", F.explode(_runs(value, GRAM)).alias("run"))
     filed = written(filed, "indicator-runs")
     probes = commands.select("event_id", F.explode(_runs(line, GRAM)).alias("run"))
-    known = filed.select("run").distinct()
-    common = probes.join(known, "run", "left_semi").groupBy("run").count()
+    known = written(filed.select("run").distinct(), "indicator-known")
+    common = join_expanded(probes.groupBy("run").count(), known, ["run"], "left_semi")
     common = written(common, "indicator-counts")
     # A value one of whose runs is in no command line is in none.
     rarest = (
@@ -56,20 +57,20 @@ def _in_commands(commands: DataFrame, listed: DataFrame) -> DataFrame:
         .select("value", F.col("best.run").alias("run"))
     )
     rarest = written(rarest, "indicator-rarest")
-    pairs = (
-        commands.select("event_id", "command_line", F.explode(_runs(line, GRAM)).alias("run"))
-        .join(rarest, "run")
-        .where(F.contains(line, value))
-        .select("event_id", "value")
-    )
+    # Only runs under which a value is filed travel, with the command line; there are far fewer than values.
+    used = written(rarest.select("run").distinct(), "indicator-used")
+    runs = commands.select("event_id", "command_line", F.explode(_runs(line, GRAM)).alias("run"))
+    runs = join_expanded(runs, used, ["run"], "left_semi")
+    pairs = join_expanded(runs, rarest, ["run"]).where(F.contains(line, value)).select("event_id", "value")
+    few = written(listed.where(F.length("value") < GRAM).select("value").distinct(), "indicator-short")
     short = [
-        commands.select("event_id", F.explode(_runs(line, size)).alias("value")).join(
-            listed.where(F.length("value") == size).select("value").distinct(), "value"
+        join_expanded(
+            commands.select("event_id", F.explode(_runs(line, size)).alias("value")), few.where(F.length("value") == size), ["value"]
         )
         for size in range(1, GRAM)
     ]
     found = reduce(DataFrame.unionByName, [pairs, *short])
-    return found.join(listed, "value").select("event_id", "signature_id", "position", "value")
+    return join_expanded(found, listed, ["value"]).select("event_id", "signature_id", "position", "value")
 
 
 def indicator_matches(events: DataFrame, rules: Sequence[Rule], listed: DataFrame | None = None) -> DataFrame:
@@ -94,7 +95,7 @@ def indicator_matches(events: DataFrame, rules: Sequence[Rule], listed: DataFram
         ),
         lambda x: x["value"] != "",
     )
-    equal = events.select("event_id", F.explode(named).alias("x")).select("event_id", "x.*").join(listed, "value")
+    equal = join_expanded(events.select("event_id", F.explode(named).alias("x")).select("event_id", "x.*"), listed, ["value"])
     equal = equal.groupBy("event_id", "signature_id", "field").agg(F.max("value").alias("value"))
     commands = events.where(host & (F.col("command_line") != "")).select("event_id", "command_line")
     inside = (

@@ -10,6 +10,7 @@ from palisade.operators.alerts import new_alerts_only, signature_alerts
 from palisade.plans.detect import detect, detect_and_store
 from palisade.rules.catalog import DEFAULT_RULES
 from palisade.rules.compile import condition_column, details_json
+from palisade.operators import joins
 from palisade.rules.matching import (
     ioc_rule_matches,
     match_events,
@@ -319,3 +320,25 @@ def test_indicators_as_a_table_find_the_same(spark):
     got = rows(indicator_matches(table, rules).select(*names), "event_id", "signature_id")
     assert got == rows(ioc_rule_matches(table, rules).select(*names), "event_id", "signature_id") and len(got) > 150
     assert indicator_matches(table.limit(0), rules).count() == 0 and indicator_matches(table, rules[4:]).count() == 0
+
+
+def test_command_lines_are_not_broadcast(spark):
+    """Taken apart they are many times their size; only the list may be sent to every task, if it is short."""
+    from palisade.rules.indicators import indicator_matches
+    from tests.plans import broadcast_rows
+
+    line = F.concat(F.lit("wget http://a.b/"), F.col("id").cast("string"))
+    hosts = events(spark, [{}], "host").drop("event_id", "command_line")
+    hosts = hosts.crossJoin(spark.range(300).select(F.col("id").alias("event_id"), line.alias("command_line")))
+    listed = spark.range(20_000).select(
+        F.lit(1).cast("long").alias("signature_id"), F.col("id").alias("position"), F.concat(F.lit("http://a.b/"), F.col("id").cast("string")).alias("value")
+    )
+    rule = Rule("a", "", "ioc", "", "low", "host", signature_id=1)
+    joins.BROADCAST_ROWS, before = 1000, joins.BROADCAST_ROWS
+    try:
+        got = indicator_matches(hosts, [rule], listed)
+        assert got.count() == 300
+        # 300 lines, 20 runs each.
+        assert broadcast_rows(got) <= 1000
+    finally:
+        joins.BROADCAST_ROWS = before

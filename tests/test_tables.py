@@ -164,8 +164,9 @@ def test_comments_repeat_no_alert_per_task(spark):
 
     al = spark.range(2000).select(F.col("id").cast("string").alias("alert_id"), F.col("id").alias("event_id"))
     comments = spark.range(4000).select(
-        (F.col("id") % 5).cast("string").alias("alert_id"), F.lit("x").alias("author"), F.lit("y").alias("comment"), F.lit(at(0)).alias("created_at")
-    )
+        (F.col("id") % 5).cast("string").alias("alert_id"), F.col("id").cast("string").alias("author"),
+        F.col("id").cast("string").alias("comment"), F.timestamp_seconds("id").alias("created_at"),
+    )
     got = lookups.alerts_with_comments(al, comments)
     assert got.count() == 4000 + 1995
     assert broadcast_rows(got) <= 2000
