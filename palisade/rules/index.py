@@ -4,8 +4,9 @@ A rule can only match an event that has the value its equality test names, or th
 names. Each rule is filed under one such value, the one that the fewest events have; a text is filed
 under its runs of ``GRAM`` characters, likewise the rarest. Events are taken apart into the same entries,
 (field, value) or (field, run), as far as any rule could be filed under them. An equi-join brings events to the
-rules filed there, and only for these pairs the rule's conditions are tested, as data: the rule is a
-row, not a column of the plan. So the plan is the same for ten rules and for a hundred thousand.
+rules filed there. Most of these pairs fall at once, as each rule is also given the rarest entry of another of its
+conditions, which is sought among the event's entries. Only for the others the rule's conditions are tested, as data:
+the rule is a row, not a column of the plan. So the plan is the same for ten rules and for a hundred thousand.
 
 Rules without an equality or a text of that length (ranges, patterns) can't be filed. They are
 columns of one scan, as :func:`palisade.rules.matching.pattern_matches` does it.
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palisade.operators.joins import join_expanded
 from palisade.rules.compile import _typed, details_json, field
 from palisade.rules.matching import enabled_of, pattern_matches
 from palisade.rules.model import Condition, Rule
@@ -44,10 +46,11 @@ _RULES = T.StructType(
         T.StructField("tests", T.ArrayType(_TEST)),
     ]
 )
-# A way to file a rule: one of its conditions, by one of its runs or by its values.
+# A way to file a rule: one of its conditions (``test``), by one of its runs or by its values.
 _WAYS = T.StructType(
     [
         T.StructField("signature_id", T.LongType()),
+        T.StructField("test", T.IntegerType()),
         T.StructField("way", T.IntegerType()),
         T.StructField("entry", T.StringType()),
     ]
@@ -81,14 +84,14 @@ def _test(events: DataFrame, c: Condition) -> tuple | None:
     raise ValueError(f"unknown condition type {c.op!r}")
 
 
-def _ways(tests: list[tuple]) -> list[list[str]]:
-    """Lists of entries, any of which every matching event has one of (equality) or all of (a run of a text)."""
+def _ways(tests: list[tuple]) -> list[tuple[int, list[str]]]:
+    """(number of the test, entries): every matching event has one of the entries, and never two."""
     out = []
-    for name, op, values, *_ in tests:
+    for number, (name, op, values, *_) in enumerate(tests):
         if op == "in":
-            out.append([f"{name}={v}" for v in values])
+            out.append((number, [f"{name}={v}" for v in values]))
         elif op == "contains":
-            out += [[f"{name}~{g}"] for g in _grams(values[0])]
+            out += [(number, [f"{name}~{g}"]) for g in _grams(values[0])]
     return out
 
 
@@ -144,7 +147,7 @@ def indexed_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             scanned.append(r)
             continue
         rows.append((r.signature_id, float(r.confidence), details_json(r), r.event_type, tests))
-        ways += [(r.signature_id, way, entry) for way, some in enumerate(lists) for entry in some]
+        ways += [(r.signature_id, test, way, entry) for way, (test, some) in enumerate(lists) for entry in some]
         fields |= {name for name, *_ in tests}
     rest = pattern_matches(events, scanned)
     if not rows:
@@ -157,27 +160,38 @@ def indexed_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     slim = events.select(
         "event_id", "timestamp", "event_type",
         F.create_map(*[x for name in named for x in (F.lit(name), _as_text(events, name))]).alias("fields"),
-        F.explode(_entries(events, equal, contain)).alias("entry"),
+        _entries(events, equal, contain).alias("entries"),
     )
+    slim = slim.select("*", F.transform("entries", lambda e: F.xxhash64(e)).alias("marks"))
+    slim = slim.select("event_id", "timestamp", "event_type", "fields", "marks", F.explode("entries").alias("entry"))
 
     # How many events have each entry that a rule could be filed under; absent ones match nothing.
     known = filing.select("entry").distinct()
     common = slim.select("entry").groupBy("entry").count().join(known, "entry", "left_semi")
     common = written(common, "rule-entries")
-    sizes = (
+    sizes = written(
         filing.join(common, "entry", "left")
-        .groupBy("signature_id", "way")
-        .agg(F.coalesce(F.sum("count"), F.lit(0)).alias("events"))
+        .groupBy("signature_id", "test", "way")
+        .agg(F.coalesce(F.sum("count"), F.lit(0)).alias("events")),
+        "rule-sizes",
+    )
+    best = sizes.groupBy("signature_id").agg(F.min(F.struct("events", "way", "test")).alias("best")).where("best.events > 0")
+    best = best.select("signature_id", F.col("best.way").alias("way"), F.col("best.test").alias("first"))
+    other = (
+        sizes.join(best.select("signature_id", "first"), "signature_id")
+        .where("test <> first")
         .groupBy("signature_id")
         .agg(F.min(F.struct("events", "way")).alias("best"))
-        .where("best.events > 0")
         .select("signature_id", F.col("best.way").alias("way"))
     )
-    filed = written(filing.join(sizes, ["signature_id", "way"]).select("signature_id", "entry").distinct(), "rule-index")
+    also = filing.join(other, ["signature_id", "way"]).select("signature_id", F.xxhash64("entry").alias("also")).distinct()
+    filed = filing.join(best, ["signature_id", "way"]).select("signature_id", "entry").distinct()
+    filed = written(filed.join(also, "signature_id", "left"), "rule-index")
     # Only entries under which a rule is filed travel, with the event.
-    used = filed.select("entry").distinct()
-    probes = slim.join(used, "entry", "left_semi")
-    pairs = probes.join(filed, "entry").join(table, "signature_id")
+    used = written(filed.select("entry").distinct(), "rule-used")
+    probes = join_expanded(slim, used, ["entry"], "left_semi")
+    likely = F.col("also").isNull() | F.array_contains("marks", F.col("also"))
+    pairs = join_expanded(probes, filed, ["entry"]).where(likely).join(table, "signature_id")
     fits = F.col("event_type").eqNullSafe(F.col("rule_type")) | F.col("rule_type").isNull()
     found = (
         pairs.select(

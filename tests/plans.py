@@ -23,3 +23,10 @@ def broadcast_rows(df):
         if node.getClass().getSimpleName() == "BroadcastExchangeExec":
             sizes.append(node.metrics().apply("numOutputRows").value())
     return max(sizes)
+
+
+def joined_rows(df):
+    """Rows that the largest join gave; runs the query."""
+    df.collect()
+    nodes = [n for n in _nodes(df._jdf.queryExecution().executedPlan()) if "Join" in n.getClass().getSimpleName()]
+    return max(n.metrics().apply("numOutputRows").value() for n in nodes)

@@ -123,6 +123,21 @@ def test_index_finds_what_columns_find(spark):
     assert indexed_matches(table, ranges).count() == pattern_matches(table, ranges).count() > 0
 
 
+def test_rules_that_share_an_entry_fall_by_another(spark):
+    """20 rules are filed under each port; the other port leaves one of them for each event."""
+    from tests.plans import joined_rows
+
+    table = events(spark, [{"event_id": i, "src_port": 1 + i % 20, "dst_port": 1 + i // 20} for i in range(400)])
+    rules = [
+        Rule("r", "", "pattern", "", "low", None, signature_id=i, conditions=(
+            Condition("src_port", "equals", value=1 + i % 20), Condition("dst_port", "in", values=(1 + i // 20, 99))))
+        for i in range(400)
+    ]
+    got = indexed_matches(table, rules)
+    assert rows(got.select("event_id", "signature_id"), "event_id") == [(i, i) for i in range(400)]
+    assert joined_rows(got) <= 1000
+
+
 def test_plan_does_not_grow_with_rules(spark):
     table = events(spark, [{"dst_port": 1, "process_name": "x"}])
     def size(n):
