@@ -7,7 +7,8 @@ threshold is a quantile of the strengths: as many labelled documents lie above i
 labelled good. A score is the chance to be preferred to a document at the threshold.
 
 Features are computed where the texts are, in one pass without a shuffle. The model is fitted
-on a bounded sample of labelled documents (``SAMPLE``), chosen by a hash of the id.
+on all labelled documents: they are dealt into blocks, those of a block are compared, and each step
+of the fit adds up what the blocks give.
 """
 
 from __future__ import annotations
@@ -19,13 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import column, small_batches, text_batches
+from palisade.llm.common import column, discard, small_batches, text_batches, written
 from palisade.llm.pieces import parts
 
-# Labelled documents to fit on, pairs to compare, and the weight of the ridge.
-SAMPLE = 20_000
+# Documents of a block, how many of a rare label each block gets, comparisons of a document (more if there are fewer
+# than PAIRS in all), and the weight of the ridge.
+BLOCK = 4_000
+RARE = 20
+ROUNDS = 10
 PAIRS = 200_000
 RIDGE = 1e-4
+# Strengths that are looked at one by one.
+FEW = 20_000
 SEED = 20
 
 _SYMBOLS = np.frombuffer(b"#*$%&<>@^~_=+{}[]\\/", np.uint8)
@@ -94,34 +100,116 @@ class Ranking:
         return 1.0 / (1.0 + np.exp(-strength))
 
 
-def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE, seed: int = SEED) -> Ranking:
-    """The ranking of labelled features.
+def _comparisons(good: np.ndarray, bad: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the two sides of a block's pairs: every row of the larger side meets ``rounds`` of the other,
+    or all if there are fewer, and every row of the smaller side is met."""
+    more, less = max(len(good), len(bad)), min(len(good), len(bad))
+    draw = np.random.default_rng(SEED)
+    one, other = draw.permutation(more), draw.permutation(less)
+    turn = np.arange(min(rounds, less))[:, None]
+    one, other = np.tile(one, len(turn)), other[(np.arange(more) + turn) % less].ravel()
+    return (one, other) if len(good) == more else (other, one)
 
-    Pairs are drawn evenly, one of each label. Without labels, or with labels of one kind
-    only, there is nothing to compare: every score is 0.5.
+
+def _blocks(rows: DataFrame, n_good: int, n_bad: int) -> DataFrame:
+    """The features as rows (good, bad) of about ``BLOCK`` documents, chosen by a hash of the id.
+
+    Where one label is rare, its documents go to as many blocks as give each some of them.
     """
-    best, worst = np.flatnonzero(good), np.flatnonzero(~good)
-    if not best.size or not worst.size:
-        return Ranking(np.zeros(len(NAMES)), 0.0)
-    draw = np.random.default_rng(seed)
-    n = min(pairs, best.size * worst.size)
-    middle, scale = x.mean(0), x.std(0) + 1e-9
-    z = (x - middle) / scale
-    difference = z[draw.choice(best, n)] - z[draw.choice(worst, n)]
-    weights = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton's method
-        chance = 1.0 / (1.0 + np.exp(-np.clip(difference @ weights, -700, 700)))
-        slope = difference.T @ (chance - 1) / n + ridge * weights
-        bend = (difference * (chance * (1 - chance))[:, None]).T @ difference / n
-        step = np.linalg.solve(bend + ridge * np.eye(weights.size), slope)
+    blocks = -(-(n_good + n_bad) // BLOCK)
+    rare = n_good <= n_bad
+    copies = min(blocks, -(-RARE * blocks // min(n_good, n_bad)))
+    step = F.explode(F.sequence(F.lit(0), F.when(F.col("good") == rare, F.lit(copies - 1)).otherwise(F.lit(0))))
+    dealt = rows.select("doc_id", "good", "x", step.alias("step")).select(
+        "doc_id", "good", "x", F.pmod(F.xxhash64("doc_id") + F.col("step"), F.lit(blocks)).alias("block")
+    )
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("good", "ascending")])
+        x, good = np.array(group["x"].to_pylist()), np.array(group["good"].to_pylist(), bool)
+        return pa.table({"good": pa.array([x[good].tobytes()], pa.binary()), "bad": pa.array([x[~good].tobytes()], pa.binary())})
+
+    return dealt.groupBy("block").applyInArrow(pack, "good binary, bad binary")
+
+
+def _slopes(packed: DataFrame, weights: np.ndarray, scale: np.ndarray, rounds: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(pairs, slope, bend) of the loss, added up over the blocks; one row a task comes to the driver."""
+    size = len(weights)
+
+    def run(batches):
+        n, slope, bend = 0, np.zeros(size), np.zeros((size, size))
+        for batch in batches:
+            for good, bad in zip(batch.column("good").to_pylist(), batch.column("bad").to_pylist()):
+                best, worst = (np.frombuffer(side, np.float64).reshape(-1, size) for side in (good, bad))
+                if not len(best) or not len(worst):
+                    continue
+                i, k = _comparisons(best, worst, rounds)
+                difference = (best[i] - worst[k]) / scale
+                chance = 1.0 / (1.0 + np.exp(-np.clip(difference @ weights, -700, 700)))
+                n += len(i)
+                slope += difference.T @ (chance - 1)
+                bend += (difference * (chance * (1 - chance))[:, None]).T @ difference
+        yield pa.RecordBatch.from_pylist([{"s": [float(n), *slope, *bend.ravel()]}], pa.schema([("s", pa.list_(pa.float64()))]))
+
+    sums = np.array(packed.mapInArrow(run, "s array<double>").toArrow()["s"].to_pylist()).sum(0)
+    return sums[0], sums[1 : size + 1], sums[size + 1 :].reshape(size, size)
+
+
+def _between(strengths: DataFrame, k: int, total: int) -> float:
+    """Halfway between the k-th and the (k + 1)-th least strength, exactly.
+
+    Approximate quantiles narrow the values to a band around the two, until few enough are left to look at.
+    """
+    low, high, below, inside = float("-inf"), float("inf"), 0, total
+    band = strengths
+    while inside > FEW:
+        around = [max(0.0, (k - below) / inside - 1e-3), min(1.0, (k - below) / inside + 1e-3)]
+        low, high = band.agg(F.percentile_approx("s", around, 10_000)).first()[0]
+        if low == high:
+            return low
+        band = strengths.where(F.col("s").between(F.lit(low), F.lit(high)))
+        before, (below, inside) = inside, strengths.agg(F.count_if(F.col("s") < low), F.count_if(F.col("s").between(low, high))).first()
+        if inside == before:
+            # Few different values: they are counted, not listed.
+            break
+    seen = 0
+    found = []
+    for value, n in band.groupBy("s").count().orderBy("s").toLocalIterator():
+        seen += n
+        found += [value] * ((below + seen >= k) + (below + seen >= k + 1) - len(found))
+        if len(found) == 2:
+            break
+    return sum(found) / 2
+
+
+def fit(rows: DataFrame, ridge: float = RIDGE) -> Ranking:
+    """The ranking of labelled features (doc_id, good, x), which are read many times.
+
+    All rows are compared, in blocks; the blocks' slopes are added up for each of Newton's steps. Without labels, or
+    with labels of one kind only, there is nothing to compare: every score is 0.5.
+    """
+    size = len(NAMES)
+    at = [F.get("x", F.lit(i)) for i in range(size)]
+    known = rows.agg(F.count_if("good"), F.count_if(~F.col("good")), F.array(*[F.stddev_pop(x) for x in at])).first()
+    n_good, n_bad, spread = known
+    if not n_good or not n_bad:
+        return Ranking(np.zeros(size), 0.0)
+    scale = np.array(spread) + 1e-9
+    rounds = max(ROUNDS, PAIRS // max(n_good, n_bad))
+    packed = written(_blocks(rows, n_good, n_bad), "ranking-blocks")
+    weights = np.zeros(size)
+    for _ in range(30):
+        n, slope, bend = _slopes(packed, weights, scale, rounds)
+        step = np.linalg.solve(bend / n + ridge * np.eye(size), slope / n + ridge * weights)
         weights -= step
         if np.abs(step).max() < 1e-8:
             break
     weights = weights / scale
-    strength = np.sort(x @ weights)
+    strengths = written(rows.select(sum((x * float(w) for x, w in zip(at, weights)), F.lit(0.0)).alias("s")), "ranking-strengths")
     # Between the last that is below the quantile and the first above it.
-    k = worst.size
-    return Ranking(weights, float((strength[k - 1] + strength[k]) / 2))
+    threshold = _between(strengths, n_bad, n_good + n_bad)
+    discard(packed, strengths)
+    return Ranking(weights, float(threshold))
 
 
 def remainder(doc_id):
@@ -129,11 +217,11 @@ def remainder(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
-    """Fit on at most ``sample`` labelled documents whose id's remainder is not 1.
+def learn(docs: DataFrame, labels: DataFrame) -> Ranking:
+    """Fit on all labelled documents whose id's remainder is not 1.
 
     Labels with a null id or quality are ignored. Ids repeated in ``docs`` count once; an id
-    with two labels counts with each.
+    with two labels counts with each. Texts stay where they are; only their features meet the labels.
     """
     small_batches(docs.sparkSession)
     chosen = (
@@ -141,29 +229,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
         .where(remainder(F.col("doc_id")) != 1)
         .select("doc_id", (F.col("quality") == 1).alias("good"))
         .distinct()
-        # The least hashes: the same documents whatever the partitions.
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "good")
-        .limit(sample)
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = [features(t).tolist() for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("good"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "good", "x"]
-        )
-
-    # At most ``sample`` narrow rows.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = (
-        rows.mapInArrow(text_batches(run), "doc_id long, good boolean, x array<double>")
-        .groupBy("doc_id", "good")
-        .agg(F.min("x").alias("x"))
-        .orderBy("doc_id", "good")
-        .toArrow()
-    )
-    if not found.num_rows:
-        return Ranking(np.zeros(len(NAMES)), 0.0)
-    return fit(np.array(found["x"].to_pylist()), np.array(found["good"].to_pylist(), bool))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(remainder(F.col("doc_id")) != 1)
+    found = mine.mapInArrow(text_batches(run), "doc_id long, x array<double>").join(chosen, "doc_id")
+    rows = written(found.groupBy("doc_id", "good").agg(F.min("x").alias("x")), "ranking-features")
+    ranking = fit(rows)
+    discard(rows)
+    return ranking
 
 
 def score(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

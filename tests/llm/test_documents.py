@@ -78,6 +78,30 @@ def test_held_out_accuracy(spark):
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
 
 
+def test_ranking_learns_from_all_labels(spark, monkeypatch):
+    """Blocks, rare labels and the exact threshold; every label counts."""
+    monkeypatch.setattr(ranking, "BLOCK", 50)
+    monkeypatch.setattr(ranking, "FEW", 30)
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(700, len(ranking.NAMES)))
+    good = x[:, 2] + draw.normal(size=700) > 2.5
+    assert 10 < good.sum() < 40
+    rows = spark.createDataFrame([(i, bool(g), v.tolist()) for i, (g, v) in enumerate(zip(good, x))], "doc_id long, good boolean, x array<double>")
+    packed = ranking._blocks(rows, int(good.sum()), int((~good).sum())).collect()
+    one = 8 * len(ranking.NAMES)
+    assert len(packed) == 14 and all(r["good"] and r["bad"] for r in packed)
+    held = {r["bad"][i : i + one] for r in packed for i in range(0, len(r["bad"]), one)} | {r["good"][i : i + one] for r in packed for i in range(0, len(r["good"]), one)}
+    assert held == {v.tobytes() for v in x}
+    i, k = ranking._comparisons(x[:7], x[:40], 3)
+    assert set(i) == set(range(7)) and sorted(k) == sorted([*range(40)] * 3)
+    model = ranking.fit(rows)
+    strength = np.sort(x @ model.weights)
+    n = int((~good).sum())
+    assert abs(model.threshold - (strength[n - 1] + strength[n]) / 2) < 1e-9 and np.abs(model.weights).argmax() == 2
+    few = spark.createDataFrame([(float(i % 3),) for i in range(90)], "s double")
+    assert [ranking._between(few, k, 90) for k in (29, 30, 31, 60)] == [0.0, 0.5, 1.0, 1.5]
+
+
 def test_ranking_of_difficult_tables(spark):
     rows = brute.strange([(1, "A clean text of words."), (2, "x### y###")])
     docs = spark.createDataFrame([(i, t, 1.0, "z") for i, t in rows], "doc_id long, text string, score double, x string")
