@@ -126,6 +126,9 @@ def _as_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+# Rows of the event table that one task writes.
+ROWS_A_TASK = 250_000
+
 _STORED: dict[tuple[str, str], str] = {}
 
 
@@ -135,9 +138,11 @@ def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         path = scratch_path(spark, "events")
+        # Rows are sorted by type in a task's memory, so there are more tasks for more rows.
+        rows = 2 * table(spark, sf_dir, "events").count()
         (
             with_features(_as_events(spark, sf_dir))
-            .repartition(spark.sparkContext.defaultParallelism, "event_id")
+            .repartition(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)), "event_id")
             .write.partitionBy("event_type")
             .parquet(path)
         )

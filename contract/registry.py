@@ -25,6 +25,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             # Stored events and alerts are many times larger in memory than in their files, of which the planner decides
             # what to broadcast.
             spark.conf.set("spark.sql.sources.fileCompressionFactor", "10")
+            # For the same reason 64 MB of shuffled rows are a GB where they are sorted.
+            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m")
             ship_packages(spark, os.path.join(ROOT, "palisade"), os.path.join(ROOT, "contract"))
             return fn(spark, sf_dir)
 
