@@ -74,12 +74,17 @@ def write_alerts(alerts: DataFrame, path: str) -> None:
     An alert is always stored under the same day, so only the days of this run are looked up.
     """
     day = F.to_date(F.coalesce("event_time", "created_at"))
-    run = written(alerts.withColumn("alert_date", day), "new-alerts")
+    run = alerts.withColumn("alert_date", day)
+
+    def append(fresh: DataFrame) -> None:
+        fresh.hint("rebalance", F.col("alert_date")).write.mode("append").partitionBy("alert_date").parquet(path)
+
     stored = stored_table(alerts.sparkSession, path, ALERT_DAYS)
-    fresh = run
-    if stored is not None:
-        # One row a day.
-        days = [r["alert_date"] for r in run.select("alert_date").distinct().collect()]
-        fresh = new_alerts_only(run, stored.where(F.col("alert_date").isin(days)))
-    fresh.hint("rebalance", F.col("alert_date")).write.mode("append").partitionBy("alert_date").parquet(path)
+    if stored is None:
+        append(run)
+        return
+    # Read twice: for its days, of which there is one row each, and for its rows.
+    run = written(run, "new-alerts")
+    days = [r["alert_date"] for r in run.select("alert_date").distinct().collect()]
+    append(new_alerts_only(run, stored.where(F.col("alert_date").isin(days))))
     discard(run)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.indicators import indicator_type, url_host
 from palisade.functions.timestamps import parse_timestamp, squeeze
+from palisade.operators.alerts import to_alert_schema
 from palisade.operators.reports import retained
 from palisade.plans.detect import detect, detect_and_store
 from palisade.plans.ingest import ingest, read_sources
@@ -457,3 +458,14 @@ def test_written_tables_can_be_dropped(spark):
 def test_detect_one_type(spark):
     df = events(spark, [{"dst_port": 23}]).unionByName(events(spark, [{"process_name": "ncat"}], "host"))
     assert [r["title"] for r in detect(df, DEFAULT_RULES, now(), event_type="host").collect()] == ["Netcat Usage"]
+
+
+def test_first_alerts_are_written_once(spark, tmp_path, monkeypatch):
+    """Only a run that has to look up stored alerts keeps a copy of its own."""
+    copies = []
+    monkeypatch.setattr(sinks, "written", lambda df, name: copies.append(name) or written(df, name))
+    one = spark.createDataFrame([("a", datetime(2024, 1, 1))], "alert_id string, created_at timestamp")
+    alerts = to_alert_schema(one)
+    for n, path in ((0, "x"), (1, "x")):
+        sinks.write_alerts(alerts, str(tmp_path / path))
+        assert len(copies) == n and spark.read.parquet(str(tmp_path / path)).count() == 1
