@@ -3,7 +3,7 @@
 Both public vocabularies cut a text by character class first and encode each piece alone.
 Here the cut is done with NumPy on the code points of a whole batch. Equal pieces of a
 batch are found by a 64-bit hash, compared in full, and encoded once; the ids are then laid out in
-order by gathering. A cache, bounded in bytes, keeps the pieces of earlier batches by their code points.
+order by gathering. A cache of arrays, bounded in bytes, keeps the pieces of earlier batches by their code points.
 """
 
 from __future__ import annotations
@@ -18,11 +18,10 @@ import regex
 END = 0x110000
 SPECIAL = END + 1
 LETTER, NUMBER, SPACE, OTHER, STOP, MARK = 1, 2, 3, 4, 0, 5
-# Code points handled at once; bytes of pieces remembered, the longest of them, and what one takes beside its bytes.
+# Code points handled at once; bytes of pieces remembered, and the longest of them.
 CHUNK = 1 << 19
 REMEMBERED = 64 << 20
 LONG = 1024
-EACH = 190
 # Code points that hashes are prepared for.
 USUAL = 1 << 20
 
@@ -127,21 +126,34 @@ def hashes(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray
     return value * np.uint64(0xD6E8FEB86659FD93)
 
 
-def classes_of(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of ranges that begin at ``first``, one range after the other."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(first - before, size)
+
+
+def _equal(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the ranges ``at`` of two arrays have equal numbers."""
+    size = np.where(at, size, 0)
+    differ = a[_ranges(a_first, size)] != b[_ranges(b_first, size)]
+    if differ.any():
+        at[np.repeat(np.arange(at.size), size)[differ]] = False
+    return at
+
+
+def classes_of(
+    points: np.ndarray, first: np.ndarray, end: np.ndarray, value: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(a piece of each class, the class of every piece); pieces of a class are equal.
 
     Hashes bring equal pieces together, and every piece is then compared with its class's
     example, code point by code point. Those that only share its hash get classes of their own.
     """
-    _, example, which = np.unique(hashes(points, first, end), return_index=True, return_inverse=True)
+    value = hashes(points, first, end) if value is None else value
+    _, example, which = np.unique(value, return_index=True, return_inverse=True)
     size = end - first
     like = example[which]
-    same = size == size[like]
-    inside = np.where(same, size, 0)
-    offset = np.arange(int(inside.sum())) - np.repeat(np.cumsum(inside) - inside, inside)
-    differ = points[np.repeat(first, inside) + offset] != points[np.repeat(first[like], inside) + offset]
-    if differ.any():
-        same[np.repeat(np.arange(first.size), inside)[differ]] = False
+    same = _equal(points, first, points, first[like], size, size == size[like])
     if not same.all():
         more: dict[bytes, int] = {}
         extra = []
@@ -171,8 +183,76 @@ def parts(text: str, size: int = CHUNK) -> Iterable[str]:
 _LONE = regex.compile(r"\S(?= \S)")
 
 
+class _Lists:
+    """Lists of numbers, one after the other. The buffers grow by a quarter, so that adding costs little."""
+
+    def __init__(self):
+        self.flat = np.zeros(0, np.uint32)
+        self.bounds = np.zeros(1, np.int32)
+        self.count = 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        used, count = int(self.bounds[self.count]), self.count + sizes.size
+        self.flat = _grown(self.flat, used, used + flat.size)
+        self.bounds = _grown(self.bounds, self.count + 1, count + 1)
+        self.flat[used : used + flat.size] = flat
+        self.bounds[self.count + 1 : count + 1] = used + np.cumsum(sizes)
+        self.count = count
+
+    def sizes(self, at: np.ndarray) -> np.ndarray:
+        return (self.bounds[at + 1] - self.bounds[at]).astype(np.int64)
+
+
+def _grown(array: np.ndarray, used: int, needed: int) -> np.ndarray:
+    if needed <= array.size:
+        return array
+    out = np.empty(needed + needed // 4, array.dtype)
+    out[:used] = array[:used]
+    return out
+
+
+class _Generation:
+    """Pieces with their ids, found by their hashes, which lie in order. One piece a hash."""
+
+    def __init__(self):
+        self.value, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.pieces, self.ids = _Lists(), _Lists()
+
+    def held(self) -> int:
+        arrays = self.value, self.place, self.pieces.flat, self.pieces.bounds, self.ids.flat, self.ids.bounds
+        return sum(a.nbytes for a in arrays)
+
+    def find(self, points: np.ndarray, first: np.ndarray, size: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The place of every piece, compared code point by code point; -1 if it is not here."""
+        if not self.value.size:
+            return np.full(first.size, -1, np.int32)
+        at = np.minimum(np.searchsorted(self.value, value), self.value.size - 1)
+        place = self.place[at]
+        same = (self.value[at] == value) & (self.pieces.sizes(place) == size)
+        same = _equal(points, first, self.pieces.flat, self.pieces.bounds[place].astype(np.int64), size, same)
+        return np.where(same, place, -1)
+
+    def add(self, pieces: np.ndarray, sizes: np.ndarray, value: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> None:
+        place = np.arange(self.pieces.count, self.pieces.count + value.size, dtype=np.int32)
+        self.pieces.add(pieces, sizes)
+        self.ids.add(ids, n_ids)
+        order = np.argsort(value, kind="stable")
+        value, place = value[order], place[order]
+        at = np.searchsorted(self.value, value)
+        self.value, self.place = np.insert(self.value, at, value), np.insert(self.place, at, place)
+
+    def new_to(self, value: np.ndarray) -> np.ndarray:
+        """Whether a hash is not here yet; of equal ones the first is."""
+        out = np.zeros(value.size, bool)
+        out[np.unique(value, return_index=True)[1]] = True
+        if self.value.size:
+            at = np.minimum(np.searchsorted(self.value, value), self.value.size - 1)
+            out &= self.value[at] != value
+        return out
+
+
 class _Known:
-    """The ids of pieces met before, by the piece itself, both as bytes; at most ``REMEMBERED`` bytes of them.
+    """The ids of pieces met before, in arrays; about ``REMEMBERED`` bytes of them at most.
 
     There are two generations. A full one becomes the old one, which is dropped when the next is full; what is
     met again moves to the new one, so frequent pieces stay.
@@ -181,27 +261,46 @@ class _Known:
     def __init__(self):
         self.forget()
 
-    def get(self, piece: bytes) -> bytes | None:
-        ids = self.new.get(piece)
-        if ids is None and self.old:
-            ids = self.old.get(piece)
-            if ids is not None:
-                self.add(piece, ids)
-        return ids
-
-    def add(self, piece: bytes, ids: bytes) -> None:
-        if len(piece) > LONG:
-            return
-        self.held += len(piece) + len(ids) + EACH
-        if self.held > REMEMBERED // 2:
-            self.old, self.new = self.new, {}
-            self.held = len(piece) + len(ids) + EACH
-        self.new[piece] = ids
-
     def forget(self) -> None:
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.held = 0
+        self.new, self.old = _Generation(), _Generation()
+
+    def ids(
+        self, points: np.ndarray, first: np.ndarray, size: np.ndarray, value: np.ndarray, encode: Callable
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of different pieces, one after the other, the number of each); ``encode`` gives lists of those
+        of the pieces at some indices, which are not remembered."""
+        count = np.zeros(first.size, np.int64)
+        unknown = np.ones(first.size, bool)
+        found = []
+        for generation in (self.new, self.old):
+            rest = np.flatnonzero(unknown)
+            place = generation.find(points, first[rest], size[rest], value[rest])
+            here, place = rest[place >= 0], place[place >= 0]
+            count[here] = generation.ids.sizes(place)
+            unknown[here] = False
+            found.append((here, generation.ids.flat, generation.ids.bounds[place].astype(np.int64)))
+        add = np.ones(first.size, bool)
+        add[found[0][0]] = False
+        rest = np.flatnonzero(unknown)
+        made = encode(rest)
+        count[rest] = np.fromiter(map(len, made), np.int64, len(made))
+        made = np.fromiter((x for ids in made for x in ids), np.uint32, int(count[rest].sum()))
+        found.append((rest, made, np.cumsum(count[rest]) - count[rest]))
+        start = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.uint32)
+        for here, flat, begin in found:
+            out[_ranges(start[here], count[here])] = flat[_ranges(begin, count[here])]
+        add &= 4 * size <= LONG
+        self._add(points, first, size, value, out, start, count, np.flatnonzero(add))
+        return out, count
+
+    def _add(self, points, first, size, value, ids, start, count, at) -> None:
+        at = at[self.new.new_to(value[at])]
+        if not at.size:
+            return
+        if self.new.value.size and self.new.held() + 20 * at.size + 4 * int((size[at] + count[at]).sum()) > REMEMBERED // 2:
+            self.old, self.new = self.new, _Generation()
+        self.new.add(points[_ranges(first[at], size[at])], size[at], value[at], ids[_ranges(start[at], count[at])], count[at])
 
 
 class Encoder:
@@ -246,26 +345,24 @@ class Encoder:
         first, end = self.cut(points)
         if not first.size:
             return np.zeros(0, np.uint32), first, np.zeros(1, np.int64)
-        example, which = classes_of(points, first, end)
-        raw = points.tobytes()
-        known, found = self.known.get, []
-        for a, b in zip(first[example].tolist(), end[example].tolist()):
-            piece = raw[4 * a : 4 * b]
-            ids = known(piece)
-            if ids is None:
-                if points[a] >= SPECIAL:
-                    new = self.by_mark[points[a] - SPECIAL]
-                else:
-                    new = self.encode_piece(piece.decode("utf-32-le"))
-                ids = np.array(new, "<u4").tobytes()
-                self.known.add(piece, ids)
-            found.append(ids)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        value = hashes(points, first, end)
+        example, which = classes_of(points, first, end, value)
+        begin, size = first[example], (end - first)[example]
+
+        def encode(at: np.ndarray) -> list[list[int]]:
+            some, ends = points[_ranges(begin[at], size[at])], np.cumsum(size[at])
+            special = some >= SPECIAL
+            text = np.where(special, 0, some).astype(np.uint32).tobytes().decode("utf-32-le")
+            out = []
+            for a, b, mark in zip((ends - size[at]).tolist(), ends.tolist(), special[ends - size[at]].tolist()):
+                out.append(self.by_mark[some[a] - SPECIAL] if mark else self.encode_piece(text[a:b]))
+            return out
+
+        found, sizes = self.known.ids(points, begin, size, value[example], encode)
         starts = np.cumsum(sizes) - sizes
         count = sizes[which]
         before = np.concatenate([[0], np.cumsum(count)])
-        take = np.arange(before[-1]) + np.repeat(starts[which] - before[:-1], count)
-        return np.frombuffer(b"".join(found), "<u4")[take], first, before
+        return found[_ranges(starts[which], count)], first, before
 
     def forget(self) -> None:
         """Drop what is remembered."""

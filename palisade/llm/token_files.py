@@ -55,7 +55,10 @@ def load(path: str) -> tuple[Encoder, int]:
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
     def piece(text: str) -> list[int]:
-        mapped = "".join([letters[b] for b in text.encode()])
+        if text.isascii() and text.isprintable():  # the space alone has another letter
+            mapped = text.replace(" ", letters[32])
+        else:
+            mapped = "".join([letters[b] for b in text.encode()])
         return [t.id for t in model.tokenize(mapped)]
 
     largest = max(tokenizer.get_vocab(with_added_tokens=True).values())

@@ -111,6 +111,20 @@ def test_pieces_are_forgotten_and_found_again(monkeypatch):
         assert got[1].tolist() == [2] * 4 and got[2].size == 0
 
 
+def test_many_pieces_are_remembered_in_few_bytes(monkeypatch):
+    monkeypatch.setattr("palisade.llm.pieces.REMEMBERED", 200_000)
+    made = []
+    encoder = Encoder(cut_words, lambda w: made.append(w) or [len(w)], {})
+    words_ = ["".join(chr(97 + k // 26**p % 26) for p in range(4)) for k in range(3000)]
+    for _ in range(2):
+        for begin in range(0, 1000, 100):
+            assert encoder.encode([" ".join(words_[begin : begin + 100])])[0].tolist() == [4] * 100
+    assert len(made) == 1000
+    for begin in range(0, 3000, 100):
+        encoder.encode([" ".join(words_[begin : begin + 100])])
+    assert encoder.known.new.held() <= 130_000 and encoder.known.old.held() <= 130_000
+
+
 def thue_morse(n, a="a", b="b"):
     """The first n letters; exchanging a and b gives a word with the same hash modulo 2^64."""
     return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
