@@ -24,28 +24,30 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+
+
+def _with_ids(batch: pa.RecordBatch, ids: list[np.ndarray]) -> dict[str, pa.Array]:
+    return {
+        "doc_id": batch.column(0),
+        "n_tokens": pa.array([a.size for a in ids], pa.int64()),
+        "ids": pa.array([a.astype("<u4").tobytes() for a in ids], pa.binary()),
+    }
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): the ids as little-endian unsigned 32-bit integers.
 
     A null or empty text has no ids; null and repeated doc_ids are kept as they are. Special
     tokens in a text are found as the library finds them; none are added.
     """
-    small_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = load(path)[1]
-        ids = encoder.encode(batch.column(1).to_pylist())
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([a.size for a in ids], pa.int64()),
-                pa.array([a.astype("<u4").tobytes() for a in ids], pa.binary()),
-            ],
-            ["doc_id", "n_tokens", "ids"],
-        )
+        return pa.RecordBatch.from_pydict(_with_ids(batch, load(path)[1].encode(batch.column(1).to_pylist())))
 
-    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
-    return rows.mapInArrow(text_batches(run), "doc_id long, n_tokens long, ids binary")
+    return _rows(docs, id_col, text_col).mapInArrow(text_batches(run), "doc_id long, n_tokens long, ids binary")
 
 
 def _decoded(batch: pa.RecordBatch, path: str) -> list[str]:
@@ -66,16 +68,18 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
 
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, text): both in one pass, ``text`` decoded from the ids."""
-    small_batches(docs.sparkSession)
+    """(doc_id, n_tokens, ids, text): both in one pass, ``text`` decoded from the ids.
+
+    One function does both: two in a row would be two workers a task, each with the automaton, and they stay.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = batch.schema.names
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(_decoded(batch, path), pa.string())], [*names, "text"]
-        )
+        automaton, encoder = load(path)
+        ids = encoder.encode(batch.column(1).to_pylist())
+        texts = pa.array([automaton.decode(a.tolist()) for a in ids], pa.string())
+        return pa.RecordBatch.from_pydict(_with_ids(batch, ids) | {"text": texts})
 
-    return encode(docs, path).mapInArrow(
+    return _rows(docs, "doc_id", "text").mapInArrow(
         text_batches(run), "doc_id long, n_tokens long, ids binary, text string"
     )
 

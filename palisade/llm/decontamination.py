@@ -54,6 +54,9 @@ MATCH = 0.6
 ANSWER = 0.5
 MIN_WORDS = 5
 SEED = 7
+# Words that are projected at once, and cells of a product of passages and items.
+WORDS_AT_ONCE = 1 << 15
+CELLS = 1 << 22
 
 _ANSWER = re.compile(r".*(?:\?|\banswer\s*:)", re.I | re.S)
 
@@ -172,8 +175,20 @@ def _gathered(idf: np.ndarray, directions: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((idf.size, weighted.shape[1]))
+        words, images, size = [], [], 0
+
+        def fold() -> None:
+            nonlocal size
+            word, image = np.concatenate(words), np.concatenate(images)
+            order = np.argsort(word, kind="stable")
+            word = word[order]
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            total[word[first]] += np.add.reduceat(image[order], first, axis=0)
+            words.clear()
+            images.clear()
+            size = 0
+
         for batch in batches:
-            words, images = [], []
             for b in batch.column("ids").to_pylist():
                 ids = np.frombuffer(b, np.int32)
                 image = _windows(ids, weighted)
@@ -187,12 +202,11 @@ def _gathered(idf: np.ndarray, directions: np.ndarray):
                 before = np.where(((stretch > 0) & (stretch <= last))[:, None], image[np.maximum(stretch - 1, 0)], 0)
                 words.append(ids[known])
                 images.append(here + before)
-            if words:
-                word, image = np.concatenate(words), np.concatenate(images)
-                order = np.argsort(word, kind="stable")
-                word = word[order]
-                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                total[word[first]] += np.add.reduceat(image[order], first, axis=0)
+                size += known.size
+                if size >= WORDS_AT_ONCE:
+                    fold()
+        if words:
+            fold()
         total *= idf[:, None]
         used = np.flatnonzero(total.any(axis=1))
         if used.size:
@@ -340,8 +354,9 @@ def _hits(block: Block, idf: np.ndarray, basis: np.ndarray):
             pair = np.unique(np.concatenate(pairs))
             window, segment = postings.shared(pair // idf.size, pair % idf.size)
             near = np.zeros(window.size, bool)
-            for begin in range(0, doc.size, 1 << 14):
-                end = min(begin + (1 << 14), doc.size)
+            step = max(1, CELLS // length.size)
+            for begin in range(0, doc.size, step):
+                end = min(begin + step, doc.size)
                 product = image[begin:end] @ queries.T
                 good = product >= ALONG * (length**2)[None, :]
                 good &= product >= COSINE * length_of[begin:end][:, None] * length[None, :]

@@ -489,3 +489,23 @@ def test_queries_like_their_sql(spark, name):
 
     ok, line = compare(spark, connect(SMALL), SMALL, name, QUERIES[name], ORACLES[name])
     assert ok, line
+
+
+def test_words_are_projected_a_part_of_a_batch_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    ids = np.random.default_rng(1).integers(-1, 50, (64, 4000)).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in ids], pa.binary())], ["ids"])
+    directions = np.random.default_rng(2).standard_normal((50, 80))
+    tracemalloc.start()
+    whole = list(decontamination._gathered(np.ones(50), directions)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    parts = [r for i in range(64) for r in decontamination._gathered(np.ones(50), directions)(iter([batch.slice(i, 1)]))]
+    total = np.zeros((50, 80))
+    for r in parts:
+        total[r["word"].to_numpy()] += np.array(r["v"].to_pylist())
+    assert np.allclose(np.array(whole[0]["v"].to_pylist()), total, rtol=1e-3, atol=1e-2)

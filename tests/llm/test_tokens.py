@@ -157,6 +157,11 @@ def test_digests(spark, words):
     assert got == want
 
 
+def test_one_worker_a_task_encodes_and_decodes(spark):
+    plan = encode_and_decode(table(spark, ROWS), word_vocabulary())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_round_trip_on_tables(spark, words):
     both = {(r["doc_id"], r["n_tokens"], r["text"]) for r in encode_and_decode(table(spark, ROWS), word_vocabulary()).collect()}
     apart = decode(encode(table(spark, ROWS), word_vocabulary()), word_vocabulary()).collect()
