@@ -8,7 +8,8 @@ the results of rows that came before it: those are given out again with a higher
 - **Thresholds.** The key is (rule, group, slice): time is cut into slices of ``SLICE`` windows, and a row goes to
   the slice it lies in and to the next if that looks back on it. So a busy group is many keys, and
   what a key holds ends with its slice: a timer clears it once the watermark has passed.
-- **Flows.** The key is the flow. Rows older than the watermark become totals (start, packets, bytes), so state is
+- **Flows.** The key is one of a fixed number of buckets that flows are dealt to by their hash, as flows may be as many as rows;
+  within it a flow is two hashes, 128 bits. Rows older than the watermark become totals (start, packets, bytes), so state is
   the rows of one lateness, and a timer forgets flows that were idle.
 
 State values are arrays of numbers, one a batch, merged when there are many; counts are sorted
@@ -42,6 +43,8 @@ US = 1_000_000
 SLICE = 4
 # Arrays of a key before they are merged into one.
 PIECES = 32
+# Keys that flows are dealt to: each costs calls between Spark and Python in every batch.
+BUCKETS = 1024
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -278,61 +281,105 @@ def start_indicator_detection(
     return (stream.trigger(availableNow=True) if once else stream).start()
 
 
+def _places(flows: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For each of the flows its row among the known ones, -1 if it has none; both name each flow once, in two numbers."""
+    both = np.concatenate([known, flows])
+    order = np.lexsort((both[:, 1], both[:, 0]))  # stable, so a known flow comes just before its equal
+    again = np.flatnonzero((both[order[1:]] == both[order[:-1]]).all(axis=1))
+    out = np.full(len(flows), -1)
+    out[order[again + 1] - len(known)] = order[again]
+    return out
+
+
 class FlowState(StatefulProcessor):
-    """The statistics of one flow, which continue its totals."""
+    """The statistics of the flows of one bucket, which continue their totals."""
 
     OUT = ["event_id", "flow_duration", "packets_per_second", "bytes_per_second", "version"]
+    # Start, packets and bytes of a flow's settled rows (start NONE: there are none), and its last time.
+    TOTALS = ["flow", "flow_2", "start", "packets", "bytes", "last"]
+    NONE = np.iinfo(np.int64).min
 
     def __init__(self, idle_us: int):
         self.idle_us = idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = _Rows(handle, 4)
-        # Start, packets and bytes of settled rows (start null: none), last time, version.
-        names = ("start", "packets", "bytes", "last", "version")
-        self.totals = handle.getValueState("totals", T.StructType([T.StructField(n, T.LongType()) for n in names]))
+        self.rows = _Rows(handle, 6)
+        kinds = [T.StructField("flows", T.BinaryType()), T.StructField("version", T.LongType()), T.StructField("timer", T.LongType())]
+        self.totals = handle.getValueState("totals", T.StructType(kinds))
+
+    def _keep(self, totals: np.ndarray, version: int, timer: int | None) -> None:
+        """Store the totals; the timer stands where the first flow will have been idle for long enough."""
+        end = (int(totals[:, 5].min()) + self.idle_us) // 1000 + 1
+        if timer is None or end < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(end)
+            timer = end
+        self.totals.update((totals.tobytes(), version, timer))
+
+    def _totals(self) -> tuple[np.ndarray, int, int | None]:
+        if not self.totals.exists():
+            return np.zeros((0, len(self.TOTALS)), np.int64), 0, None
+        flows, version, timer = self.totals.get()
+        return np.frombuffer(flows, np.int64).reshape(-1, len(self.TOTALS)), version, timer
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = _numbers(rows, ["us", "event_id", "v_packets", "v_bytes"])
+        new = _numbers(rows, ["flow", "flow_2", "us", "event_id", "v_packets", "v_bytes"])
         old = self.rows.pieces()
-        first = not self.totals.exists()
-        start, packets, size, last, version = (None, 0, 0, None, 0) if first else self.totals.get()
+        totals, version, timer = self._totals()
         known = np.concatenate([*old, new])
-        known = known[np.lexsort((known[:, 1], known[:, 0]))]
-        us, before = known[:, 0], np.cumsum(known[:, 2:], axis=0) - known[:, 2:] + np.array([packets, size])
-        begun = int(us[0]) if start is None else start
-        seconds = (us - begun) / US
+        order = np.lexsort((known[:, 3], known[:, 2], known[:, 1], known[:, 0]))
+        known = known[order]
+        # Rows of a flow are neighbours, in the order of their time.
+        first = np.flatnonzero(np.concatenate([[True], (known[1:, :2] != known[:-1, :2]).any(axis=1)]))
+        count = np.diff(np.append(first, len(known)))
+        flow = np.repeat(np.arange(first.size), count)
+        flows, us = known[first, :2], known[:, 2]
+        at = _places(flows, totals[:, :2])
+        past = np.full((first.size, 4), [self.NONE, 0, 0, self.NONE])
+        past[at >= 0] = totals[at[at >= 0], 2:]
+        start, size, fresh = past[:, 0], known[:, 4:], past[:, 0] == self.NONE
+        upto = np.cumsum(size, axis=0) - size
+        before = upto - upto[first][flow] + past[flow, 1:3]
+        begun = np.where(fresh, us[first], start)
+        seconds = (us - begun[flow]) / US
         rate = before / np.where(seconds > 0, seconds, np.inf)[:, None]
         out = pd.DataFrame(
-            {"event_id": known[:, 1], "flow_duration": seconds, "packets_per_second": rate[:, 0], "bytes_per_second": rate[:, 1]}
+            {"event_id": known[:, 3], "flow_duration": seconds, "packets_per_second": rate[:, 0], "bytes_per_second": rate[:, 1]}
         )
-        if start is None:
-            # A flow's first event has none.
-            out.loc[0, self.OUT[1:4]] = None
+        # A flow's first event has none.
+        out.loc[first[fresh], self.OUT[1:4]] = None
         out["version"] = version + 1
-        earliest = new[np.lexsort((new[:, 1], new[:, 0]))[0]]
-        changed = (us > earliest[0]) | ((us == earliest[0]) & (known[:, 1] >= earliest[1]))
-        settled = int(np.searchsorted(us, timerValues.getCurrentWatermarkInMs() * 1000, side="right"))
-        if settled:
-            packets, size = (int(x) for x in before[settled - 1] + known[settled - 1, 2:])
-            start = begun
-            self.rows.replace(known[settled:])
+        # What comes after a flow's earliest new row changes.
+        place = np.arange(len(known))
+        earliest = np.minimum.reduceat(np.where(order >= len(known) - len(new), place, len(known)), first)
+        changed = place >= earliest[flow]
+        settled = us <= timerValues.getCurrentWatermarkInMs() * 1000
+        some = np.logical_or.reduceat(settled, first)
+        past[:, 0] = np.where(some, begun, start)
+        past[:, 1:3] += np.add.reduceat(np.where(settled[:, None], size, 0), first, axis=0)
+        past[:, 3] = np.maximum(past[:, 3], us[first + count - 1])
+        if some.any():
+            self.rows.replace(known[~settled])
         else:
             self.rows.add(new, old)
-        last = max(int(us[-1]), us[-1] if last is None else last)
-        self.totals.update((start, packets, size, int(last), version + 1))
-        if first:
-            self.handle.registerTimer((int(last) + self.idle_us) // 1000 + 1)
+        others = np.ones(len(totals), bool)
+        others[at[at >= 0]] = False
+        self._keep(np.concatenate([totals[others], np.concatenate([flows, past], axis=1)]), version + 1, timer)
         yield out[changed][self.OUT]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = (self.totals.get()[3] + self.idle_us) // 1000 + 1
-        if end > expiredTimerInfo.getExpiryTimeInMs():
-            self.handle.registerTimer(end)
-        else:
-            self.rows.state.clear()
+        totals, version, _ = self._totals()
+        idle = (totals[:, 5] + self.idle_us) // 1000 + 1 <= timerValues.getCurrentWatermarkInMs()
+        if idle.any():
+            known = np.concatenate([np.zeros((0, 6), np.int64), *self.rows.pieces()])
+            flows, flow = np.unique(known[:, :2], axis=0, return_inverse=True)
+            self.rows.replace(known[(_places(flows, totals[~idle, :2]) >= 0)[flow]])
+        if idle.all():
             self.totals.clear()
+        else:
+            self._keep(totals[~idle], version, None)
         yield pd.DataFrame(columns=self.OUT)
 
     def close(self) -> None:
@@ -347,10 +394,23 @@ def start_keyed_flows(
     once: bool = False,
     bounds: Bounds = Bounds(),
     now: Column | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Running statistics of a stream of network events by flow: event_id, duration, rates and ``version``."""
-    rows = keyed(in_time(events, bounds, now)).select(*KEYS, "us", "event_id", "v_packets", "v_bytes", "timestamp")
-    found = rows.groupBy(*KEYS).transformWithStateInPandas(
+    """Running statistics of a stream of network events by flow: event_id, duration, rates and ``version``.
+
+    ``buckets`` must stay the same as long as the checkpoint is used.
+    """
+    rows = keyed(in_time(events, bounds, now)).select(
+        F.xxhash64(*KEYS).alias("flow"),
+        F.xxhash64(F.lit(1), *KEYS).alias("flow_2"),
+        "us",
+        "event_id",
+        "v_packets",
+        "v_bytes",
+        "timestamp",
+    )
+    rows = rows.withColumn("bucket", F.pmod("flow", F.lit(buckets)).cast("int"))
+    found = rows.groupBy("bucket").transformWithStateInPandas(
         FlowState(idle_seconds * US),
         "event_id long, flow_duration double, packets_per_second double, bytes_per_second double, version long",
         "Append",

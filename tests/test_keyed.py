@@ -130,3 +130,28 @@ def test_bounds_of_time(spark):
     one = events(spark, [{"event_id": 1, "t": 0.0}, {"event_id": 2, "t": 301.0}, {"event_id": 3, "t": 300.0}])
     clock = F.lit(at(0.0)).cast("timestamp")
     assert rows(in_time(one, now=clock).select("event_id"), "event_id") == [(1,), (3,)]
+
+
+def test_flows_share_keys(spark, tmp_path):
+    """Every key costs calls in every batch, so there are no more keys for more flows."""
+    table_ = events(spark, [{"event_id": i, "t": float(i), "src_ip": str(i % 200), "packets_sent": i} for i in range(400)])
+    inbox, out, checkpoint = (str(tmp_path / x) for x in "ioc")
+    parts = [table_.where("event_id % 2 = 0"), table_.where("event_id % 2 = 1")]
+    progress = run(spark, parts, inbox, lambda s: start_keyed_flows(s, out, checkpoint, 10_000, once=True, buckets=2))
+    got = latest(spark.read.parquet(out), "event_id", "version").select(*FLOWS)
+    assert rows(got, "event_id") == rows(flow_columns(table_).select(*FLOWS), "event_id")
+    # For each key its totals, its timer in two orders, and two pieces of rows with their count.
+    assert max(s["numRowsTotal"] for p in progress[-1] for s in p["stateOperators"]) <= 2 * 6
+
+
+def test_an_idle_flow_is_forgotten_beside_others(spark, tmp_path):
+    flow, other = ({"src_ip": a, "packets_sent": 3, "bytes_sent": 7} for a in "ab")
+    times = [(1, 0.0, flow), (2, 10.0, other), (3, 90.0, other), (4, 180.0, other), (5, 185.0, other), (6, 190.0, flow), (7, 191.0, flow), (8, 192.0, other)]
+    table_ = events(spark, [{**f, "event_id": i, "t": t} for i, t, f in times])
+    inbox, out, checkpoint = (str(tmp_path / x) for x in "ioc")
+    parts = [table_.where(F.col("event_id") == i) for i, *_ in times]
+    bounds = Bounds(late_seconds=20)
+    run(spark, parts, inbox, lambda s: start_keyed_flows(s, out, checkpoint, 100, once=True, bounds=bounds, buckets=1))
+    stored = latest(spark.read.parquet(out), "event_id", "version")
+    got = {r["event_id"]: r["flow_duration"] for r in stored.collect()}
+    assert got == {1: None, 2: None, 3: 80.0, 4: 170.0, 5: 175.0, 6: None, 7: 1.0, 8: 182.0}
