@@ -117,35 +117,56 @@ def train_forest(
     return forest
 
 
+def _heap(nodes: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(levels, feature, cut, path) of a tree as a full one, the children of place i at 2 i + 1 and 2 i + 2.
+
+    Below a leaf both ways lead to its path. Trees are as deep as the logarithm of their sample, so a full one is no larger
+    than a few times the sample.
+    """
+    feature, cut, left, right, path = (nodes[c].to_numpy() for c in ("feature", "cut", "left_node", "right_node", "path"))
+    at = dict(zip(nodes["node"].tolist(), range(len(nodes))))
+    now, rows = np.array([at[0]]), []
+    while (feature[now] >= 0).any():
+        rows.append(now)
+        inner = feature[now] >= 0
+        # A leaf is its own child.
+        children = [[at[side[n]] if go else n for n, go in zip(now.tolist(), inner.tolist())] for side in (left, right)]
+        now = np.array(children).T.reshape(-1)
+    inner = np.concatenate([*rows, now[:0]])
+    return len(rows), np.maximum(feature[inner], 0).astype(np.int64), cut[inner].astype(float), path[now].astype(float)
+
+
+# Rows that are walked at once, so that what belongs to them stays near the processor.
+BLOCK = 4096
+
+
 def _walker(forest: Forest):
     nodes = forest.nodes.sort_values(["tree", "node"])
-    trees = []
-    for _, t in nodes.groupby("tree"):
-        trees.append(
-            (
-                t["feature"].to_numpy(np.int32),
-                t["cut"].to_numpy(float),
-                t["left_node"].to_numpy(np.int32),
-                t["right_node"].to_numpy(np.int32),
-                t["path"].to_numpy(float),
-            )
-        )
+    trees = [_heap(t) for _, t in nodes.groupby("tree")]
     scale = max(expected_path(forest.sample_size), 1e-12)
 
-    def score(x: np.ndarray) -> np.ndarray:
+    def walked(x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, cut, left, right, path in trees:
-            at = np.zeros(len(x), dtype=np.int32)
-            inner = feature[at] >= 0
-            while inner.any():
-                f = np.maximum(feature[at], 0)
-                step = np.where(x[rows, f] <= cut[at], left[at], right[at])
-                at = np.where(inner, step, at)
-                inner = feature[at] >= 0
-            total += path[at]
+        cells, begin = x.reshape(-1), np.arange(len(x)) * x.shape[1]
+        for levels, feature, cut, path in trees:
+            at = np.zeros(len(x), np.int64)
+            for _ in range(levels):
+                left = cells.take(feature.take(at) + begin) <= cut.take(at)
+                at *= 2
+                at += 2
+                at -= left
+            total += path.take(at - ((1 << levels) - 1))
         return 2.0 ** (-(total / len(trees)) / scale)
 
+    def score(x: np.ndarray) -> np.ndarray:
+        if not len(x):
+            return np.zeros(0)
+        # Rows with the same values have the same score.
+        x = np.ascontiguousarray(x, dtype=float)
+        _, first, which = np.unique(x.view(f"V{x.shape[1] * x.itemsize}").reshape(-1), return_index=True, return_inverse=True)
+        x = x[first]
+        return np.concatenate([walked(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)])[which.reshape(-1)]
+
     return score
 
 

@@ -318,3 +318,30 @@ def test_broken_models_are_left_out(spark, clusters, tmp_path):
     train_and_register(other, "id", "autoencoder", folder, "x")
     scored = score_events(events, "event_id", load_active(spark, folder))
     assert scored.columns == ["event_id", "isolation_forest", "scores"] and scored.count() == 1000
+
+
+def test_rows_are_walked_through_full_trees():
+    """Trees are laid out in full, so that a level is a few operations, and equal rows are walked once."""
+    import pandas as pd
+
+    from palisade.anomaly import forest
+
+    draw = np.random.default_rng(11)
+    few = draw.normal(size=(7, 2))
+    few[0, 0], few[1, 1] = np.nan, np.inf
+    x = few[draw.integers(0, 7, 9000)]
+    nodes = [forest._grow(["a", "b"], 1)((t,), pd.DataFrame(draw.normal(size=(20 + t, 2)), columns=["a", "b"]).assign(__rank=range(20 + t))) for t in range(5)]
+    model = forest.Forest(["a", "b"], pd.concat(nodes), 20)
+    want = np.zeros(len(few))
+    for t in nodes:
+        levels, feature, cut, path = forest._heap(t)
+        assert path.size == 1 << levels and feature.size == path.size - 1
+        for i, row in enumerate(few):
+            node = t.set_index("node").loc[0]
+            while node["feature"] >= 0:
+                node = t.set_index("node").loc[int(node["left_node" if row[int(node["feature"])] <= node["cut"] else "right_node"])]
+            want[i] += node["path"]
+    got = forest._walker(model)(x)
+    assert got.shape == (9000,) and np.unique(got).size <= 7
+    assert forest._walker(model)(few) == pytest.approx(2.0 ** (-(want / 5) / forest.expected_path(20)))
+    assert forest._walker(model)(few[:0]).size == 0
