@@ -180,3 +180,19 @@ def test_plain_way_has_one_shuffle_and_one_sort(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("+- Sort [") == 1
+
+
+def test_what_orders_rows_travels_once(spark, monkeypatch):
+    """Keys, time and ties are columns of what is cut; the rest of a row goes along, and no column of it twice."""
+    from palisade.operators import running as module
+
+    cuts = []
+    monkeypatch.setattr(module, "written", lambda df, name: cuts.append(df.schema) or df.localCheckpoint())
+    data = spark.createDataFrame([("a", i, i // 2, i % 3, f"x{i}") for i in range(9)], "k string, id long, us long, v long, rest string")
+    cut = module.Cut(True, 2)
+    sums = trailing_sums(data, ["k"], "us", ["id"], [Trailing("n", F.lit(1).cast("long"), 2)], cut)
+    different = trailing_distinct(data, ["k"], "us", ["id"], [Distinct("d", "v", 2)], cut)
+    carried = [s["__row"].dataType.names for s in cuts if "__row" in s.names]
+    assert carried == [["v", "rest"], ["v", "rest"]]
+    assert sums.columns == [*data.columns, "n"] and different.columns == [*data.columns, "d"]
+    assert sorted(sums.drop("n").collect()) == sorted(different.drop("d").collect()) == sorted(data.collect())
