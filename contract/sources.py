@@ -615,7 +615,8 @@ def dataset_flow_csv(spark, sf):
     # Three forms of header, in forty files.
     for number, order in enumerate(([0, 1, 2, 3], [3, 0, 2, 1], [2, 3, 1, 0])):
         part = rows.where(F.pmod(F.xxhash64("l_quantity", "` Label`", "l_tax"), F.lit(3)) == number)
-        part = part.repartition(14 - number).select(*[f"`{rows.columns[i]}`" for i in order])
+        # Dealt by their values: dealing in turn would sort all rows of a task first.
+        part = part.repartition(14 - number, *[F.col(f"`{c}`") for c in rows.columns]).select(*[f"`{rows.columns[i]}`" for i in order])
         part.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", "false").csv(path)
     out = datasets.flow_csv_set(spark, [path])
     return out.groupBy("label").agg(

@@ -61,15 +61,22 @@ def _column_names(cells: Sequence[str]) -> list[str]:
 
 
 def _headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, header): the first line of every file."""
+    """(file, header): the first line of every file.
+
+    Where it stands is found first, as the least number, so that no lines are put in order; a second pass over the same
+    splits takes it.
+    """
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.decode(F.col("value").cast("binary"), ENCODING).alias("line"),
+        "value",
         F.monotonically_increasing_id().alias("place"),
     )
-    first = lines.where("block = 0").groupBy("file").agg(F.min_by("line", "place").alias("header"))
-    return written(first, "csv-headers")
+    # One row a file.
+    first = written(lines.where("block = 0").groupBy("file").agg(F.min("place").alias("place")), "csv-places")
+    found = lines.join(F.broadcast(first.select("place")), "place", "left_semi")
+    heads = found.select("file", F.decode(F.col("value").cast("binary"), ENCODING).alias("header"))
+    return written(heads, "csv-headers")
 
 
 def flow_csv_set(spark: SparkSession, paths: Sequence[str], sample_size: int | None = None) -> DataFrame:

@@ -469,3 +469,18 @@ def test_first_alerts_are_written_once(spark, tmp_path, monkeypatch):
     for n, path in ((0, "x"), (1, "x")):
         sinks.write_alerts(alerts, str(tmp_path / path))
         assert len(copies) == n and spark.read.parquet(str(tmp_path / path)).count() == 1
+
+
+def test_headers_are_found_without_putting_lines_in_order(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def planned(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(datasets, "written", planned)
+    for i, text in enumerate(["a,b,Label\n1,2,x\n", " Label,b\ny,4\n", "b, Label\n6,z\n0,z\n"]):
+        (tmp_path / f"f{i}.csv").write_text(text)
+    got = datasets.flow_csv_set(spark, [str(tmp_path)])
+    assert rows(got.select("label", "a", "b"), "label", "b") == [("x", 1.0, 2.0), ("y", None, 4.0), ("z", None, 0.0), ("z", None, 6.0)]
+    assert plans and not any("Sort" in p for p in plans)
