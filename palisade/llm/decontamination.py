@@ -54,7 +54,7 @@ MATCH = 0.6
 ANSWER = 0.5
 MIN_WORDS = 5
 SEED = 7
-# Words that are projected at once, and cells of a product of passages and items.
+# Words that are projected at once (whole documents), and cells of a product of passages and items.
 WORDS_AT_ONCE = 1 << 15
 CELLS = 1 << 22
 
@@ -125,15 +125,16 @@ def _numbered(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
-            found = []
+            found, pairs, count = [], [], 0
             for text in batch.column("text").to_pylist():
                 ids = block.number(words_of(text))
-                stretch = np.arange(ids.size) // STRETCH
-                known = ids >= 0
-                pairs = np.unique(stretch[known] * size + ids[known])
-                seen[:size] += np.bincount(pairs % size, minlength=size) if pairs.size else 0
-                seen[size] += -(-ids.size // STRETCH)
-                found.append(ids.tobytes() if known.any() else None)
+                known = np.flatnonzero(ids >= 0)
+                pairs.append((count + known // STRETCH) * size + ids[known])
+                count += -(-ids.size // STRETCH)
+                found.append(ids.tobytes() if known.size else None)
+            if pairs and size:
+                seen[:size] += np.bincount(different(np.concatenate(pairs)) % size, minlength=size)
+            seen[size] += count
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("h"), pa.array(found, pa.binary()), pa.nulls(len(found), pa.binary())],
                 ["doc_id", "h", "ids", "seen"],
@@ -157,56 +158,81 @@ def _sum_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(total[words], pa.int64())], ["word", "n"])
 
 
-def _windows(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """The sum of the words' vectors over every window of two stretches (one, if there is only one)."""
-    known = np.flatnonzero(ids >= 0)
-    stretch = known // STRETCH
-    n = -(-ids.size // STRETCH)
-    out = np.zeros((n, vectors.shape[1]), vectors.dtype)
-    first = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]]))
-    out[stretch[first]] = np.add.reduceat(vectors[ids[known]], first, axis=0)
-    return out[:-1] + out[1:] if n > 1 else out
+def different(numbers: np.ndarray) -> np.ndarray:
+    """The different numbers in their order. Sorting in place is faster here than ``np.unique``."""
+    numbers = np.sort(numbers)
+    return numbers[np.concatenate([[True], numbers[1:] != numbers[:-1]])[: numbers.size]]
+
+
+@dataclass
+class Passages:
+    """Some documents of a batch laid out in stretches, and their windows of two (one, if a document has only one)."""
+
+    docs: list[np.ndarray]
+    begin: int  # the first document's place in the batch
+
+    def __post_init__(self):
+        sizes = np.array([ids.size for ids in self.docs])
+        stretches = -(-sizes // STRETCH)
+        windows = np.maximum(stretches - 1, 1)
+        first = np.cumsum(stretches) - stretches
+        ids = np.concatenate(self.docs)
+        known = np.flatnonzero(ids >= 0)
+        doc = np.repeat(np.arange(sizes.size), sizes)[known]
+        self.word = ids[known]
+        # The stretch of each known word, and of each stretch the windows that begin with it and before it (-1: none).
+        self.stretch = first[doc] + (known - (np.cumsum(sizes) - sizes)[doc]) // STRETCH
+        owner = np.repeat(np.arange(sizes.size), stretches)
+        place = np.arange(owner.size) - first[owner]
+        start = np.cumsum(windows) - windows
+        self.here = start[owner] + np.minimum(place, windows[owner] - 1)
+        self.before = np.where((place > 0) & (place < windows[owner]), start[owner] + place - 1, -1)
+        self.opens = np.flatnonzero(place < windows[owner])
+        self.pairs = np.flatnonzero(stretches[owner[self.opens]] > 1)
+        self.doc = self.begin + owner[self.opens]
+        self.place = place[self.opens]
+
+    def windows(self, vectors: np.ndarray) -> np.ndarray:
+        """The sum of the words' vectors over every window."""
+        sums = np.zeros((self.here.size, vectors.shape[1]), vectors.dtype)
+        first = np.flatnonzero(np.concatenate([[True], self.stretch[1:] != self.stretch[:-1]]))
+        sums[self.stretch[first]] = np.add.reduceat(vectors.take(self.word, axis=0), first, axis=0)
+        out = sums[self.opens]
+        out[self.pairs] += sums[self.opens[self.pairs] + 1]
+        return out
+
+
+def _passages(rows: list[bytes]) -> Iterator[Passages]:
+    """The documents of a batch, as many at once as have some ``WORDS_AT_ONCE`` words."""
+    docs, size = [], 0
+    for i, b in enumerate(rows):
+        docs.append(np.frombuffer(b, np.int32))
+        size += docs[-1].size
+        if size >= WORDS_AT_ONCE or i + 1 == len(rows):
+            yield Passages(docs, i + 1 - len(docs))
+            docs, size = [], 0
 
 
 def _gathered(idf: np.ndarray, directions: np.ndarray):
     """A'(A W) over the passages of a task, one row a word."""
-    weighted = (directions * idf[:, None]).astype(np.float32)
-    square = (idf**2).astype(np.float32)[:, None]
+    # The last column is the square of the passage's length.
+    weighted = np.concatenate([directions * idf[:, None], (idf**2)[:, None]], axis=1).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((idf.size, weighted.shape[1]))
-        words, images, size = [], [], 0
-
-        def fold() -> None:
-            nonlocal size
-            word, image = np.concatenate(words), np.concatenate(images)
-            order = np.argsort(word, kind="stable")
-            word = word[order]
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            total[word[first]] += np.add.reduceat(image[order], first, axis=0)
-            words.clear()
-            images.clear()
-            size = 0
-
+        total = np.zeros(directions.shape)
         for batch in batches:
-            for b in batch.column("ids").to_pylist():
-                ids = np.frombuffer(b, np.int32)
-                image = _windows(ids, weighted)
+            for some in _passages(batch.column("ids").to_pylist()):
+                image = some.windows(weighted)
                 # Passages count alike, whatever their length.
-                image /= np.maximum(_windows(ids, square), 1e-6)
-                known = np.flatnonzero(ids >= 0)
-                stretch = known // STRETCH
+                image = image[:, :-1] / np.maximum(image[:, -1:], 1e-6)
                 # A word is in the window that begins with its stretch and in the one before.
-                last = image.shape[0] - 1
-                here = image[np.minimum(stretch, last)]
-                before = np.where(((stretch > 0) & (stretch <= last))[:, None], image[np.maximum(stretch - 1, 0)], 0)
-                words.append(ids[known])
-                images.append(here + before)
-                size += known.size
-                if size >= WORDS_AT_ONCE:
-                    fold()
-        if words:
-            fold()
+                back = image[some.here]
+                twice = np.flatnonzero(some.before >= 0)
+                back[twice] += image[some.before[twice]]
+                order = np.argsort(some.word, kind="stable")
+                word = some.word[order]
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                total[word[first]] += np.add.reduceat(back.take(some.stretch[order], axis=0), first, axis=0)
         total *= idf[:, None]
         used = np.flatnonzero(total.any(axis=1))
         if used.size:
@@ -253,17 +279,14 @@ class Postings:
     weight: np.ndarray
     needed: np.ndarray
 
-    def shared(self, window: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, segment) pairs that share enough, of different (window, word) pairs."""
+    def shared(self, window: np.ndarray, word: np.ndarray, windows: int) -> np.ndarray:
+        """Whether each of the windows and each segment share enough, of different (window, word) pairs."""
         n = self.count[word]
         before = np.cumsum(n) - n
         at = np.arange(int(n.sum())) + np.repeat(self.start[word] - before, n)
-        pair = np.repeat(window, n) * self.needed.size + self.segment[at]
-        pair, which = np.unique(pair, return_inverse=True)
-        total = np.bincount(which, weights=np.repeat(self.weight[word], n), minlength=pair.size)
-        window, segment = pair // self.needed.size, pair % self.needed.size
-        enough = total >= self.needed[segment]
-        return window[enough], segment[enough]
+        pair = np.repeat(window * self.needed.size, n) + self.segment[at]
+        total = np.bincount(pair, weights=np.repeat(self.weight[word], n), minlength=windows * self.needed.size)
+        return total.reshape(windows, -1) >= self.needed
 
 
 def make_postings(block: Block, weight: np.ndarray, idf: np.ndarray) -> Postings:
@@ -329,52 +352,39 @@ def _hits(block: Block, idf: np.ndarray, basis: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, places, images, pairs = [], [], [], []
             rows = batch.column("ids").to_pylist()
-            count = 0
-            for i, b in enumerate(rows):
-                ids = np.frombuffer(b, np.int32)
-                image = _windows(ids, vectors)
-                n = image.shape[0]
-                known = np.flatnonzero(ids >= 0)
-                stretch = known // STRETCH
-                word = ids[known].astype(np.int64)
-                # A stretch is in the window that begins with it and in the one before.
-                pairs.append((count + np.minimum(stretch, n - 1)) * idf.size + word)
-                pairs.append((count + np.maximum(stretch - 1, 0)) * idf.size + word)
-                docs.append(np.full(n, i))
-                places.append(np.arange(n))
-                images.append(image)
-                count += n
-            if not docs:
-                continue
-            doc, place, image = np.concatenate(docs), np.concatenate(places), np.concatenate(images)
             found: dict[tuple[int, int], float] = {}
-            length_of = np.linalg.norm(image, axis=1) + 1e-9
-            pair = np.unique(np.concatenate(pairs))
-            window, segment = postings.shared(pair // idf.size, pair % idf.size)
-            near = np.zeros(window.size, bool)
-            step = max(1, CELLS // length.size)
-            for begin in range(0, doc.size, step):
-                end = min(begin + step, doc.size)
-                product = image[begin:end] @ queries.T
-                good = product >= ALONG * (length**2)[None, :]
-                good &= product >= COSINE * length_of[begin:end][:, None] * length[None, :]
-                a, z = np.searchsorted(window, [begin, end])
-                near[a:z] = good[window[a:z] - begin, segment[a:z]]
-            for w, q in zip(window[near].tolist(), segment[near].tolist()):
-                ids, k = np.frombuffer(rows[doc[w]], np.int32), int(owner[q])
-                key = (int(doc[w]), k)
-                n = block.items[k].size
-                at = place[w] * STRETCH
-                around = ids[max(0, at - n) : at + 2 * STRETCH + n]
-                # Words that the item does not have can't be in a common subsequence.
-                around = around[np.isin(around, block.items[k])]
-                if weight[around].sum() < MATCH * weight[block.items[k]].sum():
-                    continue
-                score = match_score(block, k, around, weight)
-                if score >= MATCH and score > found.get(key, 0):
-                    found[key] = score
+            for some in _passages(rows):
+                image = some.windows(vectors)
+                length_of = np.linalg.norm(image, axis=1) + 1e-9
+                word = some.word.astype(np.int64)
+                # A stretch is in the window that begins with it and in the one before.
+                before = some.before[some.stretch]
+                again = np.flatnonzero(before >= 0)
+                pair = [some.here[some.stretch] * idf.size + word, before[again] * idf.size + word[again]]
+                pair = different(np.concatenate(pair))
+                window, word = pair // idf.size, pair % idf.size
+                step = max(1, CELLS // length.size)
+                for begin in range(0, some.doc.size, step):
+                    end = min(begin + step, some.doc.size)
+                    product = image[begin:end] @ queries.T
+                    good = product >= ALONG * (length**2)[None, :]
+                    good &= product >= COSINE * length_of[begin:end][:, None] * length[None, :]
+                    a, z = np.searchsorted(window, [begin, end])
+                    good &= postings.shared(window[a:z] - begin, word[a:z], end - begin)
+                    for w, q in np.argwhere(good).tolist():
+                        at, k = some.place[begin + w] * STRETCH, int(owner[q])
+                        doc = int(some.doc[begin + w])
+                        ids = some.docs[doc - some.begin]
+                        n = block.items[k].size
+                        around = ids[max(0, at - n) : at + 2 * STRETCH + n]
+                        # Words that the item does not have can't be in a common subsequence.
+                        around = around[np.isin(around, block.items[k])]
+                        if weight[around].sum() < MATCH * weight[block.items[k]].sum():
+                            continue
+                        score = match_score(block, k, around, weight)
+                        if score >= MATCH and score > found.get((doc, k), 0):
+                            found[doc, k] = score
             if found:
                 ids, h = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
                 yield pa.RecordBatch.from_arrays(

@@ -509,3 +509,29 @@ def test_words_are_projected_a_part_of_a_batch_at_a_time():
     for r in parts:
         total[r["word"].to_numpy()] += np.array(r["v"].to_pylist())
     assert np.allclose(np.array(whole[0]["v"].to_pylist()), total, rtol=1e-3, atol=1e-2)
+
+
+def test_passages_are_laid_out_many_documents_at_once(monkeypatch):
+    """Windows of two stretches over documents of all lengths, in parts of so many words, as document by document."""
+    import numpy as np
+
+    monkeypatch.setattr(decontamination, "WORDS_AT_ONCE", 200)
+    draw, size = np.random.default_rng(4), decontamination.STRETCH
+    docs = [draw.integers(-1, 9, n).astype(np.int32) for n in (1, 31, 32, 33, 64, 65, 96, 300, 5, 128)]
+    docs = [np.append(d, 3).astype(np.int32) for d in docs]
+    vectors = draw.normal(size=(9, 4))
+    parts = list(decontamination._passages([d.tobytes() for d in docs]))
+    assert len(parts) > 2 and [p.begin for p in parts[:2]] == [0, len(parts[0].docs)]
+    got = {(int(d), int(p)): row for part in parts for d, p, row in zip(part.doc, part.place, part.windows(vectors))}
+    want = {}
+    for i, ids in enumerate(docs):
+        for p in range(max(-(-ids.size // size) - 1, 1)):
+            window = ids[p * size : (p + 2) * size]
+            want[i, p] = vectors[window[window >= 0]].sum(axis=0)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    for part in parts:
+        opens = list(zip(part.doc.tolist(), part.place.tolist()))
+        for word, stretch in zip(part.word.tolist(), part.stretch.tolist()):
+            here, before = int(part.here[stretch]), int(part.before[stretch])
+            windows = [opens[w] for w in (here, before) if w >= 0]
+            assert all(word in docs[d][p * size : (p + 2) * size] for d, p in windows) and len(set(windows)) == len(windows)
