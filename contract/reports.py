@@ -202,9 +202,9 @@ def ingest_and_detect_report(spark, sf):
 RULE_USE_SQL = "used AS (SELECT DISTINCT signature_id FROM matched)"
 
 
-def used_rules(spark, sf):
-    """The rule table with ``enabled`` set only for rules some event matched."""
-    used = match_events(all_events(spark, sf), ALL_RULES).select("signature_id").distinct()
+def used_rules(spark, found):
+    """The rule table with ``enabled`` set only for rules of which there are matches, or stored alerts."""
+    used = found.select("signature_id").distinct()
     return (
         rules_frame(spark, ALL_RULES)
         .join(used.withColumn("used", F.lit(True)), "signature_id", "left")
@@ -218,7 +218,7 @@ def used_rules(spark, sf):
     f"WITH {ALERTS_SQL}, {RULE_USE_SQL} SELECT count(*) AS enabled, CAST({len(ALL_RULES)} AS BIGINT) AS total FROM used",
 )
 def rule_stats(spark, sf):
-    return reports.rule_statistics(used_rules(spark, sf))
+    return reports.rule_statistics(used_rules(spark, match_events(all_events(spark, sf), ALL_RULES)))
 
 
 @query(
@@ -237,9 +237,8 @@ def rule_stats(spark, sf):
     {" ".join(f"UNION ALL SELECT 'iocs', 'active_{t}', count(*) FILTER (is_active AND ioc_type = '{t}') FROM iocs" for t in reports.IOC_TYPES)}""",
 )
 def dashboard_long(spark, sf):
-    return reports.dashboard(
-        all_events(spark, sf), alert_table(spark, sf), used_rules(spark, sf), ioc_table(spark, sf)
-    )
+    alerts = alert_table(spark, sf)
+    return reports.dashboard(all_events(spark, sf), alerts, used_rules(spark, alerts), ioc_table(spark, sf))
 
 
 @query("dashboard_incremental", ORACLES["dashboard_long"])
@@ -256,7 +255,7 @@ def dashboard_incremental(spark, sf):
         log.append_changes(rows, changes, number)
         log.compact(spark, changes, rows.schema, log.IOC_KEYS, log.ioc_witnesses())
     iocs = log.current_iocs(log.read_changes(spark, changes, seen.schema))
-    return rollups.dashboard(rollups.read(spark, path), used_rules(spark, sf), iocs)
+    return rollups.dashboard(rollups.read(spark, path), used_rules(spark, alerts), iocs)
 
 
 @query(
@@ -329,7 +328,8 @@ def alerts_page(spark, sf):
     f"WITH {ALERTS_SQL}, {RULE_USE_SQL} SELECT CAST(signature_id AS BIGINT) AS signature_id, {NAME} AS name FROM used",
 )
 def rules_enabled_list(spark, sf):
-    return used_rules(spark, sf).where("enabled").select("signature_id", "name")
+    used = used_rules(spark, match_events(all_events(spark, sf), ALL_RULES))
+    return used.where("enabled").select("signature_id", "name")
 
 
 @query(

@@ -3,7 +3,9 @@
 import os
 import random
 
+import contract.reports
 import pytest
+from __spark_entry__ import queries
 from helpers import events, rows
 from pyspark.sql import functions as F
 
@@ -135,3 +137,16 @@ def test_similar_texts_like_brute_force(spark):
         assert all(got[i]["n_similar"] == len(near[s]) for i, s in enumerate(sets))
         assert {(i, j) for i in got for j in got if got[i]["class_id"] == got[j]["class_id"]} == {
             (i, j) for i in got for j in got if group[sets[i]] == group[sets[j]]}
+
+
+@pytest.mark.parametrize("name", ["dashboard_long", "dashboard_incremental"])
+def test_dashboards_read_the_use_of_rules_from_stored_alerts(spark, name, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    want = rows(queries()["rule_stats"](spark, folder))[0]
+
+    def again(*_):
+        raise AssertionError("all rules are matched again")
+
+    monkeypatch.setattr(contract.reports, "match_events", again)
+    got = queries()[name](spark, folder).where("section = 'signatures'").select("metric", "value")
+    assert dict(rows(got)) == {"enabled": want[0], "total": want[1]}
