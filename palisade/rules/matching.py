@@ -33,6 +33,8 @@ from palisade.session import local_rows
 RULES_PER_ARRAY = 100
 # Length of the runs of characters on which command lines and indicators are joined.
 GRAM = 4
+# Values of a rule that are sought in a command line one by one, in the scan; a longer list is joined.
+FEW_VALUES = 50
 VALUE_SCHEMA = T.StructType(
     [
         T.StructField("signature_id", T.LongType()),
@@ -110,24 +112,24 @@ def pattern_matches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return _matched(events, _pattern_flags(events, rules))
 
 
-def _has_grams(value: str) -> bool:
-    return len(value) >= GRAM
+def _is_joined(rule: Rule, value: str) -> bool:
+    return len(rule.ioc_values) > FEW_VALUES and len(value) >= GRAM
 
 
 def _with_contained(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Add, for each rule with indicator values, the last listed one in the command line.
 
-    Values shorter than a gram are few and sought one by one. For the others the command
-    line is expanded into its runs of ``GRAM`` characters, and those are joined with the
+    Values of short lists, and those shorter than a gram, are few and sought one by one, which
+    moves no rows. For the others the command line is expanded into its runs of ``GRAM`` characters, and those are joined with the
     first run of each value: an equi-join, however long the lists are. Only joined pairs
     are compared in full. Spark broadcasts the values if they are small.
     """
-    rules = [r for r in enabled_of(rules, "ioc") if r.ioc_values]
+    rules = [r for r in enabled_of(rules, "ioc") if len(r.ioc_values) > FEW_VALUES]
     listed = [
         (r.signature_id, i, v, v[:GRAM])
         for r in rules
         for i, v in enumerate(r.ioc_values)
-        if _has_grams(v)
+        if _is_joined(r, v)
     ]
     out = events
     if listed:
@@ -151,7 +153,7 @@ def _with_contained(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             )
         )
         out = events.join(found, "event_id", "left")
-    else:
+    elif rules:
         nothing = F.lit(None).cast("struct<position:int,value:string>")
         out = events.withColumns({_found(r): nothing for r in rules})
     return out
@@ -163,9 +165,13 @@ def _found(rule: Rule) -> str:
 
 def _last_found(rule: Rule) -> Column:
     """The listed value that stands last in the list among those in the command line."""
-    command, best = F.col("command_line"), F.col(_found(rule))
+    command = F.col("command_line")
+    if len(rule.ioc_values) <= FEW_VALUES:
+        found = [F.when((command != "") & command.contains(v), v) for v in reversed(rule.ioc_values)]
+        return F.coalesce(*found)
+    best = F.col(_found(rule))
     for i, value in enumerate(rule.ioc_values):
-        if not _has_grams(value):
+        if not _is_joined(rule, value):
             short = F.struct(F.lit(i).alias("position"), F.lit(value).alias("value"))
             best = F.greatest(best, F.when((command != "") & command.contains(value), short))
     return best["value"]

@@ -11,6 +11,7 @@ from palisade.plans.detect import detect, detect_and_store
 from palisade.rules.catalog import DEFAULT_RULES
 from palisade.rules.compile import condition_column, details_json
 from palisade.operators import joins
+from palisade.rules import matching
 from palisade.rules.matching import (
     ioc_rule_matches,
     match_events,
@@ -142,6 +143,26 @@ def test_long_ioc_list(spark):
     ]
 
 
+def test_short_ioc_lists_are_sought_in_the_scan(spark, monkeypatch):
+    values = ("evil", "", "vil", "cat /etc", "Evil ", "1.2.3.4")
+    rules = [Rule("i", "", "ioc", "", "high", ioc_values=values, signature_id=9),
+             Rule("j", "", "ioc", "", "low", "host", ioc_values=values[::-1], signature_id=10),
+             Rule("k", "", "ioc", "", "low", "host", ioc_values=("no", "none"), signature_id=11)]
+    commands = ["run evil now", "vi", "cat /etc/x evil", "Evil vil", "", None, "no 1.2.3.4", "none"]
+    df = events(spark, [{"command_line": c, "process_name": "evil" if i % 3 == 0 else None} for i, c in enumerate(commands)]
+                + [{"event_type": "network", "src_ip": "1.2.3.4", "command_line": "evil"}], "host")
+
+    def found():
+        return ioc_rule_matches(df, rules).select("event_id", "signature_id", "details")
+
+    plan = found()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = rows(found(), "event_id", "signature_id")
+    monkeypatch.setattr(matching, "FEW_VALUES", 0)
+    assert "Join" in found()._jdf.queryExecution().executedPlan().toString()
+    assert got and rows(found(), "event_id", "signature_id") == got
+
+
 def threshold(name="t", n=3, seconds=10, conditions=(), key="src_ip", **kw):
     return Rule(name, "", "threshold", "", "high", "network", tuple(conditions), threshold=n,
                 time_window_seconds=seconds, grouping_key=key, confidence=0.5, signature_id=4, **kw)
