@@ -150,3 +150,13 @@ def test_dashboards_read_the_use_of_rules_from_stored_alerts(spark, name, monkey
     monkeypatch.setattr(contract.reports, "match_events", again)
     got = queries()[name](spark, folder).where("section = 'signatures'").select("metric", "value")
     assert dict(rows(got)) == {"enabled": want[0], "total": want[1]}
+
+
+def test_a_few_folders_are_written_without_a_sort(spark, tmp_path):
+    """Rows of up to four folders keep their order, and any number of folders is written whole."""
+    for n in (3, 11):
+        df = spark.range(0, 1000, 1, 2).select("id", (F.col("id") * 7 % n).alias("part"))
+        df.write.partitionBy("part").parquet(f"{tmp_path}/{n}")
+        back = spark.read.parquet(f"{tmp_path}/{n}")
+        assert rows(back.select("id", "part"), "id") == [(i, i * 7 % n) for i in range(1000)]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "4"
