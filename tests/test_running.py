@@ -196,3 +196,22 @@ def test_what_orders_rows_travels_once(spark, monkeypatch):
     assert carried == [["v", "rest"], ["v", "rest"]]
     assert sums.columns == [*data.columns, "n"] and different.columns == [*data.columns, "d"]
     assert sorted(sums.drop("n").collect()) == sorted(different.drop("d").collect()) == sorted(data.collect())
+
+
+def test_more_rows_are_dealt_to_more_tasks(spark, monkeypatch):
+    """Whole groups go to as many tasks as their rows ask for, in one shuffle, with the same results."""
+    from palisade.operators import running as module
+
+    df = spark.range(0, 3000, 1, 3).select(F.col("id"), (F.col("id") % 97).alias("k"), (F.col("id") * 7).alias("us"))
+
+    def found():
+        a = module.running(df, ["k"], ["us", "id"], [module.Measure("s", "sum", F.col("id"))])
+        b = module.trailing_sums(df, ["k"], "us", ["id"], [module.Trailing("n", F.lit(1).cast("long"), 5000)])
+        return a, b
+
+    want = [sorted(map(tuple, x.collect())) for x in found()]
+    monkeypatch.setattr(module, "ROWS_A_TASK", 100)
+    for got, rows in zip(found(), want):
+        # There are four by default.
+        assert got.select(F.spark_partition_id()).distinct().count() > 20
+        assert sorted(map(tuple, got.collect())) == rows
