@@ -363,3 +363,8 @@ def test_command_lines_are_not_broadcast(spark):
         assert broadcast_rows(got) <= 1000
     finally:
         joins.BROADCAST_ROWS = before
+
+
+def test_no_method_is_too_long_to_be_compiled(spark):
+    """The code of all rules in one pass is longer than what the JVM compiles, so it is not run as one method."""
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
